@@ -57,9 +57,9 @@ def mean_over_runs(report: DataFrame, config: Sequence[str], run_col: str, metri
         F.count_distinct(run_col).alias("n_runs"),
         *[F.round(F.avg(m), 6).alias(f"mean_{m}") for m in metrics])
     if expected_runs is not None:
-        n_exp = expected_runs.agg(F.count_distinct(run_col).alias("n_expected"))
-        out = out.crossJoin(F.broadcast(n_exp))  # one-row table
-        out = out.withColumn("complete", F.col("n_runs") == F.col("n_expected")).drop("n_expected")
+        # a scalar: the number of distinct expected runs
+        n_exp = expected_runs.agg(F.count_distinct(run_col)).first()[0]
+        out = out.withColumn("complete", F.col("n_runs") == F.lit(n_exp))
     return out
 
 

@@ -29,5 +29,6 @@ def register(name: str, sql: str | None = None):
 def load_all() -> None:
     """Import every query module so that it registers itself."""
     from . import (  # noqa: F401
+        candidate_queries,
         outcome_queries,
     )
