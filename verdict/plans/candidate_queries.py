@@ -203,15 +203,16 @@ _PRED_DEFAULTS = {"except_pred": 0, "except_logit_0": 0.0, "except_logit_1": 0.0
 
 @register("sparse_scatter", with_views("""
 SELECT c.row_idx, c.project, c.bug_num, c.test_name,
-       coalesce(e.except_pred, 0) AS except_pred, coalesce(e.except_logit_0, 0.0) AS except_logit_0,
-       coalesce(e.except_logit_1, 0.0) AS except_logit_1,
+       coalesce(e.except_pred, 0) AS except_pred, coalesce(e.except_logit_0, CAST(0.0 AS DOUBLE)) AS except_logit_0,
+       coalesce(e.except_logit_1, CAST(0.0 AS DOUBLE)) AS except_logit_1,
        CASE WHEN coalesce(e.except_pred, 0) = 1 THEN '' ELSE coalesce(g.assert_pred, '') END AS assert_pred,
        coalesce(g.pick_l0, 0.0) AS assert_logit_0, coalesce(g.pick_l1, 0.0) AS assert_logit_1
 FROM cases c
 LEFT JOIN (SELECT doc_id AS row_idx,
-                  CASE WHEN (toxic * 3.0 - 6.0) > (quality * 2.0 - 1.0) OR (toxic * 3.0 - 6.0) > -5.5 THEN 1 ELSE 0 END
-                    AS except_pred,
-                  quality * 2.0 - 1.0 AS except_logit_0, toxic * 3.0 - 6.0 AS except_logit_1 FROM labels) e
+                  CASE WHEN l1 > l0 OR l1 > -5.5 THEN 1 ELSE 0 END AS except_pred,
+                  l0 AS except_logit_0, l1 AS except_logit_1
+           FROM (SELECT doc_id, CAST(quality AS DOUBLE) * 2.0 - 1.0 AS l0, CAST(toxic AS DOUBLE) * 3.0 - 6.0 AS l1
+                 FROM labels)) e
   ON c.row_idx = e.row_idx
 LEFT JOIN gated g ON c.row_idx = g.idx""", "scores", "cases", ctes=_GATE_CTE))
 def sparse_scatter(spark, sf_dir):
@@ -227,8 +228,9 @@ def sparse_scatter(spark, sf_dir):
 
 
 @register("baseline_pred", with_views("""
-SELECT row_idx, project, bug_num, test_name, 0 AS except_pred, 1.0 AS except_logit_0, 0.0 AS except_logit_1,
-       '' AS assert_pred, 1.0 AS assert_logit_0, 0.0 AS assert_logit_1 FROM cases""", "cases"))
+SELECT row_idx, project, bug_num, test_name, 0 AS except_pred, CAST(1.0 AS DOUBLE) AS except_logit_0,
+       CAST(0.0 AS DOUBLE) AS except_logit_1, '' AS assert_pred, CAST(1.0 AS DOUBLE) AS assert_logit_0,
+       CAST(0.0 AS DOUBLE) AS assert_logit_1 FROM cases""", "cases"))
 def baseline_pred(spark, sf_dir):
     """Constant no-exception / no-assertion predictor."""
     return C.baseline_predictions(V.cases(spark, sf_dir).select("row_idx", "project", "bug_num", "test_name"))

@@ -30,5 +30,6 @@ def load_all() -> None:
     """Import every query module so that it registers itself."""
     from . import (  # noqa: F401
         candidate_queries,
+        trace_queries,
         outcome_queries,
     )

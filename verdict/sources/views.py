@@ -111,6 +111,25 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def failed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failed tests with trace, focal method, docstring, prefix and predictions
+    (the input of the ranking features), one per trigger block."""
+    t = traces(spark, sf_dir)
+    r = F.col("row_idx")
+    focal = (F.when(r % 3 == 0, "public void close() throws IllegalStateException {")
+             .when(r % 3 == 1, "public int size() {").otherwise("public Cart(int n) {"))
+    doc = F.when(r % 5 == 0, "Throws CartException if empty").otherwise("")
+    prefix = (F.when(r % 4 == 1, "public void test0() { try { x(); } catch (java.io.IOException e) { } }")
+              .when(r % 4 == 2, "public void test1() { try { x(); } catch (IllegalStateException | CartException e) { } }")
+              .otherwise("public void test2() { x(); }"))
+    assert_pred = F.when(r % 3 == 0, "assertTrue(x)").when(r % 3 == 1, "  ").otherwise("")
+    return t.select(
+        "row_idx", "project", "bug_num", "test_name",
+        F.regexp_replace("trace", r"^-+", "").alias("buggy_test_trace"),
+        focal.alias("focal_method"), doc.alias("docstring"), prefix.alias("test_prefix"),
+        (r % 2).cast("int").alias("except_pred"), assert_pred.alias("assert_pred"))
+
+
 # SQL text of the same views for DuckDB (array index base 1 there).
 VIEW_SQL = {
     "cases": """
@@ -148,11 +167,24 @@ SELECT vec_id AS row_idx, vec_id % 200 AS idx, CAST(floor(vec_id / 200) AS BIGIN
        label % 2 AS truth,
        CAST(floor(abs(CAST(embedding[3] AS DOUBLE)) * 500) AS INTEGER) AS truncation
 FROM embeddings""",
+    "failed": """
+SELECT row_idx, project, bug_num, test_name, regexp_replace(trace, '^-+', '') AS buggy_test_trace,
+       CASE row_idx % 3 WHEN 0 THEN 'public void close() throws IllegalStateException {'
+         WHEN 1 THEN 'public int size() {' ELSE 'public Cart(int n) {' END AS focal_method,
+       CASE WHEN row_idx % 5 = 0 THEN 'Throws CartException if empty' ELSE '' END AS docstring,
+       CASE row_idx % 4 WHEN 1 THEN 'public void test0() { try { x(); } catch (java.io.IOException e) { } }'
+         WHEN 2 THEN 'public void test1() { try { x(); } catch (IllegalStateException | CartException e) { } }'
+         ELSE 'public void test2() { x(); }' END AS test_prefix,
+       CAST(row_idx % 2 AS INTEGER) AS except_pred,
+       CASE row_idx % 3 WHEN 0 THEN 'assertTrue(x)' WHEN 1 THEN '  ' ELSE '' END AS assert_pred
+FROM traces""",
 }
 
 
 def with_views(sql: str, *names: str, ctes: str | None = None) -> str:
     """Prefix an oracle query with the CTEs of the views it reads (+ extra CTEs)."""
+    if "failed" in names and "traces" not in names:
+        names = ("traces", *names)
     parts = [f"{n} AS ({VIEW_SQL[n]}\n)" for n in names]
     if ctes:
         parts.append(ctes.strip())
