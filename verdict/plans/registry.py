@@ -31,5 +31,6 @@ def load_all() -> None:
     from . import (  # noqa: F401
         candidate_queries,
         trace_queries,
+        cases_queries,
         outcome_queries,
     )
