@@ -32,5 +32,6 @@ def load_all() -> None:
         candidate_queries,
         trace_queries,
         cases_queries,
+        ranking_queries,
         outcome_queries,
     )
