@@ -33,5 +33,6 @@ def load_all() -> None:
         trace_queries,
         cases_queries,
         ranking_queries,
+        similarity_queries,
         outcome_queries,
     )

@@ -10,8 +10,27 @@ TABLES = (
 ).split()
 
 
+# Tables whose rows carry long texts: regex work per row is heavy, so the scan
+# must not run in fewer tasks than there are cores.
+TEXT_TABLES = {"documents", "pages", "conversations", "benchmark"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Parquet scan; Catalyst prunes columns and pushes filters into it."""
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin the rows over the cores when the scan yields too few tasks.
+
+    A large input already has at least one task per core (one per file split),
+    and then this is a no-op; a small file with one row group would otherwise
+    run all text processing in a single task.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
