@@ -80,7 +80,6 @@ def update_only_upsert(base: DataFrame, patch: DataFrame, keys: Sequence[str], o
 def overlay_merge(base: DataFrame, patch: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Patch entries replace same-key base entries and new keys are added."""
     value_cols = [c for c in base.columns if c not in keys]
-    j = base.alias("b").join(patch.alias("p"), list(keys), "full_outer")
     has_p = F.col("_in_p").isNotNull()
     j = base.alias("b").join(patch.withColumn("_in_p", F.lit(True)).alias("p"), list(keys), "full_outer")
     return j.select(*keys, *[F.when(has_p, F.col(f"p.{c}")).otherwise(F.col(f"b.{c}")).alias(c) for c in value_cols],

@@ -34,5 +34,6 @@ def load_all() -> None:
         cases_queries,
         ranking_queries,
         similarity_queries,
+        merge_queries,
         outcome_queries,
     )
