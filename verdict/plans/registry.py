@@ -35,5 +35,6 @@ def load_all() -> None:
         ranking_queries,
         similarity_queries,
         merge_queries,
+        packing_queries,
         outcome_queries,
     )
