@@ -36,5 +36,6 @@ def load_all() -> None:
         similarity_queries,
         merge_queries,
         packing_queries,
+        code_queries,
         outcome_queries,
     )

@@ -130,6 +130,27 @@ def failed(spark: SparkSession, sf_dir: str) -> DataFrame:
         (r % 2).cast("int").alias("except_pred"), assert_pred.alias("assert_pred"))
 
 
+def code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Generated-test-shaped code built around document words: one test and one
+    focal method per document; the oracle form cycles over assertion, try/fail/catch,
+    assertThrows and no oracle."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    w = F.regexp_extract(F.lower("text"), "([a-z]+)", 1)
+    k = (F.col("n_chars") % 10).cast("string")
+    v = F.col("doc_id") % 4
+    var = F.concat(F.lit("s"), (F.col("doc_id") % 7).cast("string"))
+    stmt = F.concat(F.lit("String "), var, F.lit(" = cart."), w, F.lit("("), k, F.lit(");"))
+    tail = (F.when(v == 0, F.concat(F.lit("assertEquals("), k, F.lit(", "), var, F.lit(".length());")))
+            .when(v == 1, F.concat(F.lit("try { cart."), w, F.lit('(); fail("Expecting exception: IllegalStateException"); '
+                                                                   '} catch(IllegalStateException e) { verifyException("pkg.Cart", e); }')))
+            .when(v == 2, F.concat(F.lit("assertThrows(IllegalStateException.class, () -> cart."), w, F.lit("());")))
+            .otherwise(F.concat(F.lit("cart."), w, F.lit("();"))))
+    test = F.concat(F.lit("@Test(timeout = 4000)\n  public void test"), F.lpad((F.col("doc_id") % 100).cast("string"), 2, "0"),
+                    F.lit("()  throws Throwable  {\n      "), stmt, F.lit("\n      "), tail, F.lit("\n  }"))
+    focal = F.concat(F.lit("public String "), w, F.lit("(int n) {\n    return \""), w, F.lit("\";\n  }"))
+    return d.select(F.col("doc_id").alias("row_idx"), test.alias("test"), focal.alias("focal_method"))
+
+
 # SQL text of the same views for DuckDB (array index base 1 there).
 VIEW_SQL = {
     "cases": """
@@ -167,6 +188,23 @@ SELECT vec_id AS row_idx, vec_id % 200 AS idx, CAST(floor(vec_id / 200) AS BIGIN
        label % 2 AS truth,
        CAST(floor(abs(CAST(embedding[3] AS DOUBLE)) * 500) AS INTEGER) AS truncation
 FROM embeddings""",
+    "code": r"""
+SELECT doc_id AS row_idx,
+  concat('@Test(timeout = 4000)' || chr(10) || '  public void test', lpad(CAST(doc_id % 100 AS VARCHAR), 2, '0'),
+         '()  throws Throwable  {' || chr(10) || '      ',
+         concat('String s', CAST(doc_id % 7 AS VARCHAR), ' = cart.', regexp_extract(lower(text), '([a-z]+)', 1), '(',
+                CAST(n_chars % 10 AS VARCHAR), ');'),
+         chr(10) || '      ',
+         CASE doc_id % 4
+           WHEN 0 THEN concat('assertEquals(', CAST(n_chars % 10 AS VARCHAR), ', s', CAST(doc_id % 7 AS VARCHAR), '.length());')
+           WHEN 1 THEN concat('try { cart.', regexp_extract(lower(text), '([a-z]+)', 1),
+                              '(); fail("Expecting exception: IllegalStateException"); } catch(IllegalStateException e) { verifyException("pkg.Cart", e); }')
+           WHEN 2 THEN concat('assertThrows(IllegalStateException.class, () -> cart.', regexp_extract(lower(text), '([a-z]+)', 1), '());')
+           ELSE concat('cart.', regexp_extract(lower(text), '([a-z]+)', 1), '();') END,
+         chr(10) || '  }') AS test,
+  concat('public String ', regexp_extract(lower(text), '([a-z]+)', 1), '(int n) {' || chr(10) || '    return "',
+         regexp_extract(lower(text), '([a-z]+)', 1), '";' || chr(10) || '  }') AS focal_method
+FROM documents""",
     "failed": """
 SELECT row_idx, project, bug_num, test_name, regexp_replace(trace, '^-+', '') AS buggy_test_trace,
        CASE row_idx % 3 WHEN 0 THEN 'public void close() throws IllegalStateException {'
