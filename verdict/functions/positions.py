@@ -20,6 +20,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 
 def _cols(xs: Sequence[Column | str]) -> list[Column]:
     return [F.col(x) if isinstance(x, str) else x for x in xs]
@@ -36,6 +38,11 @@ def group_positions(df: DataFrame, keys: Sequence[str], order: Sequence[Column |
               .sortWithinPartitions(*key_cols, *order_cols)
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_mid", F.monotonically_increasing_id()))
+    # Task ids and in-task offsets are only stable for one execution of the range
+    # exchange; materialise them once (reliable checkpoint in the shared folder) so
+    # that the segment table and the rows always agree, also after a lost executor.
+    ensure_checkpoint_dir(spark)
+    ranged = ranged.checkpoint(eager=True)
     seg = ranged.groupBy("_pid", *keys).agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*keys).orderBy("_pid")  # a group has at most n segments
     seg = seg.withColumn("_off", F.sum("_n").over(w) - F.col("_n")).drop("_n")
