@@ -119,3 +119,42 @@ def render_test(spark, sf_dir):
     naive = CT.render_test("test", "except_pred", "assert_pred", "naive")
     return r.select("row_idx", F.md5(learned).alias("learned_md5"), F.length(learned).alias("learned_len"),
                     F.md5(naive).alias("naive_md5"))
+
+
+_MSG_SQL = r"""
+msgs AS (
+  SELECT event_id,
+         CASE event_type
+           WHEN 'error' THEN concat('/w/gen/x/y/pkg/C', CAST(user_id % 9 AS VARCHAR), '_ESTest.java:',
+                                    CAST(CAST(floor(value) AS BIGINT) % 50 + 1 AS VARCHAR), ': error: cannot find symbol',
+                                    chr(10), chr(10), '  symbol: x')
+           WHEN 'click' THEN concat('/w/gen/x/y/pkg/C', CAST(user_id % 9 AS VARCHAR), '_ESTest.java:3: warning: unchecked')
+           ELSE concat('compiling C', CAST(user_id % 9 AS VARCHAR), '_ESTest.java failed') END AS error_msg
+  FROM events),
+ls AS (SELECT event_id, unnest(regexp_split_to_array(error_msg, '\n+')) AS l FROM msgs)"""
+
+
+@register("compile_errors", with_views(r"""
+SELECT event_id,
+       CASE WHEN regexp_matches(l, '^.*?(\S*_ESTest\.java):(\d+):\s+error:.*')
+            THEN array_to_string(string_split(regexp_extract(l, '^.*?(\S*_ESTest\.java):(\d+):\s+error:.*', 1), '/')[5:], '/')
+       END AS file,
+       CASE WHEN regexp_matches(l, '^.*?(\S*_ESTest\.java):(\d+):\s+error:.*')
+            THEN CAST(regexp_extract(l, '^.*?(\S*_ESTest\.java):(\d+):\s+error:.*', 2) AS INTEGER) END AS line_no,
+       CASE WHEN regexp_matches(l, '^.*?(\S*_ESTest\.java):(\d+):\s+error:.*') THEN 'error'
+            WHEN regexp_matches(l, '^.*?(\S*_ESTest\.java):(\d+):\s+warning:.*') THEN 'warning'
+            ELSE 'unparsed' END AS status
+FROM ls WHERE contains(l, '_ESTest.java')""", ctes=_MSG_SQL))
+def compile_errors(spark, sf_dir):
+    """(file, line) of compiler error lines; warnings ignored, the rest unparsed."""
+    from ..operators import lines as L
+    ev = table(spark, sf_dir, "events")
+    k = (F.col("user_id") % 9).cast("string")
+    msg = (F.when(F.col("event_type") == "error",
+                  F.concat(F.lit("/w/gen/x/y/pkg/C"), k, F.lit("_ESTest.java:"),
+                           (F.floor("value").cast("long") % 50 + 1).cast("string"),
+                           F.lit(": error: cannot find symbol\n\n  symbol: x")))
+           .when(F.col("event_type") == "click",
+                 F.concat(F.lit("/w/gen/x/y/pkg/C"), k, F.lit("_ESTest.java:3: warning: unchecked")))
+           .otherwise(F.concat(F.lit("compiling C"), k, F.lit("_ESTest.java failed"))))
+    return L.compile_error_lines(ev.select("event_id", msg.alias("error_msg")), ["event_id"], "error_msg")

@@ -37,5 +37,7 @@ def load_all() -> None:
         merge_queries,
         packing_queries,
         code_queries,
+        lookup_queries,
+        extract_queries,
         outcome_queries,
     )

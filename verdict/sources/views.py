@@ -151,6 +151,24 @@ def code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("doc_id").alias("row_idx"), test.alias("test"), focal.alias("focal_method"))
 
 
+def test_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test-class files around document words: package, imports (some after the
+    @RunWith line), class header and one test case."""
+    c = code(spark, sf_dir)
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_idx"), "source", "text")
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)
+    imports = F.transform(F.slice(words, 1, 4), lambda w: F.concat(F.lit("import pkg."), w, F.lit(";")))
+    cls = F.concat(F.lit("C"), (F.col("row_idx") % 9).cast("string"))
+    body = F.concat_ws("\n", F.concat(F.lit("package pkg."), F.col("source"), F.lit(";")), F.lit(""),
+                       F.array_join(imports, "\n"), F.lit("import org.junit.Test;"),
+                       F.lit("@RunWith(EvoRunner.class)"),
+                       F.concat(F.lit("import late."), F.coalesce(F.get(words, 4), F.lit("x")), F.lit(";")),
+                       F.concat(F.lit("public class "), cls, F.lit("_ESTest {")), F.col("test"), F.lit("}"))
+    return d.join(c, "row_idx").select("row_idx", F.col("source").alias("project"),
+                                       F.concat(F.lit("pkg."), F.col("source")).alias("package"),
+                                       cls.alias("class_name"), "test", body.alias("file_text"))
+
+
 # SQL text of the same views for DuckDB (array index base 1 there).
 VIEW_SQL = {
     "cases": """
@@ -205,6 +223,16 @@ SELECT doc_id AS row_idx,
   concat('public String ', regexp_extract(lower(text), '([a-z]+)', 1), '(int n) {' || chr(10) || '    return "',
          regexp_extract(lower(text), '([a-z]+)', 1), '";' || chr(10) || '  }') AS focal_method
 FROM documents""",
+    "test_files": r"""
+SELECT d.doc_id AS row_idx, d.source AS project, 'pkg.' || d.source AS package,
+       'C' || CAST(d.doc_id % 9 AS VARCHAR) AS class_name, c.test,
+       concat_ws(chr(10), 'package pkg.' || d.source || ';', '',
+                 array_to_string(list_transform(regexp_extract_all(lower(d.text), '[a-z]+')[1:4],
+                                                lambda w: 'import pkg.' || w || ';'), chr(10)),
+                 'import org.junit.Test;', '@RunWith(EvoRunner.class)',
+                 'import late.' || coalesce(regexp_extract_all(lower(d.text), '[a-z]+')[5], 'x') || ';',
+                 'public class C' || CAST(d.doc_id % 9 AS VARCHAR) || '_ESTest {', c.test, '}') AS file_text
+FROM documents d JOIN code c ON c.row_idx = d.doc_id""",
     "failed": """
 SELECT row_idx, project, bug_num, test_name, regexp_replace(trace, '^-+', '') AS buggy_test_trace,
        CASE row_idx % 3 WHEN 0 THEN 'public void close() throws IllegalStateException {'
@@ -223,6 +251,8 @@ def with_views(sql: str, *names: str, ctes: str | None = None) -> str:
     """Prefix an oracle query with the CTEs of the views it reads (+ extra CTEs)."""
     if "failed" in names and "traces" not in names:
         names = ("traces", *names)
+    if "test_files" in names and "code" not in names:
+        names = ("code", *names)
     parts = [f"{n} AS ({VIEW_SQL[n]}\n)" for n in names]
     if ctes:
         parts.append(ctes.strip())
