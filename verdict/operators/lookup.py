@@ -69,7 +69,9 @@ def first_match(names: DataFrame, classes: DataFrame, decls: DataFrame, id_col:
     n1 = names.groupBy(id_col, "name").agg(F.min("name_pos").alias("name_pos"))
     d1 = decls.groupBy("class", "name").agg(
         F.min_by(F.struct("kind_order", "decl_pos", "text"), F.struct("kind_order", "decl_pos")).alias("_d"))
-    cand = n1.join(classes, id_col).join(d1, ["class", "name"])
+    # both sides grow with the data (and the planner underestimates exploded names):
+    # keep this one a shuffle join; the declaration side is left to AQE
+    cand = n1.join(classes.hint("merge"), id_col).join(d1, ["class", "name"])
     key = F.struct("name_pos", "depth", F.col("_d.kind_order"), F.col("_d.decl_pos"))
     best = cand.groupBy(id_col).agg(F.min_by(F.struct("class", "name", "name_pos", "depth", F.col("_d.text")
                                                       .alias("text")), key).alias("_b"))

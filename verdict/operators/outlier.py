@@ -46,57 +46,85 @@ def avg_path_length(n: np.ndarray | float) -> np.ndarray:
     return out
 
 
-def _grow_tree(x: np.ndarray, seed: int) -> list[tuple]:
-    """One isolation tree on the sample ``x``: rows (node, feature, split, left, right, size, depth)."""
-    psi = len(x)
-    limit = max(1, math.ceil(math.log2(max(psi, 2))))
+def grow_forest(x: np.ndarray, tree: np.ndarray, seed: int) -> dict[str, np.ndarray]:
+    """Grow every tree of one (group, seed) at once, level by level (no per-node Python).
+
+    ``x``: the sample rows of all trees, ``tree``: tree id per row, sorted. At each
+    level the rows of the open nodes lie contiguously; segment min/max come from
+    ``reduceat``, each node draws a random non-constant feature and a uniform split
+    in its range, and one stable sort partitions all rows into the children.
+    Node ids are breadth-first over the whole forest.
+    """
     rng = np.random.default_rng(seed & 0xFFFFFFFFFFFFFFFF)
-    out: list = []
-    stack = [(np.arange(psi), 0, -1, 0)]  # (rows, depth, parent, side)
-    while stack:
-        idx, depth, parent, side = stack.pop()
-        node = len(out)
-        if parent >= 0:
-            p = out[parent]
-            out[parent] = (p[0], p[1], p[2], node if side == 0 else p[3], node if side == 1 else p[4], p[5], p[6])
-        if depth >= limit or len(idx) <= 1:
-            out.append((node, -1, 0.0, -1, -1, len(idx), depth))
-            continue
-        sub = x[idx]
-        lo, hi = sub.min(axis=0), sub.max(axis=0)
-        cand = np.flatnonzero(hi > lo)
-        if len(cand) == 0:
-            out.append((node, -1, 0.0, -1, -1, len(idx), depth))
-            continue
-        q = int(cand[rng.integers(len(cand))])
-        split = float(rng.uniform(lo[q], hi[q]))
-        out.append((node, q, split, -1, -1, len(idx), depth))
-        go_left = sub[:, q] < split
-        stack.append((idx[~go_left], depth + 1, node, 1))
-        stack.append((idx[go_left], depth + 1, node, 0))
-    return out
+    m = len(x)
+    rows = np.arange(m)
+    seg_start = np.concatenate([[0], np.flatnonzero(np.diff(tree)) + 1]).astype(np.int64)
+    seg_size = np.diff(np.concatenate([seg_start, [m]])).astype(np.int64)
+    node = np.arange(len(seg_start), dtype=np.int64)
+    depth = np.zeros(len(node), np.int64)
+    limit = np.maximum(1, np.ceil(np.log2(np.maximum(seg_size, 2)))).astype(np.int64)
+    tr = tree[seg_start].astype(np.int64)
+    psi = seg_size.copy()
+    next_id = len(node)
+    out: dict[str, list] = {k: [] for k in ("node", "feature", "split", "left", "right", "size", "depth",
+                                            "tree", "psi")}
+
+    def emit(nd, ft, sp, lf, rt, sz, dp, t, ps):
+        for k, v in zip(out, (nd, ft, sp, lf, rt, sz, dp, t, ps)):
+            out[k].append(np.asarray(v))
+
+    while len(node):
+        n = len(node)
+        xr = x[rows]
+        lo = np.minimum.reduceat(xr, seg_start, axis=0)
+        hi = np.maximum.reduceat(xr, seg_start, axis=0)
+        can = (depth < limit) & (seg_size > 1)
+        cand = (hi > lo) & can[:, None]
+        n_c = cand.sum(axis=1)
+        inner = n_c > 0
+        u1, u2 = rng.random(n), rng.random(n)
+        pick = np.minimum((u1 * n_c).astype(np.int64), np.maximum(n_c - 1, 0))
+        q = np.argmax(np.cumsum(cand, axis=1) > pick[:, None], axis=1)
+        ar = np.arange(n)
+        split = np.where(inner, lo[ar, q] + u2 * (hi[ar, q] - lo[ar, q]), 0.0)
+        feat = np.where(inner, q, -1).astype(np.int64)
+        k = np.cumsum(inner) - 1
+        left = np.where(inner, next_id + 2 * k, -1)
+        right = np.where(inner, next_id + 2 * k + 1, -1)
+        emit(node, feat, split, left, right, seg_size, depth, tr, psi)
+        n_inner = int(inner.sum())
+        if not n_inner:
+            break
+        seg_of_row = np.repeat(ar, seg_size)
+        keep = inner[seg_of_row]
+        r, sg = rows[keep], seg_of_row[keep]
+        go_right = ~(x[r, feat[sg]] < split[sg])
+        child = 2 * k[sg] + go_right
+        order = np.argsort(child, kind="stable")
+        rows = r[order]
+        c_size = np.bincount(child, minlength=2 * n_inner).astype(np.int64)
+        parent = np.repeat(np.flatnonzero(inner), 2)
+        c_id = next_id + np.arange(2 * n_inner, dtype=np.int64)
+        next_id += 2 * n_inner
+        empty = c_size == 0
+        if empty.any():  # an empty side is a leaf of size 0
+            emit(c_id[empty], np.full(empty.sum(), -1), np.zeros(empty.sum()), np.full(empty.sum(), -1),
+                 np.full(empty.sum(), -1), np.zeros(empty.sum(), np.int64), depth[parent][empty] + 1,
+                 tr[parent][empty], psi[parent][empty])
+        live = ~empty
+        node, seg_size = c_id[live], c_size[live]
+        seg_start = np.concatenate([[0], np.cumsum(seg_size)[:-1]]).astype(np.int64)
+        depth, limit = depth[parent][live] + 1, limit[parent][live]
+        tr, psi = tr[parent][live], psi[parent][live]
+    return {k: np.concatenate(v) for k, v in out.items()}
 
 
 def _grow(features: Sequence[str]):
     def grow_all(pdf: pd.DataFrame) -> pd.DataFrame:
         """All trees of one (group, seed): at most n_trees x psi rows in, node rows out."""
-        pdf = pdf.sort_values("tree", kind="stable")
+        pdf = pdf.sort_values(["tree", "_pos"], kind="stable")
         x = pdf[list(features)].to_numpy(dtype=float)
-        trees = pdf["tree"].to_numpy()
-        seeds = pdf["_tree_seed"].to_numpy()
-        cuts = np.flatnonzero(np.diff(trees)) + 1
-        starts = np.concatenate([[0], cuts])
-        ends = np.concatenate([cuts, [len(trees)]])
-        cols: dict[str, list] = {k: [] for k in ("node", "feature", "split", "left", "right", "size", "depth",
-                                                 "tree", "psi")}
-        for s0, e0 in zip(starts, ends):
-            rows = _grow_tree(x[s0:e0], int(seeds[s0]))
-            for r in rows:
-                for k, v in zip(("node", "feature", "split", "left", "right", "size", "depth"), r):
-                    cols[k].append(v)
-            cols["tree"].extend([int(trees[s0])] * len(rows))
-            cols["psi"].extend([int(e0 - s0)] * len(rows))
-        out = pd.DataFrame(cols)
+        out = pd.DataFrame(grow_forest(x, pdf["tree"].to_numpy(), int(pdf["_tree_seed"].iloc[0])))
         out["_g"] = pdf["_g"].iloc[0]
         out["seed"] = int(pdf["seed"].iloc[0])
         return out
@@ -111,12 +139,15 @@ def _score(features: Sequence[str], id_col: str):
         x = rows[list(features)].to_numpy(dtype=float)
         total = np.zeros(len(x))
         n_trees = 0
-        for _, t in nodes.groupby("tree", sort=True):
-            t = t.sort_values("node")
-            feat, split = t["feature"].to_numpy(), t["split"].to_numpy()
-            left, right = t["left"].to_numpy(), t["right"].to_numpy()
-            size, depth = t["size"].to_numpy(), t["depth"].to_numpy()
-            at = np.zeros(len(x), dtype=int)
+        t = nodes.sort_values("node")
+        ids = t["node"].to_numpy()
+        feat, split = t["feature"].to_numpy(), t["split"].to_numpy()
+        left, right = t["left"].to_numpy(), t["right"].to_numpy()
+        size, depth = t["size"].to_numpy(), t["depth"].to_numpy()
+        roots = t.loc[t["depth"] == 0].sort_values("tree")["node"].to_numpy()
+        assert (ids == np.arange(len(ids))).all(), "node ids must be dense"
+        for root in roots:
+            at = np.full(len(x), root, dtype=np.int64)
             while True:
                 inner = feat[at] >= 0
                 if not inner.any():
@@ -169,11 +200,11 @@ def isolation_scores(df: DataFrame, group: Sequence[str], id_col: str, features:
     draws = draws.select("_g", "seed", "tree", "_h", F.pmod(
         F.pmod(F.col("_a") * F.pmod(F.col("_k") + F.col("_c"), F.col("_n")), F.col("_n")) + F.col("_b"),
         F.col("_n")).alias("_pos"))
-    sample = draws.join(positioned.select("_g", "_pos", *features), ["_g", "_pos"])
+    sample = draws.join(positioned.select("_g", "_pos", *features), ["_g", "_pos"])  # _pos kept for order
     sample = sample.withColumnRenamed("_h", "_tree_seed")
     node_schema = ("node long, feature long, split double, left long, right long, size long, depth long, "
                    "_g string, seed int, tree int, psi long")
-    nodes = sample.select("_g", "seed", "tree", "_tree_seed", *features).groupBy("_g", "seed").applyInPandas(
+    nodes = sample.select("_g", "seed", "tree", "_pos", "_tree_seed", *features).groupBy("_g", "seed").applyInPandas(
         _grow(features), node_schema)
     # salt rows into buckets of bounded size; replicate the (small) node table per bucket
     n_buckets = F.greatest(F.lit(1), F.ceil(F.col("_n") / rows_per_bucket)).cast("int")
@@ -184,7 +215,7 @@ def isolation_scores(df: DataFrame, group: Sequence[str], id_col: str, features:
     scored = rows.select("_g", "seed", "_b", id_col, *features).groupBy("_g", "seed", "_b").cogroup(
         nodes_b.groupBy("_g", "seed", "_b")).applyInPandas(
         _score(features, id_col), f"{id_col} long, _g string, seed int, mean_path double")
-    psi_tab = nodes.groupBy("_g").agg(F.max("psi").alias("_psi"))
+    psi_tab = sizes.select("_g", F.least(F.col("_n"), F.lit(max_samples)).alias("_psi"))
     out = scored.join(psi_tab, "_g").join(base.select("_g", id_col, *group), ["_g", id_col])
     c_psi = F.when(F.col("_psi") > 2, 2.0 * (F.log(F.col("_psi") - 1.0) + EULER) - 2.0 * (F.col("_psi") - 1.0)
                    / F.col("_psi")).when(F.col("_psi") == 2, 1.0).otherwise(1.0)

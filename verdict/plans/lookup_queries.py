@@ -85,8 +85,10 @@ def first_match_lookup(spark, sf_dir):
     by (last call first, own class before superclass, constructors before methods);
     no match -> ''."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)
-    names = docs.select("doc_id", F.posexplode(words).alias("_p", "name"), F.size(words).alias("_n")).select(
+    # tokenise once into a column: an expression repeated after the explode would
+    # re-run the regex over the whole text for every exploded word
+    words = docs.select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0).alias("_ws"))
+    names = words.select("doc_id", F.posexplode("_ws").alias("_p", "name"), F.size("_ws").alias("_n")).select(
         "doc_id", "name", (F.col("_n") - 1 - F.col("_p")).alias("name_pos"))
     sup = F.concat(F.lit("src"), ((F.substring("source", 4, 10).cast("int") + 1) % 20).cast("string"))
     classes = docs.select("doc_id", F.col("source").alias("class"), F.lit(0).alias("depth")).unionByName(
