@@ -7,11 +7,11 @@ MLlib has no isolation forest, so it is built from Spark stages:
    (a * (k + c) + b) mod n, k < psi, with a prime multiplier a and offsets
    b, c hashed from (group, seed, tree). The draw table is bounded by
    groups x seeds x trees x psi, whatever the group sizes.
-2. grow: ``groupBy(group, seed, tree).applyInPandas`` on <= psi rows emits the
-   node table (random feature, uniform split, depth limit ceil(log2 psi)).
-3. score: rows are salted into buckets of bounded size, the node table of
-   their (group, seed) is replicated per bucket, and ``cogroup.applyInPandas``
-   walks every tree with NumPy; mean path length -> 2 ** (-E[h] / c(psi)).
+2. grow + score in one ``cogroup.applyInPandas`` per (group, seed[, bucket]):
+   the forest (random feature, uniform split, depth limit ceil(log2 psi)) is
+   grown level by level with NumPy, then every row walks all trees; mean path
+   length -> 2 ** (-E[h] / c(psi)). Small groups ship only per-tree sampling
+   parameters; large groups ship their sample, replicated per row bucket.
 4. rank: ascending mean path length (most isolated first), ties by id.
 
 A group of any size is therefore handled by bounded tasks.
@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.positions import group_positions
+from ..session import cut_lineage
 
 # Library defaults of the isolation forest.
 N_TREES = 100
@@ -119,51 +120,6 @@ def grow_forest(x: np.ndarray, tree: np.ndarray, seed: int) -> dict[str, np.ndar
     return {k: np.concatenate(v) for k, v in out.items()}
 
 
-def _grow(features: Sequence[str]):
-    def grow_all(pdf: pd.DataFrame) -> pd.DataFrame:
-        """All trees of one (group, seed): at most n_trees x psi rows in, node rows out."""
-        pdf = pdf.sort_values(["tree", "_pos"], kind="stable")
-        x = pdf[list(features)].to_numpy(dtype=float)
-        out = pd.DataFrame(grow_forest(x, pdf["tree"].to_numpy(), int(pdf["_tree_seed"].iloc[0])))
-        out["_g"] = pdf["_g"].iloc[0]
-        out["seed"] = int(pdf["seed"].iloc[0])
-        return out
-
-    return grow_all
-
-
-def _score(features: Sequence[str], id_col: str):
-    def score(rows: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
-        if rows.empty:
-            return pd.DataFrame({id_col: [], "_g": [], "seed": [], "mean_path": []})
-        x = rows[list(features)].to_numpy(dtype=float)
-        total = np.zeros(len(x))
-        n_trees = 0
-        t = nodes.sort_values("node")
-        ids = t["node"].to_numpy()
-        feat, split = t["feature"].to_numpy(), t["split"].to_numpy()
-        left, right = t["left"].to_numpy(), t["right"].to_numpy()
-        size, depth = t["size"].to_numpy(), t["depth"].to_numpy()
-        roots = t.loc[t["depth"] == 0].sort_values("tree")["node"].to_numpy()
-        assert (ids == np.arange(len(ids))).all(), "node ids must be dense"
-        for root in roots:
-            at = np.full(len(x), root, dtype=np.int64)
-            while True:
-                inner = feat[at] >= 0
-                if not inner.any():
-                    break
-                rows_i = np.flatnonzero(inner)
-                f = feat[at[rows_i]]
-                go_left = x[rows_i, f] < split[at[rows_i]]
-                at[rows_i] = np.where(go_left, left[at[rows_i]], right[at[rows_i]])
-            total += depth[at] + avg_path_length(size[at])
-            n_trees += 1
-        return pd.DataFrame({id_col: rows[id_col].to_numpy(), "_g": rows["_g"].to_numpy(),
-                             "seed": rows["seed"].to_numpy(), "mean_path": total / max(n_trees, 1)})
-
-    return score
-
-
 def _primes_near(start: int, count: int) -> list[int]:
     out, n = [], start
     while len(out) < count:
@@ -179,46 +135,136 @@ def _primes_near(start: int, count: int) -> list[int]:
 _MULTIPLIERS = _primes_near(1_000_000_007, 32)
 
 
+def _score_rows(x: np.ndarray, nodes: dict[str, np.ndarray]) -> np.ndarray:
+    """Mean path length of every row of ``x`` over all trees in ``nodes``
+    (all (row, tree) walks advance together, one step per tree level)."""
+    order = np.argsort(nodes["node"])
+    feat, split, left, right, size, depth = (nodes[k][order] for k in
+                                             ("feature", "split", "left", "right", "size", "depth"))
+    roots = nodes["node"][nodes["depth"] == 0]
+    n = len(x)
+    at = np.repeat(roots.astype(np.int64), n)          # walk (tree t, row i) at t * n + i
+    row = np.tile(np.arange(n), len(roots))
+    active = np.flatnonzero(feat[at] >= 0)
+    while len(active):
+        cur = at[active]
+        go_left = x[row[active], feat[cur]] < split[cur]
+        at[active] = np.where(go_left, left[cur], right[cur])
+        active = active[feat[at[active]] >= 0]
+    h = depth[at] + avg_path_length(size[at])
+    return h.reshape(len(roots), n).mean(axis=0) if len(roots) else np.zeros(n)
+
+
+def _sample_positions(params: pd.DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(tree id per draw, position per draw) of all trees: (a * ((k + c) mod n) + b) mod n."""
+    trees, pos = [], []
+    for t, a, b, c, psi in params[["tree", "_a", "_b", "_c", "_psi"]].itertuples(index=False):
+        k = np.arange(int(psi), dtype=np.int64)
+        pos.append((np.int64(a) * ((k + int(c)) % n) % n + int(b)) % n)
+        trees.append(np.full(int(psi), int(t), dtype=np.int64))
+    return np.concatenate(trees), np.concatenate(pos)
+
+
+def _forest_in_group(features: Sequence[str], id_col: str):
+    """Small groups: all rows of the group are in the call; for every seed draw the
+    samples by position, grow the forest and score the rows."""
+    def run(rows: pd.DataFrame, params: pd.DataFrame) -> pd.DataFrame:
+        if rows.empty:
+            return pd.DataFrame({id_col: [], "_g": [], "seed": [], "mean_path": []})
+        rows = rows.sort_values("_pos")
+        x = rows[list(features)].to_numpy(dtype=float)
+        ids = rows[id_col].to_numpy()
+        parts = []
+        for seed, p in params.groupby("seed", sort=True):
+            p = p.sort_values("tree")
+            tree, pos = _sample_positions(p, len(x))
+            nodes = grow_forest(x[pos], tree, int(p["_forest_seed"].iloc[0]))
+            parts.append(pd.DataFrame({id_col: ids, "seed": int(seed), "mean_path": _score_rows(x, nodes)}))
+        out = pd.concat(parts, ignore_index=True)
+        out["_g"] = rows["_g"].iloc[0]
+        return out[[id_col, "_g", "seed", "mean_path"]]
+    return run
+
+
+def _forest_from_sample(features: Sequence[str], id_col: str):
+    """Large groups: the bucket's rows plus the shipped sample of (group, seed)."""
+    def run(rows: pd.DataFrame, sample: pd.DataFrame) -> pd.DataFrame:
+        if rows.empty or sample.empty:
+            return pd.DataFrame({id_col: [], "_g": [], "seed": [], "mean_path": []})
+        sample = sample.sort_values(["tree", "_k"], kind="stable")
+        nodes = grow_forest(sample[list(features)].to_numpy(dtype=float), sample["tree"].to_numpy(),
+                            int(sample["_forest_seed"].iloc[0]))
+        x = rows[list(features)].to_numpy(dtype=float)
+        return pd.DataFrame({id_col: rows[id_col].to_numpy(), "_g": rows["_g"].to_numpy(),
+                             "seed": rows["seed"].to_numpy(), "mean_path": _score_rows(x, nodes)})
+    return run
+
+
 def isolation_scores(df: DataFrame, group: Sequence[str], id_col: str, features: Sequence[str],
                      seeds: Sequence[int] = tuple(range(10)), n_trees: int = N_TREES,
                      max_samples: int = MAX_SAMPLES, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """(group..., id, seed, mean_path, score) for every row and seed."""
+    """(group..., id, seed, mean_path, score) for every row and seed.
+
+    Groups up to ``rows_per_bucket`` rows: one call per (group, seed) holds the
+    group's rows and the per-tree sampling parameters (no sample is shipped).
+    Larger groups: rows are salted into buckets of that size, and the sample rows
+    of (group, seed) -- at most n_trees x psi -- are joined out and replicated per
+    bucket; every call regrows the same forest (same seed) and scores its bucket.
+    """
     base = df.select(*group, id_col, *[F.col(f).cast("double").alias(f) for f in features])
     base = base.withColumn("_g", F.to_json(F.struct(*group)))
+    # the feature table is read four times below: materialise it once (reliable checkpoint)
+    base = cut_lineage(base)
     positioned = group_positions(base, ["_g"], [id_col], pos_col="_pos")
-    sizes = base.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
-    # one row per (group, seed, tree, k < psi): sample positions, bounded by psi
+    # a fresh attribute for the key keeps the two cogroup sides unambiguous
+    sizes = base.groupBy(F.col("_g").alias("_g")).agg(F.count(F.lit(1)).alias("_n"))
     seed_arr = F.array(*[F.lit(int(s)) for s in seeds])
-    draws = (sizes.withColumn("seed", F.explode(seed_arr))
-             .withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))))
-             .withColumn("_h", F.xxhash64("_g", "seed", "tree")))
+    params = (sizes.withColumn("seed", F.explode(seed_arr))
+              .withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))))
+              .withColumn("_h", F.xxhash64("_g", "seed", "tree")))
     mult = F.element_at(F.array(*[F.lit(m).cast("long") for m in _MULTIPLIERS]),
                         (F.pmod(F.col("_h"), F.lit(len(_MULTIPLIERS))) + 1).cast("int"))
-    draws = draws.withColumns({"_a": mult, "_b": F.pmod(F.shiftright("_h", 8), F.col("_n")),
-                               "_c": F.pmod(F.shiftright("_h", 24), F.col("_n"))})
-    draws = draws.withColumn("_k", F.explode(F.sequence(F.lit(0), F.least(F.col("_n"), F.lit(max_samples)) - 1)))
-    draws = draws.select("_g", "seed", "tree", "_h", F.pmod(
+    params = params.select("_g", "seed", "tree", "_n", mult.alias("_a"),
+                           F.pmod(F.shiftright("_h", 8), F.col("_n")).alias("_b"),
+                           F.pmod(F.shiftright("_h", 24), F.col("_n")).alias("_c"),
+                           F.least(F.col("_n"), F.lit(max_samples)).alias("_psi"),
+                           F.xxhash64("_g", "seed").alias("_forest_seed"))
+    out_schema = f"{id_col} long, _g string, seed int, mean_path double"
+    small = params.filter(F.col("_n") <= rows_per_bucket)
+    large = params.filter(F.col("_n") > rows_per_bucket)
+
+    # small groups: one call per group (all seeds), rows cogrouped with the tree parameters
+    rows_s = positioned.join(sizes.filter(F.col("_n") <= rows_per_bucket).select("_g"), "_g", "left_semi")
+    rows_s = rows_s.select("_g", id_col, "_pos", *features)
+    # The Python stage is CPU-heavy on little data: an explicit repartition keeps one
+    # task per shuffle partition (AQE would coalesce it into a few tasks by bytes).
+    n_part = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows_s, small = rows_s.repartition(n_part, "_g"), small.repartition(n_part, "_g")
+    scored_s = rows_s.groupBy("_g").cogroup(small.groupBy("_g")).applyInPandas(
+        _forest_in_group(features, id_col), out_schema)
+
+    # large groups: shipped samples, replicated per bucket of rows
+    draws = large.withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_psi") - 1)))
+    draws = draws.select("_g", "seed", "tree", "_k", "_forest_seed", F.pmod(
         F.pmod(F.col("_a") * F.pmod(F.col("_k") + F.col("_c"), F.col("_n")), F.col("_n")) + F.col("_b"),
         F.col("_n")).alias("_pos"))
-    sample = draws.join(positioned.select("_g", "_pos", *features), ["_g", "_pos"])  # _pos kept for order
-    sample = sample.withColumnRenamed("_h", "_tree_seed")
-    node_schema = ("node long, feature long, split double, left long, right long, size long, depth long, "
-                   "_g string, seed int, tree int, psi long")
-    nodes = sample.select("_g", "seed", "tree", "_pos", "_tree_seed", *features).groupBy("_g", "seed").applyInPandas(
-        _grow(features), node_schema)
-    # salt rows into buckets of bounded size; replicate the (small) node table per bucket
-    n_buckets = F.greatest(F.lit(1), F.ceil(F.col("_n") / rows_per_bucket)).cast("int")
-    rows = base.join(sizes, "_g").withColumn("seed", F.explode(seed_arr)).withColumn(
+    sample = draws.join(positioned.select("_g", "_pos", *features), ["_g", "_pos"])
+    big = sizes.filter(F.col("_n") > rows_per_bucket)
+    n_buckets = F.ceil(F.col("_n") / rows_per_bucket).cast("int")
+    buckets = big.select("_g", F.explode(F.sequence(F.lit(0), n_buckets - 1)).alias("_b"))
+    sample_b = sample.join(buckets, "_g")
+    rows_l = positioned.join(big, "_g").withColumn("seed", F.explode(seed_arr)).withColumn(
         "_b", F.pmod(F.xxhash64(id_col), n_buckets.cast("long")).cast("int"))
-    buckets = sizes.select("_g", F.explode(F.sequence(F.lit(0), n_buckets - 1)).alias("_b"))
-    nodes_b = nodes.join(buckets, "_g")
-    scored = rows.select("_g", "seed", "_b", id_col, *features).groupBy("_g", "seed", "_b").cogroup(
-        nodes_b.groupBy("_g", "seed", "_b")).applyInPandas(
-        _score(features, id_col), f"{id_col} long, _g string, seed int, mean_path double")
+    rows_l = rows_l.select("_g", "seed", "_b", id_col, *features).repartition(n_part, "_g", "seed", "_b")
+    sample_b = sample_b.repartition(n_part, "_g", "seed", "_b")
+    scored_l = rows_l.groupBy("_g", "seed", "_b").cogroup(
+        sample_b.groupBy("_g", "seed", "_b")).applyInPandas(_forest_from_sample(features, id_col), out_schema)
+
+    scored = scored_s.unionByName(scored_l)
     psi_tab = sizes.select("_g", F.least(F.col("_n"), F.lit(max_samples)).alias("_psi"))
     out = scored.join(psi_tab, "_g").join(base.select("_g", id_col, *group), ["_g", id_col])
     c_psi = F.when(F.col("_psi") > 2, 2.0 * (F.log(F.col("_psi") - 1.0) + EULER) - 2.0 * (F.col("_psi") - 1.0)
-                   / F.col("_psi")).when(F.col("_psi") == 2, 1.0).otherwise(1.0)
+                   / F.col("_psi")).otherwise(1.0)
     return out.select(*group, id_col, "seed", "mean_path",
                       F.pow(F.lit(2.0), -F.col("mean_path") / c_psi).alias("score"))
 

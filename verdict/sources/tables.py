@@ -10,9 +10,9 @@ TABLES = (
 ).split()
 
 
-# Tables whose rows carry long texts: regex work per row is heavy, so the scan
-# must not run in fewer tasks than there are cores.
-TEXT_TABLES = {"documents", "pages", "conversations", "benchmark"}
+# Tables whose rows feed text and regex work: their scan must not run in fewer
+# tasks than there are cores. Numeric tables go straight into partial aggregates.
+SPREAD_TABLES = {"documents", "pages", "conversations", "benchmark", "events"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,7 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spread(df) if name in TEXT_TABLES else df
+    return spread(df) if name in SPREAD_TABLES else df
 
 
 def spread(df: DataFrame) -> DataFrame:
