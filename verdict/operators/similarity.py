@@ -18,6 +18,8 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 TOKEN_RE = r"(?U)\b\w\w+\b"  # Python-style word tokens (Unicode \w)
 
 
@@ -44,51 +46,63 @@ def _term_counts(docs: DataFrame, keys: Sequence[str], text: str, stop: DataFram
     return ex.groupBy(*keys, "token").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def tfidf_similarity(df: DataFrame, group: Sequence[str], id_col: str, left_doc: str, right_doc: str,
-                     corpus: DataFrame, out: str = "sim", stop_words: Sequence[str] | None = None) -> DataFrame:
-    """Add ``out`` = cosine of the TF-IDF vectors of two corpus documents per row.
+def tfidf_similarity(df: DataFrame, group: Sequence[str], id_col: str,
+                     parts: Sequence[tuple[str, str, bool]], left: str, right: str, out: str = "sim",
+                     stop_words: Sequence[str] | None = None) -> DataFrame:
+    """Add ``out`` = cosine of the TF-IDF vectors of two texts of each row, with the
+    vectorizer fitted per group on a corpus built from the rows.
+
+    ``parts``: (tag, text column, distinct) -- the corpus takes every row's text of
+    that column (``distinct=False``) or each distinct text once per group
+    (``distinct=True``). ``left`` / ``right`` are tags of two parts.
 
-    ``corpus`` has (group..., doc_id, text): the documents the vectorizer is
-    fitted on; ``left_doc`` / ``right_doc`` name the columns of ``df`` holding
-    the doc ids of the two sides. Each text is tokenised once.
+    The texts are read in one pass and tokenised once: a document kept once but
+    present in k rows counts its tokens k times, so the term counts are divided by
+    the number of copies (exact integers). Everything after that is keyed by
+    (group, document, token).
     """
     spark = df.sparkSession
-    stop = stop_word_table(spark, stop_words)
-    ctf = _term_counts(corpus, [*group, "doc_id"], "text", stop)
+    stop = F.broadcast(stop_word_table(spark, stop_words))  # fixed-size word list
+    docs = df.select(*group, id_col, F.explode(F.array(*[
+        F.struct(F.lit(tag).alias("kind"),
+                 F.concat(F.lit(tag + ":"), F.md5(F.col(col)) if distinct else F.col(id_col).cast("string"))
+                 .alias("doc_id"),
+                 F.col(col).alias("text"))
+        for tag, col, distinct in parts])).alias("_d")).select(*group, id_col, "_d.*")
+    copies = docs.groupBy(*group, "doc_id").agg(F.count(F.lit(1)).alias("_copies"))
+    raw = (docs.select(*group, "doc_id", F.explode(tokens("text")).alias("token"))
+           .join(stop, "token", "left_anti").groupBy(*group, "doc_id", "token").agg(F.count(F.lit(1)).alias("_k")))
+    ctf = raw.join(copies, [*group, "doc_id"]).select(
+        *group, "doc_id", "token", (F.col("_k") / F.col("_copies")).cast("long").alias("tf"))
+    # the term counts feed both the document frequencies and the vectors: materialise
+    # them once (reliable checkpoint) so the texts are tokenised a single time
+    ctf = cut_lineage(ctf)
     dfreq = ctf.groupBy(*group, "token").agg(F.count(F.lit(1)).alias("df"))
-    n_docs = corpus.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
+    n_docs = copies.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
     idf = dfreq.join(n_docs, list(group)).select(
         *group, "token", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    w = ctf.join(idf, [*group, "token"]).select(*group, "doc_id", "token", (F.col("tf") * F.col("idf")).alias("w"))
+    # only the two compared kinds need weighted vectors; the rest only feed df
+    needed = F.col("doc_id").startswith(left + ":") | F.col("doc_id").startswith(right + ":")
+    w = ctf.filter(needed).join(idf, [*group, "token"]).select(
+        *group, "doc_id", "token", (F.col("tf") * F.col("idf")).alias("w"))
     norms = w.groupBy(*group, "doc_id").agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("norm"))
     unit = w.join(norms, [*group, "doc_id"]).select(*group, "doc_id", "token",
                                                      (F.col("w") / F.col("norm")).alias("u"))
-    pairs = df.select(*group, id_col, left_doc, right_doc).distinct()
-    a = pairs.join(unit.withColumnRenamed("doc_id", left_doc).withColumnRenamed("u", "_ua"), [*group, left_doc])
-    b = unit.withColumnRenamed("doc_id", right_doc).withColumnRenamed("u", "_ub")
-    dot = a.join(b, [*group, right_doc, "token"]).groupBy(*group, id_col).agg(
+    side = docs.select(*group, id_col, "kind", "doc_id")
+    a = side.filter(F.col("kind") == left).select(*group, id_col, F.col("doc_id").alias("_da"))
+    b = side.filter(F.col("kind") == right).select(*group, id_col, F.col("doc_id").alias("_db"))
+    ua = a.join(unit.withColumnRenamed("doc_id", "_da").withColumnRenamed("u", "_ua"), [*group, "_da"])
+    ub = b.join(unit.withColumnRenamed("doc_id", "_db").withColumnRenamed("u", "_ub"), [*group, "_db"])
+    dot = ua.join(ub, [*group, id_col, "token"]).groupBy(*group, id_col).agg(
         F.round(F.sum(F.col("_ua") * F.col("_ub")), 6).alias(out))
     return df.join(dot, [*group, id_col], "left").fillna(0.0, [out])
 
 
-def feature_corpus(df: DataFrame, group: Sequence[str], id_col: str) -> DataFrame:
-    """Distinct focal methods + distinct docstrings + all prefixes + all tests."""
-    focal = df.select(*group, F.col("focal_method").alias("text")).distinct().withColumn(
-        "doc_id", F.concat(F.lit("f:"), F.md5("text")))
-    docs = df.select(*group, F.col("docstring").alias("text")).distinct().withColumn(
-        "doc_id", F.concat(F.lit("d:"), F.md5("text")))
-    prefixes = df.select(*group, F.col("test_prefix").alias("text"),
-                         F.concat(F.lit("p:"), F.col(id_col).cast("string")).alias("doc_id"))
-    tests = df.select(*group, F.col("generated_test").alias("text"),
-                      F.concat(F.lit("t:"), F.col(id_col).cast("string")).alias("doc_id"))
-    cols = [*group, "doc_id", "text"]
-    return focal.select(cols).unionByName(docs.select(cols)).unionByName(prefixes.select(cols)).unionByName(
-        tests.select(cols))
+# The corpus of the test-docstring similarity feature.
+FEATURE_CORPUS = [("f", "focal_method", True), ("d", "docstring", True), ("p", "test_prefix", False),
+                  ("t", "generated_test", False)]
 
 
 def test_doc_similarity(df: DataFrame, group: Sequence[str], id_col: str, out: str = "test_doc_sim") -> DataFrame:
     """The ``test_doc_sim`` ranking feature: generated test vs docstring."""
-    keyed = df.withColumns({"_test_doc": F.concat(F.lit("t:"), F.col(id_col).cast("string")),
-                            "_doc_doc": F.concat(F.lit("d:"), F.md5("docstring"))})
-    out_df = tfidf_similarity(keyed, group, id_col, "_test_doc", "_doc_doc", feature_corpus(df, group, id_col), out)
-    return out_df.drop("_test_doc", "_doc_doc")
+    return tfidf_similarity(df, group, id_col, FEATURE_CORPUS, "t", "d", out)
