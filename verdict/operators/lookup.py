@@ -85,17 +85,22 @@ def superclass_chain(classes: DataFrame, max_depth: int = 64) -> DataFrame:
     step = (classes.filter(F.col("imported") & F.col("extends").isNotNull())
             .join(exists, F.col("extends") == F.col("_parent"), "left_semi")
             .select("class", F.col("extends").alias("parent")))
-    frontier = step.select("class", F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))
-    out = frontier
-    for level in range(max_depth - 1):
+    step = cut_lineage(step)  # read once per level below
+    frontier = cut_lineage(step.select("class", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")))
+    levels = [frontier]
+    for _ in range(max_depth - 1):
         f, st = frontier.alias("f"), step.alias("s")
         nxt = (f.join(st, F.col("f.ancestor") == F.col("s.class"))
                .select(F.col("f.class").alias("class"), F.col("s.parent").alias("ancestor"),
                        (F.col("f.depth") + 1).alias("depth")))
-        if level % 8 == 7:
-            nxt = cut_lineage(nxt)  # reliable checkpoint keeps the plan short on deep chains
+        # each level is materialised once (reliable checkpoint), so the plan of the
+        # next level and of the final union stays one join deep
+        nxt = cut_lineage(nxt)
         if nxt.limit(1).count() == 0:
             break
-        out = out.unionByName(nxt)
+        levels.append(nxt)
         frontier = nxt
+    out = levels[0]
+    for lv in levels[1:]:
+        out = out.unionByName(lv)
     return out
