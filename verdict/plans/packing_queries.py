@@ -42,17 +42,51 @@ def truncation_stats(spark, sf_dir):
     return P.truncation_stats(t, F.col("trunc_a") + F.col("trunc_b"))
 
 
-@register("truncate_triple")
+_TRIPLE_SQL = r"""
+WITH RECURSIVE base AS (
+  SELECT conv_id, turn, least(len(regexp_extract_all(text_a, '\S+')), 50) AS a,
+         len(regexp_extract_all(text_b, '\S+')) AS b, len(regexp_extract_all(split_part(text_b, '.', 1), '\S+')) AS c
+  FROM pairs),
+t(conv_id, turn, a, b, c, b0, step, excess) AS (
+  SELECT conv_id, turn, a, b, c, b, 0, greatest(a + b + c - 196, 0) FROM base
+  UNION ALL
+  SELECT conv_id, turn,
+         CASE WHEN a > b AND a > c THEN a - 1 ELSE a END,
+         CASE WHEN NOT (a > b AND a > c) AND b > a AND b > c THEN b - 1 ELSE b END,
+         CASE WHEN NOT (a > b AND a > c) AND NOT (b > a AND b > c) THEN greatest(c - 1, 0) ELSE c END,
+         b0, step + 1, excess
+  FROM t WHERE step < excess)
+SELECT conv_id, turn, CAST(a AS INTEGER) AS kept_a, CAST(b AS INTEGER) AS kept_b, CAST(c AS INTEGER) AS kept_c,
+       CAST(b0 - b AS INTEGER) AS truncation
+FROM t WHERE step = excess"""
+
+
+@register("truncate_triple", _TRIPLE_SQL.replace(
+    "WITH RECURSIVE base AS", "WITH RECURSIVE pairs AS (" + V.VIEW_SQL["pairs"] + "\n), base AS", 1))
 def truncate_triple(spark, sf_dir):
     """M6 / M8: (user turn, assistant turn, first assistant sentence) fitted into 200 - 4,
     popping from the strictly longest of a, b, else c; ``truncation`` = tokens cut from b."""
     p = V.pairs(spark, sf_dir).withColumn("text_c", F.substring_index("text_b", ".", 1))
     t = P.truncate_triple(p, "text_a", "text_b", "text_c")
     return t.select("conv_id", "turn", F.size("tokens_a").alias("kept_a"), F.size("tokens_b").alias("kept_b"),
-                    F.size("tokens_c").alias("kept_c"), "truncation")
+                    F.size("tokens_c").alias("kept_c"), F.col("truncation").cast("int").alias("truncation"))
 
 
-@register("pack_sequence")
+@register("pack_sequence", with_views(r"""
+SELECT conv_id, turn, CAST(len(toks) AS INTEGER) AS n_tokens, CAST(n_real AS INTEGER) AS n_real,
+       md5(array_to_string(toks, ' ')) AS tokens_md5, segs AS segments
+FROM (
+  SELECT conv_id, turn,
+         list_concat(['[CLS]'], ta, ['[SEP]'], tb, ['[SEP]'],
+                     list_transform(range(greatest(200 - (len(ta) + len(tb) + 3), 0)), lambda i: '[PAD]')) AS toks,
+         len(ta) + len(tb) + 3 AS n_real,
+         concat('0', repeat('0', len(ta) + 1), repeat('1', len(tb) + 1),
+                repeat('0', greatest(200 - (len(ta) + len(tb) + 3), 0))) AS segs
+  FROM (
+    SELECT c.conv_id, c.turn,
+           regexp_extract_all(p.text_a, '\S+')[1:least(c.len_a, 50) - (c.trunc_a - (c.len_a - least(c.len_a, 50)))] AS ta,
+           regexp_extract_all(p.text_b, '\S+')[1:c.len_b - c.trunc_b] AS tb
+    FROM cuts c JOIN pairs p ON c.conv_id = p.conv_id AND c.turn = p.turn))""", "pairs", ctes=_TRUNC_SQL))
 def pack_sequence(spark, sf_dir):
     """M7 / M9: [CLS] a [SEP] b [SEP] packed and padded to 200 with mask and segment ids."""
     t = P.truncate_pair(V.pairs(spark, sf_dir), "text_a", "text_b")
