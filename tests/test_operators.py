@@ -225,3 +225,21 @@ def test_outcome_flags_and_labels(spark):
     assert out["A::t1"]["buggy_test_trace"].startswith(" A::t1\njunit")  # last block wins
     for r in out.values():
         assert sum([r["TP"], r["FP"], r["TN"], r["FN"]]) == 1
+
+
+def test_expected_type_rules(spark):
+    rows = [
+        (0, "assertTrue(s.isEmpty())", "public int f(int n) {"),            # boolean
+        (1, "assertEquals(3, x)", "public String f() {"),                   # int literal
+        (2, "assertEquals(2.5F, x)", "public String f() {"),                # float literal
+        (3, 'assertEquals("a", x)', "public int f() {"),                    # String literal
+        (4, "assertNotNull(x)", "public Cart(int n) {"),                    # constructor name
+        (5, "assertEquals(y, x)", "protected static List<String> f() {"),  # return type
+        (6, "assertEquals(y, x + 1)", "public int f() {"),                  # not a variable -> dropped
+        (7, "assertSame(y, x)", "public int f() {"),                        # kind not accepted -> dropped
+        (8, "assertEquals(a, b, c)", "public int f() {"),                   # middle arg keeps its blank -> dropped
+    ]
+    df = spark.createDataFrame(rows, "id long, a string, f string")
+    got = {r["id"]: r["t"] for r in df.select("id", CT.expected_type("a", "f").alias("t")).collect()}
+    assert got == {0: "boolean", 1: "int", 2: "float", 3: "String", 4: "Cart", 5: "List<String>",
+                   6: None, 7: None, 8: None}

@@ -60,3 +60,16 @@ def rfind(c: Column | str, needle: str) -> Column:
 def lines_of(c: Column | str) -> Column:
     """Split text on newlines (Python ``str.split('\\n')``)."""
     return F.split(col_(c), "\n", -1)
+
+
+def keep_non_null(df, column: str):
+    """Drop rows whose ``column`` is null without a Filter node.
+
+    A filter on a deeply computed column is pushed below the projections that
+    define it, and Catalyst inlines every intermediate into the predicate (each
+    reference duplicates the whole chain). Exploding a 0/1-element array keeps the
+    computation in its projection and drops the rows after it.
+    """
+    dtype = dict(df.dtypes)[column]
+    one = F.when(F.col(column).isNotNull(), F.array(F.col(column))).otherwise(F.array().cast(f"array<{dtype}>"))
+    return df.withColumn(column, F.explode(one))

@@ -132,16 +132,48 @@ def standardize_header(test: Column | str, focal: Column | str) -> Column:
 def exception_inputs(df: DataFrame, test: str, focal: str) -> DataFrame:
     """Exception-model input rows: label, kind, normalised and standardised test.
     Negative tests that normalise to an empty test, or that still contain
-    ``verifyException``, are dropped (``reason`` says why)."""
-    kind = exception_kind(test)
-    norm = normalize_exception_test(test)
-    out = df.withColumns({"kind": kind, "label": F.when(kind == "none", 0).otherwise(1), "_norm": norm})
-    pruned = prune_pieces(F.replace(F.col("_norm"), F.lit(UNDECLARED_MARK), F.lit("")))
-    std = standardize_header(clean_ws(pruned), focal)
+    ``verifyException``, are dropped (``reason`` says why).
+
+    Intermediate texts are materialised as columns step by step: composing the
+    helpers into one expression would repeat the cleaning regex in every branch.
+    """
+    out = df.withColumn("_t", clean_ws(test))
+    out = out.withColumn("kind", exception_kind_clean("_t"))
+    out = out.withColumn("label", F.when(F.col("kind") == "none", 0).otherwise(1))
+    out = out.withColumn("_norm", normalize_clean(F.col("_t"), F.col("kind")))
+    out = out.withColumn("_pruned", clean_ws(prune_pieces(F.replace(F.col("_norm"), F.lit(UNDECLARED_MARK), F.lit("")))))
+    out = out.withColumn("model_test", standardize_header("_pruned", focal))
     reason = (F.when((F.col("kind") == "none") & F.col("_norm").rlike(EMPTY_TEST_RE), "empty_test")
-              .when((F.col("kind") == "none") & F.contains(clean_ws(test), F.lit("verifyException")), "error")
-              .when(std.isNull(), "error"))
-    return out.withColumns({"reason": reason, "model_test": std}).drop("_norm")
+              .when((F.col("kind") == "none") & F.contains(F.col("_t"), F.lit("verifyException")), "error")
+              .when(F.col("model_test").isNull(), "error"))
+    return out.withColumn("reason", reason).drop("_t", "_norm", "_pruned")
+
+
+def exception_kind_clean(t: Column | str) -> Column:
+    """``exception_kind`` on an already cleaned test."""
+    t = col_(t)
+    return (F.when(F.contains(t, F.lit("assertThrows")), "assertThrows")
+            .when(t.rlike(EXPECTED_RE), "expected")
+            .when(F.contains(t, F.lit("assertThatThrownBy")), "assertThatThrownBy")
+            .when(t.rlike(FAIL_CATCH_RE), "fail_catch")
+            .when(F.contains(t, F.lit("isThrownBy")), "isThrownBy")
+            .otherwise("none"))
+
+
+def normalize_clean(t: Column, kind: Column) -> Column:
+    """``normalize_exception_test`` on an already cleaned test with its kind."""
+    throws = F.concat(_before_first(t, "assertThrows"),
+                      F.regexp_extract(_after_first(t, "assertThrows"), ASSERT_THROWS_BODY_RE, 1),
+                      F.lit("; }\n"))
+    expected = F.replace(t, F.regexp_extract(t, EXPECTED_RE, 1), F.lit(""))
+    that = F.concat(_before_first(t, "assertThatThrownBy"), balanced_block(t, "assertThatThrownBy"), F.lit("; }\n"))
+    m_pos = F.regexp_instr(t, F.lit(FAIL_CATCH_EXTRACT_RE))
+    fail = F.concat(F.substring(t, 1, m_pos - 1), py_strip(F.regexp_extract(t, FAIL_CATCH_EXTRACT_RE, 1)),
+                    F.lit(" }\n"))
+    is_thrown = F.concat(_before_first(t, "isThrownBy"), balanced_block(t, "isThrownBy"), F.lit("; }\n"))
+    return (F.when(kind == "assertThrows", throws).when(kind == "expected", expected)
+            .when(kind == "assertThatThrownBy", that).when(kind == "fail_catch", fail)
+            .when(kind == "isThrownBy", is_thrown).otherwise(normalize_negative(t)))
 
 
 # ---- assertions ------------------------------------------------------------
@@ -247,3 +279,66 @@ def render_test(test: Column | str, except_pred: Column | str, assert_pred: Colu
     return (F.when(col_(except_pred).cast("boolean"), insert_try_catch(prefix))
             .when(F.coalesce(ap, F.lit("")) != "", insert_assertion(prefix, assertion))
             .otherwise(F.concat(prefix, F.lit("\n    }"))))
+
+
+# Assertion kinds accepted by the expected-type rule.
+ASSERT_TYPES = ("assertTrue", "assertFalse", "assertEquals", "assertNotNull", "assertNull")
+_MODIFIERS = r"(?:(?:public|protected|private|static|final|synchronized|abstract|native)\s+)*"
+_NOT_MODIFIER = r"(?!(?:public|protected|private|static|final|synchronized|abstract|native)\b)"
+_RETURN_RE = r"^\s*" + _MODIFIERS + r"(?:<[^>]*>\s+)?" + _NOT_MODIFIER + r"([\w.$<>\[\]]+)\s+[\w$]+\s*\("
+_CTOR_RE = r"^\s*" + _MODIFIERS + r"([\w$]+)\s*\("
+
+
+def assertion_args(assertion: Column | str) -> Column:
+    """Arguments split on every comma between the first '(' and the last ')'; only
+    the last argument is stripped."""
+    a = col_(assertion)
+    inner = F.substring(a, F.instr(a, "(") + 1, rfind(a, ")") - F.instr(a, "(") - 1)
+    parts = F.split(inner, ",", -1)
+    n = F.size(parts)
+    return F.transform(parts, lambda x, i: F.when(i == n - 1, py_strip(x)).otherwise(x))
+
+
+def with_expected_type(df: DataFrame, assertion: str, focal: str, out: str = "expected_type") -> DataFrame:
+    """Add ``out`` = expected type of the checked value, first rule wins:
+    assertTrue/False -> boolean; int / float / String literal as first argument;
+    constructor name; declared return type. Null (row to drop) when the checked
+    argument is not a variable or a no-argument call, or the assertion kind is not
+    accepted.
+
+    Each intermediate is its own column, so Catalyst keeps them as separate,
+    code-generated projections instead of one deeply repeated expression.
+    """
+    a = F.col(assertion)
+    d = df.withColumn("_args", assertion_args(a))
+    d = d.withColumns({"_first": F.get("_args", 0),
+                       "_var": F.when(F.size("_args") == 1, F.get("_args", 0)).otherwise(F.get("_args", 1)),
+                       "_head": F.substring_index(clean_ws(focal), "{", 1)})
+    d = d.withColumns({"_lit": literal_kind("_first"),
+                       "_ret": F.regexp_extract("_head", _RETURN_RE, 1),
+                       "_ctor": F.regexp_extract("_head", _CTOR_RE, 1)})
+    var_ok = F.col("_var").rlike(r"^\w+$") | F.col("_var").rlike(r"^\w+\.\w+\(\)$")
+    kind_ok = F.substring_index(a, "(", 1).isin(*ASSERT_TYPES)
+    declared = F.when(F.col("_ret") != "", F.col("_ret")).when(F.col("_ctor") != "", F.col("_ctor"))
+    t = (F.when(a.startswith("assertTrue") | a.startswith("assertFalse"), F.lit("boolean"))
+         .when(F.col("_lit").isNotNull(), F.col("_lit")).otherwise(declared))
+    return d.withColumn(out, F.when(var_ok & kind_ok, t)).drop("_args", "_first", "_var", "_head", "_lit", "_ret",
+                                                               "_ctor")
+
+
+def expected_type(assertion: Column | str, focal: Column | str) -> Column:
+    """Column form of ``with_expected_type`` (fine for small inputs; prefer the
+    DataFrame form on long pipelines)."""
+    a = col_(assertion)
+    args = assertion_args(a)
+    var = F.when(F.size(args) == 1, F.get(args, 0)).otherwise(F.get(args, 1))
+    var_ok = var.rlike(r"^\w+$") | var.rlike(r"^\w+\.\w+\(\)$")
+    kind_ok = F.substring_index(a, "(", 1).isin(*ASSERT_TYPES)
+    lit_kind = literal_kind(F.get(args, 0))
+    head = F.substring_index(clean_ws(focal), "{", 1)
+    ret = F.regexp_extract(head, _RETURN_RE, 1)
+    ctor = F.regexp_extract(head, _CTOR_RE, 1)
+    declared = F.when(ret != "", ret).when(ctor != "", ctor)
+    t = (F.when(a.startswith("assertTrue") | a.startswith("assertFalse"), F.lit("boolean"))
+         .when(lit_kind.isNotNull(), lit_kind).otherwise(declared))
+    return F.when(var_ok & kind_ok, t)

@@ -219,3 +219,36 @@ def range_anti_join(spark, sf_dir):
         F.array_sort(F.collect_list(F.struct("line_idx", "line"))).alias("_ls"))
     return per_file.select("file", "kept_lines",
                            F.md5(F.array_join(F.transform("_ls", lambda s: s["line"]), "\n")).alias("kept_md5"))
+
+
+@register("quality_checks", with_views("""
+SELECT 'no_nulls' AS "check", CAST(count_if(row_idx IS NULL OR project IS NULL OR bug_num IS NULL
+                                       OR test_name IS NULL OR focal_method IS NULL OR generated_test IS NULL
+                                       OR failed_buggy IS NULL OR failed_fixed IS NULL) AS BIGINT)
+         AS violations FROM cases
+UNION ALL
+SELECT 'unique_key', count(*) FROM (SELECT project, bug_num, test_name, generated_test FROM cases
+                                    GROUP BY ALL HAVING count(*) > 1)
+UNION ALL
+SELECT 'aligned', count(*) FROM (SELECT doc_id FROM documents) d FULL OUTER JOIN (SELECT doc_id FROM labels) l
+                                ON d.doc_id = l.doc_id WHERE d.doc_id IS NULL OR l.doc_id IS NULL""", "cases"))
+def quality_checks(spark, sf_dir):
+    """V1 / V2 / V4: nulls in the test table, duplicate keys, rows present on one side only."""
+    from ..operators import checks as CK
+    c = V.cases(spark, sf_dir)
+    d = table(spark, sf_dir, "documents").select("doc_id")
+    lab = table(spark, sf_dir, "labels").select("doc_id")
+    return (CK.null_counts(c).unionByName(CK.key_violations(c, ["project", "bug_num", "test_name", "generated_test"]))
+            .unionByName(CK.alignment_violations(d, lab, ["doc_id"])))
+
+
+@register("failed_tests", with_views("""
+SELECT row_idx, project, bug_num, test_name, failed_fixed FROM (
+  SELECT *, row_number() OVER (PARTITION BY project, bug_num, generated_test ORDER BY row_idx) AS rn FROM cases)
+WHERE rn = 1 AND failed_buggy""", "cases"))
+def failed_tests(spark, sf_dir):
+    """P25 after U5: the deduplicated tests that fail on the buggy version (null flags excluded)."""
+    c = V.cases(spark, sf_dir).select("row_idx", "project", "bug_num", "test_name", "generated_test",
+                                      "failed_buggy", "failed_fixed")
+    d = O.dedup_keep_first(c, ["project", "bug_num", "generated_test"], "row_idx")
+    return d.filter(F.col("failed_buggy")).select("row_idx", "project", "bug_num", "test_name", "failed_fixed")

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.columns import clean_ws
+from ..functions.columns import clean_ws, keep_non_null
 from ..operators import code_text as CT
 from ..sources import views as V
 from ..sources.tables import table
@@ -101,7 +101,8 @@ def literal_type(spark, sf_dir):
     """Normalised assertion, its arguments, and the literal type of the first."""
     c = V.code(spark, sf_dir)
     _, assertion = CT.separate_assertion("test")
-    a = c.select("row_idx", CT.normalize_assertion(assertion).alias("assertion")).filter(F.col("assertion").isNotNull())
+    a = c.select("row_idx", assertion.alias("_a0")).filter(F.col("_a0").isNotNull())
+    a = a.withColumn("assertion", CT.normalize_assertion("_a0")).drop("_a0")
     args = F.split(F.regexp_extract("assertion", r"assert\w*\s*\((.*)\)", 1), ",")
     return a.select("row_idx", "assertion", F.size(args).alias("n_args"),
                     CT.literal_kind(F.trim(F.get(args, 0))).alias("first_arg_type"))
@@ -158,3 +159,15 @@ def compile_errors(spark, sf_dir):
                  F.concat(F.lit("/w/gen/x/y/pkg/C"), k, F.lit("_ESTest.java:3: warning: unchecked")))
            .otherwise(F.concat(F.lit("compiling C"), k, F.lit("_ESTest.java failed"))))
     return L.compile_error_lines(ev.select("event_id", msg.alias("error_msg")), ["event_id"], "error_msg")
+
+
+@register("expected_type")
+def expected_type(spark, sf_dir):
+    """Expected type of each test's first assertion (rows without one are dropped)."""
+    c = V.code(spark, sf_dir)
+    _, assertion = CT.separate_assertion("test")
+    # one column per step, so no step's regex is repeated inside the next expression
+    a = c.select("row_idx", "focal_method", assertion.alias("_a0")).filter(F.col("_a0").isNotNull())
+    a = a.withColumn("assertion", CT.normalize_assertion("_a0")).drop("_a0")
+    out = CT.with_expected_type(a, "assertion", "focal_method").select("row_idx", "assertion", "expected_type")
+    return keep_non_null(out, "expected_type")
