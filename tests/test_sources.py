@@ -54,3 +54,13 @@ def test_trigger_logs_batch_and_stream(spark):
 def test_missing_input_is_empty(spark):
     df = S.read_or_empty(spark, "/tmp/verdict-does-not-exist-*/x.parquet", "a string")
     assert df.count() == 0 and df.columns == ["a"]
+
+
+def test_bug_lists_project_from_file_name(spark):
+    root = tempfile.mkdtemp(prefix="verdict-meta-", dir="/tmp")
+    for proj, rows in (("Lang", [(1, "org.a"), (3, "org.a")]), ("Cli", [(2, "org.b")])):
+        pd.DataFrame(rows, columns=["bug.id", "package.name"]).to_csv(os.path.join(root, f"{proj}.csv"), index=False)
+    df = S.read_bug_lists(spark, os.path.join(root, "*.csv"), S.parse_projects("Lang", ["Lang", "Cli"]))
+    got = sorted((r["project"], int(r["bug_id"])) for r in df.collect())
+    assert got == [("Lang", 1), ("Lang", 3)]
+    assert S.parse_projects(None, ["A"]) == ["A"] and S.parse_projects(["X", "Y"], []) == ["X", "Y"]

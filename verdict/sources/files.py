@@ -43,6 +43,25 @@ def read_string_csv(spark: SparkSession, path: str, header: bool = True,
     return r.csv(path)
 
 
+def parse_projects(projects: str | Sequence[str] | None, default: Sequence[str]) -> list[str]:
+    """Project subset given as a list, a comma-separated string, or None (default list)."""
+    if projects is None:
+        return list(default)
+    if isinstance(projects, str):
+        return [p for p in projects.split(",") if p]
+    return list(projects)
+
+
+def read_bug_lists(spark: SparkSession, pattern: str, projects: Sequence[str] | None = None) -> DataFrame:
+    """One CSV per project (S5): all files in one scan, the project taken from the
+    file name, optional project subset pushed as a filter. Column names with dots
+    are renamed with underscores."""
+    df = spark.read.option("header", True).csv(pattern)
+    df = df.select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.csv$", 1).alias("project"), "*")
+    df = df.toDF(*[c.replace(".", "_") for c in df.columns])
+    return df.filter(F.col("project").isin(*projects)) if projects else df
+
+
 def read_trigger_logs(spark: SparkSession, root: str) -> DataFrame:
     """Trigger logs under ``root`` -> one row per block with path keys.
 
