@@ -15,7 +15,7 @@ import os
 from collections.abc import Sequence
 from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -85,14 +85,16 @@ def tfidf_similarity(df: DataFrame, group: Sequence[str], id_col: str,
     needed = F.col("doc_id").startswith(left + ":") | F.col("doc_id").startswith(right + ":")
     w = ctf.filter(needed).join(idf, [*group, "token"]).select(
         *group, "doc_id", "token", (F.col("tf") * F.col("idf")).alias("w"))
-    norms = w.groupBy(*group, "doc_id").agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("norm"))
-    unit = w.join(norms, [*group, "doc_id"]).select(*group, "doc_id", "token",
-                                                     (F.col("w") / F.col("norm")).alias("u"))
-    side = docs.select(*group, id_col, "kind", "doc_id")
-    a = side.filter(F.col("kind") == left).select(*group, id_col, F.col("doc_id").alias("_da"))
-    b = side.filter(F.col("kind") == right).select(*group, id_col, F.col("doc_id").alias("_db"))
-    ua = a.join(unit.withColumnRenamed("doc_id", "_da").withColumnRenamed("u", "_ua"), [*group, "_da"])
-    ub = b.join(unit.withColumnRenamed("doc_id", "_db").withColumnRenamed("u", "_ub"), [*group, "_db"])
+    # L2 norm per document as a window over the same (group, document) partitioning
+    unit = w.withColumn("u", F.col("w") / F.sqrt(F.sum(F.col("w") ** 2).over(Window.partitionBy(*group, "doc_id"))))
+    # left documents are per row ('<left>:<row id>'), so their row id is read off the key;
+    # right documents may be shared by rows and are mapped through the row's key
+    ua = unit.filter(F.col("doc_id").startswith(left + ":")).select(
+        *group, F.substring("doc_id", len(left) + 2, 1 << 20).cast("long").alias(id_col), "token",
+        F.col("u").alias("_ua"))
+    side = docs.filter(F.col("kind") == right).select(*group, id_col, F.col("doc_id").alias("_db"))
+    ub = side.join(unit.filter(F.col("doc_id").startswith(right + ":")).select(
+        *group, F.col("doc_id").alias("_db"), "token", F.col("u").alias("_ub")), [*group, "_db"])
     dot = ua.join(ub, [*group, id_col, "token"]).groupBy(*group, id_col).agg(
         F.round(F.sum(F.col("_ua") * F.col("_ub")), 6).alias(out))
     return df.join(dot, [*group, id_col], "left").fillna(0.0, [out])
