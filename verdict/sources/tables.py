@@ -30,7 +30,9 @@ def spread(df: DataFrame) -> DataFrame:
     and then this is a no-op; a small file with one row group would otherwise
     run all text processing in a single task.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        n = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - e.g. a Spark Connect session: leave the plan as it is
+        return df
+    return df.repartition(cores) if n < cores else df
