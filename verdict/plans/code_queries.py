@@ -108,7 +108,40 @@ def literal_type(spark, sf_dir):
                     CT.literal_kind(F.trim(F.get(args, 0))).alias("first_arg_type"))
 
 
-@register("render_test")
+_RENDER_SQL = r"""
+r0 AS (SELECT row_idx, test, CASE WHEN row_idx % 3 = 0 THEN 1 ELSE 0 END AS except_pred,
+              CASE WHEN row_idx % 3 = 1 THEN 'assertTrue(s1.isEmpty())' ELSE '' END AS assert_pred FROM code),
+r1 AS (SELECT *, CASE WHEN NOT contains(substr(test, 1, strpos(test, '{') - 1), 'throws ')
+                      THEN substr(test, 1, strpos(test, '{') - 1) || ' throws Exception ' || substr(test, strpos(test, '{'))
+                      ELSE test END AS t0 FROM r0),
+r2 AS (SELECT *, replace(t0, '// Undeclared exception!', '') AS t FROM r1),
+r3 AS (SELECT *, regexp_extract(t, '(?s)try\s*\{(.*;).*fail\(.*\)\s*;\s*\}\s*catch', 0) AS tc_m,
+              regexp_extract(t, '(?s)try\s*\{(.*;).*fail\(.*\)\s*;\s*\}\s*catch', 1) AS tc_g,
+              regexp_extract(t, 'assert\w*\s*\((.*)\)', 0) AS as_m FROM r2),
+r4 AS (SELECT *, '@Test' || chr(10) ||
+              CASE WHEN tc_m <> '' THEN substr(t, 1, strpos(t, tc_m) - 1) || ' ' || trim(tc_g, ' ' || chr(9) || chr(10) || chr(13))
+                   WHEN as_m <> '' THEN substr(t, 1, strpos(t, as_m) - 1)
+                   ELSE substr(t, 1, CASE WHEN strpos(t, '}') > 0 THEN length(t) - strpos(reverse(t), '}') ELSE length(t) - 1 END)
+              END AS prefix FROM r3),
+r5 AS (SELECT *,
+         CASE WHEN contains(test, 'assertEquals') AND (contains(assert_pred, 'assertTrue') OR contains(assert_pred, 'assertFalse'))
+              THEN 'assertEquals(' || CASE WHEN contains(assert_pred, 'assertTrue') THEN 'true' ELSE 'false' END || ', '
+                   || substr(trim(assert_pred), strpos(trim(assert_pred), '(') + 1,
+                             length(trim(assert_pred)) - strpos(reverse(trim(assert_pred)), ')') + 1 - strpos(trim(assert_pred), '(') - 1) || ')'
+              ELSE assert_pred END AS assertion FROM r4),
+r6 AS (SELECT row_idx,
+         CASE WHEN except_pred = 1
+              THEN substr(prefix, 1, strpos(prefix, '{') - 1) || '{' || chr(10) || chr(9) || 'try ' || substr(prefix, strpos(prefix, '{'))
+                   || chr(10) || chr(9) || chr(9) || 'fail("Expecting exception"); } catch (Exception e) { }' || chr(10) || chr(9) || '}'
+              WHEN assert_pred <> ''
+              THEN trim(prefix, ' ' || chr(9) || chr(10) || chr(13)) || chr(10) || '      ' || assertion || ';' || chr(10) || '}'
+              ELSE prefix || chr(10) || '    }' END AS learned,
+         prefix || chr(10) || '    }' AS naive FROM r5)"""
+
+
+@register("render_test", with_views("""
+SELECT row_idx, md5(learned) AS learned_md5, CAST(length(learned) AS INTEGER) AS learned_len, md5(naive) AS naive_md5
+FROM r6""", "code", ctes=_RENDER_SQL))
 def render_test(spark, sf_dir):
     """Learned and naive renderings of each test prefix with its
     predicted oracle (exception -> try/fail/catch, assertion appended, else closed)."""
@@ -118,8 +151,9 @@ def render_test(spark, sf_dir):
     r = c.select("row_idx", "test", ex.alias("except_pred"), ap.alias("assert_pred"))
     learned = CT.render_test("test", "except_pred", "assert_pred", "learned")
     naive = CT.render_test("test", "except_pred", "assert_pred", "naive")
-    return r.select("row_idx", F.md5(learned).alias("learned_md5"), F.length(learned).alias("learned_len"),
-                    F.md5(naive).alias("naive_md5"))
+    r = r.withColumns({"_learned": learned, "_naive": naive})
+    return r.select("row_idx", F.md5("_learned").alias("learned_md5"), F.length("_learned").alias("learned_len"),
+                    F.md5("_naive").alias("naive_md5"))
 
 
 _MSG_SQL = r"""
