@@ -39,7 +39,54 @@ def exception_kind(spark, sf_dir):
     return c.select("row_idx", k.alias("kind"), F.when(k == "none", 0).otherwise(1).alias("label"))
 
 
-@register("exception_inputs")
+_RFIND = "CASE WHEN strpos({s}, '{c}') = 0 THEN 0 ELSE length({s}) - strpos(reverse({s}), '{c}') + 1 END"
+
+
+def _rfind3(s: str) -> str:
+    return "greatest(" + ", ".join(_RFIND.format(s=s, c=c) for c in (";", "{", "}")) + ")"
+
+
+_EXC_SQL = r"""
+e0 AS (SELECT row_idx, focal_method, trim(regexp_replace(test, '\s+', ' ', 'g')) AS t FROM code),
+e1 AS (SELECT *, CASE WHEN contains(t, 'assertThrows') THEN 'assertThrows'
+                      WHEN regexp_matches(t, '^@Test.*(expected\s*=.*Exception.class)') THEN 'expected'
+                      WHEN contains(t, 'assertThatThrownBy') THEN 'assertThatThrownBy'
+                      WHEN regexp_matches(t, 'fail\(.*\).*}\s*catch') THEN 'fail_catch'
+                      WHEN contains(t, 'isThrownBy') THEN 'isThrownBy' ELSE 'none' END AS kind,
+              regexp_extract(t, 'assert[a-zA-z]*\(.*\);') AS am FROM e0),
+e2 AS (SELECT *, CASE WHEN am <> '' THEN substr(t, 1, strpos(t, am) - 1) ELSE '' END AS before FROM e1),
+e3 AS (SELECT *, CASE WHEN am <> '' THEN substr(t, 1, RF_BEFORE) || substr(t, strpos(t, am) + length(am)) ELSE t END AS cut
+       FROM e2),
+e4 AS (SELECT *, regexp_replace(trim(cut), '[;} ]+$', '') AS stripped FROM e3),
+e5 AS (SELECT *, substr(cut, RF_STRIPPED + 1) AS last_stmt, RF_STRIPPED AS st FROM e4),
+e6 AS (SELECT *, CASE WHEN strpos(last_stmt, '=') = 0 THEN cut
+                      ELSE substr(cut, 1, st) || substr(last_stmt, strpos(last_stmt, '=') + 1) END AS negative FROM e5),
+e7 AS (SELECT *, CASE kind
+         WHEN 'assertThrows' THEN split_part(t, 'assertThrows', 1)
+              || regexp_extract(split_part(t, 'assertThrows', 2), '^.*\(\s*\)\s*->\s*(.*)\s*\)', 1) || '; }' || chr(10)
+         WHEN 'fail_catch' THEN
+              substr(t, 1, strpos(t, regexp_extract(t, '(?s)try\s*\{(.*;) fail\(.*\)\s*;\s*\}\s*catch', 0)) - 1)
+              || trim(regexp_extract(t, '(?s)try\s*\{(.*;) fail\(.*\)\s*;\s*\}\s*catch', 1), ' ' || chr(9) || chr(10) || chr(13))
+              || ' }' || chr(10)
+         ELSE negative END AS norm FROM e6),
+e8 AS (SELECT *, trim(regexp_replace(array_to_string(list_filter(string_split(replace(norm, '// Undeclared exception! ', ''),
+                                                                              ';'), lambda x: x <> ''), ';'),
+                                     '\s+', ' ', 'g')) AS pruned,
+              regexp_extract(split_part(trim(regexp_replace(focal_method, '\s+', ' ', 'g')), '{', 1),
+                             '(?s)^.*\s+([\w\d$]+)\(.*\)\s*(throws.*)?$', 1) AS fm FROM e7),
+e9 AS (SELECT *, CASE WHEN fm <> '' AND strpos(pruned, '{') > 0
+                      THEN 'public void test' || upper(substr(fm, 1, 1)) || substr(fm, 2) || '() {' || substr(pruned, strpos(pruned, '{') + 1)
+                 END AS model_test FROM e8)""".replace("RF_BEFORE", _rfind3("before")).replace(
+    "RF_STRIPPED", _rfind3("stripped"))
+
+
+@register("exception_inputs", with_views(r"""
+SELECT row_idx, kind, CASE WHEN kind = 'none' THEN 0 ELSE 1 END AS label,
+       CASE WHEN kind = 'none' AND regexp_matches(norm, '^@Test (public )?void \S*\(.*\)\s*\{\s*}') THEN 'empty_test'
+            WHEN kind = 'none' AND contains(t, 'verifyException') THEN 'error'
+            WHEN model_test IS NULL THEN 'error' END AS reason,
+       md5(model_test) AS model_md5, CAST(length(model_test) AS INTEGER) AS model_len
+FROM e9""", "code", ctes=_EXC_SQL))
 def exception_inputs(spark, sf_dir):
     """P3a-P3e / P4 / P5 / P6 / P21: exception-model inputs (label, normalised and
     standardised test) with the drop reason of rejected rows."""
@@ -49,7 +96,13 @@ def exception_inputs(spark, sf_dir):
                       F.length("model_test").alias("model_len"))
 
 
-@register("reason_counts")
+@register("reason_counts", with_views(r"""
+SELECT 'exception_inputs' AS stage,
+       coalesce(CASE WHEN kind = 'none' AND regexp_matches(norm, '^@Test (public )?void \S*\(.*\)\s*\{\s*}') THEN 'empty_test'
+                     WHEN kind = 'none' AND contains(t, 'verifyException') THEN 'error'
+                     WHEN model_test IS NULL THEN 'error' END, 'kept') AS reason,
+       count(*) AS n
+FROM e9 GROUP BY ALL""", "code", ctes=_EXC_SQL))
 def reason_counts(spark, sf_dir):
     """Rows kept and dropped per stage and reason."""
     c = V.code(spark, sf_dir)
