@@ -149,7 +149,33 @@ def assertion_split(spark, sf_dir):
         F.col("assertion").isNotNull())
 
 
-@register("literal_type")
+_LIT_SQL = r"""
+l0 AS (SELECT row_idx, regexp_extract(test, 'assert\w*\(.*\)') AS a0 FROM code
+       WHERE regexp_matches(test, 'assert\w*\(.*\)')),
+l1 AS (SELECT row_idx, regexp_replace(regexp_replace(a0, '^assertEquals\(\((-\d+)\)(.*)', 'assertEquals(\1\2'),
+                                      '^assertEquals\(([-]?[0-9]+)L(,.*)', 'assertEquals(\1\2') AS a1 FROM l0),
+l2 AS (SELECT row_idx, CASE WHEN regexp_matches(a1, '^assertEquals\(true, (.*)\)')
+                            THEN regexp_replace(a1, '^assertEquals\(true, (.*)\)', 'assertTrue(\1)')
+                            WHEN regexp_matches(a1, '^assertEquals\(false, (.*)\)')
+                            THEN regexp_replace(a1, '^assertEquals\(false, (.*)\)', 'assertFalse(\1)')
+                            ELSE a1 END AS assertion FROM l1),
+l3 AS (SELECT *, string_split(regexp_extract(assertion, 'assert\w*\s*\((.*)\)', 1), ',') AS args FROM l2),
+l4 AS (SELECT *, trim(args[1]) AS s FROM l3),
+l5 AS (SELECT *, CASE WHEN starts_with(s, '(') AND ends_with(s, ')') AND length(s) >= 2
+                      THEN substr(s, 2, length(s) - 2) ELSE s END AS u FROM l4),
+l6 AS (SELECT *, CASE WHEN ends_with(u, 'L') THEN substr(u, 1, length(u) - 1) ELSE u END AS ib,
+              CASE WHEN ends_with(u, 'F') OR ends_with(u, 'D') THEN substr(u, 1, length(u) - 1) ELSE u END AS fb,
+              trim(s, ' ' || chr(9) || chr(10) || chr(13)) AS st FROM l5)"""
+
+
+@register("literal_type", with_views(r"""
+SELECT row_idx, assertion, CAST(len(args) AS INTEGER) AS n_args,
+       CASE WHEN regexp_matches(ib, '^\s*[-+]?\d+(_\d+)*\s*$') THEN 'int'
+            WHEN regexp_matches(fb, '^\s*[-+]?((\d+(_\d+)*)?\.?\d+(_\d+)*([eE][-+]?\d+)?|\d+\.|inf|infinity|nan)\s*$')
+            THEN 'float'
+            WHEN substr(st, 1, 1) IN ('"', chr(39)) AND substr(st, length(st), 1) IN ('"', chr(39)) THEN 'String' END
+         AS first_arg_type
+FROM l6""", "code", ctes=_LIT_SQL))
 def literal_type(spark, sf_dir):
     """Normalised assertion, its arguments, and the literal type of the first."""
     c = V.code(spark, sf_dir)
