@@ -284,9 +284,9 @@ def render_test(test: Column | str, except_pred: Column | str, assert_pred: Colu
 # Assertion kinds accepted by the expected-type rule.
 ASSERT_TYPES = ("assertTrue", "assertFalse", "assertEquals", "assertNotNull", "assertNull")
 _MODIFIERS = r"(?:(?:public|protected|private|static|final|synchronized|abstract|native)\s+)*"
-_NOT_MODIFIER = r"(?!(?:public|protected|private|static|final|synchronized|abstract|native)\b)"
-_RETURN_RE = r"^\s*" + _MODIFIERS + r"(?:<[^>]*>\s+)?" + _NOT_MODIFIER + r"([\w.$<>\[\]]+)\s+[\w$]+\s*\("
-_CTOR_RE = r"^\s*" + _MODIFIERS + r"([\w$]+)\s*\("
+_RETURN_RE = r"^(?:<[^>]*>\s+)?([\w.$<>\[\]]+)\s+[\w$]+\s*\("  # after the modifiers are cut
+_CTOR_RE = r"^([\w$]+)\s*\("
+_MODIFIERS_RE = r"^\s*" + _MODIFIERS
 
 
 def assertion_args(assertion: Column | str) -> Column:
@@ -313,7 +313,7 @@ def with_expected_type(df: DataFrame, assertion: str, focal: str, out: str = "ex
     d = df.withColumn("_args", assertion_args(a))
     d = d.withColumns({"_first": F.get("_args", 0),
                        "_var": F.when(F.size("_args") == 1, F.get("_args", 0)).otherwise(F.get("_args", 1)),
-                       "_head": F.substring_index(clean_ws(focal), "{", 1)})
+                       "_head": F.regexp_replace(F.substring_index(clean_ws(focal), "{", 1), _MODIFIERS_RE, "")})
     d = d.withColumns({"_lit": literal_kind("_first"),
                        "_ret": F.regexp_extract("_head", _RETURN_RE, 1),
                        "_ctor": F.regexp_extract("_head", _CTOR_RE, 1)})
@@ -335,7 +335,7 @@ def expected_type(assertion: Column | str, focal: Column | str) -> Column:
     var_ok = var.rlike(r"^\w+$") | var.rlike(r"^\w+\.\w+\(\)$")
     kind_ok = F.substring_index(a, "(", 1).isin(*ASSERT_TYPES)
     lit_kind = literal_kind(F.get(args, 0))
-    head = F.substring_index(clean_ws(focal), "{", 1)
+    head = F.regexp_replace(F.substring_index(clean_ws(focal), "{", 1), _MODIFIERS_RE, "")
     ret = F.regexp_extract(head, _RETURN_RE, 1)
     ctor = F.regexp_extract(head, _CTOR_RE, 1)
     declared = F.when(ret != "", ret).when(ctor != "", ctor)

@@ -274,7 +274,42 @@ def compile_errors(spark, sf_dir):
     return L.compile_error_lines(ev.select("event_id", msg.alias("error_msg")), ["event_id"], "error_msg")
 
 
-@register("expected_type")
+_ET_SQL = _LIT_SQL.split(",\nl3 AS")[0] + r""",
+e1 AS (SELECT l2.row_idx, l2.assertion, c.focal_method,
+              string_split(substr(assertion, strpos(assertion, '(') + 1,
+                                  (length(assertion) - strpos(reverse(assertion), ')') + 1) - strpos(assertion, '(') - 1),
+                           ',') AS args
+       FROM l2 JOIN code c ON c.row_idx = l2.row_idx),
+e2 AS (SELECT *, len(args) AS n,
+              CASE WHEN len(args) = 1 THEN trim(args[1], ' ' || chr(9) || chr(10) || chr(13)) ELSE args[1] END AS s,
+              CASE WHEN len(args) = 1 THEN trim(args[1], ' ' || chr(9) || chr(10) || chr(13))
+                   WHEN len(args) = 2 THEN trim(args[2], ' ' || chr(9) || chr(10) || chr(13)) ELSE args[2] END AS v,
+              regexp_replace(split_part(trim(regexp_replace(focal_method, '\s+', ' ', 'g')), '{', 1),
+                             '^\s*(?:(?:public|protected|private|static|final|synchronized|abstract|native)\s+)*', '')
+                AS head FROM e1),
+e3 AS (SELECT *, CASE WHEN starts_with(s, '(') AND ends_with(s, ')') AND length(s) >= 2
+                      THEN substr(s, 2, length(s) - 2) ELSE s END AS u,
+              regexp_extract(head, '^(?:<[^>]*>\s+)?([\w.$<>\[\]]+)\s+[\w$]+\s*\(', 1) AS ret,
+              regexp_extract(head, '^([\w$]+)\s*\(', 1) AS ctor FROM e2),
+e4 AS (SELECT *, CASE WHEN ends_with(u, 'L') THEN substr(u, 1, length(u) - 1) ELSE u END AS ib,
+              CASE WHEN ends_with(u, 'F') OR ends_with(u, 'D') THEN substr(u, 1, length(u) - 1) ELSE u END AS fb,
+              trim(s, ' ' || chr(9) || chr(10) || chr(13)) AS st FROM e3),
+e5 AS (SELECT *, CASE WHEN regexp_matches(ib, '^\s*[-+]?\d+(_\d+)*\s*$') THEN 'int'
+                      WHEN regexp_matches(fb, '^\s*[-+]?((\d+(_\d+)*)?\.?\d+(_\d+)*([eE][-+]?\d+)?|\d+\.|inf|infinity|nan)\s*$')
+                      THEN 'float'
+                      WHEN substr(st, 1, 1) IN ('"', chr(39)) AND substr(st, length(st), 1) IN ('"', chr(39))
+                      THEN 'String' END AS lit FROM e4),
+e6 AS (SELECT row_idx, assertion,
+              CASE WHEN (regexp_matches(v, '^\w+$') OR regexp_matches(v, '^\w+\.\w+\(\)$'))
+                        AND split_part(assertion, '(', 1) IN ('assertTrue', 'assertFalse', 'assertEquals', 'assertNotNull',
+                                                             'assertNull')
+                   THEN CASE WHEN starts_with(assertion, 'assertTrue') OR starts_with(assertion, 'assertFalse') THEN 'boolean'
+                             WHEN lit IS NOT NULL THEN lit
+                             WHEN ret <> '' THEN ret WHEN ctor <> '' THEN ctor END END AS expected_type
+       FROM e5)"""
+
+
+@register("expected_type", with_views("SELECT * FROM e6 WHERE expected_type IS NOT NULL", "code", ctes=_ET_SQL))
 def expected_type(spark, sf_dir):
     """Expected type of each test's first assertion (rows without one are dropped)."""
     c = V.code(spark, sf_dir)
