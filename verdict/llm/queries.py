@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_license, op2_quality, op3_mixing, op4_tokens, op9_url
+from . import op1_license, op2_quality, op3_mixing, op4_tokens, op6_suffix, op9_url
 from .common import read_table
 
 
@@ -26,9 +26,14 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_tokens.count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_suffix.dedup_report(read_table(spark, sf_dir, "documents"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_url.judge(read_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op3_mix_sources, op4_token_counts, op9_url_filter)}
+QUERIES = {f.__name__: f for f in (
+    op1_license_scan, op2_quality_rules, op3_mix_sources, op4_token_counts, op6_suffix_dedup, op9_url_filter)}
 ORACLE_SQL = {"op1_license_scan": op1_license.SQL, "op2_quality_rules": op2_quality.SQL, "op3_mix_sources": op3_mixing.SQL, "op9_url_filter": op9_url.SQL}
