@@ -80,6 +80,9 @@ class Vocabulary:
         self.letters = byte_letters()
         self.whole = self.prove(model["vocab"])
 
+    def parts(self) -> dict:
+        return {"ranks": self.ranks, "whole": self.whole, "added": self.added}
+
     def prove(self, vocab) -> frozenset[str]:
         import regex
 
@@ -94,13 +97,13 @@ class Vocabulary:
         return frozenset(out)
 
 
-def counter(vocab: Vocabulary):
-    """text -> number of tokens."""
+def counter(vocab: dict):
+    """text -> number of tokens, from the parts of a ``Vocabulary``."""
     import regex
 
     split = regex.compile(PATTERN).findall
-    special = regex.compile("|".join(regex.escape(s) for s in vocab.added)) if vocab.added else None
-    whole, letters, ranks, cache = vocab.whole, vocab.letters, vocab.ranks, {}
+    special = regex.compile("|".join(map(regex.escape, vocab["added"]))) if vocab["added"] else None
+    whole, letters, ranks, cache = vocab["whole"], byte_letters(), vocab["ranks"], {}
 
     def merge(piece: str) -> int:
         n = cache.get(piece)
@@ -130,7 +133,7 @@ def counter(vocab: Vocabulary):
 
 def count_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> DataFrame:
     """id, n_bytes, n_tokens, over_limit per input row. ``path``: the vocabulary file, read here on the driver."""
-    shared = df.sparkSession.sparkContext.broadcast(Vocabulary(path))  # bounded by the vocabulary
+    shared = df.sparkSession.sparkContext.broadcast(Vocabulary(path).parts())  # bounded by the vocabulary
     id_type = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,7 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_license, op2_quality, op3_mixing, op4_tokens, op6_suffix, op9_url
+from . import (
+    op1_license,
+    op2_quality,
+    op3_mixing,
+    op4_tokens,
+    op5_jaccard,
+    op6_suffix,
+    op7_html,
+    op8_decontaminate,
+    op9_url,
+    op10_language,
+)
 from .common import read_table
 
 
@@ -26,14 +37,33 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_tokens.count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_jaccard.join_report(read_table(spark, sf_dir, "documents"))
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6_suffix.dedup_report(read_table(spark, sf_dir, "documents"))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_html.extract(read_table(spark, sf_dir, "pages"))
+
+
+def op8_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_decontaminate.find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_url.judge(read_table(spark, sf_dir, "pages"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = op10_language.fit(read_table(spark, sf_dir, "documents"))
+    return op10_language.identify(read_table(spark, sf_dir, "pages"), model)
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_license_scan, op2_quality_rules, op3_mix_sources, op4_token_counts, op6_suffix_dedup, op9_url_filter)}
-ORACLE_SQL = {"op1_license_scan": op1_license.SQL, "op2_quality_rules": op2_quality.SQL, "op3_mix_sources": op3_mixing.SQL, "op9_url_filter": op9_url.SQL}
+    op1_license_scan, op2_quality_rules, op3_mix_sources, op4_token_counts, op5_jaccard_join, op6_suffix_dedup, op7_html_text,
+    op8_benchmark_leaks, op9_url_filter, op10_language_id)}
+ORACLE_SQL = {"op1_license_scan": op1_license.SQL, "op2_quality_rules": op2_quality.SQL, "op3_mix_sources": op3_mixing.SQL,
+              "op9_url_filter": op9_url.SQL}
