@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_copy
+from .common import WHITE, keep_copy
 from .components import components
 from .rolling import combined
 from .shingles import SIZE, shingle_sets
@@ -258,12 +258,17 @@ def _verify(pairs: DataFrame, feats: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(exact_links, "a long, b long")
 
 
-def _nodes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id; v: node (the id itself where ids are unique, else a hash of id and text); text."""
-    i, text = F.col(id_col).cast("long"), F.col(text_col)
+def _node(df: DataFrame, id_col: str, text_col: str) -> tuple[Column, bool]:
+    """(node of a row, whether ids are unique): the id itself, or where ids repeat a hash of id and text."""
+    i = F.col(id_col).cast("long")
     unique = df.select(i.alias("i")).groupBy("i").count().filter((F.col("count") > 1) | F.col("i").isNull()).isEmpty()
-    v: Column = i if unique else F.xxhash64(i, F.lit("|"), F.coalesce(text, F.lit("")))
-    return df.select(i.alias("id"), v.alias("v"), F.coalesce(text, F.lit("")).alias("text"))
+    return (i if unique else F.xxhash64(i, F.lit("|"), F.coalesce(F.col(text_col), F.lit("")))), unique
+
+
+def _nodes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id; v: node; text."""
+    v, _ = _node(df, id_col, text_col)
+    return df.select(F.col(id_col).cast("long").alias("id"), v.alias("v"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
 def link_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -326,3 +331,19 @@ def join_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     full = feats.filter("n > 0").join(named, ["s1", "s2"]).select("id", "n", "component_id")
     empty = feats.filter("n = 0").select("id", "n", F.col("id").alias("component_id"))
     return full.union(empty).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The input rows, all columns unchanged, with one row of each component: the one with the smallest id (null last)."""
+    feats, comp = link_components(df, id_col, text_col)
+    members = feats.filter("n > 0").join(comp, ["s1", "s2"]).select("c", "v", F.struct(F.col("id").isNull(), "id", "v").alias("k"))
+    first = members.groupBy("c").agg(F.min_by("v", "k").alias("f"))
+    gone = keep_copy(members.join(first, "c").filter("v <> f").select(F.col("v").alias("_gone")).distinct())
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    v, unique = _node(df, id_col, text_col)
+    kept = df.withColumn("_node", v).join(gone, F.col("_node") == F.col("_gone"), "left_anti")
+    if not unique:  # repeated rows share a node
+        words = F.length(F.translate(F.coalesce(F.col(text_col), F.lit("")), WHITE, "")) > 0
+        kept = kept.filter(words).dropDuplicates(["_node"]).unionByName(kept.filter(~words))
+    return kept.drop("_node")

@@ -34,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import keep_copy
@@ -365,13 +365,17 @@ def cut_text(text: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes,
     return b"".join(kept), int((ends - starts).sum()), len(starts)
 
 
-def _documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """d: id for order (null last); t: tells rows of one id apart, only where ids repeat; text; id."""
+def _row_keys(df: DataFrame, id_col: str, text_col: str) -> tuple[Column, Column]:
+    """d: id for order (null last); t: tells rows of one id apart, 0 where all ids differ."""
     ids = df.select(F.col(id_col).cast("long").alias("i"))
     unique = ids.groupBy("i").count().filter((F.col("count") > 1) | F.col("i").isNull()).isEmpty()
     tag = F.lit(0).cast("long") if unique else F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    return df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("d"), tag.alias("t"),
-                     F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)), tag
+
+
+def _documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    d, t = _row_keys(df, id_col, text_col)
+    return df.select(d.alias("d"), t.alias("t"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
 def covered_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -438,14 +442,31 @@ def _whole_characters(text: bytes, starts: np.ndarray, ends: np.ndarray) -> tupl
     return s[ok], e[ok]
 
 
-def cut_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(d, t, rest): texts without the covered spans (whole characters only), for documents that lose some."""
+def cut_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None) -> DataFrame:
+    """The input rows with all columns; ``text_col`` without the covered spans (whole characters only), and
+    ``length_col``, if given, the new number of characters of the rows that lost some. Null texts stay null."""
+    names, schema = df.columns, df.schema
+    at = names.index(text_col)
+    n_at = names.index(length_col) if length_col else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rest = []
-            for text, s, e in _rows(b):
-                rest.append(cut_text(text, *_whole_characters(text, s, e))[0].decode("utf-8"))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rest, pa.string())], names=["d", "t", "rest"])
+            cols = b.column(0).flatten()
+            texts, lengths = cols[at].to_pylist(), cols[n_at].to_pylist() if length_col else None
+            for i, (text, spans, more) in enumerate(zip(texts, b.column(1).to_pylist(), b.column(2).to_pylist())):
+                if not text or not (spans or more):
+                    continue
+                raw = text.encode("utf-8")
+                extra = np.array([(x["lo"], x["hi"]) for x in more], "<i8").tobytes() if more else None
+                texts[i] = cut_text(raw, *_whole_characters(raw, *_spans_of(spans, extra)))[0].decode("utf-8")
+                if lengths:
+                    lengths[i] = len(texts[i])
+            cols[at] = pa.array(texts, cols[at].type)
+            if length_col:
+                cols[n_at] = pa.array(lengths, cols[n_at].type)
+            yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return _joined(df, id_col, text_col).select("d", "t", "text", "spans", "more").mapInArrow(run, "d long, t long, rest string")
+    spans = covered_spans(df, id_col, text_col)
+    d, t = _row_keys(df, id_col, text_col)
+    joined = df.select(d.alias("d"), t.alias("t"), F.struct(*[df[c] for c in names]).alias("row")).join(spans, ["d", "t"], "left")
+    return joined.select("row", "spans", "more").mapInArrow(run, schema)
