@@ -240,6 +240,6 @@ def test_expected_type_rules(spark):
         (8, "assertEquals(a, b, c)", "public int f() {"),                   # middle arg keeps its blank -> dropped
     ]
     df = spark.createDataFrame(rows, "id long, a string, f string")
-    got = {r["id"]: r["t"] for r in df.select("id", CT.expected_type("a", "f").alias("t")).collect()}
+    got = {r["id"]: r["t"] for r in CT.with_expected_type(df, "a", "f", "t").collect()}
     assert got == {0: "boolean", 1: "int", 2: "float", 3: "String", 4: "Cart", 5: "List<String>",
                    6: None, 7: None, 8: None}

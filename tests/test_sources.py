@@ -16,7 +16,7 @@ LOG = ("--- pkg.Foo_ESTest::test001\njava.lang.IllegalStateException: broken sta
 
 
 def _logs(root):
-    d = os.path.join(root, "Lang", "toga")
+    d = os.path.join(root, "Lang", "learned")
     os.makedirs(d)
     with open(os.path.join(d, "7b.7.trigger.log"), "w") as f:
         f.write(LOG)
@@ -42,7 +42,7 @@ def test_trigger_logs_batch_and_stream(spark):
     _logs(root)
     blocks = S.read_trigger_logs(spark, root).collect()
     assert len(blocks) == 3
-    assert {(b["project"], b["system"], b["bug_num"], b["tag"]) for b in blocks} == {("Lang", "toga", 7, "b")}
+    assert {(b["project"], b["system"], b["bug_num"], b["tag"]) for b in blocks} == {("Lang", "learned", 7, "b")}
     cats = sorted((b["block_pos"], b["test_name"], b["category"]) for b in blocks)
     assert cats == [(0, "pkg.Foo_ESTest::test001", "exception"), (1, "pkg.Foo_ESTest::test012", "assertion"),
                     (2, "pkg.Foo_ESTest::test001", "none")]

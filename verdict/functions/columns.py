@@ -57,9 +57,13 @@ def rfind(c: Column | str, needle: str) -> Column:
     return F.when(pos == 0, F.lit(0)).otherwise(F.length(c) - pos - F.lit(len(needle)) + 2)
 
 
-def lines_of(c: Column | str) -> Column:
-    """Split text on newlines (Python ``str.split('\\n')``)."""
-    return F.split(col_(c), "\n", -1)
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once per row (a one-element ``transform``).
+
+    Catalyst inlines a projected expression into every place that uses it; a lambda variable
+    is bound once, so chained text steps stay linear in the number of patterns.
+    """
+    return F.transform(F.array(value), body)[0]
 
 
 def keep_non_null(df, column: str):

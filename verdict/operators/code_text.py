@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import clean_ws, col_, py_strip, rfind
+from ..functions.columns import clean_ws, col_, let, py_strip, rfind
 
 # Patterns of the exception-oracle classifier.
 ASSERT_THROWS_BODY_RE = r"^.*\(\s*\)\s*->\s*(.*)\s*\)"
@@ -63,7 +63,10 @@ def balanced_block(test: Column, call: str) -> Column:
 def exception_kind(test: Column | str) -> Column:
     """First matching rule on the cleaned test: assertThrows / expected / assertThatThrownBy /
     fail_catch / isThrownBy, else 'none' (negative example)."""
-    t = clean_ws(test)
+    return let(clean_ws(test), _kind)
+
+
+def _kind(t: Column) -> Column:
     return (F.when(F.contains(t, F.lit("assertThrows")), "assertThrows")
             .when(t.rlike(EXPECTED_RE), "expected")
             .when(F.contains(t, F.lit("assertThatThrownBy")), "assertThatThrownBy")
@@ -93,17 +96,21 @@ def normalize_negative(t: Column) -> Column:
 
 
 def normalize_exception_test(test: Column | str) -> Column:
-    """Normalised test text per kind (before pruning and header standardisation)."""
-    t = clean_ws(test)
-    kind = exception_kind(test)
-    throws = F.concat(_before_first(t, "assertThrows"),
-                      F.regexp_extract(_after_first(t, "assertThrows"), ASSERT_THROWS_BODY_RE, 1),
-                      F.lit("; }\n"))
+    """Normalised test text per kind (before pruning and header standardisation); null when the
+    kind's pattern does not fit (such a row is an error)."""
+    return let(clean_ws(test), lambda t: let(_kind(t), lambda k: _normalize(t, k)))
+
+
+def _normalize(t: Column, kind: Column) -> Column:
+    # the pattern is tried from the start of the text; without a lambda body it does not match
+    call = _after_first(t, "assertThrows")
+    throws = F.when(call.rlike(ASSERT_THROWS_BODY_RE), F.concat(
+        _before_first(t, "assertThrows"), F.regexp_extract(call, ASSERT_THROWS_BODY_RE, 1), F.lit("; }\n")))
     expected = F.replace(t, F.regexp_extract(t, EXPECTED_RE, 1), F.lit(""))
     that = F.concat(_before_first(t, "assertThatThrownBy"), balanced_block(t, "assertThatThrownBy"), F.lit("; }\n"))
     m_pos = F.regexp_instr(t, F.lit(FAIL_CATCH_EXTRACT_RE))
-    fail = F.concat(F.substring(t, 1, m_pos - 1), py_strip(F.regexp_extract(t, FAIL_CATCH_EXTRACT_RE, 1)),
-                    F.lit(" }\n"))
+    fail = F.when(m_pos > 0, F.concat(F.substring(t, F.lit(1), m_pos - 1), py_strip(F.regexp_extract(t, FAIL_CATCH_EXTRACT_RE, 1)),
+                                      F.lit(" }\n")))
     is_thrown = F.concat(_before_first(t, "isThrownBy"), balanced_block(t, "isThrownBy"), F.lit("; }\n"))
     return (F.when(kind == "assertThrows", throws).when(kind == "expected", expected)
             .when(kind == "assertThatThrownBy", that).when(kind == "fail_catch", fail)
@@ -130,54 +137,30 @@ def standardize_header(test: Column | str, focal: Column | str) -> Column:
 
 
 def exception_inputs(df: DataFrame, test: str, focal: str) -> DataFrame:
-    """Exception-model input rows: label, kind, normalised and standardised test.
-    Negative tests that normalise to an empty test, or that still contain
-    ``verifyException``, are dropped (``reason`` says why).
+    """Exception-model input rows: kind, label, normalised and standardised test, drop reason.
 
-    Intermediate texts are materialised as columns step by step: composing the
-    helpers into one expression would repeat the cleaning regex in every branch.
+    Dropped (``reason``): negative tests that normalise to an empty test, negative tests that
+    still hold ``verifyException``, tests whose pattern or header does not fit. ``missed`` marks
+    negative tests that speak of an exception. Each step is bound once per row (``let``), so a
+    pattern runs once per text.
     """
-    out = df.withColumn("_t", clean_ws(test))
-    out = out.withColumn("kind", exception_kind_clean("_t"))
-    out = out.withColumn("label", F.when(F.col("kind") == "none", 0).otherwise(1))
-    out = out.withColumn("_norm", normalize_clean(F.col("_t"), F.col("kind")))
-    out = out.withColumn("_pruned", clean_ws(prune_pieces(F.replace(F.col("_norm"), F.lit(UNDECLARED_MARK), F.lit("")))))
-    out = out.withColumn("model_test", standardize_header("_pruned", focal))
-    reason = (F.when((F.col("kind") == "none") & F.col("_norm").rlike(EMPTY_TEST_RE), "empty_test")
-              .when((F.col("kind") == "none") & F.contains(F.col("_t"), F.lit("verifyException")), "error")
-              .when(F.col("model_test").isNull(), "error"))
-    return out.withColumn("reason", reason).drop("_t", "_norm", "_pruned")
-
-
-def exception_kind_clean(t: Column | str) -> Column:
-    """``exception_kind`` on an already cleaned test."""
-    t = col_(t)
-    return (F.when(F.contains(t, F.lit("assertThrows")), "assertThrows")
-            .when(t.rlike(EXPECTED_RE), "expected")
-            .when(F.contains(t, F.lit("assertThatThrownBy")), "assertThatThrownBy")
-            .when(t.rlike(FAIL_CATCH_RE), "fail_catch")
-            .when(F.contains(t, F.lit("isThrownBy")), "isThrownBy")
-            .otherwise("none"))
+    def from_norm(t: Column, kind: Column, norm: Column) -> Column:
+        none = kind == "none"
+        pruned = clean_ws(prune_pieces(F.replace(norm, F.lit(UNDECLARED_MARK), F.lit(""))))
+        return let(let(pruned, lambda p: standardize_header(p, focal)), lambda model: F.struct(
+            kind.alias("kind"), F.when(none, 0).otherwise(1).alias("label"), model.alias("model_test"),
+            F.when(none & norm.rlike(EMPTY_TEST_RE), "empty_test")
+            .when(none & F.contains(t, F.lit("verifyException")), "error")
+            .when(norm.isNull() | model.isNull(), "error").alias("reason"),
+            (none & t.rlike("[eE]xception")).alias("missed")))
 
-
-def normalize_clean(t: Column, kind: Column) -> Column:
-    """``normalize_exception_test`` on an already cleaned test with its kind."""
-    throws = F.concat(_before_first(t, "assertThrows"),
-                      F.regexp_extract(_after_first(t, "assertThrows"), ASSERT_THROWS_BODY_RE, 1),
-                      F.lit("; }\n"))
-    expected = F.replace(t, F.regexp_extract(t, EXPECTED_RE, 1), F.lit(""))
-    that = F.concat(_before_first(t, "assertThatThrownBy"), balanced_block(t, "assertThatThrownBy"), F.lit("; }\n"))
-    m_pos = F.regexp_instr(t, F.lit(FAIL_CATCH_EXTRACT_RE))
-    fail = F.concat(F.substring(t, 1, m_pos - 1), py_strip(F.regexp_extract(t, FAIL_CATCH_EXTRACT_RE, 1)),
-                    F.lit(" }\n"))
-    is_thrown = F.concat(_before_first(t, "isThrownBy"), balanced_block(t, "isThrownBy"), F.lit("; }\n"))
-    return (F.when(kind == "assertThrows", throws).when(kind == "expected", expected)
-            .when(kind == "assertThatThrownBy", that).when(kind == "fail_catch", fail)
-            .when(kind == "isThrownBy", is_thrown).otherwise(normalize_negative(t)))
+    steps = let(clean_ws(test), lambda t: let(_kind(t), lambda k: let(_normalize(t, k), lambda n: from_norm(t, k, n))))
+    return df.withColumn("_x", steps).select(*df.columns, "_x.*")
 
 
 # ---- assertions ------------------------------------------------------------
 
+# The first assertion of a test and what stands in its place.
 SEPARATE_ASSERT_RE = r"assert\w*\(.*\)"
 PLACEHOLDER = '"<AssertPlaceHolder>" ; \n }'
 
@@ -198,12 +181,14 @@ def _unparen(s: Column) -> Column:
 
 def literal_kind(lit: Column | str) -> Column:
     """Type of a literal argument: int, float, String, or null."""
-    s = col_(lit)
-    u = _unparen(s)
+    return let(col_(lit), lambda s: let(_unparen(s), lambda u: _literal_kind(s, u)))
+
+
+def _literal_kind(s: Column, u: Column) -> Column:
     int_body = F.when(u.endswith("L"), F.substring(u, F.lit(1), F.length(u) - 1)).otherwise(u)
     flt_body = F.when(u.endswith("F") | u.endswith("D"), F.substring(u, F.lit(1), F.length(u) - 1)).otherwise(u)
     is_int = int_body.rlike(r"^\s*[-+]?\d+(_\d+)*\s*$")
-    is_float = flt_body.rlike(r"^\s*[-+]?((\d+(_\d+)*)?\.?\d+(_\d+)*([eE][-+]?\d+)?|\d+\.|inf|infinity|nan)\s*$")
+    is_float = flt_body.rlike(r"^\s*[-+]?((\d+(_\d+)*)?\.?\d+(_\d+)*([eE][-+]?\d+)?|\d+\.|(?i:inf|infinity|nan))\s*$")
     st = py_strip(s)
     is_str = F.substring(st, 1, 1).isin('"', "'") & F.substring(st, -1, 1).isin('"', "'")
     return F.when(is_int, "int").when(is_float, "float").when(is_str, "String")
@@ -223,6 +208,7 @@ def normalize_assertion(a: Column | str) -> Column:
 
 # ---- rendering ---------------------------------------------------------------
 
+# Where the prefix of a test ends.
 RENDER_FAIL_CATCH_RE = r"(?s)try\s*\{(.*;).*fail\(.*\)\s*;\s*\}\s*catch"
 RENDER_ASSERT_RE = r"assert\w*\s*\((.*)\)"
 
@@ -305,40 +291,37 @@ def with_expected_type(df: DataFrame, assertion: str, focal: str, out: str = "ex
     constructor name; declared return type. Null (row to drop) when the checked
     argument is not a variable or a no-argument call, or the assertion kind is not
     accepted.
-
-    Each intermediate is its own column, so Catalyst keeps them as separate,
-    code-generated projections instead of one deeply repeated expression.
     """
     a = F.col(assertion)
-    d = df.withColumn("_args", assertion_args(a))
-    d = d.withColumns({"_first": F.get("_args", 0),
-                       "_var": F.when(F.size("_args") == 1, F.get("_args", 0)).otherwise(F.get("_args", 1)),
-                       "_head": F.regexp_replace(F.substring_index(clean_ws(focal), "{", 1), _MODIFIERS_RE, "")})
-    d = d.withColumns({"_lit": literal_kind("_first"),
-                       "_ret": F.regexp_extract("_head", _RETURN_RE, 1),
-                       "_ctor": F.regexp_extract("_head", _CTOR_RE, 1)})
-    var_ok = F.col("_var").rlike(r"^\w+$") | F.col("_var").rlike(r"^\w+\.\w+\(\)$")
-    kind_ok = F.substring_index(a, "(", 1).isin(*ASSERT_TYPES)
-    declared = F.when(F.col("_ret") != "", F.col("_ret")).when(F.col("_ctor") != "", F.col("_ctor"))
-    t = (F.when(a.startswith("assertTrue") | a.startswith("assertFalse"), F.lit("boolean"))
-         .when(F.col("_lit").isNotNull(), F.col("_lit")).otherwise(declared))
-    return d.withColumn(out, F.when(var_ok & kind_ok, t)).drop("_args", "_first", "_var", "_head", "_lit", "_ret",
-                                                               "_ctor")
-
-
-def expected_type(assertion: Column | str, focal: Column | str) -> Column:
-    """Column form of ``with_expected_type`` (fine for small inputs; prefer the
-    DataFrame form on long pipelines)."""
-    a = col_(assertion)
-    args = assertion_args(a)
-    var = F.when(F.size(args) == 1, F.get(args, 0)).otherwise(F.get(args, 1))
-    var_ok = var.rlike(r"^\w+$") | var.rlike(r"^\w+\.\w+\(\)$")
-    kind_ok = F.substring_index(a, "(", 1).isin(*ASSERT_TYPES)
-    lit_kind = literal_kind(F.get(args, 0))
+
+    def from_args(args: Column) -> Column:
+        var = F.when(F.size(args) == 1, F.get(args, 0)).otherwise(F.get(args, 1))
+        var_ok = let(var, lambda v: v.rlike(r"^\w+$") | v.rlike(r"^\w+\.\w+\(\)$"))
+        kind_ok = F.substring_index(a, "(", 1).isin(*ASSERT_TYPES)
+        literal = literal_kind(F.get(args, 0))
+        t = (F.when(a.startswith("assertTrue") | a.startswith("assertFalse"), F.lit("boolean"))
+             .otherwise(F.coalesce(literal, let(head, declared))))
+        return F.when(var_ok & kind_ok, t)
+
     head = F.regexp_replace(F.substring_index(clean_ws(focal), "{", 1), _MODIFIERS_RE, "")
-    ret = F.regexp_extract(head, _RETURN_RE, 1)
-    ctor = F.regexp_extract(head, _CTOR_RE, 1)
-    declared = F.when(ret != "", ret).when(ctor != "", ctor)
-    t = (F.when(a.startswith("assertTrue") | a.startswith("assertFalse"), F.lit("boolean"))
-         .when(lit_kind.isNotNull(), lit_kind).otherwise(declared))
-    return F.when(var_ok & kind_ok, t)
+    named = lambda x: F.when(x != "", x)
+
+    def declared(h: Column) -> Column:
+        return F.coalesce(named(F.regexp_extract(h, _RETURN_RE, 1)), named(F.regexp_extract(h, _CTOR_RE, 1)))
+
+    return df.withColumn(out, let(assertion_args(a), from_args))
+
+
+# The assertion forms whose cast or parentheses are stripped.
+CAST_RE = r"(assertEquals\()\(\w+\)(\S*, \w+\))"
+PAREN_RE = r"(assertEquals\()\((\S+)\)(, \w+\))"
+
+
+def strip_cast(assertion: Column | str, candidates: Column | str) -> Column:
+    """An assertion that is not among its candidates loses the parentheses, else the cast, of its first argument."""
+    s = col_(assertion)
+    return (F.when(F.array_contains(col_(candidates), s), s)
+            .when(F.regexp_like(s, F.lit(PAREN_RE)), F.concat(
+                F.regexp_extract(s, PAREN_RE, 1), F.regexp_extract(s, PAREN_RE, 2), F.regexp_extract(s, PAREN_RE, 3)))
+            .when(F.regexp_like(s, F.lit(CAST_RE)), F.concat(F.regexp_extract(s, CAST_RE, 1), F.regexp_extract(s, CAST_RE, 2)))
+            .otherwise(s))

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import col_, py_strip
@@ -83,33 +83,23 @@ def count_over(df: DataFrame, keys: Sequence[str], out: str, where: Column | Non
 
 
 def counts_over(df: DataFrame, specs: Sequence[tuple[Sequence[str], str, Column | None]]) -> DataFrame:
-    """Several "rows sharing these keys" counts with one aggregate and one join back.
+    """Several "rows sharing these keys" counts, each a partial ``groupBy`` joined back.
 
-    Rows are first aggregated on the union of all keys (partial, map-side); each
-    count is then a window sum over that much smaller table, partitioned by its
-    own keys; a single join brings all counts back to the rows.
+    No window: a (bug, value) that holds a third of the rows is one row per map task in the
+    aggregate, and adaptive execution broadcasts the count table or splits the hot key.
     """
-    all_keys: list[str] = []
-    for keys, _, _ in specs:
-        all_keys += [k for k in keys if k not in all_keys]
-    aggs = [F.count(F.lit(1)).alias("_c")]
-    for i, (_, _, where) in enumerate(specs):
-        if where is not None:
-            aggs.append(F.count_if(where).alias(f"_c{i}"))
-    combos = df.groupBy(*all_keys).agg(*aggs)
-    for i, (keys, out, where) in enumerate(specs):
-        src = "_c" if where is None else f"_c{i}"
-        combos = combos.withColumn(out, F.sum(src).over(Window.partitionBy(*keys)).cast("long"))
-    combos = combos.drop("_c", *[f"_c{i}" for i in range(len(specs))])
-    return df.join(combos, all_keys, "left").fillna(0, [out for _, out, _ in specs])
+    for keys, out, where in specs:
+        n = F.count(F.lit(1)) if where is None else F.count_if(where)
+        counts = df.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(n.cast("long").alias(out))
+        same = F.lit(True)
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+        df = df.join(counts, same, "left").drop(*[f"_k_{k}" for k in keys])
+    return df
 
 
 # ---- feature resolution ---------------------------------------------------------
 
-# count features requested while resolving names; applied together at the end
-_PENDING: list = []
-_AFTER: list = []
-
 def _catch_names(prefix: Column) -> Column:
     """Simple names of the exceptions in catch clauses of a test prefix."""
     found = F.regexp_extract_all(prefix, F.lit(r"catch\s*\(\s*(?:final\s+)?([\w.$|\s]+?)\s+\w+\s*\)"), 1)
@@ -117,12 +107,13 @@ def _catch_names(prefix: Column) -> Column:
     return F.array_distinct(F.transform(names, lambda s: F.substring_index(F.trim(s), ".", -1)))
 
 
-def _derive(df: DataFrame, name: str, have: set[str]) -> DataFrame:
+def _derive(df: DataFrame, name: str, have: set[str], pending: list, after: list) -> DataFrame:
+    """Add one feature; counts go to ``pending`` (and what follows them to ``after``), applied at the end."""
     def need(*deps: str) -> DataFrame:
         nonlocal df
         for d in deps:
             if d not in have:
-                df = _derive(df, d, have)
+                df = _derive(df, d, have, pending, after)
         return df
 
     if name in ("except_pred", "assert_pred"):
@@ -141,10 +132,10 @@ def _derive(df: DataFrame, name: str, have: set[str]) -> DataFrame:
         df = df.withColumn(name, F.col("trace_desc") != "")
     elif name == "trace_exception_count":
         df = need("trace_exception")
-        _PENDING.append(([*BUG, "trace_exception"], name, None))
+        pending.append(([*BUG, "trace_exception"], name, None))
     elif name == "trace_desc_count":
         df = need("trace_desc")
-        _PENDING.append(([*BUG, "trace_desc"], name, None))
+        pending.append(([*BUG, "trace_desc"], name, None))
     elif name == "trace_exception_type":
         df = need("trace_exception_name")
         df = df.withColumn(name, exception_type("trace_exception_name", "trace_exception", "project"))
@@ -160,16 +151,16 @@ def _derive(df: DataFrame, name: str, have: set[str]) -> DataFrame:
                            | F.col("trace_exception_in_doc"))
     elif name == "rare_exception_count":
         df = need("not_rare_e", "trace_exception_name")
-        _PENDING.append(([*BUG, "trace_exception_name"], "_rare_n", ~F.col("not_rare_e")))
-        _AFTER.append((name, F.when(F.col("not_rare_e"), F.lit(0).cast("long")).otherwise(F.col("_rare_n")), "_rare_n"))
+        pending.append(([*BUG, "trace_exception_name"], "_rare_n", ~F.col("not_rare_e")))
+        after.append((name, F.when(F.col("not_rare_e"), F.lit(0).cast("long")).otherwise(F.col("_rare_n")), "_rare_n"))
     elif name == "focal_rare_e_count":
         df = need("not_rare_e", "trace_exception_name")
-        _PENDING.append(([*BUG, "focal_method", "trace_exception_name"], name, ~F.col("not_rare_e")))
+        pending.append(([*BUG, "focal_method", "trace_exception_name"], name, ~F.col("not_rare_e")))
     elif name == "focal_name":
         df = df.withColumn(name, method_name("focal_method"))
     elif name == "focal_name_count":
         df = need("focal_name")
-        _PENDING.append(([*BUG, "focal_name"], name, None))
+        pending.append(([*BUG, "focal_name"], name, None))
     elif name == "prefix_e_names":
         df = df.withColumn(name, _catch_names(F.col("test_prefix")))
     elif name == "test_prefix_exception":
@@ -200,17 +191,14 @@ def add_features(df: DataFrame, names: Sequence[str] = FEATURE_NAMES, keep: Sequ
     df = df.withColumn("assert_pred", py_strip(F.col("assert_pred")) != "")
     df = df.withColumn("except_pred", F.col("except_pred").cast("boolean"))
     have: set[str] = {"assert_pred", "except_pred"}
-    _PENDING.clear()
-    _AFTER.clear()
+    pending: list = []
+    after: list = []
     for n in names:
         if n not in have:
-            df = _derive(df, n, have)
-    if _PENDING:  # all per-bug counts in one aggregate + one join
-        df = counts_over(df, list(_PENDING))
-        for out, expr, tmp in _AFTER:
-            df = df.withColumn(out, expr).drop(tmp)
-    _PENDING.clear()
-    _AFTER.clear()
+            df = _derive(df, n, have, pending, after)
+    df = counts_over(df, pending)
+    for out, expr, tmp in after:
+        df = df.withColumn(out, expr).drop(tmp)
     extra = [n for n in keep if n in have and n not in names and n not in original]
     return df.select(*original, *[F.col(n) for n in names if n not in original], *extra)
 

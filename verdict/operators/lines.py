@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import col_, py_strip
+from ..functions.columns import col_, let, py_strip
 
 
 def text_lines(df: DataFrame, id_cols: Sequence[str], text: str, keep_blank: bool = True) -> DataFrame:
@@ -40,9 +40,8 @@ def test_line_set(text: Column | str) -> Column:
 def distinct_line_counts(df: DataFrame, group: Sequence[str], id_col: str, text: str, out: str) -> DataFrame:
     """Add ``out`` = number of lines of the test found in no other test of its group."""
     exploded = df.select(*group, id_col, F.explode(test_line_set(text)).alias("_line"))
-    per_line = exploded.groupBy(*group, "_line").agg(F.count(F.lit(1)).alias("_n"))
-    uniq = (exploded.join(per_line, [*group, "_line"]).filter(F.col("_n") == 1)
-            .groupBy(*group, id_col).agg(F.count(F.lit(1)).cast("int").alias(out)))
+    per_line = exploded.groupBy(*group, "_line").agg(F.count(F.lit(1)).alias("_n"), F.min(id_col).alias(id_col))
+    uniq = per_line.filter(F.col("_n") == 1).groupBy(*group, id_col).agg(F.count(F.lit(1)).cast("int").alias(out))
     return df.join(uniq, [*group, id_col], "left").fillna(0, [out])
 
 
@@ -51,21 +50,19 @@ def marker_split(df: DataFrame, id_col: str, text: str, marker: str) -> DataFram
     earlier non-blank non-marker lines + that line + '}'; then one row with all
     non-blank non-marker lines. ``split_no`` orders them; the last is the full one.
     """
+    def splits(lines: Column) -> Column:
+        has = lambda x: F.contains(x, F.lit(marker))
+        plain = lambda ls: F.filter(ls, lambda x: ~has(x))
+        at = F.filter(F.transform(lines, lambda x, i: F.when(has(x), i)), lambda i: i.isNotNull())
+        marked = F.transform(at, lambda i: F.struct(
+            F.array_join(F.concat(plain(F.slice(lines, 1, i)), F.array(F.get(lines, i), F.lit("}"))), "\n").alias("split_test"),
+            F.lit(True).alias("has_marker")))
+        full = F.struct(F.array_join(plain(lines), "\n").alias("split_test"), F.lit(False).alias("has_marker"))
+        return F.concat(marked, F.array(full))
+
     lines = F.filter(F.split(F.col(text), "\n", -1), lambda x: py_strip(x) != "")
-    base = df.select(id_col, lines.alias("_lines"))
-    ex = base.select(id_col, "_lines", F.posexplode("_lines").alias("_pos", "_line"))
-    marks = ex.filter(F.contains(F.col("_line"), F.lit(marker)))
-    plain_before = F.filter(F.slice("_lines", 1, F.col("_pos")), lambda x: ~F.contains(x, F.lit(marker)))
-    split_rows = marks.select(
-        id_col, F.col("_pos").cast("long").alias("_order"),
-        F.array_join(F.concat(plain_before, F.array(F.col("_line"), F.lit("}"))), "\n").alias("split_test"),
-        F.lit(True).alias("has_marker"))
-    full = base.select(id_col, F.lit(1 << 40).cast("long").alias("_order"),
-                       F.array_join(F.filter("_lines", lambda x: ~F.contains(x, F.lit(marker))), "\n")
-                       .alias("split_test"), F.lit(False).alias("has_marker"))
-    both = split_rows.unionByName(full)
-    w = Window.partitionBy(id_col).orderBy("_order")  # one test's splits (bounded by its line count)
-    return both.withColumn("split_no", (F.row_number().over(w) - 1).cast("long")).drop("_order")
+    made = df.select(id_col, F.posexplode(let(lines, splits)).alias("split_no", "_s"))
+    return made.select(id_col, "_s.split_test", "_s.has_marker", F.col("split_no").cast("long").alias("split_no"))
 
 
 def method_spans(lines: DataFrame, file_col: str, signature: str) -> DataFrame:
@@ -108,6 +105,7 @@ def repair_files(lines: DataFrame, errors: DataFrame, file_col: str, signature:
     return kept.join(bad_header, [file_col, "line_idx"], "left_anti")
 
 
+# The compiler's message lines.
 _ERROR_RE = r"^.*?(\S*_ESTest\.java):(\d+):\s+error:.*"
 _WARNING_RE = r"^.*?(\S*_ESTest\.java):(\d+):\s+warning:.*"
 
@@ -128,6 +126,3 @@ def compile_error_lines(df: DataFrame, keys: Sequence[str], msg: str) -> DataFra
         F.when(is_err, F.regexp_extract("_l", _ERROR_RE, 2).cast("int")).alias("line_no"),
         status.alias("status"))
 
-
-def py_lstrip_dashes(c: Column | str) -> Column:
-    return F.regexp_replace(col_(c), r"^-+", "")

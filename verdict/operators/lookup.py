@@ -10,33 +10,35 @@ superclass walk.
   names and declarations are reduced to their best occurrence first, so the
   join is bounded by distinct names, not by text length squared.
 * ``superclass_chain`` (J16): follow ``extends`` while the parent is imported
-  and exists, one join per level (iterative, like a recursive CTE).
+  and exists; joins double the depth, cycles end.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.positions import group_positions
 from ..session import cut_lineage
 
 BOOL_TYPES = ("bool", "boolean")
 NUMERIC_TYPES = ("int", "float", "double")
+FLOAT_TYPES = ("float", "double")  # an assertion on a float is skipped
 
 
 def rank_vocabulary(values: DataFrame, type_col: str = "type", value_col: str = "value") -> DataFrame:
     """(type, rank, value): values ranked by frequency (then value) inside each type."""
-    counts = values.groupBy(type_col, value_col).agg(F.count(F.lit(1)).alias("_n"))
-    # one row per distinct (type, value): the window runs on the aggregate, not the rows
-    w = Window.partitionBy(type_col).orderBy(F.col("_n").desc(), F.col(value_col))
-    return counts.select(F.col(type_col).alias("type"), F.row_number().over(w).alias("rank"),
-                         F.col(value_col).alias("value"))
+    counts = values.groupBy(F.col(type_col).alias("type"), F.col(value_col).alias("value")).agg(F.count(F.lit(1)).alias("_n"))
+    # one row per distinct (type, value); positions by range, so one large type is many tasks
+    ranked = group_positions(counts, ["type"], [F.col("_n").desc(), "value"], pos_col="rank")
+    return ranked.select("type", (F.col("rank") + 1).cast("int").alias("rank"), "value")
 
 
 def generate_candidates(tests: DataFrame, vocab: DataFrame, id_col: str, type_col: str, arg_col: str,
                         vars_col: str) -> DataFrame:
-    """(id, candidate, cand_order) for every test; ``vars_col`` is an array of same-type variables."""
-    t = tests.select(id_col, F.col(type_col).alias("_type"), F.trim(F.col(arg_col)).alias("_arg"), vars_col)
+    """(id, candidate, cand_order) for every test that doesn't check a float; ``vars_col`` is an array of
+    same-type variables (``same_type``)."""
+    t = tests.filter(~F.col(type_col).isin(*FLOAT_TYPES)).select(id_col, F.col(type_col).alias("_type"), F.trim(F.col(arg_col)).alias("_arg"), vars_col)
     from_vocab = t.join(vocab, t["_type"] == vocab["type"]).select(
         id_col, "_arg", F.lit(0).alias("_src"), F.col("rank").alias("_rank"), F.col("value").alias("_v"))
     from_vars = t.select(id_col, "_arg", F.posexplode(vars_col).alias("_rank", "_v")).withColumn("_src", F.lit(1))
@@ -58,6 +60,11 @@ def generate_candidates(tests: DataFrame, vocab: DataFrame, id_col: str, type_co
     return best.select(id_col, "candidate", (F.row_number().over(w) - 1).alias("cand_order"))
 
 
+def same_type(declared: Column, wanted: Column) -> Column:
+    """Names of the variables and literals of a test whose type is ``wanted``; ``declared``: array of (type, name)."""
+    return F.transform(F.filter(declared, lambda x: x["type"] == wanted), lambda x: x["name"])
+
+
 def first_match(names: DataFrame, classes: DataFrame, decls: DataFrame, id_col: str) -> DataFrame:
     """Best declaration per test.
 
@@ -66,7 +73,9 @@ def first_match(names: DataFrame, classes: DataFrame, decls: DataFrame, id_col:
     decls: (class, name, kind_order, decl_pos, text) — constructors before methods.
     Returns (id, class, name, name_pos, depth, text) for tests with a match.
     """
-    n1 = names.groupBy(id_col, "name").agg(F.min("name_pos").alias("name_pos"))
+    # only names that some class declares can match: drop the others before their shuffle
+    declared = decls.select("name").distinct()
+    n1 = names.join(declared, "name", "left_semi").groupBy(id_col, "name").agg(F.min("name_pos").alias("name_pos"))
     d1 = decls.groupBy("class", "name").agg(
         F.min_by(F.struct("kind_order", "decl_pos", "text"), F.struct("kind_order", "decl_pos")).alias("_d"))
     # both sides grow with the data (and the planner underestimates exploded names):
@@ -78,29 +87,24 @@ def first_match(names: DataFrame, classes: DataFrame, decls: DataFrame, id_col:
     return best.select(id_col, "_b.*")
 
 
-def superclass_chain(classes: DataFrame, max_depth: int = 64) -> DataFrame:
+def superclass_chain(classes: DataFrame) -> DataFrame:
     """(class, ancestor, depth) for depth >= 1 along ``extends`` while the parent is
-    imported by the child and exists. ``classes``: (class, extends, imported bool)."""
+    imported by the child and exists. ``classes``: (class, extends, imported bool).
+
+    Doubling: once all ancestors up to depth 2**k are known, those at depth exactly 2**k
+    reach the ones up to 2**(k + 1), so a chain of n classes takes log2(n) joins. Each
+    (class, ancestor) pair keeps its smallest depth, so a cycle ends when it closes.
+    """
     exists = classes.select(F.col("class").alias("_parent")).distinct()
-    step = (classes.filter(F.col("imported") & F.col("extends").isNotNull())
-            .join(exists, F.col("extends") == F.col("_parent"), "left_semi")
-            .select("class", F.col("extends").alias("parent")))
-    step = cut_lineage(step)  # read once per level below
-    frontier = cut_lineage(step.select("class", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")))
-    levels = [frontier]
-    for _ in range(max_depth - 1):
-        f, st = frontier.alias("f"), step.alias("s")
-        nxt = (f.join(st, F.col("f.ancestor") == F.col("s.class"))
-               .select(F.col("f.class").alias("class"), F.col("s.parent").alias("ancestor"),
-                       (F.col("f.depth") + 1).alias("depth")))
-        # each level is materialised once (reliable checkpoint), so the plan of the
-        # next level and of the final union stays one join deep
-        nxt = cut_lineage(nxt)
-        if nxt.limit(1).count() == 0:
-            break
-        levels.append(nxt)
-        frontier = nxt
-    out = levels[0]
-    for lv in levels[1:]:
-        out = out.unionByName(lv)
-    return out
+    reach = cut_lineage(classes.filter(F.col("imported") & F.col("extends").isNotNull())
+                        .join(exists, F.col("extends") == F.col("_parent"), "left_semi")
+                        .select("class", F.col("extends").alias("ancestor"), F.lit(1).alias("depth")).distinct())
+    known = 1
+    while not (far := reach.filter(F.col("depth") == known)).isEmpty():
+        f, r = far.alias("f"), reach.alias("r")
+        more = f.join(r, F.col("f.ancestor") == F.col("r.class")).select(
+            F.col("f.class").alias("class"), F.col("r.ancestor").alias("ancestor"),
+            (F.col("f.depth") + F.col("r.depth")).alias("depth"))
+        reach = cut_lineage(reach.unionByName(more).groupBy("class", "ancestor").agg(F.min("depth").alias("depth")))
+        known *= 2
+    return reach

@@ -47,20 +47,18 @@ def outcome_metrics(df: DataFrame, by: Sequence[str], bug_keys: Sequence[str] =
 
 
 def mean_over_runs(report: DataFrame, config: Sequence[str], run_col: str, metrics: Sequence[str],
-                   expected_runs: DataFrame | None = None) -> DataFrame:
+                   expected_runs: Sequence[object] | None = None) -> DataFrame:
     """Mean of each metric over runs per configuration; nulls (0/0) are skipped.
 
-    ``complete`` says whether every expected run is present (the reference
-    asserts ten runs). ``expected_runs`` has one column ``run_col``.
+    ``complete`` says whether every run of ``expected_runs`` (the fixed list of runs, not what
+    the data happen to hold) is present and no other.
     """
-    out = report.groupBy(*config).agg(
-        F.count_distinct(run_col).alias("n_runs"),
-        *[F.round(F.avg(m), 6).alias(f"mean_{m}") for m in metrics])
+    aggs = [F.count_distinct(run_col).alias("n_runs"), *[F.round(F.avg(m), 6).alias(f"mean_{m}") for m in metrics]]
     if expected_runs is not None:
-        # a scalar: the number of distinct expected runs
-        n_exp = expected_runs.agg(F.count_distinct(run_col)).first()[0]
-        out = out.withColumn("complete", F.col("n_runs") == F.lit(n_exp))
-    return out
+        runs = sorted(set(expected_runs))
+        known = F.count_distinct(F.when(F.col(run_col).isin(*runs), F.col(run_col)))
+        aggs.append(((known == len(runs)) & (F.count_distinct(run_col) == len(runs))).alias("complete"))
+    return report.groupBy(*config).agg(*aggs)
 
 
 def found_bugs(df: DataFrame, by: Sequence[str], bug_keys: Sequence[str] = BUG_KEYS) -> DataFrame:

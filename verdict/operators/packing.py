@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import let
+
 # First segment cap, sequence length and special tokens.
 FIRST_SEGMENT_CAP = 50
 MAX_SEQ_LENGTH = 200
@@ -46,22 +48,32 @@ def truncate_pair(df: DataFrame, a: str, b: str, max_len: int = MAX_SEQ_LENGTH)
 
 
 def triple_cuts(len_a: Column, len_b: Column, len_c: Column, limit: int) -> Column:
-    """Pop one token at a time until a + b + c <= limit: from a if it is strictly
-    the longest, else from b if it is strictly the longest, else from c.
-    Returns struct(a, b, c) of the kept lengths (the loop runs in the JVM)."""
+    """Kept lengths struct(a, b, c) when one token at a time is popped until a + b + c <= limit:
+    from a if it is strictly the longest, else from b if it is strictly the longest, else from c.
+
+    In closed form: the longest side falls to the second longest; if c is one of two equal
+    longest sides, c and the other fall in turn (c first) to the third; everything else comes off
+    c, which stops at zero.
+    """
+    def to_second(s: Column) -> Column:
+        a, b, c, e = s["a"], s["b"], s["c"], s["e"]
+        x = F.when((a > b) & (a > c), F.least(e, a - F.greatest(b, c))).otherwise(F.lit(0))
+        y = F.when((b > a) & (b > c), F.least(e, b - F.greatest(a, c))).otherwise(F.lit(0))
+        z = F.when((c > a) & (c > b), F.least(e, c - F.greatest(a, b))).otherwise(F.lit(0))
+        return let(F.struct((a - x).alias("a"), (b - y).alias("b"), (c - z).alias("c"), (e - x - y - z).alias("e")), in_turn)
+
+    def in_turn(s: Column) -> Column:
+        a, b, c, e = s["a"], s["b"], s["c"], s["e"]
+        with_a = F.when((a == c) & (a > b), F.least(e, 2 * (a - b))).otherwise(F.lit(0))
+        with_b = F.when((b == c) & (b > a), F.least(e, 2 * (b - a))).otherwise(F.lit(0))
+        half = lambda x: F.floor(x / 2).cast("int")
+        off_c = with_a + with_b - half(with_a) - half(with_b)
+        return let(F.struct((a - half(with_a)).alias("a"), (b - half(with_b)).alias("b"), (c - off_c).alias("c"),
+                            (e - with_a - with_b).alias("e")),
+                   lambda r: F.struct(r["a"].alias("a"), r["b"].alias("b"), F.greatest(r["c"] - r["e"], F.lit(0)).alias("c")))
+
     excess = F.greatest(len_a + len_b + len_c - limit, F.lit(0))
-    start = F.struct(len_a.alias("a"), len_b.alias("b"), len_c.alias("c"))
-
-    def step(s, _):
-        a, b, c = s["a"], s["b"], s["c"]
-        pop_a = (a > b) & (a > c)
-        pop_b = ~pop_a & (b > a) & (b > c)
-        return F.struct(F.when(pop_a, a - 1).otherwise(a).alias("a"),
-                        F.when(pop_b, b - 1).otherwise(b).alias("b"),
-                        F.when(~pop_a & ~pop_b, F.greatest(c - 1, F.lit(0))).otherwise(c).alias("c"))
-
-    steps = F.when(excess > 0, F.sequence(F.lit(1), excess)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(steps, start, step)
+    return let(F.struct(len_a.alias("a"), len_b.alias("b"), len_c.alias("c"), excess.alias("e")), to_second)
 
 
 def truncate_triple(df: DataFrame, a: str, b: str, c: str, max_len: int = MAX_SEQ_LENGTH) -> DataFrame:

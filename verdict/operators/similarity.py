@@ -40,12 +40,6 @@ def tokens(text: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(TOKEN_RE), 0)
 
 
-def _term_counts(docs: DataFrame, keys: Sequence[str], text: str, stop: DataFrame) -> DataFrame:
-    ex = docs.select(*keys, F.explode(tokens(text)).alias("token"))
-    ex = ex.join(F.broadcast(stop), "token", "left_anti")  # fixed-size word list
-    return ex.groupBy(*keys, "token").agg(F.count(F.lit(1)).alias("tf"))
-
-
 def tfidf_similarity(df: DataFrame, group: Sequence[str], id_col: str,
                      parts: Sequence[tuple[str, str, bool]], left: str, right: str, out: str = "sim",
                      stop_words: Sequence[str] | None = None) -> DataFrame:

@@ -1,7 +1,7 @@
 """Threshold sweep of the exception classifier and its class counters.
 
-The 4 x 20 grid is a fixed-size literal array exploded per row; the partial
-aggregation right after the explode keeps the shuffle at 80 rows per task.
+Each row is reduced to the number of thresholds it passes per method; the
+4 x 20 grid meets the counts of those numbers, not the rows.
 """
 
 from __future__ import annotations
@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import let
+
 # Class weights of the weighted threshold, keyed by
 # (exception thrown, predicted label).
 SWEEP_WEIGHTS = {
@@ -27,34 +29,36 @@ def thrown(t: Column, as_lbl: Column, ex_lbl: Column) -> Column:
     return ((t == 1) & (as_lbl == 0)) | (ex_lbl == 1)
 
 
-def _passed(method: Column, thr: Column, p: Column, ex: Column, l0: Column, l1: Column) -> Column:
+def _n_passed(method: str, p: Column, ex: Column, l0: Column, l1: Column) -> Column:
+    """How many thresholds of the method the row passes; it passes the smallest ones."""
     w = (F.when(~ex & (p == 1), SWEEP_WEIGHTS["no_ex_t_1"]).when(ex & (p == 0), SWEEP_WEIGHTS["ex_t_0"])
          .when(ex & (p == 1), SWEEP_WEIGHTS["ex_t_1"]).otherwise(SWEEP_WEIGHTS["no_ex_t_0"]))
     mag = F.abs(l1) - F.abs(l0)
-    return (F.when(method == "diff", F.abs(l0 - l1) > thr)
-            .when(method == "magnitude", mag > thr / 100.0)
-            .when(method == "weighted", mag * w > thr / 1000.0)
-            .otherwise(F.lit(False)))
+    value, scale = {"diff": (F.abs(l0 - l1), 1.0), "magnitude": (mag, 100.0), "weighted": (mag * w, 1000.0)}.get(method, (None, 1.0))
+    if value is None:
+        return F.lit(0)
+    limits = F.array(*[F.lit(float(k)) / F.lit(scale) for k in SWEEP_THRESHOLDS])
+    return let(value, lambda v: F.size(F.filter(limits, lambda x: v > x)))
 
 
 def threshold_sweep(df: DataFrame, t: str = "t", p: str = "p", l0: str = "l0", l1: str = "l1",
                     as_lbl: str = "as_lbl", ex_lbl: str = "ex_lbl") -> DataFrame:
-    """TP/FP/FN/TN and F1 per (method, threshold); a failing gate predicts 0."""
-    grid = F.array(*[F.struct(F.lit(m).alias("method"), F.lit(k).alias("threshold"))
-                     for m in SWEEP_METHODS for k in SWEEP_THRESHOLDS])
+    """TP/FP/FN/TN and F1 per (method, threshold); a failing gate predicts 0.
+
+    A row becomes one number per method (the thresholds it passes); the rows of each number
+    are counted, and only these at most 4 x 21 x 4 counts meet the thresholds.
+    """
     tc, pc = F.col(t), F.col(p)
     ex = thrown(tc, F.col(as_lbl), F.col(ex_lbl))
-    g = df.select(tc.alias("_t"), pc.alias("_p"), F.col(l0).alias("_l0"), F.col(l1).alias("_l1"),
-                  ex.alias("_ex"), F.explode(grid).alias("_g"))
-    passed = _passed(F.col("_g.method"), F.col("_g.threshold").cast("double"), F.col("_p"), F.col("_ex"),
-                     F.col("_l0"), F.col("_l1"))
-    g = g.withColumn("_pn", F.when(passed, F.col("_p")).otherwise(F.lit(0)))
-    tt, pn = F.col("_t"), F.col("_pn")
-    out = g.groupBy(F.col("_g.method").alias("method"), F.col("_g.threshold").alias("threshold")).agg(
-        F.count_if((tt == 1) & (pn == 1)).cast("long").alias("tp"),
-        F.count_if((tt == 0) & (pn == 1)).cast("long").alias("fp"),
-        F.count_if((tt == 1) & (pn == 0)).cast("long").alias("fn"),
-        F.count_if((tt == 0) & (pn == 0)).cast("long").alias("tn"))
+    per = F.array(*[F.struct(F.lit(m).alias("method"), _n_passed(m, pc, ex, F.col(l0), F.col(l1)).alias("n")) for m in SWEEP_METHODS])
+    bins = (df.select(tc.alias("_t"), pc.alias("_p"), F.explode(per).alias("_g"))
+            .groupBy("_t", "_p", "_g.method", "_g.n").agg(F.count(F.lit(1)).alias("_c")))
+    grid = bins.withColumn("threshold", F.explode(F.array(*[F.lit(k) for k in SWEEP_THRESHOLDS])))
+    pn, tt = F.when(F.col("threshold") < F.col("n"), F.col("_p")).otherwise(F.lit(0)), F.col("_t")
+    rows = lambda c: F.sum(F.when(c, F.col("_c")).otherwise(F.lit(0))).cast("long")
+    out = grid.groupBy("method", "threshold").agg(
+        rows((tt == 1) & (pn == 1)).alias("tp"), rows((tt == 0) & (pn == 1)).alias("fp"),
+        rows((tt == 1) & (pn == 0)).alias("fn"), rows((tt == 0) & (pn == 0)).alias("tn"))
     f1 = F.try_divide(2.0 * F.col("tp"), 2.0 * F.col("tp") + F.col("fp") + F.col("fn"))
     return out.withColumn("f1", F.round(F.coalesce(f1, F.lit(0.0)), 6))
 

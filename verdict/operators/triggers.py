@@ -81,10 +81,3 @@ def label_columns(failed_buggy: str, failed_fixed: str) -> dict[str, Column]:
     """TP = fails buggy only, FP = fails both, TN = passes both, FN = fails fixed only."""
     b, f = F.col(failed_buggy), F.col(failed_fixed)
     return {"TP": b & ~f, "FP": b & f, "TN": ~b & ~f, "FN": ~b & f}
-
-
-def flag_violations(df: DataFrame) -> DataFrame:
-    """Rows whose failed flag disagrees with (exception OR assertion), for either version."""
-    bad_b = F.col("failed_buggy") != (F.col("bug_exception_triggered") | F.col("bug_assertion_triggered"))
-    bad_f = F.col("failed_fixed") != (F.col("fixed_exception_triggered") | F.col("fixed_assertion_triggered"))
-    return df.filter(bad_b | bad_f)

@@ -218,7 +218,7 @@ LEFT JOIN gated g ON c.row_idx = g.idx""", "scores", "cases", ctes=_GATE_CTE))
 def sparse_scatter(spark, sf_dir):
     """J2 + P12 + P26: exception and assertion predictions scattered onto every test row
     with defaults; an exception prediction blanks the assertion."""
-    base = V.cases(spark, sf_dir).select("row_idx", "project", "bug_num", "test_name")
+    base = V.cases(spark, sf_dir, flags=False).select("row_idx", "project", "bug_num", "test_name")
     ex = _except_preds(spark, sf_dir)
     asr = _gated(spark, sf_dir).select(F.col("idx").alias("row_idx"), "assert_pred",
                                        F.col("pick_l0").alias("assert_logit_0"),
@@ -233,7 +233,7 @@ SELECT row_idx, project, bug_num, test_name, 0 AS except_pred, CAST(1.0 AS DOUBL
        CAST(0.0 AS DOUBLE) AS assert_logit_1 FROM cases""", "cases"))
 def baseline_pred(spark, sf_dir):
     """Constant no-exception / no-assertion predictor."""
-    return C.baseline_predictions(V.cases(spark, sf_dir).select("row_idx", "project", "bug_num", "test_name"))
+    return C.baseline_predictions(V.cases(spark, sf_dir, flags=False).select("row_idx", "project", "bug_num", "test_name"))
 
 
 @register("class_weights", """

@@ -19,7 +19,7 @@ SELECT row_idx, project, bug_num, row_number() OVER (PARTITION BY project, bug_n
 FROM cases""", "cases"))
 def running_id(spark, sf_dir):
     """0-based running test id per bug in input order (skew-safe positions)."""
-    c = V.cases(spark, sf_dir).select("row_idx", "project", "bug_num")
+    c = V.cases(spark, sf_dir, flags=False).select("row_idx", "project", "bug_num")
     return group_positions(c, ["project", "bug_num"], ["row_idx"], pos_col="test_id")
 
 
@@ -34,7 +34,7 @@ SELECT row_idx, project, bug_num,
 FROM cases""", "cases"))
 def unique_name(spark, sf_dir):
     """Name + 1-based running count per (bug, test file, name), in test-id order."""
-    c = V.cases(spark, sf_dir).withColumn("test_file", F.concat(F.lit("pkg/"), "focal_method", F.lit("_ESTest.java")))
+    c = V.cases(spark, sf_dir, flags=False).withColumn("test_file", F.concat(F.lit("pkg/"), "focal_method", F.lit("_ESTest.java")))
     return O.unique_test_names(c, "test_file", "test_name", "row_idx").select(
         "row_idx", "project", "bug_num", "unique_test_name")
 
@@ -45,7 +45,7 @@ SELECT row_idx, project, bug_num, test_name FROM (
 WHERE rn = 1""", "cases"))
 def dedup_keep_first(spark, sf_dir):
     """One row per (project, bug, generated test), the first in row order."""
-    c = V.cases(spark, sf_dir).select("row_idx", "project", "bug_num", "test_name", "generated_test")
+    c = V.cases(spark, sf_dir, flags=False).select("row_idx", "project", "bug_num", "test_name", "generated_test")
     return O.dedup_keep_first(c, ["project", "bug_num", "generated_test"], "row_idx").select(
         "row_idx", "project", "bug_num", "test_name")
 
@@ -109,7 +109,7 @@ def positional_join(spark, sf_dir):
 SELECT row_idx, project, bug_num FROM cases ORDER BY project, bug_num, row_idx LIMIT 32""", "cases"))
 def test_limit(spark, sf_dir):
     """The first 32 tasks in key order (the test-mode limit is the feature)."""
-    return (V.cases(spark, sf_dir).select("row_idx", "project", "bug_num")
+    return (V.cases(spark, sf_dir, flags=False).select("row_idx", "project", "bug_num")
             .orderBy("project", "bug_num", "row_idx").limit(32))
 
 
@@ -131,7 +131,7 @@ u AS (SELECT e.row_idx, CAST(count(*) AS INTEGER) AS k FROM ex e JOIN cnt c USIN
       WHERE c.n = 1 GROUP BY e.row_idx)"""))
 def distinct_lines(spark, sf_dir):
     """Lines of a test (minus first two and last) that no other test of the bug has."""
-    c = V.cases(spark, sf_dir).select("row_idx", "project", "bug_num", "generated_test")
+    c = V.cases(spark, sf_dir, flags=False).select("row_idx", "project", "bug_num", "generated_test")
     return L.distinct_line_counts(c, ["project", "bug_num"], "row_idx", "generated_test", "distinct_line").select(
         "row_idx", "project", "bug_num", "distinct_line")
 
@@ -157,7 +157,7 @@ lines_t AS (SELECT row_idx, list_filter(string_split(generated_test, chr(10)), l
             FROM cases)"""))
 def marker_split(spark, sf_dir):
     """One split test per marker line plus the full marker-free test."""
-    c = V.cases(spark, sf_dir).select("row_idx", "generated_test")
+    c = V.cases(spark, sf_dir, flags=False).select("row_idx", "generated_test")
     s = L.marker_split(c, "row_idx", "generated_test", _MARKER)
     return s.select("row_idx", "split_no", "has_marker", F.size(F.split("split_test", "\n", -1)).cast("long").alias("n_lines"),
                     F.md5("split_test").alias("split_md5"))
@@ -175,7 +175,7 @@ ends AS (SELECT file, coalesce(max(CASE WHEN trim(line) = '}' THEN line_idx END)
 starts AS (SELECT file, line_idx - 1 AS start FROM lines_t WHERE regexp_matches(line, '^[A-E]')),
 spans AS (SELECT s.file, s.start, coalesce(lead(s.start) OVER (PARTITION BY s.file ORDER BY s.start), e.last_brace) AS "end"
           FROM starts s JOIN ends e USING (file)),
-errs AS (SELECT DISTINCT user_id AS file, CAST(CAST(floor(value) AS BIGINT) % 12 AS BIGINT) AS err_idx
+errs AS (SELECT DISTINCT user_id AS file, CAST(floor(value) AS BIGINT) AS err_idx
          FROM events WHERE event_type = 'error'),
 bad AS (SELECT DISTINCT s.file, s.start, s."end" FROM spans s JOIN errs e
         ON s.file = e.file AND e.err_idx >= s.start AND e.err_idx < s."end"),
@@ -198,7 +198,7 @@ def _doc_lines(spark, sf_dir):
 def _errors(spark, sf_dir):
     ev = table(spark, sf_dir, "events").filter(F.col("event_type") == "error")
     return ev.select(F.col("user_id").alias("file"),
-                     (F.floor("value").cast("long") % 12).alias("err_idx")).distinct()
+                     F.floor("value").cast("long").alias("err_idx")).distinct()
 
 
 @register("spans", with_views("SELECT file, start, \"end\" FROM spans", ctes=_REPAIR_SQL))

@@ -54,6 +54,11 @@ e1 AS (SELECT *, CASE WHEN contains(t, 'assertThrows') THEN 'assertThrows'
                       WHEN regexp_matches(t, 'fail\(.*\).*}\s*catch') THEN 'fail_catch'
                       WHEN contains(t, 'isThrownBy') THEN 'isThrownBy' ELSE 'none' END AS kind,
               regexp_extract(t, 'assert[a-zA-z]*\(.*\);') AS am FROM e0),
+b1 AS (SELECT row_idx, part, unnest(string_split(part, '')) AS ch, generate_subscripts(string_split(part, ''), 1) AS i
+       FROM (SELECT row_idx, split_part(t, kind, 2) AS part FROM e1 WHERE kind IN ('assertThatThrownBy', 'isThrownBy'))),
+b2 AS (SELECT *, sum(CASE ch WHEN '(' THEN 1 WHEN ')' THEN -1 ELSE 0 END) OVER (PARTITION BY row_idx ORDER BY i) AS d FROM b1),
+b3 AS (SELECT row_idx, split_part(substr(any_value(part), 1, min(i) FILTER (ch = ')' AND d = 0) - 1), '->', 2) AS inside
+       FROM b2 GROUP BY row_idx),
 e2 AS (SELECT *, CASE WHEN am <> '' THEN substr(t, 1, strpos(t, am) - 1) ELSE '' END AS before FROM e1),
 e3 AS (SELECT *, CASE WHEN am <> '' THEN substr(t, 1, RF_BEFORE) || substr(t, strpos(t, am) + length(am)) ELSE t END AS cut
        FROM e2),
@@ -62,13 +67,17 @@ e5 AS (SELECT *, substr(cut, RF_STRIPPED + 1) AS last_stmt, RF_STRIPPED AS st FR
 e6 AS (SELECT *, CASE WHEN strpos(last_stmt, '=') = 0 THEN cut
                       ELSE substr(cut, 1, st) || substr(last_stmt, strpos(last_stmt, '=') + 1) END AS negative FROM e5),
 e7 AS (SELECT *, CASE kind
-         WHEN 'assertThrows' THEN split_part(t, 'assertThrows', 1)
-              || regexp_extract(split_part(t, 'assertThrows', 2), '^.*\(\s*\)\s*->\s*(.*)\s*\)', 1) || '; }' || chr(10)
-         WHEN 'fail_catch' THEN
+         WHEN 'assertThrows' THEN CASE WHEN regexp_matches(split_part(t, 'assertThrows', 2), '^.*\(\s*\)\s*->\s*(.*)\s*\)')
+              THEN split_part(t, 'assertThrows', 1)
+              || regexp_extract(split_part(t, 'assertThrows', 2), '^.*\(\s*\)\s*->\s*(.*)\s*\)', 1) || '; }' || chr(10) END
+         WHEN 'expected' THEN replace(t, regexp_extract(t, '^@Test.*(expected\s*=.*Exception.class)', 1), '')
+         WHEN 'assertThatThrownBy' THEN split_part(t, kind, 1) || inside || '; }' || chr(10)
+         WHEN 'isThrownBy' THEN split_part(t, kind, 1) || inside || '; }' || chr(10)
+         WHEN 'fail_catch' THEN CASE WHEN regexp_matches(t, '(?s)try\s*\{(.*;) fail\(.*\)\s*;\s*\}\s*catch') THEN
               substr(t, 1, strpos(t, regexp_extract(t, '(?s)try\s*\{(.*;) fail\(.*\)\s*;\s*\}\s*catch', 0)) - 1)
               || trim(regexp_extract(t, '(?s)try\s*\{(.*;) fail\(.*\)\s*;\s*\}\s*catch', 1), ' ' || chr(9) || chr(10) || chr(13))
-              || ' }' || chr(10)
-         ELSE negative END AS norm FROM e6),
+              || ' }' || chr(10) END
+         ELSE negative END AS norm FROM e6 LEFT JOIN b3 USING (row_idx)),
 e8 AS (SELECT *, trim(regexp_replace(array_to_string(list_filter(string_split(replace(norm, '// Undeclared exception! ', ''),
                                                                               ';'), lambda x: x <> ''), ';'),
                                      '\s+', ' ', 'g')) AS pruned,
@@ -84,7 +93,8 @@ e9 AS (SELECT *, CASE WHEN fm <> '' AND strpos(pruned, '{') > 0
 SELECT row_idx, kind, CASE WHEN kind = 'none' THEN 0 ELSE 1 END AS label,
        CASE WHEN kind = 'none' AND regexp_matches(norm, '^@Test (public )?void \S*\(.*\)\s*\{\s*}') THEN 'empty_test'
             WHEN kind = 'none' AND contains(t, 'verifyException') THEN 'error'
-            WHEN model_test IS NULL THEN 'error' END AS reason,
+            WHEN norm IS NULL OR model_test IS NULL THEN 'error' END AS reason,
+       kind = 'none' AND regexp_matches(t, '[eE]xception') AS missed,
        md5(model_test) AS model_md5, CAST(length(model_test) AS INTEGER) AS model_len
 FROM e9""", "code", ctes=_EXC_SQL))
 def exception_inputs(spark, sf_dir):
@@ -92,23 +102,24 @@ def exception_inputs(spark, sf_dir):
     standardised test) with the drop reason of rejected rows."""
     c = V.code(spark, sf_dir)
     out = CT.exception_inputs(c, "test", "focal_method")
-    return out.select("row_idx", "kind", "label", "reason", F.md5("model_test").alias("model_md5"),
+    return out.select("row_idx", "kind", "label", "reason", "missed", F.md5("model_test").alias("model_md5"),
                       F.length("model_test").alias("model_len"))
 
 
 @register("reason_counts", with_views(r"""
-SELECT 'exception_inputs' AS stage,
-       coalesce(CASE WHEN kind = 'none' AND regexp_matches(norm, '^@Test (public )?void \S*\(.*\)\s*\{\s*}') THEN 'empty_test'
-                     WHEN kind = 'none' AND contains(t, 'verifyException') THEN 'error'
-                     WHEN model_test IS NULL THEN 'error' END, 'kept') AS reason,
-       count(*) AS n
-FROM e9 GROUP BY ALL""", "code", ctes=_EXC_SQL))
+SELECT 'exception_inputs' AS stage, r AS reason, count(*) AS n FROM (
+SELECT unnest([reason, CASE WHEN missed THEN 'missed' END]) AS r FROM (
+  SELECT coalesce(CASE WHEN kind = 'none' AND regexp_matches(norm, '^@Test (public )?void \S*\(.*\)\s*\{\s*}') THEN 'empty_test'
+                       WHEN kind = 'none' AND contains(t, 'verifyException') THEN 'error'
+                       WHEN norm IS NULL OR model_test IS NULL THEN 'error' END, 'kept') AS reason,
+         kind = 'none' AND regexp_matches(t, '[eE]xception') AS missed FROM e9))
+WHERE r IS NOT NULL GROUP BY r""", "code", ctes=_EXC_SQL))
 def reason_counts(spark, sf_dir):
-    """Rows kept and dropped per stage and reason."""
-    c = V.code(spark, sf_dir)
-    out = CT.exception_inputs(c, "test", "focal_method")
-    return out.groupBy(F.lit("exception_inputs").alias("stage"),
-                       F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    """Rows kept and dropped per stage and reason; negative tests that speak of an exception."""
+    out = CT.exception_inputs(V.code(spark, sf_dir), "test", "focal_method")
+    reasons = F.array_compact(F.array(F.coalesce("reason", F.lit("kept")), F.when(F.col("missed"), F.lit("missed"))))
+    return out.select(F.explode(reasons).alias("reason")).groupBy(
+        F.lit("exception_inputs").alias("stage"), "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("prune_pieces", with_views("""
@@ -171,7 +182,7 @@ l6 AS (SELECT *, CASE WHEN ends_with(u, 'L') THEN substr(u, 1, length(u) - 1) EL
 @register("literal_type", with_views(r"""
 SELECT row_idx, assertion, CAST(len(args) AS INTEGER) AS n_args,
        CASE WHEN regexp_matches(ib, '^\s*[-+]?\d+(_\d+)*\s*$') THEN 'int'
-            WHEN regexp_matches(fb, '^\s*[-+]?((\d+(_\d+)*)?\.?\d+(_\d+)*([eE][-+]?\d+)?|\d+\.|inf|infinity|nan)\s*$')
+            WHEN regexp_matches(fb, '^\s*[-+]?((\d+(_\d+)*)?\.?\d+(_\d+)*([eE][-+]?\d+)?|\d+\.|(?i:inf|infinity|nan))\s*$')
             THEN 'float'
             WHEN substr(st, 1, 1) IN ('"', chr(39)) AND substr(st, length(st), 1) IN ('"', chr(39)) THEN 'String' END
          AS first_arg_type
@@ -295,7 +306,7 @@ e4 AS (SELECT *, CASE WHEN ends_with(u, 'L') THEN substr(u, 1, length(u) - 1) EL
               CASE WHEN ends_with(u, 'F') OR ends_with(u, 'D') THEN substr(u, 1, length(u) - 1) ELSE u END AS fb,
               trim(s, ' ' || chr(9) || chr(10) || chr(13)) AS st FROM e3),
 e5 AS (SELECT *, CASE WHEN regexp_matches(ib, '^\s*[-+]?\d+(_\d+)*\s*$') THEN 'int'
-                      WHEN regexp_matches(fb, '^\s*[-+]?((\d+(_\d+)*)?\.?\d+(_\d+)*([eE][-+]?\d+)?|\d+\.|inf|infinity|nan)\s*$')
+                      WHEN regexp_matches(fb, '^\s*[-+]?((\d+(_\d+)*)?\.?\d+(_\d+)*([eE][-+]?\d+)?|\d+\.|(?i:inf|infinity|nan))\s*$')
                       THEN 'float'
                       WHEN substr(st, 1, 1) IN ('"', chr(39)) AND substr(st, length(st), 1) IN ('"', chr(39))
                       THEN 'String' END AS lit FROM e4),

@@ -238,6 +238,6 @@ SELECT project, bug_num, unique_test_name, count(*) AS n_rows FROM (
 GROUP BY ALL HAVING count(*) > 1""", "cases"))
 def name_collisions(spark, sf_dir):
     """Unique names that collide (name + counter without a separator)."""
-    c = V.cases(spark, sf_dir).withColumn("_f", F.lit(""))
+    c = V.cases(spark, sf_dir, flags=False).withColumn("_f", F.lit(""))
     names = O.unique_test_names(c, "_f", "test_name", "row_idx")
     return O.duplicate_keys(names, ["project", "bug_num", "unique_test_name"])

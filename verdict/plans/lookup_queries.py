@@ -4,47 +4,59 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.columns import let
 from ..operators import lookup as LK
 from ..sources.tables import table
 from .registry import register
 
-# The argument type of a test cycles over these (vocabulary types + bool + int).
-_TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD", "bool", "int"]
-_TYPE_SQL = "CASE doc_id % 8 " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(_TYPES)) + " END"
+# The type of a name goes by its length over these (vocabulary types, bool, int, float).
+_TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD", "bool", "int", "float"]
+_TYPE_SQL = f"CASE length({{w}}) % {len(_TYPES)} " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(_TYPES)) + " END"
 
 _CAND_SQL = f"""
 WITH vc AS (SELECT p_type AS type, split_part(p_name, ' ', 1) AS value, count(*) AS n FROM part GROUP BY ALL),
 vocab AS (SELECT type, row_number() OVER (PARTITION BY type ORDER BY n DESC, value) AS rank, value FROM vc),
-t AS (SELECT doc_id, {_TYPE_SQL} AS _type, trim(w[1]) AS _arg, w[2:4] AS vars
-      FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents)),
+t AS (SELECT doc_id, w, {_TYPE_SQL.format(w="w[1]")} AS _type, trim(w[1]) AS _arg
+      FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents) WHERE length(w[1]) % {len(_TYPES)} <> 8),
+vs AS (SELECT doc_id, _arg, list_filter(w[2:], lambda x: {_TYPE_SQL.format(w="x")} = _type) AS vars FROM t),
 eq AS (
   SELECT t.doc_id, 0 AS src, v.rank AS rnk, concat('assertEquals(', v.value, ', ', t._arg, ')') AS candidate
   FROM t JOIN vocab v ON t._type = v.type WHERE v.value <> t._arg
   UNION ALL
   SELECT doc_id, 1, i - 1, concat('assertEquals(', vars[i], ', ', _arg, ')')
-  FROM (SELECT doc_id, _arg, vars, generate_subscripts(vars, 1) AS i FROM t) WHERE vars[i] <> _arg),
+  FROM (SELECT doc_id, _arg, vars, generate_subscripts(vars, 1) AS i FROM vs) WHERE vars[i] <> _arg),
 extras AS (
   SELECT doc_id, 2 AS src, 0 AS rnk, concat('assertTrue(', _arg, ')') AS candidate FROM t WHERE _type IN ('bool', 'boolean')
   UNION ALL SELECT doc_id, 2, 1, concat('assertFalse(', _arg, ')') FROM t WHERE _type IN ('bool', 'boolean')
   UNION ALL SELECT doc_id, 2, 0, concat('assertNotNull(', _arg, ')') FROM t
             WHERE _type NOT IN ('bool', 'boolean', 'int', 'float', 'double')),
 allc AS (SELECT * FROM eq UNION ALL SELECT * FROM extras),
-best AS (SELECT doc_id, candidate, min(src * 1000000 + rnk) AS o FROM allc GROUP BY doc_id, candidate)
+best AS (SELECT doc_id, candidate, min((src, rnk)) AS o FROM allc GROUP BY doc_id, candidate)
 SELECT doc_id, candidate, row_number() OVER (PARTITION BY doc_id ORDER BY o, candidate) - 1 AS cand_order FROM best"""
 
 
+def _type_of(w):
+    return F.element_at(F.array(*[F.lit(t) for t in _TYPES]), (F.length(w) % len(_TYPES) + 1).cast("int"))
+
+
 @register("candidate_generation", _CAND_SQL)
 def candidate_generation(spark, sf_dir):
-    """Assertion candidates from the ranked vocabulary of the argument's
-    type and same-type variables, plus assertTrue/False or assertNotNull."""
+    """Assertion candidates from the ranked vocabulary of the argument's type and the
+    same-type variables among all names of the text, plus assertTrue/False or assertNotNull;
+    assertions on floats are skipped."""
     part = table(spark, sf_dir, "part")
     vocab = LK.rank_vocabulary(part.select(F.col("p_type").alias("type"),
                                            F.substring_index("p_name", " ", 1).alias("value")))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)
-    types = F.element_at(F.array(*[F.lit(t) for t in _TYPES]), (F.col("doc_id") % 8 + 1).cast("int"))
-    tests = docs.select("doc_id", types.alias("type"), F.get(words, 0).alias("arg"),
-                        F.slice(words, 2, 3).alias("vars"))
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("w"))
+
+    def shaped(w):
+        declared = F.transform(F.slice(w, F.lit(2), F.size(w)), lambda x: F.struct(_type_of(x).alias("type"), x.alias("name")))
+        wanted = _type_of(F.get(w, 0))
+        return F.struct(wanted.alias("type"), F.get(w, 0).alias("arg"),
+                        let(wanted, lambda t: LK.same_type(declared, t)).alias("vars"))
+
+    tests = docs.select("doc_id", let(F.col("w"), shaped).alias("t")).select("doc_id", "t.*")
     return LK.generate_candidates(tests, vocab, "doc_id", "type", "arg", "vars").select(
         "doc_id", "candidate", F.col("cand_order").cast("long").alias("cand_order"))
 
@@ -62,12 +74,12 @@ classes AS (
 decls AS (
   SELECT concat('src', CAST(item_id % 20 AS VARCHAR)) AS class, lower(w[i]) AS name,
          CASE WHEN regexp_matches(w[i], '^[A-Z]') THEN 0 ELSE 1 END AS kind_order,
-         item_id * 100000 + i - 1 AS decl_pos,
+         item_id, i,
          concat('public void ', lower(w[i]), '() { }') AS text
   FROM (SELECT item_id, w, generate_subscripts(w, 1) AS i
         FROM (SELECT item_id, regexp_extract_all(text, '[A-Za-z]+') AS w FROM benchmark))),
-d1 AS (SELECT class, name, arg_min(text, kind_order * 1000000000000 + decl_pos) AS text,
-              min(kind_order * 1000000000000 + decl_pos) AS dkey FROM decls GROUP BY class, name),
+d1 AS (SELECT class, name, arg_min(text, (kind_order, item_id, i)) AS text,
+              min((kind_order, item_id, i)) AS dkey FROM decls GROUP BY class, name),
 cand AS (SELECT n1.doc_id, c.class, n1.name, n1.name_pos, c.depth, d1.text, d1.dkey
          FROM n1 JOIN classes c ON n1.doc_id = c.doc_id JOIN d1 ON d1.class = c.class AND d1.name = n1.name),
 best AS (SELECT doc_id, arg_min(class, (name_pos, depth, dkey)) AS focal_class,
@@ -97,7 +109,7 @@ def first_match_lookup(spark, sf_dir):
     bw = bench.select("item_id", F.posexplode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), 0)).alias("_i", "_w"))
     decls = bw.select(F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("class"),
                       F.lower("_w").alias("name"), F.when(F.col("_w").rlike("^[A-Z]"), 0).otherwise(1).alias("kind_order"),
-                      (F.col("item_id") * 100000 + F.col("_i")).alias("decl_pos"),
+                      F.struct("item_id", "_i").alias("decl_pos"),
                       F.concat(F.lit("public void "), F.lower("_w"), F.lit("() { }")).alias("text"))
     best = LK.first_match(names, classes, decls, "doc_id")
     out = docs.select("doc_id").join(best, "doc_id", "left")
@@ -113,10 +125,11 @@ WITH RECURSIVE cls AS (
          p_size % 5 <> 0 AS imported FROM part),
 step AS (SELECT c.class, c.extends AS parent FROM cls c
          WHERE c.imported AND c.extends IS NOT NULL AND EXISTS (SELECT 1 FROM cls p WHERE p.class = c.extends)),
-walk(class, ancestor, depth) AS (
-  SELECT class, parent, 1 FROM step
+walk(class, ancestor, depth, path) AS (
+  SELECT class, parent, 1, [parent] FROM step
   UNION ALL
-  SELECT w.class, s.parent, w.depth + 1 FROM walk w JOIN step s ON w.ancestor = s.class WHERE w.depth < 64)
+  SELECT w.class, s.parent, w.depth + 1, list_append(w.path, s.parent) FROM walk w JOIN step s ON w.ancestor = s.class
+  WHERE NOT list_contains(w.path, s.parent))
 SELECT class, ancestor, depth FROM walk"""
 
 

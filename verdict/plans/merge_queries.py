@@ -81,12 +81,12 @@ JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey =
 def dim_lookup_chain(spark, sf_dir):
     """Chained dimension lookups (bug -> revision -> layout); unresolved rows drop out.
 
-    ``nation`` and ``region`` are fixed-size dimensions (25 and 5 rows), so
-    they are broadcast."""
+    No hint: the dimensions stand for tables that may grow, and adaptive execution
+    broadcasts them by their size."""
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     n = table(spark, sf_dir, "nation")
     r = table(spark, sf_dir, "region")
-    j = c.join(F.broadcast(n), c.c_nationkey == n.n_nationkey).join(F.broadcast(r), n.n_regionkey == r.r_regionkey)
+    j = c.join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
     return j.select("c_custkey", "n_name", "r_name")
 
 
@@ -101,9 +101,9 @@ def lookup_rejects(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     n = table(spark, sf_dir, "nation")
     r = table(spark, sf_dir, "region")
-    no_nation = c.join(F.broadcast(n), c.c_nationkey == n.n_nationkey, "left_anti")
-    with_n = c.join(F.broadcast(n), c.c_nationkey == n.n_nationkey)
-    no_region = with_n.join(F.broadcast(r), with_n.n_regionkey == r.r_regionkey, "left_anti")
+    no_nation = c.join(n, c.c_nationkey == n.n_nationkey, "left_anti")
+    with_n = c.join(n, c.c_nationkey == n.n_nationkey)
+    no_region = with_n.join(r, with_n.n_regionkey == r.r_regionkey, "left_anti")
     a = no_region.agg(F.lit("no_region").alias("reason"), F.count(F.lit(1)).alias("n"))
     b = no_nation.agg(F.lit("no_nation").alias("reason"), F.count(F.lit(1)).alias("n"))
     return a.unionByName(b)

@@ -55,7 +55,7 @@ def tfidf_cosine(spark, sf_dir):
 
     Docstring = first line of the generated test, prefix = the remaining lines.
     """
-    c = V.cases(spark, sf_dir).select("row_idx", "project", "bug_num", "focal_method", "generated_test")
+    c = V.cases(spark, sf_dir, flags=False).select("row_idx", "project", "bug_num", "focal_method", "generated_test")
     c = c.withColumns({
         "docstring": F.substring_index("generated_test", "\n", 1),
         "test_prefix": F.regexp_replace("generated_test", r"^[^\n]*\n?", ""),

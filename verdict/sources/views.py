@@ -25,21 +25,23 @@ def _s(c: Column) -> Column:
     return c.cast("string")
 
 
-def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One generated test per document, flags from ``labels`` (nullable)."""
+def cases(spark: SparkSession, sf_dir: str, flags: bool = True) -> DataFrame:
+    """One generated test per document; with ``flags``, the nullable outcomes from ``labels``
+    (Catalyst cannot drop an outer join on a key it does not know to be unique)."""
     d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
-    lab = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
-    j = d.join(lab, "doc_id", "left")
-    return j.select(
+    out = [
         F.col("doc_id").alias("row_idx"),
         F.col("source").alias("project"),
         (F.floor(F.col("doc_id") / 20) % 5).alias("bug_num"),
         F.concat(F.lit("test"), _s(F.col("doc_id") % 3)).alias("test_name"),
         F.col("lang").alias("focal_method"),
         F.col("text").alias("generated_test"),
-        (F.col("quality") == 0).alias("failed_buggy"),
-        (F.col("toxic") == 1).alias("failed_fixed"),
-    )
+    ]
+    if not flags:
+        return d.select(*out)
+    lab = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    return d.join(lab, "doc_id", "left").select(
+        *out, (F.col("quality") == 0).alias("failed_buggy"), (F.col("toxic") == 1).alias("failed_fixed"))
 
 
 def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,8 +102,8 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
             .when(F.col("label") % 4 == 2, "assertNotNull").otherwise("assertEquals"))
     return emb.select(
         F.col("vec_id").alias("row_idx"),
-        (F.col("vec_id") % 200).alias("idx"),
-        F.floor(F.col("vec_id") / 200).alias("pos"),
+        F.floor(F.col("vec_id") / 3).alias("idx"),
+        (F.col("vec_id") % 3).alias("pos"),
         (e0 * LOGIT_SCALE).alias("l0"),
         (e1 * LOGIT_SCALE).alias("l1"),
         F.when(e1 > e0, 1).otherwise(0).alias("pred"),
@@ -112,57 +114,80 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def failed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Failed tests with trace, focal method, docstring, prefix and predictions
-    (the input of the ranking features), one per trigger block."""
-    t = traces(spark, sf_dir)
+    """Failed tests with trace, focal method, docstring, prefix, generated test and predictions
+    (the input of the ranking features): a trigger block and the whole text of one document."""
+    t = traces(spark, sf_dir).withColumnRenamed("row_idx", "_id")
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("_doc"), F.coalesce("text", F.lit("")).alias("text"))
+    c = code(spark, sf_dir)
+    j = d.join(t, F.col("_doc") == F.col("_id")).join(c, F.col("_doc") == F.col("row_idx"))
     r = F.col("row_idx")
-    focal = (F.when(r % 3 == 0, "public void close() throws IllegalStateException {")
-             .when(r % 3 == 1, "public int size() {").otherwise("public Cart(int n) {"))
-    doc = F.when(r % 5 == 0, "Throws CartException if empty").otherwise("")
-    prefix = (F.when(r % 4 == 1, "public void test0() { try { x(); } catch (java.io.IOException e) { } }")
-              .when(r % 4 == 2, "public void test1() { try { x(); } catch (IllegalStateException | CartException e) { } }")
-              .otherwise("public void test2() { x(); }"))
+    throws = F.when(r % 3 == 0, " throws IllegalStateException {").otherwise(" {")
+    doc = F.when(r % 5 == 0, " Throws CartException if empty").otherwise("")
     assert_pred = F.when(r % 3 == 0, "assertTrue(x)").when(r % 3 == 1, "  ").otherwise("")
-    return t.select(
+    return j.select(
         "row_idx", "project", "bug_num", "test_name",
         F.regexp_replace("trace", r"^-+", "").alias("buggy_test_trace"),
-        focal.alias("focal_method"), doc.alias("docstring"), prefix.alias("test_prefix"),
+        F.replace(F.col("focal_method"), F.lit(" {"), throws).alias("focal_method"),
+        F.concat(F.substring_index("text", "\n", 1), doc).alias("docstring"), F.col("test").alias("test_prefix"),
+        F.col("text").alias("generated_test"),
         (r % 2).cast("int").alias("except_pred"), assert_pred.alias("assert_pred"))
 
 
+def sentence_names(text: Column) -> Column:
+    """One identifier per sentence or line of the text: its words joined by '_' (sentences without a word: none)."""
+    parts = F.split(F.lower(F.coalesce(text, F.lit(""))), "[.\n]+", -1)
+    return F.filter(F.transform(parts, lambda x: F.array_join(F.regexp_extract_all(x, F.lit("[a-z]+"), F.lit(0)), "_")),
+                    lambda x: x != "")
+
+
 def code(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Generated-test-shaped code built around document words: one test and one
-    focal method per document; the oracle form cycles over assertion, try/fail/catch,
-    assertThrows and no oracle."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
-    w = F.regexp_extract(F.lower("text"), "([a-z]+)", 1)
-    k = (F.col("n_chars") % 10).cast("string")
-    v = F.col("doc_id") % 4
-    var = F.concat(F.lit("s"), (F.col("doc_id") % 7).cast("string"))
-    stmt = F.concat(F.lit("String "), var, F.lit(" = cart."), w, F.lit("("), k, F.lit(");"))
-    tail = (F.when(v == 0, F.concat(F.lit("assertEquals("), k, F.lit(", "), var, F.lit(".length());")))
-            .when(v == 1, F.concat(F.lit("try { cart."), w, F.lit('(); fail("Expecting exception: IllegalStateException"); '
-                                                                   '} catch(IllegalStateException e) { verifyException("pkg.Cart", e); }')))
-            .when(v == 2, F.concat(F.lit("assertThrows(IllegalStateException.class, () -> cart."), w, F.lit("());")))
-            .otherwise(F.concat(F.lit("cart."), w, F.lit("();"))))
-    test = F.concat(F.lit("@Test(timeout = 4000)\n  public void test"), F.lpad((F.col("doc_id") % 100).cast("string"), 2, "0"),
-                    F.lit("()  throws Throwable  {\n      "), stmt, F.lit("\n      "), tail, F.lit("\n  }"))
+    """Generated-test-shaped code: every sentence of the document is a statement, followed by
+    an oracle; its form cycles over assertions, the six exception forms, forms that the
+    classifier must reject, and no oracle."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = d.select("doc_id", sentence_names(F.col("text")).alias("_names"))
+    w = F.coalesce(F.get("_names", 0), F.lit("x"))
+    k = F.size("_names").cast("string")
+    call = F.concat(F.lit("cart."), w, F.lit("()"))
+    stmts = F.transform("_names", lambda x, i: F.concat(
+        F.lit("String s"), i.cast("string"), F.lit(" = cart."), x, F.lit("("), F.length(x).cast("string"), F.lit(");")))
+    exc = "IllegalStateException"
+    tails = [
+        F.concat(F.lit("assertEquals("), k, F.lit(", s0.length());")),
+        F.concat(F.lit("try { "), call, F.lit(f'; fail("Expecting exception: {exc}"); }} catch({exc} e) {{ verifyException("pkg.Cart", e); }}')),
+        F.concat(F.lit(f"assertThrows({exc}.class, () -> "), call, F.lit(");")),
+        F.concat(call, F.lit("; // no exception")),
+        F.concat(F.lit(f"assertThrows({exc}.class, cart::"), w, F.lit(");")),
+        F.concat(call, F.lit("; // expects")),
+        F.concat(F.lit("assertThatThrownBy(() -> "), call, F.lit(f").isInstanceOf({exc}.class);")),
+        F.concat(F.lit("Thrower t = thrower("), k, F.lit("); t.isThrownBy(() -> "), call, F.lit(");")),
+        F.concat(F.lit("assertEquals(NaN, s0.ratio()); assertTrue(s1.isEmpty());")),
+        F.concat(F.lit('try { fail("empty"); } catch(Exception e) { String m = e.getMessage(); }')),
+        F.concat(F.lit('assertEquals("'), w, F.lit('", s0); assertFalse('), call, F.lit(");")),
+    ]
+    v = F.col("doc_id") % len(tails)
+    tail = tails[-1]
+    for i, t in enumerate(tails[:-1]):
+        tail = F.when(v == i, t).otherwise(tail)
+    head = F.when(v == 5, F.lit(f"@Test(expected = {exc}.class)")).otherwise(F.lit("@Test(timeout = 4000)"))
+    test = F.concat(head, F.lit("\n  public void test"), F.lpad((F.col("doc_id") % 100).cast("string"), 2, "0"),
+                    F.lit("()  throws Throwable  {\n      "), F.array_join(stmts, "\n      "), F.lit("\n      "), tail, F.lit("\n  }"))
     focal = F.concat(F.lit("public String "), w, F.lit("(int n) {\n    return \""), w, F.lit("\";\n  }"))
     return d.select(F.col("doc_id").alias("row_idx"), test.alias("test"), focal.alias("focal_method"))
 
 
 def test_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Test-class files around document words: package, imports (some after the
-    @RunWith line), class header and one test case."""
+    """Test-class files around all words of a document: package, one import per word (the last
+    one after the @RunWith line), class header and one test case."""
     c = code(spark, sf_dir)
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_idx"), "source", "text")
-    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)
-    imports = F.transform(F.slice(words, 1, 4), lambda w: F.concat(F.lit("import pkg."), w, F.lit(";")))
+    d = d.withColumn("_w", F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z]+"), F.lit(0)))
+    imports = F.transform("_w", lambda w: F.concat(F.lit("import pkg."), w, F.lit(";")))
     cls = F.concat(F.lit("C"), (F.col("row_idx") % 9).cast("string"))
+    late = F.coalesce(F.try_element_at("_w", F.lit(-1)), F.lit("x"))
     body = F.concat_ws("\n", F.concat(F.lit("package pkg."), F.col("source"), F.lit(";")), F.lit(""),
                        F.array_join(imports, "\n"), F.lit("import org.junit.Test;"),
-                       F.lit("@RunWith(EvoRunner.class)"),
-                       F.concat(F.lit("import late."), F.coalesce(F.get(words, 4), F.lit("x")), F.lit(";")),
+                       F.lit("@RunWith(EvoRunner.class)"), F.concat(F.lit("import late."), late, F.lit(";")),
                        F.concat(F.lit("public class "), cls, F.lit("_ESTest {")), F.col("test"), F.lit("}"))
     return d.join(c, "row_idx").select("row_idx", F.col("source").alias("project"),
                                        F.concat(F.lit("pkg."), F.col("source")).alias("package"),
@@ -198,7 +223,7 @@ SELECT a.conv_id AS conv_id, a.turn AS turn, a.text AS text_a, b.text AS text_b
 FROM conversations a JOIN conversations b
   ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 AND a.role = 'user' AND b.role = 'assistant'""",
     "scores": f"""
-SELECT vec_id AS row_idx, vec_id % 200 AS idx, CAST(floor(vec_id / 200) AS BIGINT) AS pos,
+SELECT vec_id AS row_idx, CAST(floor(vec_id / 3) AS BIGINT) AS idx, vec_id % 3 AS pos,
        CAST(embedding[1] AS DOUBLE) * {LOGIT_SCALE} AS l0, CAST(embedding[2] AS DOUBLE) * {LOGIT_SCALE} AS l1,
        CASE WHEN CAST(embedding[2] AS DOUBLE) > CAST(embedding[1] AS DOUBLE) THEN 1 ELSE 0 END AS pred,
        CASE label % 4 WHEN 0 THEN 'assertTrue' WHEN 1 THEN 'assertFalse' WHEN 2 THEN 'assertNotNull'
@@ -207,50 +232,56 @@ SELECT vec_id AS row_idx, vec_id % 200 AS idx, CAST(floor(vec_id / 200) AS BIGIN
        CAST(floor(abs(CAST(embedding[3] AS DOUBLE)) * 500) AS INTEGER) AS truncation
 FROM embeddings""",
     "code": r"""
-SELECT doc_id AS row_idx,
-  concat('@Test(timeout = 4000)' || chr(10) || '  public void test', lpad(CAST(doc_id % 100 AS VARCHAR), 2, '0'),
+SELECT row_idx,
+  concat(CASE WHEN row_idx % 11 = 5 THEN '@Test(expected = IllegalStateException.class)' ELSE '@Test(timeout = 4000)' END,
+         chr(10) || '  public void test', lpad(CAST(row_idx % 100 AS VARCHAR), 2, '0'),
          '()  throws Throwable  {' || chr(10) || '      ',
-         concat('String s', CAST(doc_id % 7 AS VARCHAR), ' = cart.', regexp_extract(lower(text), '([a-z]+)', 1), '(',
-                CAST(n_chars % 10 AS VARCHAR), ');'),
+         array_to_string(list_transform(names, lambda x, i: concat('String s', CAST(i - 1 AS VARCHAR), ' = cart.', x, '(',
+                                        CAST(length(x) AS VARCHAR), ');')), chr(10) || '      '),
          chr(10) || '      ',
-         CASE doc_id % 4
-           WHEN 0 THEN concat('assertEquals(', CAST(n_chars % 10 AS VARCHAR), ', s', CAST(doc_id % 7 AS VARCHAR), '.length());')
-           WHEN 1 THEN concat('try { cart.', regexp_extract(lower(text), '([a-z]+)', 1),
-                              '(); fail("Expecting exception: IllegalStateException"); } catch(IllegalStateException e) { verifyException("pkg.Cart", e); }')
-           WHEN 2 THEN concat('assertThrows(IllegalStateException.class, () -> cart.', regexp_extract(lower(text), '([a-z]+)', 1), '());')
-           ELSE concat('cart.', regexp_extract(lower(text), '([a-z]+)', 1), '();') END,
+         CASE row_idx % 11
+           WHEN 0 THEN concat('assertEquals(', k, ', s0.length());')
+           WHEN 1 THEN concat('try { cart.', w, '(); fail("Expecting exception: IllegalStateException"); } catch(IllegalStateException e) { verifyException("pkg.Cart", e); }')
+           WHEN 2 THEN concat('assertThrows(IllegalStateException.class, () -> cart.', w, '());')
+           WHEN 3 THEN concat('cart.', w, '(); // no exception')
+           WHEN 4 THEN concat('assertThrows(IllegalStateException.class, cart::', w, ');')
+           WHEN 5 THEN concat('cart.', w, '(); // expects')
+           WHEN 6 THEN concat('assertThatThrownBy(() -> cart.', w, '()).isInstanceOf(IllegalStateException.class);')
+           WHEN 7 THEN concat('Thrower t = thrower(', k, '); t.isThrownBy(() -> cart.', w, '());')
+           WHEN 8 THEN 'assertEquals(NaN, s0.ratio()); assertTrue(s1.isEmpty());'
+           WHEN 9 THEN 'try { fail("empty"); } catch(Exception e) { String m = e.getMessage(); }'
+           ELSE concat('assertEquals("', w, '", s0); assertFalse(cart.', w, '());') END,
          chr(10) || '  }') AS test,
-  concat('public String ', regexp_extract(lower(text), '([a-z]+)', 1), '(int n) {' || chr(10) || '    return "',
-         regexp_extract(lower(text), '([a-z]+)', 1), '";' || chr(10) || '  }') AS focal_method
-FROM documents""",
+  concat('public String ', w, '(int n) {' || chr(10) || '    return "', w, '";' || chr(10) || '  }') AS focal_method
+FROM (SELECT row_idx, names, coalesce(names[1], 'x') AS w, CAST(len(names) AS VARCHAR) AS k
+      FROM (SELECT doc_id AS row_idx,
+                   list_filter(list_transform(regexp_split_to_array(lower(coalesce(text, '')), '[.\n]+'),
+                                              lambda x: array_to_string(regexp_extract_all(x, '[a-z]+'), '_')), lambda x: x <> '') AS names
+            FROM documents))""",
     "test_files": r"""
 SELECT d.doc_id AS row_idx, d.source AS project, 'pkg.' || d.source AS package,
        'C' || CAST(d.doc_id % 9 AS VARCHAR) AS class_name, c.test,
        concat_ws(chr(10), 'package pkg.' || d.source || ';', '',
-                 array_to_string(list_transform(regexp_extract_all(lower(d.text), '[a-z]+')[1:4],
-                                                lambda w: 'import pkg.' || w || ';'), chr(10)),
-                 'import org.junit.Test;', '@RunWith(EvoRunner.class)',
-                 'import late.' || coalesce(regexp_extract_all(lower(d.text), '[a-z]+')[5], 'x') || ';',
+                 array_to_string(list_transform(d.w, lambda w: 'import pkg.' || w || ';'), chr(10)),
+                 'import org.junit.Test;', '@RunWith(EvoRunner.class)', 'import late.' || coalesce(d.w[-1], 'x') || ';',
                  'public class C' || CAST(d.doc_id % 9 AS VARCHAR) || '_ESTest {', c.test, '}') AS file_text
-FROM documents d JOIN code c ON c.row_idx = d.doc_id""",
+FROM (SELECT doc_id, source, regexp_extract_all(lower(coalesce(text, '')), '[a-z]+') AS w FROM documents) d
+JOIN code c ON c.row_idx = d.doc_id""",
     "failed": """
-SELECT row_idx, project, bug_num, test_name, regexp_replace(trace, '^-+', '') AS buggy_test_trace,
-       CASE row_idx % 3 WHEN 0 THEN 'public void close() throws IllegalStateException {'
-         WHEN 1 THEN 'public int size() {' ELSE 'public Cart(int n) {' END AS focal_method,
-       CASE WHEN row_idx % 5 = 0 THEN 'Throws CartException if empty' ELSE '' END AS docstring,
-       CASE row_idx % 4 WHEN 1 THEN 'public void test0() { try { x(); } catch (java.io.IOException e) { } }'
-         WHEN 2 THEN 'public void test1() { try { x(); } catch (IllegalStateException | CartException e) { } }'
-         ELSE 'public void test2() { x(); }' END AS test_prefix,
-       CAST(row_idx % 2 AS INTEGER) AS except_pred,
-       CASE row_idx % 3 WHEN 0 THEN 'assertTrue(x)' WHEN 1 THEN '  ' ELSE '' END AS assert_pred
-FROM traces""",
+SELECT t.row_idx, project, bug_num, test_name, regexp_replace(trace, '^-+', '') AS buggy_test_trace,
+       replace(c.focal_method, ' {', CASE WHEN t.row_idx % 3 = 0 THEN ' throws IllegalStateException {' ELSE ' {' END) AS focal_method,
+       split_part(coalesce(text, ''), chr(10), 1) || CASE WHEN t.row_idx % 5 = 0 THEN ' Throws CartException if empty' ELSE '' END AS docstring,
+       c.test AS test_prefix, coalesce(text, '') AS generated_test,
+       CAST(t.row_idx % 2 AS INTEGER) AS except_pred,
+       CASE t.row_idx % 3 WHEN 0 THEN 'assertTrue(x)' WHEN 1 THEN '  ' ELSE '' END AS assert_pred
+FROM traces t JOIN documents d ON d.doc_id = t.row_idx JOIN code c ON c.row_idx = t.row_idx""",
 }
 
 
 def with_views(sql: str, *names: str, ctes: str | None = None) -> str:
     """Prefix an oracle query with the CTEs of the views it reads (+ extra CTEs)."""
-    if "failed" in names and "traces" not in names:
-        names = ("traces", *names)
+    if "failed" in names:
+        names = (*(n for n in ("traces", "code") if n not in names), *names)
     if "test_files" in names and "code" not in names:
         names = ("code", *names)
     parts = [f"{n} AS ({VIEW_SQL[n]}\n)" for n in names]
