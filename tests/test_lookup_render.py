@@ -51,7 +51,10 @@ def test_first_match_priority(spark):
     decls = spark.createDataFrame([("C", "a", 1, 5, "C.a()"), ("P", "b", 1, 1, "P.b()"), ("C", "b", 1, 9, "C.b()"),
                                    ("C", "b", 0, 20, "new C.b"), ("P", "a", 0, 0, "P.a")],
                                   "class string, name string, kind_order int, decl_pos long, text string")
-    got = {r["id"]: r["text"] for r in LK.first_match(names, classes, decls, "id").collect()}
+    decls = decls.withColumn("doc", F.concat(F.lit("doc of "), "text"))
+    rows = LK.first_match(names, classes, decls, "id").collect()
+    got = {r["id"]: r["text"] for r in rows}
+    assert all(r["doc"] == "doc of " + r["text"] for r in rows)
     # test 1: name 'b' first; own class C before P; constructor (kind 0) before method
     assert got == {1: "new C.b", 3: "C.a()"}
 
@@ -64,6 +67,17 @@ def test_superclass_chain(spark):
     assert got == [("A", "B", 1), ("A", "C", 2), ("B", "C", 1), ("F", "A", 1), ("F", "B", 2), ("F", "C", 3)]
 
 
+def test_superclass_chain_has_no_limit(spark):
+    n = 81
+    rows = [(f"C{i}", f"C{i + 1}" if i < n - 1 else None, True) for i in range(n)] + [("X", "Y", True), ("Y", "X", True), ("Z", "X", True)]
+    got = LK.superclass_chain(spark.createDataFrame(rows, "class string, extends string, imported boolean")).collect()
+    chain = [tuple(r) for r in got if r["class"].startswith("C")]
+    assert len(chain) == n * (n - 1) // 2 and ("C0", "C80", 80) in chain
+    # a cycle gives each ancestor once
+    assert sorted(tuple(r) for r in got if not r["class"].startswith("C")) == [
+        ("X", "X", 2), ("X", "Y", 1), ("Y", "X", 1), ("Y", "Y", 2), ("Z", "X", 1), ("Z", "Y", 2)]
+
+
 def test_import_lines_and_template(spark):
     text = "package p;\nimport a.B;\n  import c.D;  \n@RunWith(X.class)\nimport late.E;\nclass T {}"
     df = spark.createDataFrame([(text,)], "t string")

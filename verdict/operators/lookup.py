@@ -70,20 +70,20 @@ def first_match(names: DataFrame, classes: DataFrame, decls: DataFrame, id_col:
 
     names: (id, name, name_pos) — invoked names, 0 = highest priority;
     classes: (id, class, depth) — own class 0, superclasses 1, 2, ...;
-    decls: (class, name, kind_order, decl_pos, text) — constructors before methods.
-    Returns (id, class, name, name_pos, depth, text) for tests with a match.
+    decls: (class, name, kind_order, decl_pos, text, doc) — constructors before methods.
+    Returns (id, class, name, name_pos, depth, text, doc) for tests with a match.
     """
     # only names that some class declares can match: drop the others before their shuffle
     declared = decls.select("name").distinct()
     n1 = names.join(declared, "name", "left_semi").groupBy(id_col, "name").agg(F.min("name_pos").alias("name_pos"))
     d1 = decls.groupBy("class", "name").agg(
-        F.min_by(F.struct("kind_order", "decl_pos", "text"), F.struct("kind_order", "decl_pos")).alias("_d"))
+        F.min_by(F.struct("kind_order", "decl_pos", "text", "doc"), F.struct("kind_order", "decl_pos")).alias("_d"))
     # both sides grow with the data (and the planner underestimates exploded names):
     # keep this one a shuffle join; the declaration side is left to AQE
     cand = n1.join(classes.hint("merge"), id_col).join(d1, ["class", "name"])
     key = F.struct("name_pos", "depth", F.col("_d.kind_order"), F.col("_d.decl_pos"))
     best = cand.groupBy(id_col).agg(F.min_by(F.struct("class", "name", "name_pos", "depth", F.col("_d.text")
-                                                      .alias("text")), key).alias("_b"))
+                                                      .alias("text"), F.col("_d.doc").alias("doc")), key).alias("_b"))
     return best.select(id_col, "_b.*")
 
 

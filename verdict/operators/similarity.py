@@ -15,7 +15,7 @@ import os
 from collections.abc import Sequence
 from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -50,48 +50,49 @@ def tfidf_similarity(df: DataFrame, group: Sequence[str], id_col: str,
     that column (``distinct=False``) or each distinct text once per group
     (``distinct=True``). ``left`` / ``right`` are tags of two parts.
 
-    The texts are read in one pass and tokenised once: a document kept once but
-    present in k rows counts its tokens k times, so the term counts are divided by
-    the number of copies (exact integers). Everything after that is keyed by
-    (group, document, token).
+    A distinct part is reduced to one text per (group, hash) before it is tokenised, so a text
+    shared by many rows is tokenised once. Everything after that is keyed by (group, document,
+    token).
     """
     spark = df.sparkSession
     stop = F.broadcast(stop_word_table(spark, stop_words))  # fixed-size word list
-    docs = df.select(*group, id_col, F.explode(F.array(*[
-        F.struct(F.lit(tag).alias("kind"),
-                 F.concat(F.lit(tag + ":"), F.md5(F.col(col)) if distinct else F.col(id_col).cast("string"))
-                 .alias("doc_id"),
-                 F.col(col).alias("text"))
-        for tag, col, distinct in parts])).alias("_d")).select(*group, id_col, "_d.*")
-    copies = docs.groupBy(*group, "doc_id").agg(F.count(F.lit(1)).alias("_copies"))
-    raw = (docs.select(*group, "doc_id", F.explode(tokens("text")).alias("token"))
-           .join(stop, "token", "left_anti").groupBy(*group, "doc_id", "token").agg(F.count(F.lit(1)).alias("_k")))
-    ctf = raw.join(copies, [*group, "doc_id"]).select(
-        *group, "doc_id", "token", (F.col("_k") / F.col("_copies")).cast("long").alias("tf"))
-    # the term counts feed both the document frequencies and the vectors: materialise
-    # them once (reliable checkpoint) so the texts are tokenised a single time
+    kinds = {tag: (col, distinct) for tag, col, distinct in parts}
+
+    def doc_id(tag: str) -> Column:
+        col, distinct = kinds[tag]
+        return F.concat(F.lit(tag + ":"), F.md5(F.col(col)) if distinct else F.col(id_col).cast("string"))
+
+    each = [F.struct(doc_id(tag).alias("doc_id"), F.col(col).alias("text")) for tag, col, distinct in parts if not distinct]
+    docs = df.select(*group, F.explode(F.array(*each)).alias("_d")).select(*group, "_d.*") if each else None
+    for tag, col, distinct in parts:
+        if distinct:
+            once = df.groupBy(*group, doc_id(tag).alias("doc_id")).agg(F.any_value(col).alias("text"))
+            docs = once if docs is None else docs.unionByName(once)
+    # the term counts feed both the document frequencies and the vectors: materialise them
+    # once (reliable checkpoint); a document without a token is a row with a null token
+    ctf = docs.select(*group, "doc_id", F.explode_outer(tokens("text")).alias("token")).groupBy(*group, "doc_id", "token").agg(
+        F.count(F.lit(1)).alias("tf"))
     ctf = cut_lineage(ctf)
+    n_docs = ctf.groupBy(*group).agg(F.count_distinct("doc_id").alias("n"))
+    ctf = ctf.join(stop, "token", "left_anti").filter(F.col("token").isNotNull())
     dfreq = ctf.groupBy(*group, "token").agg(F.count(F.lit(1)).alias("df"))
-    n_docs = copies.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
     idf = dfreq.join(n_docs, list(group)).select(
         *group, "token", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
     # only the two compared kinds need weighted vectors; the rest only feed df
     needed = F.col("doc_id").startswith(left + ":") | F.col("doc_id").startswith(right + ":")
     w = ctf.filter(needed).join(idf, [*group, "token"]).select(
         *group, "doc_id", "token", (F.col("tf") * F.col("idf")).alias("w"))
-    # L2 norm per document as a window over the same (group, document) partitioning
-    unit = w.withColumn("u", F.col("w") / F.sqrt(F.sum(F.col("w") ** 2).over(Window.partitionBy(*group, "doc_id"))))
-    # left documents are per row ('<left>:<row id>'), so their row id is read off the key;
-    # right documents may be shared by rows and are mapped through the row's key
-    ua = unit.filter(F.col("doc_id").startswith(left + ":")).select(
-        *group, F.substring("doc_id", len(left) + 2, 1 << 20).cast("long").alias(id_col), "token",
-        F.col("u").alias("_ua"))
-    side = docs.filter(F.col("kind") == right).select(*group, id_col, F.col("doc_id").alias("_db"))
-    ub = side.join(unit.filter(F.col("doc_id").startswith(right + ":")).select(
-        *group, F.col("doc_id").alias("_db"), "token", F.col("u").alias("_ub")), [*group, "_db"])
-    dot = ua.join(ub, [*group, id_col, "token"]).groupBy(*group, id_col).agg(
-        F.round(F.sum(F.col("_ua") * F.col("_ub")), 6).alias(out))
-    return df.join(dot, [*group, id_col], "left").fillna(0.0, [out])
+    norms = w.groupBy(*group, "doc_id").agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("_norm"))
+    unit = w.join(norms, [*group, "doc_id"]).select(*group, "doc_id", "token", (F.col("w") / F.col("_norm")).alias("u"))
+    rows = df.select(*group, id_col, doc_id(left).alias("_da"), doc_id(right).alias("_db"))
+    side = lambda tag, key, u: unit.filter(F.col("doc_id").startswith(tag + ":")).select(
+        *group, F.col("doc_id").alias(key), "token", F.col("u").alias(u))
+    # the dot product once per pair of documents, not per row
+    pairs = rows.select(*group, "_da", "_db").distinct()
+    dot = (pairs.join(side(left, "_da", "_ua"), [*group, "_da"]).join(side(right, "_db", "_ub"), [*group, "_db", "token"])
+           .groupBy(*group, "_da", "_db").agg(F.round(F.sum(F.col("_ua") * F.col("_ub")), 6).alias(out)))
+    sims = rows.join(dot, [*group, "_da", "_db"]).select(*group, id_col, out)
+    return df.join(sims, [*group, id_col], "left").fillna(0.0, [out])
 
 
 # The corpus of the test-docstring similarity feature.

@@ -75,19 +75,19 @@ decls AS (
   SELECT concat('src', CAST(item_id % 20 AS VARCHAR)) AS class, lower(w[i]) AS name,
          CASE WHEN regexp_matches(w[i], '^[A-Z]') THEN 0 ELSE 1 END AS kind_order,
          item_id, i,
-         concat('public void ', lower(w[i]), '() { }') AS text
+         concat('public void ', lower(w[i]), '() { }') AS text, concat('/** ', w[i], ' of item ', item_id, ' */') AS doc
   FROM (SELECT item_id, w, generate_subscripts(w, 1) AS i
         FROM (SELECT item_id, regexp_extract_all(text, '[A-Za-z]+') AS w FROM benchmark))),
-d1 AS (SELECT class, name, arg_min(text, (kind_order, item_id, i)) AS text,
+d1 AS (SELECT class, name, arg_min(text, (kind_order, item_id, i)) AS text, arg_min(doc, (kind_order, item_id, i)) AS doc,
               min((kind_order, item_id, i)) AS dkey FROM decls GROUP BY class, name),
-cand AS (SELECT n1.doc_id, c.class, n1.name, n1.name_pos, c.depth, d1.text, d1.dkey
+cand AS (SELECT n1.doc_id, c.class, n1.name, n1.name_pos, c.depth, d1.text, d1.doc, d1.dkey
          FROM n1 JOIN classes c ON n1.doc_id = c.doc_id JOIN d1 ON d1.class = c.class AND d1.name = n1.name),
 best AS (SELECT doc_id, arg_min(class, (name_pos, depth, dkey)) AS focal_class,
                 arg_min(name, (name_pos, depth, dkey)) AS focal_name,
-                arg_min(text, (name_pos, depth, dkey)) AS focal_text
+                arg_min(text, (name_pos, depth, dkey)) AS focal_text, arg_min(doc, (name_pos, depth, dkey)) AS docstring
          FROM cand GROUP BY doc_id)
 SELECT d.doc_id, coalesce(b.focal_class, '') AS focal_class, coalesce(b.focal_name, '') AS focal_name,
-       coalesce(b.focal_text, '') AS focal_text
+       coalesce(b.focal_text, '') AS focal_text, coalesce(b.docstring, '') AS docstring
 FROM documents d LEFT JOIN best b ON d.doc_id = b.doc_id"""
 
 
@@ -110,12 +110,13 @@ def first_match_lookup(spark, sf_dir):
     decls = bw.select(F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("class"),
                       F.lower("_w").alias("name"), F.when(F.col("_w").rlike("^[A-Z]"), 0).otherwise(1).alias("kind_order"),
                       F.struct("item_id", "_i").alias("decl_pos"),
-                      F.concat(F.lit("public void "), F.lower("_w"), F.lit("() { }")).alias("text"))
+                      F.concat(F.lit("public void "), F.lower("_w"), F.lit("() { }")).alias("text"),
+                      F.concat(F.lit("/** "), "_w", F.lit(" of item "), F.col("item_id").cast("string"), F.lit(" */")).alias("doc"))
     best = LK.first_match(names, classes, decls, "doc_id")
     out = docs.select("doc_id").join(best, "doc_id", "left")
     return out.select("doc_id", F.coalesce("class", F.lit("")).alias("focal_class"),
                       F.coalesce("name", F.lit("")).alias("focal_name"),
-                      F.coalesce("text", F.lit("")).alias("focal_text"))
+                      F.coalesce("text", F.lit("")).alias("focal_text"), F.coalesce("doc", F.lit("")).alias("docstring"))
 
 
 _WALK_SQL = """

@@ -71,16 +71,11 @@ def topk_mean_over_seeds(spark, sf_dir):
     return R.mean_topk(_hits(spark, sf_dir), [["system", "run"], ["system"]])
 
 
-_ISO_FEATURES = ["focal_name_count", "except_pred", "no_except_pred", "test_prefix_exception",
-                 "trace_exception_count", "trace_desc_count", "not_rare_e", "rare_exception_count",
-                 "focal_rare_e_count"]
-
-
 @register("isolation_rank")
 def isolation_rank(spark, sf_dir):
     """Isolation-forest rank of failed tests per bug, ten seeds."""
     from ..operators import features as FT
     from ..operators import outlier as OUT
-    feats = FT.add_features(V.failed(spark, sf_dir), _ISO_FEATURES)
-    ranked = OUT.isolation_rank(feats, ["project", "bug_num"], "row_idx", _ISO_FEATURES)
+    feats = FT.add_features(V.failed(spark, sf_dir), FT.FEATURE_NAMES)
+    ranked = OUT.isolation_rank(feats, ["project", "bug_num"], "row_idx", FT.FEATURE_NAMES)
     return ranked.select("project", "bug_num", "seed", "row_idx", F.round("score", 6).alias("score"), "rank")

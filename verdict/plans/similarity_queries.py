@@ -16,9 +16,12 @@ def _stop_values() -> str:
     return ", ".join("('" + w.replace("'", "''") + "')" for w in SIM.english_stop_words())
 
 
-_TFIDF_SQL = r"""
+BASE_SQL = r"""
 base AS (SELECT row_idx, project, bug_num, focal_method, split_part(generated_test, chr(10), 1) AS docstring,
-                regexp_replace(generated_test, '^[^\n]*\n?', '') AS test_prefix, generated_test FROM cases),
+                regexp_replace(generated_test, '^[^\n]*\n?', '') AS test_prefix, generated_test FROM cases),"""
+
+# Over ``base`` (row_idx, project, bug_num and the four texts): ``sims``.
+TFIDF_SQL = r"""
 corpus AS (
   SELECT DISTINCT project, bug_num, 'f:' || md5(focal_method) AS doc_id, focal_method AS text FROM base
   UNION ALL SELECT DISTINCT project, bug_num, 'd:' || md5(docstring), docstring FROM base
@@ -49,7 +52,7 @@ sims AS (SELECT dots.row_idx, round(d / (na.n * nb.n), 6) AS sim FROM dots JOIN
 
 @register("tfidf_cosine", with_views("""
 SELECT c.row_idx, c.project, c.bug_num, coalesce(s.sim, 0.0) AS test_doc_sim
-FROM cases c LEFT JOIN sims s USING (row_idx)""", "cases", ctes=_TFIDF_SQL))
+FROM cases c LEFT JOIN sims s USING (row_idx)""", "cases", ctes=BASE_SQL + TFIDF_SQL))
 def tfidf_cosine(spark, sf_dir):
     """TF-IDF cosine of generated test vs docstring, vectorizer fitted per bug.
 

@@ -10,6 +10,7 @@ from ..sources import views as V
 from ..sources.tables import table
 from ..sources.views import with_views
 from .registry import register
+from .similarity_queries import TFIDF_SQL
 
 _WS = "' ' || chr(9) || chr(10) || chr(13)"
 
@@ -219,17 +220,26 @@ def focal_rare_counts(spark, sf_dir):
     return _features(spark, sf_dir, ["focal_rare_e_count"]).select("row_idx", "focal_rare_e_count")
 
 
-_TABLE_FEATURES = ["focal_name_count", "except_pred", "no_except_pred", "test_prefix_exception",
-                   "trace_exception_count", "trace_desc_count", "not_rare_e", "rare_exception_count",
-                   "focal_rare_e_count"]
+_TABLE_SQL = _FEAT_SQL + f""",
+base AS (SELECT row_idx, project, bug_num, focal_method, docstring, test_prefix, generated_test FROM failed),
+{TFIDF_SQL.strip()},
+body AS (
+  SELECT row_idx, project, bug_num, CASE WHEN len(ls) > 3 THEN list_distinct(ls[3:len(ls) - 1]) ELSE [] END AS b FROM (
+    SELECT row_idx, project, bug_num,
+           list_filter(list_transform(string_split(trim(generated_test, {_WS}), chr(10)), lambda x: trim(x, {_WS})), lambda x: x <> '')
+             AS ls FROM failed)),
+ex AS (SELECT row_idx, project, bug_num, unnest(b) AS line FROM body),
+u AS (SELECT row_idx, CAST(count(*) AS INTEGER) AS k
+      FROM (SELECT project, bug_num, line, min(row_idx) AS row_idx FROM ex GROUP BY ALL HAVING count(*) = 1) GROUP BY row_idx)"""
 
 
 @register("feature_table", with_views("""
-SELECT row_idx, project, bug_num, focal_name_count, except_flag AS except_pred,
+SELECT f.row_idx, f.project, f.bug_num, focal_name_count, coalesce(u.k, 0) AS distinct_line, except_flag AS except_pred,
        NOT assert_flag AND NOT except_flag AS no_except_pred, assert_flag AS assert_pred,
        test_prefix_exception, trace_exception_count, trace_desc_count, not_rare_e,
-       rare_exception_count, focal_rare_e_count FROM feat""", "failed", ctes=_FEAT_SQL))
+       rare_exception_count, focal_rare_e_count, coalesce(s.sim, 0.0) AS test_doc_sim
+FROM feat f LEFT JOIN u USING (row_idx) LEFT JOIN sims s USING (row_idx)""", "failed", ctes=_TABLE_SQL))
 def feature_table(spark, sf_dir):
-    """The ranking feature table (text features have their own queries)."""
-    df = _features(spark, sf_dir, _TABLE_FEATURES)
-    return df.select("row_idx", "project", "bug_num", "assert_pred", *_TABLE_FEATURES)
+    """The ranking feature table, all eleven features."""
+    df = _features(spark, sf_dir, FT.FEATURE_NAMES)
+    return df.select("row_idx", "project", "bug_num", "assert_pred", *FT.FEATURE_NAMES)
