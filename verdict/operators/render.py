@@ -65,10 +65,15 @@ def support_classes(extra: Column | str) -> Column:
 def render_template(package: Column, imports: Column, class_name: Column, cases: Column,
                     template: str = ESTEST_TEMPLATE) -> Column:
     """Fill the placeholders of ``template`` (nested replace, JVM-side)."""
+    return fill(template, {"{TEST_PACKAGE}": package, "{TEST_IMPORTS}": F.array_join(imports, "\n"),
+                           "{TEST_CLASS_NAME}": class_name, "{TEST_CASES}": cases})
+
+
+def fill(template: str, values: dict[str, Column]) -> Column:
+    """A template given as text (read it from the caller's file) with its placeholders replaced, in order."""
     out = F.lit(template)
-    for ph, val in (("{TEST_PACKAGE}", package), ("{TEST_IMPORTS}", F.array_join(imports, "\n")),
-                    ("{TEST_CLASS_NAME}", class_name), ("{TEST_CASES}", cases)):
-        out = F.replace(out, F.lit(ph), val)
+    for placeholder, value in values.items():
+        out = F.replace(out, F.lit(placeholder), value)
     return out
 
 

@@ -40,4 +40,5 @@ def load_all() -> None:
         lookup_queries,
         extract_queries,
         outcome_queries,
+        result_queries,
     )
