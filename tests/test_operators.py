@@ -243,3 +243,57 @@ def test_expected_type_rules(spark):
     got = {r["id"]: r["t"] for r in CT.with_expected_type(df, "a", "f", "t").collect()}
     assert got == {0: "boolean", 1: "int", 2: "float", 3: "String", 4: "Cart", 5: "List<String>",
                    6: None, 7: None, 8: None}
+
+
+def test_exception_forms_that_do_not_fit(spark):
+    rows = [(0, "@Test public void t() { x(); assertThrows(E.class, cart::size); }"),
+            (1, "@Test public void t() { try { fail(\"x\"); } catch(E e) { } }"),
+            (2, "@Test public void t() { assertThatThrownBy(() -> a.b(c(1))).isInstanceOf(E.class); }"),
+            (3, "@Test public void t() { r(); // no Exception here\n }")]
+    df = spark.createDataFrame([(i, t, "int size() {") for i, t in rows], "id long, t string, f string")
+    got = {r["id"]: r for r in CT.exception_inputs(df, "t", "f").collect()}
+    assert (got[0]["kind"], got[0]["reason"], got[0]["model_test"]) == ("assertThrows", "error", None)
+    assert (got[1]["kind"], got[1]["reason"]) == ("fail_catch", "error")
+    assert got[2]["model_test"] == "public void testSize() { a.b(c(1)); }" and got[2]["reason"] is None
+    assert got[3]["missed"] and not got[2]["missed"] and got[3]["label"] == 0
+
+
+def test_literal_words_and_casts(spark):
+    rows = [("NaN", "float"), ("Infinity", "float"), ("inf", "float"), ("(-Infinity)", "float"), ("nano", None), ("1L", "int"),
+            ("\"a\"", "String")]
+    df = spark.createDataFrame([(i, a) for i, (a, _) in enumerate(rows)], "i int, a string")
+    assert [r["k"] for r in df.select("i", CT.literal_kind("a").alias("k")).orderBy("i").collect()] == [k for _, k in rows]
+    c = spark.createDataFrame([("assertEquals((byte)3, x)", []), ("assertEquals((3), x)", []), ("assertEquals((3), x)", ["assertEquals((3), x)"])],
+                              "a string, c array<string>")
+    assert [r["s"] for r in c.select(CT.strip_cast("a", "c").alias("s")).collect()] == [
+        "assertEquals(3, x)", "assertEquals(3, x)", "assertEquals((3), x)"]
+
+
+def test_counts_of_a_hot_bug(spark):
+    """One bug with most of the rows: no window in the plan, right counts."""
+    from verdict.operators import features as FT
+    df = spark.range(3000).select((F.when(F.col("id") % 3 < 2, 0).otherwise(F.col("id") % 50)).alias("bug"), (F.col("id") % 7).alias("v"))
+    out = FT.counts_over(df, [(["bug"], "n", None), (["bug", "v"], "m", F.col("v") > 2)])
+    assert "Window" not in out._jdf.queryExecution().toString()
+    want = {}
+    for r in df.collect():
+        want[r["bug"]] = want.get(r["bug"], 0) + 1
+    assert all(r["n"] == want[r["bug"]] for r in out.collect()) and out.count() == 3000
+
+
+def test_result_chain_checks(spark):
+    from verdict.operators import results as RS
+    df = spark.createDataFrame([("p", 1, "a"), ("p", 1, "b")], "project string, bug_num long, x string")
+    try:
+        RS.checked_one_to_one(df, ["project", "bug_num"], "left").collect()
+    except Exception as ex:  # noqa: BLE001
+        assert "are not unique" in str(ex)
+    else:
+        raise AssertionError("duplicate keys passed")
+    full = spark.createDataFrame([(True, None), (False, None)], "failed_buggy boolean, y string")
+    try:
+        RS.failed_test_data(full).collect()
+    except Exception as ex:  # noqa: BLE001
+        assert "has a null" in str(ex)
+    else:
+        raise AssertionError("a null passed")

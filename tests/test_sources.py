@@ -64,3 +64,78 @@ def test_bug_lists_project_from_file_name(spark):
     got = sorted((r["project"], int(r["bug_id"])) for r in df.collect())
     assert got == [("Lang", 1), ("Lang", 3)]
     assert S.parse_projects(None, ["A"]) == ["A"] and S.parse_projects(["X", "Y"], []) == ["X", "Y"]
+
+
+def _write(path, text):
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    with open(path, "w") as f:
+        f.write(text)
+
+
+def test_string_csv_with_and_without_header(spark, tmp_path):
+    _write(f"{tmp_path}/a.csv", 'x,y\n1,"a ""q"" \nb"\n')
+    assert [tuple(r) for r in S.read_string_csv(spark, f"{tmp_path}/a.csv").collect()] == [("1", 'a "q" \nb')]
+    _write(f"{tmp_path}/b.csv", "1,2\n3,4\n")
+    got = S.read_string_csv(spark, f"{tmp_path}/b.csv", header=False, names=["p", "q"])
+    assert got.columns == ["p", "q"] and [tuple(r) for r in got.collect()] == [("1", "2"), ("3", "4")]
+
+
+def test_keyed_csv_keeps_the_last_row_of_a_key(spark, tmp_path):
+    _write(f"{tmp_path}/k.csv", "id,v,w\n1,a,x\n2,b,y\n1,c,z\n")
+    got = sorted(tuple(r) for r in S.read_keyed(spark, f"{tmp_path}/k.csv", ["id"], ["v"]).collect())
+    assert got == [("1", "c"), ("2", "b")]
+
+
+def test_prediction_and_input_schemas(spark, tmp_path):
+    _write(f"{tmp_path}/e.csv", "a,b,c,d\n1,0,0.5,-1.5\n\n0,1,2,3\n")
+    got = sorted(tuple(r) for r in S.read_predictions(spark, f"{tmp_path}/e.csv", S.EXCEPTION_PREDICTIONS).collect())
+    assert got == [(0, 1, 2.0, 3.0), (1, 0, 0.5, -1.5)]
+    row = '7,1,0,0.1,0.2,test0,"assertEquals(1, x)",3,"public void test0() {\n}","int f()"\n'
+    _write(f"{tmp_path}/p.csv", "c0,c1,c2,c3,c4,c5,c6,c7,c8,c9\n" + row)
+    r = S.read_predictions(spark, f"{tmp_path}/p.csv", S.ASSERTION_PREDICTIONS).first()
+    assert (r.idxs, r.truncation, r.pred_assertion, r.test) == (7, 3, "assertEquals(1, x)", "public void test0() {\n}")
+    _write(f"{tmp_path}/i.csv", "idx,docstring,fm,test,label\n4,,int f(),t(),1\n")
+    assert [tuple(r) for r in S.read_model_inputs(spark, f"{tmp_path}/i.csv").collect()] == [(1, "t()", "int f()", "", 4)]
+
+
+def test_sweep_inputs_through_an_index_list(spark):
+    scores = spark.createDataFrame([(0, 0.5), (1, 0.6), (2, 0.7)], "row_idx long, l0 double")
+    lab = lambda xs: spark.createDataFrame(list(enumerate(xs)), "row_idx long, label int")
+    idx = spark.createDataFrame([(0, 3), (1, 0), (2, 3)], "row_idx long, idx long")
+    got = sorted(tuple(r) for r in S.join_sweep_inputs(scores, lab([1, 0, 0, 5]), lab([0, 1, 1, 7]), idx).select(
+        "row_idx", "as_lbl", "ex_lbl").collect())
+    assert got == [(0, 5, 7), (1, 1, 0), (2, 5, 7)]
+
+
+def test_source_files_with_keys_and_unmatched_count(spark, tmp_path):
+    for p in ("Lang/1/C_ESTest.java", "Lang/2/D_ESTest.java", "odd.java", "Lang/3/E_scaffolding.java"):
+        _write(f"{tmp_path}/src/{p}", "class " + p)
+    pattern = r"/([A-Z]\w+)/([0-9]+)/(\w+)_ESTest\.java$"
+    got = sorted((r.project, r.bug, r.name) for r in S.read_source_files(spark, f"{tmp_path}/src", pattern, ["project", "bug", "name"]).collect())
+    assert got == [("Lang", "1", "C"), ("Lang", "2", "D")]
+    assert tuple(S.count_unmatched(spark, f"{tmp_path}/src", pattern).first()) == ("file_name_not_matched", 1)
+
+
+def test_archive_keys(spark, tmp_path):
+    _write(f"{tmp_path}/g/Lang/evo/1/Lang-7f-evo.1.tar.bz2", "x")
+    r = S.list_archives(spark, f"{tmp_path}/g").first()
+    assert (r.project, r.method, r.test_id, r.bug_num) == ("Lang", "evo", "1", 7)
+
+
+def test_sinks_round_trip(spark, tmp_path):
+    df = spark.createDataFrame([(1, 'a "b",\nc'), (2, "")], "k int, t string")
+    S.export_csv(df, f"{tmp_path}/out")
+    assert sorted(tuple(r) for r in S.read_code_csv(spark, f"{tmp_path}/out", "k int, t string").collect()) == [(1, 'a "b",\nc'), (2, "")]
+    S.write_results(df, f"{tmp_path}/pq", ["k"])
+    assert spark.read.parquet(f"{tmp_path}/pq").filter("k = 1").count() == 1 and os.path.isdir(f"{tmp_path}/pq/k=1")
+
+
+def test_short_block_fails(spark, tmp_path):
+    _write(f"{tmp_path}/l/Lang/learned/7b.7.trigger.log", "--- only a name")
+    try:
+        S.read_trigger_logs(spark, f"{tmp_path}/l").collect()
+    except Exception as ex:  # noqa: BLE001
+        assert "short trigger block" in str(ex)
+    else:
+        raise AssertionError("a short block was read")
+

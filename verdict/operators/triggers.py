@@ -51,6 +51,12 @@ def parse_blocks(df: DataFrame, block: str = "block") -> DataFrame:
     })
 
 
+def complete_blocks(blocks: DataFrame) -> DataFrame:
+    """The parsed blocks; one of fewer than two lines is an error when the plan runs."""
+    ok = F.when(F.col("n_lines") < 2, F.raise_error(F.concat(F.lit("short trigger block: "), "block")).cast("boolean")).otherwise(F.lit(True))
+    return blocks.filter(ok)
+
+
 def outcome_flags(tests: DataFrame, buggy_blocks: DataFrame, fixed_blocks: DataFrame,
                   keys: Sequence[str] = TEST_KEYS) -> DataFrame:
     """Per test: triggered flags in the buggy and fixed logs, the buggy trace, TP/FP/TN/FN.

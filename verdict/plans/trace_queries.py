@@ -39,7 +39,7 @@ def _blocks(spark, sf_dir):
 
 
 def _parsed(spark, sf_dir):
-    b = TR.parse_blocks(_blocks(spark, sf_dir).drop("test_name"))
+    b = TR.complete_blocks(TR.parse_blocks(_blocks(spark, sf_dir).drop("test_name")))
     b = b.withColumns({"trace_exception": FT.trace_exception("block"), "trace_desc": FT.trace_desc("block")})
     return b.withColumn("trace_exception_name", FT.exception_simple_name("trace_exception"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..operators.triggers import parse_blocks, split_log
+from ..operators.triggers import complete_blocks, parse_blocks, split_log
 
 # Cell texts that the reference's CSV reader treats as missing.
 NA_WORDS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
@@ -43,6 +43,44 @@ def read_string_csv(spark: SparkSession, path: str, header: bool = True,
     return r.csv(path)
 
 
+# Columns of the two prediction files, in file order (all read by position).
+EXCEPTION_PREDICTIONS = "true_lbl int, pred_lbl int, logit_0 double, logit_1 double"
+ASSERTION_PREDICTIONS = ("idxs long, true_lbl int, pred_lbl int, logit_0 double, logit_1 double, test_name string, "
+                         "pred_assertion string, truncation int, test string, fms string")
+# Columns of a model-input file.
+MODEL_INPUTS = "label int, test string, fm string, docstring string, idx long"
+
+
+def read_predictions(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A prediction file (S10): header row, columns by position, blank lines skipped."""
+    raw = read_code_csv(spark, path, schema, fill_missing=False)
+    return raw.filter(~F.forall(F.array(*[F.col(c).isNull() for c in raw.columns]), lambda x: x))
+
+
+def read_model_inputs(spark: SparkSession, path: str) -> DataFrame:
+    """(label, test, fm, docstring, idx) by column name, whatever their order in the file."""
+    wanted = [c.strip().split(" ") for c in MODEL_INPUTS.split(",")]
+    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    return raw.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) if t == "string" else F.col(c).cast(t).alias(c) for c, t in wanted])
+
+
+def read_keyed(spark: SparkSession, path: str, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """The named columns of a CSV, one row per key (S4); the last row of a key wins, as a dictionary would keep it."""
+    raw = read_string_csv(spark, path).withColumn("_row", F.monotonically_increasing_id())
+    last = raw.groupBy(*keys).agg(F.max_by(F.struct(*columns), "_row").alias("_r"))
+    return last.select(*keys, "_r.*")
+
+
+def join_sweep_inputs(scores: DataFrame, assertion_labels: DataFrame, exception_labels: DataFrame, idx_list: DataFrame,
+                      row: str = "row_idx") -> DataFrame:
+    """Scores with the two label columns looked up through a list of row numbers (S13): ``idx_list`` (row, idx) gives, for
+    each score row, the row of the label files (row, label)."""
+    j = scores.join(idx_list, row)
+    for side, name in ((assertion_labels, "as_lbl"), (exception_labels, "ex_lbl")):
+        j = j.join(side.select(F.col(row).alias("idx"), F.col("label").alias(name)), "idx")
+    return j.drop("idx")
+
+
 def parse_projects(projects: str | Sequence[str] | None, default: Sequence[str]) -> list[str]:
     """Project subset given as a list, a comma-separated string, or None (default list)."""
     if projects is None:
@@ -65,8 +103,8 @@ def read_bug_lists(spark: SparkSession, pattern: str, projects: Sequence[str] |
 def read_trigger_logs(spark: SparkSession, root: str) -> DataFrame:
     """Trigger logs under ``root`` -> one row per block with path keys.
 
-    (project, system, bug_num, tag, block_pos, test_name, block, category, n_lines);
-    a block with fewer than two lines is kept and can be rejected by a check.
+    (project, system, bug_num, tag, block_pos, test_name, block, category, n_lines).
+    A block of fewer than two lines is an error of the log: the read fails on it.
     """
     raw = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.trigger.log")
            .text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value"))
@@ -76,23 +114,40 @@ def read_trigger_logs(spark: SparkSession, root: str) -> DataFrame:
         F.regexp_extract("path", LOG_PATH_RE, 3).cast("long").alias("bug_num"),
         F.regexp_extract("path", LOG_PATH_RE, 4).alias("tag"),
         F.posexplode(split_log("value")).alias("block_pos", "block"))
-    return parse_blocks(keyed.filter(F.col("block") != ""))
+    return complete_blocks(parse_blocks(keyed.filter(F.col("block") != "")))
 
 
 def read_source_files(spark: SparkSession, root: str, path_re: str, keys: Sequence[str],
                       glob: str = "*.java", exclude: str = "scaffolding") -> DataFrame:
-    """Whole source files with keys from path groups; unmatched paths dropped."""
-    raw = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
-           .text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content")))
-    raw = raw.filter(~F.contains(F.col("path"), F.lit(exclude)) & F.col("path").rlike(path_re))
+    """Whole source files with keys from path groups; paths that do not match are left out."""
+    raw = _source_paths(spark, root, glob, exclude)
+    raw = raw.filter(F.col("path").rlike(path_re))
     return raw.select("path", *[F.regexp_extract("path", path_re, i + 1).alias(k) for i, k in enumerate(keys)],
-                      "content")
+                      F.col("value").alias("content"))
+
+
+def count_unmatched(spark: SparkSession, root: str, path_re: str, glob: str = "*.java", exclude: str = "scaffolding") -> DataFrame:
+    """One row (reason, n): source files whose path does not match."""
+    raw = _source_paths(spark, root, glob, exclude).select("path")
+    return raw.agg(F.lit("file_name_not_matched").alias("reason"), F.count_if(~F.col("path").rlike(path_re)).alias("n"))
+
+
+def _source_paths(spark: SparkSession, root: str, glob: str, exclude: str) -> DataFrame:
+    raw = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
+           .text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value"))
+    return raw.filter(~F.contains(F.col("path"), F.lit(exclude)))
+
+
+# Archive layout <project>/<method>/<test id>/<project>-<bug><b|f>-....tar.bz2
+ARCHIVE_PATH_RE = r"([^/]+)/([^/]+)/([^/]+)/[^/-]+-([0-9]+)[bf][^/]*$"
 
 
 def list_archives(spark: SparkSession, root: str, glob: str = "*.tar.bz2") -> DataFrame:
-    """Archive listing without opening the files: only the path column is read."""
-    return (spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob)
-            .load(root).select("path"))
+    """(path, project, method, test_id, bug_num) of archives without opening them."""
+    paths = (spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root).select("path"))
+    key = lambda i: F.regexp_extract("path", ARCHIVE_PATH_RE, i)
+    return paths.select("path", key(1).alias("project"), key(2).alias("method"), key(3).alias("test_id"),
+                        key(4).cast("long").alias("bug_num"))
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: StructType | str, fmt: str = "parquet") -> DataFrame:
@@ -116,3 +171,8 @@ def write_results(df: DataFrame, path: str, partition_by: Sequence[str] = ()) ->
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
+
+
+def export_csv(df: DataFrame, path: str) -> None:
+    """CSV sink (S14): a folder of part files with a header, quotes doubled, so ``read_code_csv`` gets the rows back."""
+    df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
