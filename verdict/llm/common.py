@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import string
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,3 +47,15 @@ def keep_copy(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder, to use a small table twice."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def small_batches(batches: Iterator[pa.RecordBatch], text: int, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches cut into slices of about ``limit`` bytes of column ``text`` (one row at least), so that the arrays
+    made from the texts of a slice stay small whatever the batch size."""
+    for b in batches:
+        sizes = pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False)
+        part = np.cumsum(sizes) // limit
+        cuts = [0, *(np.nonzero(part[1:] != part[:-1])[0] + 1).tolist(), b.num_rows]
+        for lo, hi in zip(cuts, cuts[1:]):
+            if hi > lo:
+                yield b.slice(lo, hi - lo)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, keep_copy
+from .common import WHITE, keep_copy, small_batches
 from .components import components
 from .rolling import combined
 from .shingles import SIZE, shingle_sets
@@ -40,6 +40,7 @@ from .shingles import SIZE, shingle_sets
 CELLS = 1 << 14
 BAND = 1.25  # sizes of linked sets differ by this factor at most
 TILE = 4096
+SEEN_SETS = 200_000
 #: Up to this many documents, the rows to verify are found by a broadcast of their ids (16 bytes each), else by a shuffle.
 BROADCAST_IDS = 300_000
 
@@ -80,7 +81,7 @@ def emit_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     """(id, v, text) -> FEATURES; at the task's end, one row per used cell: v = cell, n = shingles, sig = null."""
     names = [x.split(" ")[0] for x in FEATURES.split(", ")]
     cells = np.zeros(CELLS, np.int64)
-    for b in batches:
+    for b in small_batches(batches, 2):
         row, h = shingle_sets(_texts(b.column(2)))
         cells += np.bincount((h & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
         at = _bounds(row, b.num_rows)
@@ -102,18 +103,21 @@ def emit_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def prefix_rows(cells: np.ndarray):
-    """(v, text) -> (h, n, v): first n // 5 + 1 shingles in the order (cell count, hash); a set seen before in
-    the batch is skipped (its class has an earlier member)."""
+    """(v, text) -> (h, n, v): first n // 5 + 1 shingles in the order (cell count, hash); a set that the task saw
+    before is skipped (its class has that member's rows). The sets seen are forgotten at ``SEEN_SETS``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        seen: set[int] = set()
+        for b in small_batches(batches, 1):
             row, h = shingle_sets(_texts(b.column(1)))
             at = _bounds(row, b.num_rows)
             n = np.diff(at)
-            seen, fresh = set(), np.zeros(b.num_rows, bool)
+            if len(seen) > SEEN_SETS:
+                seen.clear()
+            fresh = np.zeros(b.num_rows, bool)
             for i in range(b.num_rows):
                 if n[i]:
-                    key = h[at[i]:at[i + 1]].tobytes() if n[i] < 64 else hash(h[at[i]:at[i + 1]].tobytes())
+                    key = int(combined(h[at[i]:at[i + 1]], np.arange(n[i]).astype(np.uint64)).sum())
                     fresh[i] = key not in seen
                     seen.add(key)
             order = np.lexsort([h, cells[(h & np.uint64(CELLS - 1)).astype(np.int64)], row])
@@ -232,7 +236,7 @@ def pass_bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def exact_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b, text_a, text_b) -> linked pairs, by intersection of the sorted arrays."""
-    for b in batches:
+    for b in small_batches(batches, 2, 1 << 20):
         n = b.num_rows
         row, h = shingle_sets(_texts(b.column(2)) + _texts(b.column(3)))
         at = _bounds(row, 2 * n)
