@@ -112,12 +112,15 @@ def test_isolation_forest_planted_outlier(spark):
     assert a == b  # same seeds -> same ranking
 
 
-def test_isolation_large_group_path(spark):
+def test_isolation_blocks_and_pools(spark):
+    """Any block size gives the same scores; a small pool still finds the outlier; ids may be strings."""
     rng = np.random.default_rng(2)
-    rows = [("p", 0, i, *rng.normal(size=2).tolist()) for i in range(300)]
-    rows[13] = ("p", 0, 13, 40.0, -40.0)
-    df = spark.createDataFrame(rows, "project string, bug_num long, row_idx long, a double, b double")
-    s = OUT.isolation_scores(df, ["project", "bug_num"], "row_idx", ["a", "b"], seeds=[0, 1], n_trees=20,
-                             rows_per_bucket=64)  # forces the bucketed path
-    best = s.orderBy("mean_path").first()
-    assert best["row_idx"] == 13 and s.count() == 600
+    rows = [("p", 0, f"t{i}", *rng.normal(size=2).tolist()) for i in range(300)]
+    rows[13] = ("p", 0, "t13", 40.0, -40.0)
+    df = spark.createDataFrame(rows, "project string, bug_num long, row_idx string, a double, b double")
+    run = lambda **k: {(r["row_idx"], r["seed"]): r["mean_path"] for r in OUT.isolation_scores(
+        df, ["project", "bug_num"], "row_idx", ["a", "b"], seeds=[0, 1], n_trees=20, **k).collect()}
+    one, many = run(), run(block_rows=64)
+    assert one == many and len(one) == 600
+    assert min(one, key=one.get)[0] == "t13"
+    assert len(run(pool=100)) == 600

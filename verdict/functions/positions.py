@@ -54,11 +54,13 @@ def group_positions(df: DataFrame, keys: Sequence[str], order: Sequence[Column |
 
 
 def topk_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], k: int,
-                   rank_col: str = "rank", salt_buckets: int = 64, salt_of: Column | str | None = None) -> DataFrame:
+                   rank_col: str = "rank", salt_buckets: int | None = None, salt_of: Column | str | None = None) -> DataFrame:
     """Rows with rank <= k inside each ``keys`` group (1-based ``rank_col``).
 
-    ``salt_of`` picks the column hashed into buckets (default: all order columns).
+    ``salt_of`` picks the column hashed into buckets (default: all order columns); there are as
+    many buckets as shuffle partitions, so that one group can use every task.
     """
+    salt_buckets = salt_buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order_cols = _cols(order)
     salt_src = _cols([salt_of])[0] if salt_of is not None else F.struct(*order_cols)
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(salt_src), F.lit(salt_buckets)))

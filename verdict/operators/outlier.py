@@ -1,25 +1,20 @@
 """Isolation-forest ranking of failed tests inside each bug, for many seeds.
 
-MLlib has no isolation forest, so it is built from Spark stages:
-
-1. sample: rows get skew-safe positions 0..n-1 in their group; tree t of
-   (group, seed) takes psi = min(256, n) distinct positions
-   (a * (k + c) + b) mod n, k < psi, with a prime multiplier a and offsets
-   b, c hashed from (group, seed, tree). The draw table is bounded by
-   groups x seeds x trees x psi, whatever the group sizes.
-2. grow + score in one ``cogroup.applyInPandas`` per (group, seed[, bucket]):
-   the forest (random feature, uniform split, depth limit ceil(log2 psi)) is
-   grown level by level with NumPy, then every row walks all trees; mean path
-   length -> 2 ** (-E[h] / c(psi)). Small groups ship only per-tree sampling
-   parameters; large groups ship their sample, replicated per row bucket.
-4. rank: ascending mean path length (most isolated first), ties by id.
-
-A group of any size is therefore handled by bounded tasks.
+MLlib has no isolation forest, so it is built from Spark stages, one path for all sizes:
+
+1. pool: the ``POOL`` rows of a group with the smallest id hash (salted top-k, so a hot
+   group is many tasks). Each tree draws its at most 256 rows without replacement from the
+   pool; a group of up to POOL rows is its own pool, as in the library.
+2. grow: one grouped call per group sees its pool only (bounded) and returns, per seed, the
+   node table of all trees, packed (17 bytes a node): random feature, uniform split, depth
+   limit ceil(log2 psi), level by level with NumPy.
+3. score: rows are dealt into blocks of ``BLOCK_ROWS``; a block meets its group's forests and
+   walks them in small chunks. Score = 2 ** (-E[h] / c(psi)).
+4. rank: ascending mean path length (most isolated first), ties by id, by skew-safe positions.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -27,14 +22,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.positions import group_positions
+from ..functions.positions import group_positions, topk_per_group
 from ..session import cut_lineage
 
 # Library defaults of the isolation forest.
 N_TREES = 100
 MAX_SAMPLES = 256
-ROWS_PER_BUCKET = 20_000
 EULER = 0.5772156649015329
+POOL = 4096
+BLOCK_ROWS = 100_000
+CHUNK_ROWS = 2_000
 
 
 def avg_path_length(n: np.ndarray | float) -> np.ndarray:
@@ -120,153 +117,83 @@ def grow_forest(x: np.ndarray, tree: np.ndarray, seed: int) -> dict[str, np.ndar
     return {k: np.concatenate(v) for k, v in out.items()}
 
 
-def _primes_near(start: int, count: int) -> list[int]:
-    out, n = [], start
-    while len(out) < count:
-        if all(n % d for d in range(2, int(n ** 0.5) + 1)):
-            out.append(n)
-        n += 1
-    return out
-
+NODE = np.dtype([("feature", "i1"), ("split", "<f8"), ("left", "<i4"), ("path", "<f4")])
 
-# Multipliers of the per-tree sampling permutation: primes above 1e9 are
-# coprime with any group size below 1e9, so k -> (a*(k + c) + b) mod n is a
-# bijection and the first psi values are psi distinct rows.
-_MULTIPLIERS = _primes_near(1_000_000_007, 32)
 
-
-def _score_rows(x: np.ndarray, nodes: dict[str, np.ndarray]) -> np.ndarray:
-    """Mean path length of every row of ``x`` over all trees in ``nodes``
-    (all (row, tree) walks advance together, one step per tree level)."""
+def pack_forest(nodes: dict[str, np.ndarray]) -> bytes:
+    """Nodes in id order: feature (-1 leaf), split, left child (the right one follows it), path length of a leaf."""
     order = np.argsort(nodes["node"])
-    feat, split, left, right, size, depth = (nodes[k][order] for k in
-                                             ("feature", "split", "left", "right", "size", "depth"))
-    roots = nodes["node"][nodes["depth"] == 0]
-    n = len(x)
-    at = np.repeat(roots.astype(np.int64), n)          # walk (tree t, row i) at t * n + i
-    row = np.tile(np.arange(n), len(roots))
-    active = np.flatnonzero(feat[at] >= 0)
-    while len(active):
-        cur = at[active]
-        go_left = x[row[active], feat[cur]] < split[cur]
-        at[active] = np.where(go_left, left[cur], right[cur])
-        active = active[feat[at[active]] >= 0]
-    h = depth[at] + avg_path_length(size[at])
-    return h.reshape(len(roots), n).mean(axis=0) if len(roots) else np.zeros(n)
-
-
-def _sample_positions(params: pd.DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(tree id per draw, position per draw) of all trees: (a * ((k + c) mod n) + b) mod n."""
-    trees, pos = [], []
-    for t, a, b, c, psi in params[["tree", "_a", "_b", "_c", "_psi"]].itertuples(index=False):
-        k = np.arange(int(psi), dtype=np.int64)
-        pos.append((np.int64(a) * ((k + int(c)) % n) % n + int(b)) % n)
-        trees.append(np.full(int(psi), int(t), dtype=np.int64))
-    return np.concatenate(trees), np.concatenate(pos)
+    out = np.zeros(len(order), NODE)
+    out["feature"], out["split"], out["left"] = (nodes[k][order] for k in ("feature", "split", "left"))
+    out["path"] = (nodes["depth"] + avg_path_length(nodes["size"]))[order]
+    return out.tobytes()
+
+
+def mean_path(x: np.ndarray, packed: bytes, n_trees: int) -> np.ndarray:
+    """Mean path length of every row over all trees; the first ``n_trees`` nodes are the roots."""
+    nodes, out = np.frombuffer(packed, NODE), np.empty(len(x))
+    feature, split, left = (np.ascontiguousarray(nodes[k]) for k in ("feature", "split", "left"))
+    for s in range(0, len(x), CHUNK_ROWS):
+        part = x[s:s + CHUNK_ROWS]
+        at = np.repeat(np.arange(n_trees), len(part))
+        row = np.tile(np.arange(len(part)), n_trees)
+        open_ = np.flatnonzero(feature[at] >= 0)
+        while len(open_):
+            cur = at[open_]
+            at[open_] = left[cur] + (part[row[open_], feature[cur]] >= split[cur])
+            open_ = open_[feature[at[open_]] >= 0]
+        out[s:s + CHUNK_ROWS] = nodes["path"][at].astype(float).reshape(n_trees, len(part)).mean(axis=0)
+    return out
 
 
-def _forest_in_group(features: Sequence[str], id_col: str):
-    """Small groups: all rows of the group are in the call; for every seed draw the
-    samples by position, grow the forest and score the rows."""
-    def run(rows: pd.DataFrame, params: pd.DataFrame) -> pd.DataFrame:
-        if rows.empty:
-            return pd.DataFrame({id_col: [], "_g": [], "seed": [], "mean_path": []})
-        rows = rows.sort_values("_pos")
-        x = rows[list(features)].to_numpy(dtype=float)
-        ids = rows[id_col].to_numpy()
-        parts = []
-        for seed, p in params.groupby("seed", sort=True):
-            p = p.sort_values("tree")
-            tree, pos = _sample_positions(p, len(x))
-            nodes = grow_forest(x[pos], tree, int(p["_forest_seed"].iloc[0]))
-            parts.append(pd.DataFrame({id_col: ids, "seed": int(seed), "mean_path": _score_rows(x, nodes)}))
-        out = pd.concat(parts, ignore_index=True)
-        out["_g"] = rows["_g"].iloc[0]
-        return out[[id_col, "_g", "seed", "mean_path"]]
+def _grow(features: Sequence[str], seeds: Sequence[int], n_trees: int, max_samples: int):
+    def run(pool: pd.DataFrame) -> pd.DataFrame:
+        pool = pool.sort_values(["_h", "_id"], kind="stable")
+        x, g = pool[list(features)].to_numpy(dtype=float), pool["_g"].iloc[0]
+        psi = min(max_samples, len(x))
+        rows = []
+        for seed in seeds:
+            rng = np.random.default_rng([int(seed), int(pool["_key"].iloc[0]) & 0xFFFFFFFF])
+            pick = np.concatenate([rng.choice(len(x), psi, replace=False) for _ in range(n_trees)])
+            nodes = grow_forest(x[pick], np.repeat(np.arange(n_trees), psi), int(rng.integers(2 ** 62)))
+            rows.append((g, int(seed), psi, pack_forest(nodes)))
+        return pd.DataFrame(rows, columns=["_g", "seed", "_psi", "forest"])
     return run
 
 
-def _forest_from_sample(features: Sequence[str], id_col: str):
-    """Large groups: the bucket's rows plus the shipped sample of (group, seed)."""
-    def run(rows: pd.DataFrame, sample: pd.DataFrame) -> pd.DataFrame:
-        if rows.empty or sample.empty:
-            return pd.DataFrame({id_col: [], "_g": [], "seed": [], "mean_path": []})
-        sample = sample.sort_values(["tree", "_k"], kind="stable")
-        nodes = grow_forest(sample[list(features)].to_numpy(dtype=float), sample["tree"].to_numpy(),
-                            int(sample["_forest_seed"].iloc[0]))
+def _score(features: Sequence[str], n_trees: int):
+    def run(rows: pd.DataFrame, forests: pd.DataFrame) -> pd.DataFrame:
         x = rows[list(features)].to_numpy(dtype=float)
-        return pd.DataFrame({id_col: rows[id_col].to_numpy(), "_g": rows["_g"].to_numpy(),
-                             "seed": rows["seed"].to_numpy(), "mean_path": _score_rows(x, nodes)})
+        parts = [pd.DataFrame({"_id": rows["_id"], "_g": rows["_g"], "seed": f.seed, "_psi": f._psi_, "mean_path": mean_path(x, f.forest, n_trees)})
+                 for f in forests.rename(columns={"_psi": "_psi_"}).itertuples(index=False)] if len(rows) else []
+        return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(
+            {"_id": rows["_id"][:0], "_g": [], "seed": [], "_psi": [], "mean_path": []})
     return run
 
 
 def isolation_scores(df: DataFrame, group: Sequence[str], id_col: str, features: Sequence[str],
                      seeds: Sequence[int] = tuple(range(10)), n_trees: int = N_TREES,
-                     max_samples: int = MAX_SAMPLES, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """(group..., id, seed, mean_path, score) for every row and seed.
-
-    Groups up to ``rows_per_bucket`` rows: one call per (group, seed) holds the
-    group's rows and the per-tree sampling parameters (no sample is shipped).
-    Larger groups: rows are salted into buckets of that size, and the sample rows
-    of (group, seed) -- at most n_trees x psi -- are joined out and replicated per
-    bucket; every call regrows the same forest (same seed) and scores its bucket.
-    """
-    base = df.select(*group, id_col, *[F.col(f).cast("double").alias(f) for f in features])
-    base = base.withColumn("_g", F.to_json(F.struct(*group)))
-    # the feature table is read four times below: materialise it once (reliable checkpoint)
-    base = cut_lineage(base)
-    positioned = group_positions(base, ["_g"], [id_col], pos_col="_pos")
-    # a fresh attribute for the key keeps the two cogroup sides unambiguous
-    sizes = base.groupBy(F.col("_g").alias("_g")).agg(F.count(F.lit(1)).alias("_n"))
-    seed_arr = F.array(*[F.lit(int(s)) for s in seeds])
-    params = (sizes.withColumn("seed", F.explode(seed_arr))
-              .withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))))
-              .withColumn("_h", F.xxhash64("_g", "seed", "tree")))
-    mult = F.element_at(F.array(*[F.lit(m).cast("long") for m in _MULTIPLIERS]),
-                        (F.pmod(F.col("_h"), F.lit(len(_MULTIPLIERS))) + 1).cast("int"))
-    params = params.select("_g", "seed", "tree", "_n", mult.alias("_a"),
-                           F.pmod(F.shiftright("_h", 8), F.col("_n")).alias("_b"),
-                           F.pmod(F.shiftright("_h", 24), F.col("_n")).alias("_c"),
-                           F.least(F.col("_n"), F.lit(max_samples)).alias("_psi"),
-                           F.xxhash64("_g", "seed").alias("_forest_seed"))
-    out_schema = f"{id_col} long, _g string, seed int, mean_path double"
-    small = params.filter(F.col("_n") <= rows_per_bucket)
-    large = params.filter(F.col("_n") > rows_per_bucket)
-
-    # small groups: one call per group (all seeds), rows cogrouped with the tree parameters
-    rows_s = positioned.join(sizes.filter(F.col("_n") <= rows_per_bucket).select("_g"), "_g", "left_semi")
-    rows_s = rows_s.select("_g", id_col, "_pos", *features)
-    # The Python stage is CPU-heavy on little data: an explicit repartition keeps one
-    # task per shuffle partition (AQE would coalesce it into a few tasks by bytes).
+                     max_samples: int = MAX_SAMPLES, pool: int = POOL, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(group..., id, seed, mean_path, score) for every row and seed; the id keeps its type."""
+    base = df.select(F.to_json(F.struct(*group)).alias("_g"), F.col(id_col).alias("_id"), *group,
+                     *[F.col(f).cast("double").alias(f) for f in features])
+    base = cut_lineage(base.withColumn("_h", F.xxhash64("_id")))  # read for pools, sizes and scores
+    pools = topk_per_group(base, ["_g"], ["_h", "_id"], pool).withColumn("_key", F.xxhash64("_g"))
     n_part = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows_s, small = rows_s.repartition(n_part, "_g"), small.repartition(n_part, "_g")
-    scored_s = rows_s.groupBy("_g").cogroup(small.groupBy("_g")).applyInPandas(
-        _forest_in_group(features, id_col), out_schema)
-
-    # large groups: shipped samples, replicated per bucket of rows
-    draws = large.withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_psi") - 1)))
-    draws = draws.select("_g", "seed", "tree", "_k", "_forest_seed", F.pmod(
-        F.pmod(F.col("_a") * F.pmod(F.col("_k") + F.col("_c"), F.col("_n")), F.col("_n")) + F.col("_b"),
-        F.col("_n")).alias("_pos"))
-    sample = draws.join(positioned.select("_g", "_pos", *features), ["_g", "_pos"])
-    big = sizes.filter(F.col("_n") > rows_per_bucket)
-    n_buckets = F.ceil(F.col("_n") / rows_per_bucket).cast("int")
-    buckets = big.select("_g", F.explode(F.sequence(F.lit(0), n_buckets - 1)).alias("_b"))
-    sample_b = sample.join(buckets, "_g")
-    rows_l = positioned.join(big, "_g").withColumn("seed", F.explode(seed_arr)).withColumn(
-        "_b", F.pmod(F.xxhash64(id_col), n_buckets.cast("long")).cast("int"))
-    rows_l = rows_l.select("_g", "seed", "_b", id_col, *features).repartition(n_part, "_g", "seed", "_b")
-    sample_b = sample_b.repartition(n_part, "_g", "seed", "_b")
-    scored_l = rows_l.groupBy("_g", "seed", "_b").cogroup(
-        sample_b.groupBy("_g", "seed", "_b")).applyInPandas(_forest_from_sample(features, id_col), out_schema)
-
-    scored = scored_s.unionByName(scored_l)
-    psi_tab = sizes.select("_g", F.least(F.col("_n"), F.lit(max_samples)).alias("_psi"))
-    out = scored.join(psi_tab, "_g").join(base.select("_g", id_col, *group), ["_g", id_col])
-    c_psi = F.when(F.col("_psi") > 2, 2.0 * (F.log(F.col("_psi") - 1.0) + EULER) - 2.0 * (F.col("_psi") - 1.0)
-                   / F.col("_psi")).otherwise(1.0)
-    return out.select(*group, id_col, "seed", "mean_path",
-                      F.pow(F.lit(2.0), -F.col("mean_path") / c_psi).alias("score"))
+    forests = cut_lineage(pools.repartition(n_part, "_g").groupBy("_g").applyInPandas(
+        _grow(list(features), [int(s) for s in seeds], n_trees, max_samples), "_g string, seed int, _psi int, forest binary"))
+    blocks = base.groupBy("_g").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("_k"))
+    rows = base.join(blocks, "_g").withColumn("_b", F.pmod("_h", F.col("_k").cast("long")).cast("int"))
+    copies = forests.join(blocks, "_g").withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
+    # CPU-heavy on few bytes: an explicit repartition keeps one task per shuffle partition
+    left = rows.select("_g", "_b", "_id", *features).repartition(n_part, "_g", "_b").groupBy("_g", "_b")
+    right = copies.select("_g", "_b", "seed", "_psi", "forest").repartition(n_part, "_g", "_b").groupBy("_g", "_b")
+    id_type = df.schema[id_col].dataType.simpleString()
+    scored = left.cogroup(right).applyInPandas(_score(list(features), n_trees), f"_id {id_type}, _g string, seed int, _psi int, mean_path double")
+    out = scored.join(base.select("_g", "_id", *group), ["_g", "_id"])
+    psi = F.col("_psi").cast("double")
+    c_psi = F.when(psi > 2, 2.0 * (F.log(psi - 1.0) + EULER) - 2.0 * (psi - 1.0) / psi).otherwise(1.0)
+    return out.select(*group, F.col("_id").alias(id_col), "seed", "mean_path", F.pow(F.lit(2.0), -F.col("mean_path") / c_psi).alias("score"))
 
 
 def isolation_rank(df: DataFrame, group: Sequence[str], id_col: str, features: Sequence[str],
