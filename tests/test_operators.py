@@ -185,10 +185,12 @@ def test_distinct_lines(spark):
 def test_repair_files_range_anti_join(spark):
     code = ["import a;", "import b;", "class X {", "@Test", "  public void t1() throws Throwable {", "  x();", "  }",
             "@Test", "  public void t2() throws Throwable {", "  y();", "  }", "}", "tail"]
-    lines = spark.createDataFrame([(0, i, s) for i, s in enumerate(code)], "file long, line_idx long, line string")
+    files = spark.createDataFrame([(0, "\n".join(code)), (1, "import a;\n}")], "file long, text string")
     sig = r"\s*public\s+void\s+(\S+)\(\)\s+throws\s+Throwable\s+\{\s*"
     errors = spark.createDataFrame([(0, 1), (0, 2), (0, 5), (0, 12)], "file long, err_idx long")
-    kept = sorted(r["line_idx"] for r in L.repair_files(lines, errors, "file", sig).collect())
+    out = {r["file"]: r["kept"] for r in L.repair_files(files, errors, "file", "text", sig).collect()}
+    kept = [z["line_idx"] for z in out[0]]
+    assert [z["line"] for z in out[1]] == ["import a;", "}"]
     # import b (idx 1) dropped, class line kept, method t1 (3..6) dropped, t2 kept, tail kept
     assert kept == [0, 2, 7, 8, 9, 10, 11, 12]
 
@@ -285,7 +287,7 @@ def test_result_chain_checks(spark):
     from verdict.operators import results as RS
     df = spark.createDataFrame([("p", 1, "a"), ("p", 1, "b")], "project string, bug_num long, x string")
     try:
-        RS.checked_one_to_one(df, ["project", "bug_num"], "left").collect()
+        O.checked_one_to_one(df, ["project", "bug_num"], "left").collect()
     except Exception as ex:  # noqa: BLE001
         assert "are not unique" in str(ex)
     else:
@@ -297,3 +299,47 @@ def test_result_chain_checks(spark):
         assert "has a null" in str(ex)
     else:
         raise AssertionError("a null passed")
+
+
+def test_pack_variants(spark):
+    df = spark.createDataFrame([(["a", "b"], ["c"], ["d"])], "x array<string>, y array<string>, z array<string>")
+    end = P.pack(df, ["x", "y"], [0, 1], 8, cls_at_end=True, cls_segment=2).first()
+    assert end["input_tokens"] == ["a", "b", "[SEP]", "c", "[SEP]", "[CLS]", "[PAD]", "[PAD]"]
+    assert end["segment_ids"] == [0, 0, 0, 1, 1, 2, 0, 0] and end["input_mask"] == [1] * 6 + [0] * 2
+    left = P.pack(df, ["x", "y", "z"], [0, 1, 2], 10, pad_on_left=True, pad_segment=4).first()
+    assert left["input_tokens"] == ["[PAD]", "[PAD]", "[CLS]", "a", "b", "[SEP]", "c", "[SEP]", "d", "[SEP]"]
+    assert left["segment_ids"] == [4, 4, 0, 0, 0, 0, 1, 1, 2, 2] and left["input_mask"] == [0, 0] + [1] * 8
+
+
+def test_positional_join_without_padding(spark):
+    a = spark.createDataFrame([(0, "x"), (1, "y")], "i long, a string")
+    b = spark.createDataFrame([(0, "p")], "i long, b string")
+    assert O.positional_join(a, b, "i", pad=False).count() == 1 and O.positional_join(a, b, "i").count() == 2
+
+
+def test_features_refuse_names_and_types(spark):
+    from verdict.operators import features as FT
+    df = spark.createDataFrame([("1", " ")], "except_pred string, assert_pred string")
+    for name in ("focal_name", "trace_exception_type"):
+        try:
+            FT.add_features(df, [name])
+        except ValueError as ex:
+            assert "not numeric" in str(ex)
+        else:
+            raise AssertionError(name)
+
+
+def test_metrics_dedup_and_checks(spark):
+    from verdict.operators import checks as CK
+    from verdict.operators import metrics as M
+    rows = [("s", 1, "p", 0, 5, True, False), ("s", 1, "p", 0, 5, True, False), ("s", 1, "p", 0, 6, False, True)]
+    df = spark.createDataFrame(rows, "system string, run int, project string, bug_num long, test long, tp boolean, fp boolean").withColumns(
+        {"tn": F.lit(False), "fn": F.lit(False)})
+    assert M.outcome_metrics(df, ["system", "run"]).first()["tps"] == 2
+    assert M.outcome_metrics(df, ["system", "run"], dedup=["project", "bug_num", "test"]).first()["tps"] == 1
+    rep = M.outcome_metrics(df, ["system", "run"])
+    assert not M.mean_over_runs(rep, ["system"], "run", ["tps"], [1, 2]).first()["complete"]  # a run is missing everywhere
+    assert M.mean_over_runs(rep, ["system"], "run", ["tps"], [1]).first()["complete"]
+    a = spark.createDataFrame([(0, 5), (1, 6), (2, 7)], "r long, idx long")
+    b = spark.createDataFrame([(0, 5), (1, 9)], "r long, idx long")
+    assert tuple(CK.index_mismatches(a, b, "r", "idx").first()) == ("same_index", 2)

@@ -29,3 +29,10 @@ def alignment_violations(left: DataFrame, right: DataFrame, keys: Sequence[str],
     b = right.select(*keys).withColumn("_r", F.lit(1))
     j = a.join(b, list(keys), "full_outer")
     return j.agg(F.lit(name).alias("check"), F.count_if(F.col("_l").isNull() | F.col("_r").isNull()).alias("violations"))
+
+
+def index_mismatches(left: DataFrame, right: DataFrame, row: str, value: str, name: str = "same_index") -> DataFrame:
+    """V5: rows whose ``value`` (the test index) differs between two tables aligned by ``row``, or that one side lacks."""
+    a = left.select(F.col(row).alias("_r"), F.col(value).alias("_a"))
+    b = right.select(F.col(row).alias("_r"), F.col(value).alias("_b"))
+    return a.join(b, "_r", "full_outer").agg(F.lit(name).alias("check"), F.count_if(~F.col("_a").eqNullSafe(F.col("_b"))).alias("violations"))

@@ -6,15 +6,15 @@
   span holds a failing line, a range anti-join on (file, line in [start, end)).
 * ``compile_error_lines`` (P29): (file, line) of compiler error lines.
 
-Texts are exploded into (id, line index, line) rows so every step is a Spark
-join / aggregate; no text is handed to Python.
+Steps inside one text work on its line array; only what meets other texts is
+exploded. No text is handed to Python.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import col_, let, py_strip
@@ -65,44 +65,44 @@ def marker_split(df: DataFrame, id_col: str, text: str, marker: str) -> DataFram
     return made.select(id_col, "_s.split_test", "_s.has_marker", F.col("split_no").cast("long").alias("split_no"))
 
 
-def method_spans(lines: DataFrame, file_col: str, signature: str) -> DataFrame:
-    """Spans [start, end) of methods in each file: start = signature line - 1; a span
-    ends where the next starts, the last one at the last lone '}' line (else at the
-    line count). Also returns ``first_start`` (end of the header) per file.
+def _spans(lines: Column, signature: str) -> Column:
+    """struct(spans: array of (start, end), last_brace) of a file's lines: a span starts one line before a signature
+    and ends where the next one starts, the last one at the last lone '}' line (else at the line count)."""
+    at = lambda keep: F.filter(F.transform(lines, lambda x, i: F.when(keep(x), i)), lambda i: i.isNotNull())
+    last = F.coalesce(F.array_max(at(lambda x: py_strip(x) == "}")), F.size(lines)).cast("long")
+    starts = F.transform(at(lambda x: x.rlike(signature)), lambda i: (i - 1).cast("long"))
+    return let(F.struct(starts.alias("s"), last.alias("last")), lambda v: F.struct(
+        F.transform(v["s"], lambda x, i: F.struct(x.alias("start"), F.coalesce(F.get(v["s"], i + 1), v["last"]).alias("end"))).alias("spans"),
+        v["last"].alias("last_brace")))
+
+
+def method_spans(files: DataFrame, file_col: str, text: str, signature: str) -> DataFrame:
+    """(file, start, end) of the methods of each file, inside its line array."""
+    spans = let(F.split(F.col(text), "\n", -1), lambda ls: _spans(ls, signature)["spans"])
+    return files.select(file_col, F.explode(spans).alias("_s")).select(file_col, "_s.*")
+
+
+def repair_files(files: DataFrame, errors: DataFrame, file_col: str, text: str, signature: str) -> DataFrame:
+    """(file, kept): the lines (line_idx, line) that are left when every method span with a failing line, and failing
+    ``import`` lines of the header, are removed. ``errors`` has (file, err_idx) 0-based.
+
+    A range anti-join on (file, line in [start, end)): the errors of a file meet its lines once, as an array.
     """
-    ends = lines.groupBy(file_col).agg(
-        F.coalesce(F.max(F.when(py_strip("line") == "}", F.col("line_idx"))), F.max("line_idx") + 1)
-        .alias("last_brace"),
-        F.count(F.lit(1)).alias("n_lines"))
-    starts = lines.filter(F.col("line").rlike(signature)).select(file_col, (F.col("line_idx") - 1).alias("start"))
-    w = Window.partitionBy(file_col).orderBy("start")  # the spans of one file
-    spans = starts.join(ends, file_col).withColumn(
-        "end", F.coalesce(F.lead("start").over(w), F.col("last_brace")))
-    return spans.select(file_col, "start", "end")
-
-
-def repair_files(lines: DataFrame, errors: DataFrame, file_col: str, signature: str) -> DataFrame:
-    """Kept lines after removing every method span with a failing line, and failing
-    ``import`` lines of the header. ``errors`` has (file, err_idx) 0-based."""
-    spans = method_spans(lines, file_col, signature).alias("sp")
-    er = errors.alias("er")
-    bad_spans = spans.join(er, (F.col(f"sp.{file_col}") == F.col(f"er.{file_col}"))
-                           & (F.col("er.err_idx") >= F.col("sp.start")) & (F.col("er.err_idx") < F.col("sp.end")),
-                           "left_semi")
-    first = spans.groupBy(file_col).agg(F.min("start").alias("first_start"))
-    ends = lines.groupBy(file_col).agg(
-        F.coalesce(F.max(F.when(py_strip("line") == "}", F.col("line_idx"))), F.max("line_idx") + 1)
-        .alias("last_brace"))
-    header_end = ends.join(first, file_col, "left").select(
-        file_col, F.coalesce("first_start", "last_brace").alias("header_end"))
-    bad_header = (errors.join(header_end, file_col).filter(F.col("err_idx") < F.col("header_end"))
-                  .select(file_col, F.col("err_idx").alias("line_idx")).distinct()
-                  .join(lines, [file_col, "line_idx"]).filter(F.col("line").startswith("import"))
-                  .select(file_col, "line_idx"))
-    ln = lines.alias("ln")
-    kept = ln.join(bad_spans.alias("s"), (F.col(f"ln.{file_col}") == F.col(f"s.{file_col}"))
-                   & (F.col("ln.line_idx") >= F.col("s.start")) & (F.col("ln.line_idx") < F.col("s.end")), "left_anti")
-    return kept.join(bad_header, [file_col, "line_idx"], "left_anti")
+    bad = errors.groupBy(F.col(file_col).alias("_f")).agg(F.collect_set(F.col("err_idx").cast("long")).alias("_e"))
+    joined = files.join(bad, F.col(file_col) == F.col("_f"), "left").withColumn("_e", F.coalesce("_e", F.array().cast("array<bigint>")))
+    errs = F.col("_e")
+
+    def kept(ls: Column) -> Column:
+        def from_spans(v: Column) -> Column:
+            hit = F.filter(v["spans"], lambda s: F.exists(errs, lambda e: (e >= s["start"]) & (e < s["end"])))
+            header = F.coalesce(F.get(v["spans"], 0)["start"], v["last_brace"])
+            return let(F.struct(hit.alias("hit"), header.alias("header")), lambda h: F.filter(
+                F.transform(ls, lambda x, i: F.struct(i.cast("long").alias("line_idx"), x.alias("line"))),
+                lambda z: ~F.exists(h["hit"], lambda s: (z["line_idx"] >= s["start"]) & (z["line_idx"] < s["end"]))
+                & ~((z["line_idx"] < h["header"]) & z["line"].startswith("import") & F.array_contains(errs, z["line_idx"]))))
+        return let(_spans(ls, signature), from_spans)
+
+    return joined.select(file_col, let(F.split(F.col(text), "\n", -1), kept).alias("kept"))
 
 
 # The compiler's message lines.

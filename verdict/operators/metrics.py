@@ -34,8 +34,12 @@ def per_bug_sums(df: DataFrame, by: Sequence[str], bug_keys: Sequence[str] = BUG
         count_true("tn").alias("bug_tn"), count_true("fn").alias("bug_fn"))
 
 
-def outcome_metrics(df: DataFrame, by: Sequence[str], bug_keys: Sequence[str] = BUG_KEYS) -> DataFrame:
-    """Bugs found, TP/FP/TN/FN totals, FP rate, precision, recall and F1 per ``by``."""
+def outcome_metrics(df: DataFrame, by: Sequence[str], bug_keys: Sequence[str] = BUG_KEYS,
+                    dedup: Sequence[str] | None = None) -> DataFrame:
+    """Bugs found, TP/FP/TN/FN totals, FP rate, precision, recall and F1 per ``by``. ``dedup``: keys of which
+    one row counts per ``by`` (default: every row counts, as in the reference, whose dedup has no effect)."""
+    if dedup is not None:
+        df = df.dropDuplicates([*by, *dedup])
     bugs = per_bug_sums(df, by, bug_keys)
     rep = bugs.groupBy(*by).agg(*[fn().alias(name) for name, (fn, _) in SCORERS.items()])
     rep = rep.withColumn("fp_rate", ratio("fps", F.col("fps") + F.col("tns")))

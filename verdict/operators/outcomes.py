@@ -42,18 +42,18 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows")).filter(F.col("n_rows") > 1)
 
 
-def assert_unique(df: DataFrame, keys: Sequence[str], what: str) -> None:
-    """Raise when ``keys`` is not unique in ``df`` (the one-to-one validation)."""
-    n = duplicate_keys(df, keys).limit(1).count()
-    if n:
-        raise ValueError(f"{what}: keys {list(keys)} are not unique")
+def checked_one_to_one(df: DataFrame, keys: Sequence[str], what: str) -> DataFrame:
+    """The rows, one per key; a key that several rows hold is an error when the plan runs (no job while it is built)."""
+    others = [c for c in df.columns if c not in keys]
+    one = df.groupBy(*keys).agg(F.any_value(F.struct(*others)).alias("_r"), F.count(F.lit(1)).alias("_n"))
+    ok = F.when(F.col("_n") > 1, F.raise_error(F.lit(f"{what}: keys {list(keys)} are not unique")).cast("boolean")).otherwise(F.lit(True))
+    return one.filter(ok).select(*keys, "_r.*")
 
 
 def outer_one_to_one(left: DataFrame, right: DataFrame, keys: Sequence[str], validate: bool = True) -> DataFrame:
-    """Full outer join on ``keys`` after checking both sides are unique on them."""
+    """Full outer join on ``keys``; with ``validate`` both sides must be unique on them."""
     if validate:
-        assert_unique(left, keys, "left side")
-        assert_unique(right, keys, "right side")
+        left, right = checked_one_to_one(left, keys, "left side"), checked_one_to_one(right, keys, "right side")
     return left.join(right, list(keys), "full_outer")
 
 

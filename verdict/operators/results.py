@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import col_
 from ..functions.positions import group_positions
 from .code_text import render_test
-from .outcomes import dedup_keep_first
+from .outcomes import dedup_keep_first, outer_one_to_one
 
 # Header of a test case, split around its name; the name of a plain test method.
 TEST_HEADER_RE = r"(?s)^(\s*@Test.*public void )(\w+)(\(\).+)"
@@ -48,19 +48,11 @@ def rename_tests(df: DataFrame, file_col: str, test_col: str, order_col: str, bu
             .withColumn("renamed_test", F.concat(part(1), unique, part(3))).drop("_name", "_order", "_n"))
 
 
-def checked_one_to_one(df: DataFrame, keys: Sequence[str], what: str) -> DataFrame:
-    """The rows, one per key; a key that several rows hold is an error when the plan runs (no job while it is built)."""
-    others = [c for c in df.columns if c not in keys]
-    one = df.groupBy(*keys).agg(F.any_value(F.struct(*others)).alias("_r"), F.count(F.lit(1)).alias("_n"))
-    ok = F.when(F.col("_n") > 1, F.raise_error(F.lit(f"{what}: keys {list(keys)} are not unique")).cast("boolean")).otherwise(F.lit(True))
-    return one.filter(ok).select(*keys, "_r.*")
-
-
 def full_test_data(inputs: DataFrame, results: DataFrame, keys: Sequence[str], order_col: str, prefix: str = "test_prefix",
                    generator: str = "learned") -> DataFrame:
     """inputs (keys, order, prefix, predictions) outer-joined one to one with results (keys, outcomes); the rendered
     test ('' for results without an input); the first row of each (project, bug, rendered test)."""
-    joined = checked_one_to_one(inputs, keys, "inputs").join(checked_one_to_one(results, keys, "results"), list(keys), "full_outer")
+    joined = outer_one_to_one(inputs, results, keys)
     rendered = F.when(F.col(prefix).isNull(), F.lit("")).otherwise(render_test(prefix, "except_pred", "assert_pred", generator))
     return dedup_keep_first(joined.withColumn("generated_test", rendered), ["project", "bug_num", "generated_test"], order_col)
 

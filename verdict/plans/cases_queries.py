@@ -190,9 +190,8 @@ kept AS (SELECT l.* FROM lines_t l
            AND NOT EXISTS (SELECT 1 FROM bad_hdr h WHERE h.file = l.file AND h.line_idx = l.line_idx))"""
 
 
-def _doc_lines(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), "text")
-    return L.text_lines(d, ["file"], "text")
+def _files(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def _errors(spark, sf_dir):
@@ -204,7 +203,7 @@ def _errors(spark, sf_dir):
 @register("spans", with_views("SELECT file, start, \"end\" FROM spans", ctes=_REPAIR_SQL))
 def spans(spark, sf_dir):
     """Method spans from signature lines to the next start / last lone brace."""
-    return L.method_spans(_doc_lines(spark, sf_dir), "file", _SIGNATURE)
+    return L.method_spans(_files(spark, sf_dir), "file", "text", _SIGNATURE)
 
 
 @register("range_anti_join", with_views("""
@@ -212,13 +211,9 @@ SELECT file, count(*) AS kept_lines, md5(string_agg(line, chr(10) ORDER BY line_
 FROM kept GROUP BY file""", ctes=_REPAIR_SQL))
 def range_anti_join(spark, sf_dir):
     """Files after dropping every method span that holds a failing line."""
-    kept = L.repair_files(_doc_lines(spark, sf_dir), _errors(spark, sf_dir), "file", _SIGNATURE)
-    # reassemble one file (bounded by the file's own size) in line order
-    per_file = kept.groupBy("file").agg(
-        F.count(F.lit(1)).alias("kept_lines"),
-        F.array_sort(F.collect_list(F.struct("line_idx", "line"))).alias("_ls"))
-    return per_file.select("file", "kept_lines",
-                           F.md5(F.array_join(F.transform("_ls", lambda s: s["line"]), "\n")).alias("kept_md5"))
+    kept = L.repair_files(_files(spark, sf_dir), _errors(spark, sf_dir), "file", "text", _SIGNATURE).filter(F.size("kept") > 0)
+    return kept.select("file", F.size("kept").cast("long").alias("kept_lines"),
+                       F.md5(F.array_join(F.transform("kept", lambda z: z["line"]), "\n")).alias("kept_md5"))
 
 
 @register("quality_checks", with_views("""
