@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import col_, let, py_strip
+from ..functions.columns import let, py_strip
 
 
 def text_lines(df: DataFrame, id_cols: Sequence[str], text: str, keep_blank: bool = True) -> DataFrame:

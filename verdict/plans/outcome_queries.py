@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..operators import metrics as M
 from ..sources import views as V
 from ..sources.views import with_views

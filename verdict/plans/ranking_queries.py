@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import ranking as R
 from ..sources import views as V
+from ..sources.tables import table
 from ..sources.views import with_views
 from .registry import register
 
@@ -71,11 +72,23 @@ def topk_mean_over_seeds(spark, sf_dir):
     return R.mean_topk(_hits(spark, sf_dir), [["system", "run"], ["system"]])
 
 
-@register("isolation_rank")
-def isolation_rank(spark, sf_dir):
-    """Isolation-forest rank of failed tests per bug, ten seeds."""
+def _isolated(spark, sf_dir):
     from ..operators import features as FT
     from ..operators import outlier as OUT
     feats = FT.add_features(V.failed(spark, sf_dir), FT.FEATURE_NAMES)
-    ranked = OUT.isolation_rank(feats, ["project", "bug_num"], "row_idx", FT.FEATURE_NAMES)
-    return ranked.select("project", "bug_num", "seed", "row_idx", F.round("score", 6).alias("score"), "rank")
+    return OUT.isolation_rank(feats, ["project", "bug_num"], "row_idx", FT.FEATURE_NAMES)
+
+
+@register("isolation_rank")
+def isolation_rank(spark, sf_dir):
+    """Isolation-forest rank of failed tests per bug, ten seeds, all eleven features."""
+    return _isolated(spark, sf_dir).select("project", "bug_num", "seed", "row_idx", F.round("score", 6).alias("score"), "rank")
+
+
+@register("topk_isolation")
+def topk_isolation(spark, sf_dir):
+    """The top-k report of the isolation ranker: per seed, bugs with a true positive (a test whose label is
+    not toxic) among the first 1/3/5/10."""
+    lab = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("row_idx"), (F.col("toxic") == 0).alias("tp"))
+    ranked = _isolated(spark, sf_dir).filter(F.col("rank") <= max(R.TOPK)).join(lab, "row_idx").withColumn("fp", ~F.col("tp"))
+    return R.topk_hits(ranked, ["project", "bug_num"], ["seed"])
