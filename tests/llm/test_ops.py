@@ -258,9 +258,10 @@ def test_jaccard_groups(spark, odd_texts):
 
 def test_jaccard_tiles_of_any_size(spark):
     """Blocks of two rows find the pairs that one block finds."""
-    rows = [(h, r, 20 + (r * 7) % 30, r % 5) for h in (1, 2) for r in range(25)]
-    df = spark.createDataFrame(rows, "h long, r long, n long, c long")
-    want = {(a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and a[3] != b[3] and 4 * max(a[2], b[2]) <= 5 * min(a[2], b[2])}
+    rows = [(h, r, 20 + (r * 7) % 30, r % 3, r % 5) for h in (1, 2) for r in range(25)]
+    df = spark.createDataFrame(rows, "h long, r long, n long, i int, c long")
+    want = {(a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and a[4] != b[4] and 4 * max(a[2], b[2]) <= 5 * min(a[2], b[2])
+            and 9 * min(a[2] - a[3], b[2] - b[3]) >= 4 * (a[2] + b[2])}
     for size in (2, 7, 4096):
         t = op5_jaccard.tiles(df, size).repartition(3, "tile").sortWithinPartitions("tile")
         got = {tuple(r) for r in t.mapInArrow(op5_jaccard.tile_pairs, "a long, b long").collect()}

@@ -9,9 +9,10 @@
 3. First links: in each shingle group every document is paired with its predecessor and with
    the first one (a number of pairs linear in the group); verified links give components.
 4. Rest: each group is cut into size-banded tiles (a document of band b meets bands b and b + 1
-   only), large tiles into salted blocks, and pairs of *different components* are compared.
-   Documents already linked are never paired again, so a group of copies costs its size, not
-   its square, and no link between components is lost.
+   only), large tiles into salted blocks, and pairs of *different components* are compared
+   whose positions in the order leave enough shingles to share. Documents already linked are
+   never paired again, so a group of copies costs its size, not its square; near copies that
+   just miss the threshold have their own, rare shingles first and fail the position test.
 5. A pair is verified by bitmaps first: a bit of A's signature missing in B's is a shingle of A
    outside B, so |A| - popcount(A & ~B) bounds the overlap from above. What passes gets the
    exact intersection of both sorted arrays, made from the texts.
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import WHITE, keep_copy, small_batches
 from .components import components
 from .rolling import combined
-from .shingles import SIZE, shingle_sets
+from .shingles import shingle_sets
 
 CELLS = 1 << 14
 BAND = 1.25  # sizes of linked sets differ by this factor at most
@@ -103,7 +104,7 @@ def emit_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def prefix_rows(cells: np.ndarray):
-    """(v, text) -> (h, n, v): first n // 5 + 1 shingles in the order (cell count, hash); a set that the task saw
+    """(v, text) -> (h, n, i, v): first n // 5 + 1 shingles in the order (cell count, hash), i = 0, 1 ...; a set that the task saw
     before is skipped (its class has that member's rows). The sets seen are forgotten at ``SEEN_SETS``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,12 +124,12 @@ def prefix_rows(cells: np.ndarray):
             order = np.lexsort([h, cells[(h & np.uint64(CELLS - 1)).astype(np.int64)], row])
             rank = np.arange(len(h)) - at[row]
             keep = (rank <= n[row] // 5) & fresh[row]
-            h, row = h[order][keep], row[keep]
+            h, row, rank = h[order][keep], row[keep], rank[keep]
             v = b.column(0).to_numpy()
             for s in range(0, len(h), 100_000):
                 x = slice(s, s + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(h[x].view(np.int64)), pa.array(n[row[x]]), pa.array(v[row[x]])],
-                                                 names=["h", "n", "v"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c) for c in (h[x].view(np.int64), n[row[x]], rank[x].astype(np.int32), v[row[x]])], names=["h", "n", "i", "v"])
 
     return run
 
@@ -176,14 +177,19 @@ def first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def tile_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (tile, side, r, n, c) sorted by tile -> pairs of different components whose sizes fit.
+    """Rows (tile, side, r, n, i, c) sorted by tile -> pairs of different components whose sizes and positions fit.
+
+    If this shingle is the first that two sets share, they share none of the i and j that come before it in the
+    global order, so at most min(n - i, m - j). A linked pair passes that test at its first common shingle; a pair
+    that fails it here is either no link or passes elsewhere.
 
     side 0: home band, 1: the band above; of a salted block: bit 1 is the block's side, so that only
     (0, 0), (0, 1) and the two block sides meet. Holds one tile.
     """
 
     def pairs(cols) -> Iterator[pa.RecordBatch]:
-        tile, side, r, n, c = cols
+        tile, side, r, n, i, c = cols
+        rest = n - i
         k = 1
         found_a, found_b, size = [], [], 0
         while k < len(tile):
@@ -194,6 +200,7 @@ def tile_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             guest, block = side & 1, side >> 1
             ok = ((guest[near] & guest[far]) == 0) & ((block[near] == 0) | (block[near] != block[far]))
             ok &= (c[near] != c[far]) & (4 * np.maximum(n[near], n[far]) <= 5 * np.minimum(n[near], n[far]))
+            ok &= 9 * np.minimum(rest[near], rest[far]) >= 4 * (n[near] + n[far])
             found_a.append(np.minimum(r[near], r[far])[ok])
             found_b.append(np.maximum(r[near], r[far])[ok])
             size += len(found_a[-1])
@@ -289,11 +296,11 @@ def link_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = sets.groupBy("s1", "s2").agg(F.min("v").alias("r"), F.max("n").alias("n"))
     node_class = sets.select("v", "s1", "s2").distinct().join(classes.select("s1", "s2", "r"), ["s1", "s2"]).select("v", "r")
 
-    rows = nodes.select("v", "text").mapInArrow(prefix_rows(cells), "h long, n long, v long")
-    shared = rows.repartition(n_parts, "h").sortWithinPartitions("h").mapInArrow(shared_only, "h long, n long, v long")
-    groups = keep_copy(shared.join(node_class, "v").select("h", "r", "n").distinct())
+    rows = nodes.select("v", "text").mapInArrow(prefix_rows(cells), "h long, n long, i int, v long")
+    shared = rows.repartition(n_parts, "h").sortWithinPartitions("h").mapInArrow(shared_only, "h long, n long, i int, v long")
+    groups = keep_copy(shared.join(node_class, "v").select("h", "r", "n", "i").distinct())
 
-    pairs = groups.repartition(n_parts, "h").sortWithinPartitions("h", "r").mapInArrow(first_pairs, "a long, b long").distinct()
+    pairs = groups.select("h", "r", "n").repartition(n_parts, "h").sortWithinPartitions("h", "r").mapInArrow(first_pairs, "a long, b long").distinct()
     links = keep_copy(_verify(pairs, feats, nodes))
     label = components(links)
 
@@ -309,7 +316,7 @@ def link_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def tiles(rows: DataFrame, tile: int = TILE) -> DataFrame:
-    """(h, r, n, c) -> (tile, side, r, n, c): each row in its size band and, as a guest, in the band below; bands of
+    """(h, r, n, i, c) -> (tile, side, r, n, i, c): each row in its size band and, as a guest, in the band below; bands of
     more than ``tile`` rows of one h are cut into salted blocks, and each pair of blocks is a tile."""
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(BAND)))).cast("int")
     rows = rows.withColumn("band", band)
@@ -323,7 +330,7 @@ def tiles(rows: DataFrame, tile: int = TILE) -> DataFrame:
     lo, hi = F.least("mine", "other"), F.greatest("mine", "other")
     # the two blocks of a tile are sides 1 and 2; a block with itself is side 0
     side = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2)
-    return both.select(F.xxhash64("h", "band", lo, hi).alias("tile"), (side * 2 + F.col("guest")).alias("side"), "r", "n", "c")
+    return both.select(F.xxhash64("h", "band", lo, hi).alias("tile"), (side * 2 + F.col("guest")).alias("side"), "r", "n", "i", "c")
 
 
 def join_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
