@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_copy
+from .common import keep_copy, small_batches
 from .rolling import combined, levels, mixed, sliding
 
 LENGTH, GRAM = 100, 32
@@ -117,7 +117,14 @@ ANCHORS = "lead long, around long, d long, t long, pos int, done boolean"
 def emit_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         d, t = b.column(0).to_numpy(), b.column(1).to_numpy()
-        row, pos, lead, around = anchors(b.column(2).cast(pa.binary()).to_pylist())
+        parts, at = [], 0
+        for s in small_batches(iter([b]), 2):
+            row, *rest = anchors(s.column(2).cast(pa.binary()).to_pylist())
+            parts.append((row + at, *rest))
+            at += s.num_rows
+        if not parts:
+            continue
+        row, pos, lead, around = (np.concatenate(x) for x in zip(*parts))
         doc = d[row]
         done = _later([lead, around], doc, pos)
         lead = np.where(done, mixed(doc.astype(np.uint64) * np.uint64(31) + pos.astype(np.uint64)), lead)  # anywhere
