@@ -164,8 +164,8 @@ def _grow(features: Sequence[str], seeds: Sequence[int], n_trees: int, max_sampl
 def _score(features: Sequence[str], n_trees: int):
     def run(rows: pd.DataFrame, forests: pd.DataFrame) -> pd.DataFrame:
         x = rows[list(features)].to_numpy(dtype=float)
-        parts = [pd.DataFrame({"_id": rows["_id"], "_g": rows["_g"], "seed": f.seed, "_psi": f._psi_, "mean_path": mean_path(x, f.forest, n_trees)})
-                 for f in forests.rename(columns={"_psi": "_psi_"}).itertuples(index=False)] if len(rows) else []
+        parts = [pd.DataFrame({"_id": rows["_id"], "_g": rows["_g"], "seed": seed, "_psi": psi, "mean_path": mean_path(x, forest, n_trees)})
+                 for seed, psi, forest in zip(forests["seed"], forests["_psi"], forests["forest"])] if len(rows) else []
         return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(
             {"_id": rows["_id"][:0], "_g": [], "seed": [], "_psi": [], "mean_path": []})
     return run
