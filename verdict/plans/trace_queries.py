@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import features as FT
 from ..operators import triggers as TR
+from ..session import cut_lineage
 from ..sources import views as V
 from ..sources.tables import table
 from ..sources.views import with_views
@@ -191,7 +192,8 @@ feat AS (
 
 
 def _features(spark, sf_dir, names, keep=()):
-    return FT.add_features(V.failed(spark, sf_dir), names, keep)
+    # every count and text feature reads the rows again: build them once
+    return FT.add_features(cut_lineage(V.failed(spark, sf_dir)), names, keep)
 
 
 @register("value_counts", with_views("""
