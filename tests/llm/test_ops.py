@@ -8,6 +8,7 @@ import html as html_lib
 import math
 import random
 import re
+import textwrap
 
 import duckdb
 import numpy as np
@@ -31,7 +32,7 @@ from verdict.llm import (
 from verdict.llm.components import components
 from verdict.llm.shingles import shingle_sets
 
-from llm_cases import WORD, brute_groups, brute_set, brute_targets, edit_distance, edited, empty, prose
+from llm_cases import APACHE_TEXT, BSD_TEXT, GPL_TEXT, MIT_TEXT, WORD, brute_groups, brute_set, brute_targets, edit_distance, edited, empty, prose
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("documents", "pages", "benchmark", "labels")
@@ -92,6 +93,33 @@ def test_license_rules_take_their_order(spark):
     assert got[6] == ("GPL_3,GPL_LATER", "GPL-3.0-or-later", "GPL-3.0-or-later")
 
 
+def wrapped(text: str, leader: str, width: int = 72) -> str:
+    lines = [line for part in text.split("\n\n") for line in [*textwrap.wrap(part, width), ""]]
+    return "\n".join((leader + line).rstrip() for line in lines)
+
+
+def test_license_published_texts(spark):
+    """Full texts, unwrapped, wrapped and behind comment leaders; lines that end without a stop; near misses."""
+    texts = {"MIT": MIT_TEXT, "BSD-3-Clause": BSD_TEXT, "Apache-2.0": APACHE_TEXT, "GPL-3.0-or-later": GPL_TEXT}
+    rows, want = [], []
+    for name, text in texts.items():
+        for form in (text, wrapped(text, ""), wrapped(text, "# "), wrapped(text, " * "), wrapped(text, "// ", 40), wrapped(text, "").replace("\n", "\r\n"),
+                     text.replace("the copyright holder nor", "Example Labs Inc. nor")):
+            rows.append(form)
+            want.append(name)
+    for text, name in (("// SPDX-License-Identifier: MIT\n#include <a.h>", "MIT"), ("By somebody\nAll rights reserved\nmore", "Proprietary"),
+                       ("This work is in the public\ndomain.", "CC0-1.0"), ("spdx-license-identifier: MIT OR Apache-2.0", "UNKNOWN"),
+                       ("released under the\n\nMIT license", "UNKNOWN"), (GPL_TEXT.replace("version 3", "version 2"), "UNKNOWN"),
+                       ("GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007", "GPL-3.0")):
+        rows.append(text)
+        want.append(name)
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: r for r in op1_license.scan(df).collect()}
+    assert [got[i].license for i in range(len(rows))] == want
+    assert {got[i].sentence_ids for i in range(6)} == {"MIT_GRANT,MIT_NOTICE,NO_WARRANTY"}
+    assert {got[i].sentence_ids for i in range(7, 14)} == {"ALL_RIGHTS,BSD_REDIST,BSD_3,NO_WARRANTY"}
+
+
 def test_license_table_is_checked():
     with pytest.raises(ValueError):
         op1_license._check({"A": ("Not Normal",)})

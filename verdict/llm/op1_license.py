@@ -1,13 +1,19 @@
 """License scans by sentence rules.
 
-A text is cut into sentences, each is normalised (A-Z lower-cased, every run of other
-characters than letters and digits to one blank) and looked up among known licence
-sentences; the identifiers found, in text order, are then matched against licence rules.
+A text is normalised (A-Z lower-cased, every run of other characters than letters and digits,
+comment leaders included, to one blank) with marks for sentence ends, blank lines and line ends.
+A single line end is a blank inside a known sentence, so wrapped texts count as unwrapped ones.
+A known wording starts at a sentence or line start and ends at a sentence or line end; those of
+``STARTS`` are whole-word starts of a longer published sentence (its end is not compared), those
+of ``INSIDE`` may also follow the free subject of theirs. The identifiers found, in text order,
+are then matched against licence rules.
 A rule names identifiers that must appear in that order; rules are tried in their order and
 each consumes its identifiers, so a specific rule stands before a general one.
 
-All of it is column expressions of one row (no shuffle, no Python). Only sentences with a
+All of it is column expressions of one row (no shuffle, no Python). Only texts with a
 cue word are normalised; every known sentence holds a cue word (``_check``), so none is lost.
+``SQL`` is the older rule, line by line and whole sentences of ``SENTENCES`` only: it agrees where
+sentences stand on lines of their own, as in the given tables, and not on wrapped or full texts.
 
 Defined results: null or empty text has no sentence and no licence; a sentence that has a cue
 of ``UNKNOWN_CUES`` but no identifier counts as unknown; repeated rows are scanned one by one;
@@ -48,6 +54,20 @@ SENTENCES: dict[str, tuple[str, ...]] = {
                     "this software is provided by the copyright holders and contributors as is"),
     "ALL_RIGHTS": ("all rights reserved",),
 }
+# Published sentences besides: wording -> identifiers it gives.
+PUBLISHED: dict[str, str] = {
+    "the above copyright notice and this permission notice including the next paragraph shall be included in all copies "
+    "or substantial portions of the software": "MIT_NOTICE",
+    "apache license version 2 0 january 2004": "APACHE_2",
+    "the asf licenses this file to you under the apache license version 2 0 the license": "APACHE_2",
+    "gnu general public license version 3 29 june 2007": "GPL_3",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free "
+    "software foundation either version 3 of the license or at your option any later version": "GPL_3,GPL_LATER",
+}
+STARTS = (*SENTENCES["MIT_GRANT"], *SENTENCES["NO_WARRANTY"])
+INSIDE = tuple(w for w in PUBLISHED if w.startswith("you can redistribute"))
+# The holder's name in BSD_3 is free: what stands for it in a text, and in the wording.
+HOLDER, ANY_HOLDER = "name of the copyright holder nor", "names? of [^P]+? nor"
 # Ordered rules: licence -> identifiers in the order in which they must appear.
 RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("MIT", ("MIT_GRANT", "MIT_NOTICE", "NO_WARRANTY")),
@@ -68,8 +88,9 @@ CUES = ("licens", "permission", "permitted", "copyright", "warranty", "redistrib
         "any later version")
 UNKNOWN_CUES = ("license", "licence", "licensed")
 
-BREAK = r"([.!?;])[\x20\x09-\x0D]+|\n+"
+END = r"[.!?;][\x20\x09-\x0D]+"
 OTHER = "[^0-9A-Za-z\u0080-\U0010FFFF]+"
+BLANK_LINES = "\n[^0-9a-z\u0080-\U0010FFFF]*\n"
 
 
 def _check(sentences=SENTENCES) -> dict[str, str]:
@@ -83,12 +104,28 @@ def _check(sentences=SENTENCES) -> dict[str, str]:
     return out
 
 
-def normal(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.translate(sentence, A_Z, A_Z_LOWER), OTHER, " "))
+def normal(low: Column) -> Column:
+    """Words of a lower-cased text between blanks, or P (blank line, either end of the text), S (sentence end) or L (line end)."""
+    x = F.regexp_replace(F.regexp_replace(low, BLANK_LINES, "P"), END, "S")
+    x = F.regexp_replace(F.translate(x, "\n", "L"), "[^0-9a-zPSL\u0080-\U0010FFFF]+", " ")
+    x = F.concat(F.lit("P"), x, F.lit("P"))
+    for marks, mark in ((" PSL", "P"), (" SL", "S"), (" L", "L")):  # a run of marks is its strongest
+        x = F.regexp_replace(x, f"(?<![ PSL])[{marks}]*{mark}[{marks}]*", mark)
+    return x
+
 
+def known_pattern(wordings) -> str:
+    """Any wording over ``normal``, longest first."""
+    def one(w: str) -> str:
+        body = w.replace(HOLDER, ANY_HOLDER).replace(" ", "[ SL]" if HOLDER in w else "[ L]")
+        if HOLDER in w:  # also as an item of a list
+            body = "(?:[0-9]{1,2} |[a-z] )?" + body
+        return f"(?<=[{' ' if w in INSIDE else ''}PSL])" + body + f"(?=[{' ' if w in STARTS else ''}PSL])"
+    return "|".join(one(w) for w in sorted(wordings, key=len, reverse=True))
 
-def _has(text: Column, cues) -> Column:
-    return text.rlike("|".join(cues))
+
+def _has(text: Column, cues, between: str) -> Column:
+    return text.rlike("|".join(c.replace(" ", between) for c in cues))
 
 
 def rule_pattern(ids: tuple[str, ...]) -> str:
@@ -117,19 +154,22 @@ def match_rules(sequence: Column, rules=RULES) -> Column:
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences=SENTENCES, rules=RULES) -> DataFrame:
     """id, sentence_ids ('A,B', '' if none), n_known, n_unknown, licenses (by rule order), license (first, else
     'UNKNOWN' if an unknown licence sentence stands there, else null)."""
-    known = _check(sentences)
+    known = _check(sentences) | PUBLISHED
     names = F.create_map(*[x for w, name in known.items() for x in (F.lit(w), F.lit(name))])
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    low = F.translate(text, A_Z, A_Z_LOWER)
-    # texts without a cue skip the split; the cue test is one pass
-    cut = F.split(F.regexp_replace(text, BREAK, "$1\n"), "\n", -1)
-    cued = F.when(_has(low, CUES), F.filter(cut, lambda s: _has(F.translate(s, A_Z, A_Z_LOWER), CUES))).otherwise(
-        F.array().cast("array<string>"))
-    norm = F.transform(cued, normal)
-
-    def found(ss: Column) -> Column:
-        ids = F.transform(F.filter(ss, lambda s: s.isin(*known)), lambda s: F.element_at(names, s))
-        strange = F.filter(ss, lambda s: ~s.isin(*known) & _has(s, UNKNOWN_CUES))
+    pattern = F.lit(known_pattern(known))
+    low = F.translate(F.coalesce(F.col(text_col), F.lit("")), A_Z, A_Z_LOWER)
+    # texts without a cue are not normalised; the cue test is one pass
+    norm = F.when(_has(low, CUES, OTHER), normal(low)).otherwise(F.lit(""))
+
+    def identifier(hit: Column) -> Column:
+        wording = F.regexp_replace(F.translate(hit, "LS", "  "), "^.*?neither the names? of .* nor", f"neither the {HOLDER}")
+        return F.element_at(names, wording)
+
+    def found(text: Column) -> Column:
+        ids = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), identifier)
+        # sentences, each known wording in them as a mark
+        rest = F.split(F.regexp_replace(text, pattern, F.lit("K")), "[PS]", -1)
+        strange = F.filter(rest, lambda s: ~s.contains("K") & _has(s, CUES, "[ L]") & _has(s, UNKNOWN_CUES, " "))
         return with_value(ids, lambda x: F.struct(
             F.concat_ws(",", x).alias("sentence_ids"), F.size(x).cast("long").alias("n_known"),
             F.size(strange).cast("long").alias("n_unknown")))
