@@ -421,6 +421,26 @@ def test_html_host_runs(spark):
         assert got[i].split("\n") == (lines if i < 4 else [line, *lines])
 
 
+def test_html_large_host_keeps_articles(spark):
+    """Without an article element: shared phrases, a shared passage and a copied article stay, boilerplate goes."""
+    menu, notice, passage = "home news", prose(900, 30).replace("\n", " "), prose(901, 40).replace("\n", " ")
+    phrase = "on the other hand it is"
+    body = lambda i: [f"{prose(i, 25)} {phrase} {prose(i + 400, 25)}", prose(i + 800, 30) + (f" {passage}" if i < 3 else "")]
+    page = lambda i: f"<div>{menu}</div>" + "".join(f"<div>{x}</div>" for x in body(i)) + f"<div>{notice}</div>"
+    rows = [(i, f"http://big.org/{i}", page(i)) for i in range(60)]
+    rows += [(60 + k, f"http://big.org/copy{k}", rows[5][2]) for k in range(100)]  # 100 copies are one page
+    rows += [(200 + k, f"http://two.org/{k}", page(6)) for k in range(2)]
+    rows += [(300, "http://big.org/c", page(7).replace(menu, "<!-- <article> --><script><article></script>" + menu))]  # no article element
+    got = {r.page_id: r.text for r in op7_html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    flat = lambda i: [" ".join(x.split()) for x in body(i)]
+    assert len(got) == len(rows)
+    for i in range(60):
+        assert got[i].split("\n") == flat(i)
+    assert {got[60 + k] for k in range(100)} == {"\n".join(flat(5))}
+    assert {got[200], got[201]} == {"\n".join([menu, *flat(6), " ".join(notice.split())])}
+    assert got[300].split("\n") == flat(7)
+
+
 def test_html_as_a_plain_parser(spark):
     df = spark.read.parquet(f"{SF}/pages.parquet")
     pages = {r.page_id: r.html for r in df.collect()}
