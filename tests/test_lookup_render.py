@@ -124,3 +124,21 @@ def test_isolation_blocks_and_pools(spark):
     assert one == many and len(one) == 600
     assert min(one, key=one.get)[0] == "t13"
     assert len(run(pool=100)) == 600
+
+
+def test_isolation_draws_over_the_whole_bug(spark):
+    """Rows beyond the first 4,096 by id hash shape trees, and every path length is that of a plain forest over all rows."""
+    ids = spark.range(6000).select(F.col("id"), F.xxhash64("id").alias("h")).orderBy("h", "id").collect()
+    value = {r["id"]: float(k if k >= 4096 else 0) for k, r in enumerate(ids)}
+    df = spark.createDataFrame([("p", 0, i, v) for i, v in value.items()], "project string, bug_num long, row_idx long, a double")
+    scored = OUT.isolation_scores(df, ["project", "bug_num"], "row_idx", ["a"], seeds=[0, 1], n_trees=8).collect()
+    got = {(r["seed"], r["row_idx"]): r["mean_path"] for r in scored}
+    assert len(got) == 12000
+    key = df.limit(1).select(F.xxhash64(F.to_json(F.struct("project", "bug_num"))).alias("k")).first()["k"]
+    x = np.array([[value[r["id"]]] for r in ids])
+    for seed in (0, 1):
+        picks, growth = OUT.draw(seed, key, 6000, 8, 256)
+        assert picks.shape == (8, 256) and all(len(set(p)) == 256 for p in picks.tolist()) and picks.max() >= 4096
+        plain = OUT.mean_path(x, OUT.pack_forest(OUT.grow_forest(x[picks.ravel()], np.repeat(np.arange(8), 256), growth)), 8)
+        assert [got[seed, r["id"]] for r in ids] == plain.tolist()
+        assert len(set(plain.tolist())) > 100

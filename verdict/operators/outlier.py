@@ -2,12 +2,12 @@
 
 MLlib has no isolation forest, so it is built from Spark stages, one path for all sizes:
 
-1. pool: the ``POOL`` rows of a group with the smallest id hash (salted top-k, so a hot
-   group is many tasks). Each tree draws its at most 256 rows without replacement from the
-   pool; a group of up to POOL rows is its own pool, as in the library.
-2. grow: one grouped call per group sees its pool only (bounded) and returns, per seed, the
-   node table of all trees, packed (17 bytes a node): random feature, uniform split, depth
-   limit ceil(log2 psi), level by level with NumPy.
+1. draw: each tree of each seed draws its at most 256 rows without replacement over all rows of
+   the group, as in the library: positions (skew-safe, by id hash) from a generator that only the
+   seed and the group feed. Only rows drawn go on, each once per (group, seed).
+2. grow: one grouped call per (group, seed) sees its drawn rows (at most trees x 256), repeats the
+   draw and returns the node table of all trees, packed (17 bytes a node): random feature, uniform
+   split, depth limit ceil(log2 psi), level by level with NumPy.
 3. score: rows are dealt into blocks of ``BLOCK_ROWS``; a block meets its group's forests and
    walks them in small chunks. Score = 2 ** (-E[h] / c(psi)).
 4. rank: ascending mean path length (most isolated first), ties by id, by skew-safe positions.
@@ -15,21 +15,20 @@ MLlib has no isolation forest, so it is built from Spark stages, one path for al
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.positions import group_positions, topk_per_group
+from ..functions.positions import group_positions
 from ..session import cut_lineage
 
 # Library defaults of the isolation forest.
 N_TREES = 100
 MAX_SAMPLES = 256
 EULER = 0.5772156649015329
-POOL = 4096
 BLOCK_ROWS = 100_000
 CHUNK_ROWS = 2_000
 
@@ -146,18 +145,30 @@ def mean_path(x: np.ndarray, packed: bytes, n_trees: int) -> np.ndarray:
     return out
 
 
-def _grow(features: Sequence[str], seeds: Sequence[int], n_trees: int, max_samples: int):
-    def run(pool: pd.DataFrame) -> pd.DataFrame:
-        pool = pool.sort_values(["_h", "_id"], kind="stable")
-        x, g = pool[list(features)].to_numpy(dtype=float), pool["_g"].iloc[0]
-        psi = min(max_samples, len(x))
-        rows = []
-        for seed in seeds:
-            rng = np.random.default_rng([int(seed), int(pool["_key"].iloc[0]) & 0xFFFFFFFF])
-            pick = np.concatenate([rng.choice(len(x), psi, replace=False) for _ in range(n_trees)])
-            nodes = grow_forest(x[pick], np.repeat(np.arange(n_trees), psi), int(rng.integers(2 ** 62)))
-            rows.append((g, int(seed), psi, pack_forest(nodes)))
-        return pd.DataFrame(rows, columns=["_g", "seed", "_psi", "forest"])
+def draw(seed: int, key: int, n: int, n_trees: int, max_samples: int) -> tuple[np.ndarray, int]:
+    """(positions of the sample rows of each tree, one line a tree; seed of the growth) for a group of ``n`` rows."""
+    rng = np.random.default_rng([int(seed), int(key) & 0xFFFFFFFF])
+    psi = min(max_samples, int(n))
+    return np.stack([rng.choice(int(n), psi, replace=False) for _ in range(n_trees)]), int(rng.integers(2 ** 62))
+
+
+def _drawn(n_trees: int, max_samples: int):
+    def run(groups: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in groups:
+            for row in part.itertuples(index=False, name=None):
+                g, key, n, seed = row
+                yield pd.DataFrame({"_g": g, "_key": key, "_n": n, "seed": seed, "_pos": np.unique(draw(seed, key, n, n_trees, max_samples)[0])})
+    return run
+
+
+def _grow(features: Sequence[str], n_trees: int, max_samples: int):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("_pos", kind="stable")
+        g, key, n, seed = (rows[c].iloc[0] for c in ("_g", "_key", "_n", "seed"))
+        picks, growth = draw(seed, key, n, n_trees, max_samples)
+        x = rows[list(features)].to_numpy(dtype=float)[np.searchsorted(rows["_pos"].to_numpy(), picks.ravel())]
+        nodes = grow_forest(x, np.repeat(np.arange(n_trees), picks.shape[1]), growth)
+        return pd.DataFrame([(g, int(seed), picks.shape[1], pack_forest(nodes))], columns=["_g", "seed", "_psi", "forest"])
     return run
 
 
@@ -173,15 +184,23 @@ def _score(features: Sequence[str], n_trees: int):
 
 def isolation_scores(df: DataFrame, group: Sequence[str], id_col: str, features: Sequence[str],
                      seeds: Sequence[int] = tuple(range(10)), n_trees: int = N_TREES,
-                     max_samples: int = MAX_SAMPLES, pool: int = POOL, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(group..., id, seed, mean_path, score) for every row and seed; the id keeps its type."""
+                     max_samples: int = MAX_SAMPLES, pool: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(group..., id, seed, mean_path, score) for every row and seed; the id keeps its type.
+
+    ``pool``: trees draw only from so many rows of a group, by id hash; all rows if None."""
     base = df.select(F.to_json(F.struct(*group)).alias("_g"), F.col(id_col).alias("_id"), *group,
                      *[F.col(f).cast("double").alias(f) for f in features])
-    base = cut_lineage(base.withColumn("_h", F.xxhash64("_id")))  # read for pools, sizes and scores
-    pools = topk_per_group(base, ["_g"], ["_h", "_id"], pool).withColumn("_key", F.xxhash64("_g"))
+    base = cut_lineage(base.withColumn("_h", F.xxhash64("_id")))  # read for sizes, draws and scores
+    size = F.count(F.lit(1))
+    sizes = base.groupBy("_g").agg((size if pool is None else F.least(size, F.lit(pool))).alias("_n"))
     n_part = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    forests = cut_lineage(pools.repartition(n_part, "_g").groupBy("_g").applyInPandas(
-        _grow(list(features), [int(s) for s in seeds], n_trees, max_samples), "_g string, seed int, _psi int, forest binary"))
+    calls = sizes.select("_g", F.xxhash64("_g").alias("_key"), "_n", F.explode(F.array(*[F.lit(int(s)) for s in seeds])).alias("seed"))
+    draws = calls.repartition(n_part, "_g", "seed").mapInPandas(
+        _drawn(n_trees, max_samples), "_g string, _key long, _n long, seed int, _pos long")
+    placed = group_positions(base.select("_g", "_h", "_id", *features), ["_g"], ["_h", "_id"], "_pos")
+    sample = draws.join(placed.drop("_h", "_id"), ["_g", "_pos"])
+    forests = cut_lineage(sample.repartition(n_part, "_g", "seed").groupBy("_g", "seed").applyInPandas(
+        _grow(list(features), n_trees, max_samples), "_g string, seed int, _psi int, forest binary"))
     blocks = base.groupBy("_g").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("_k"))
     rows = base.join(blocks, "_g").withColumn("_b", F.pmod("_h", F.col("_k").cast("long")).cast("int"))
     copies = forests.join(blocks, "_g").withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
