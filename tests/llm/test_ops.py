@@ -564,6 +564,15 @@ def test_language_fusion(spark):
     assert op10_language.identify(empty(df), model).count() == 0
 
 
+def test_language_declared_after_a_long_start(spark):
+    """The html tag may start anywhere: after a long comment, licence block or white space."""
+    tag = '<HTML class="a"\n lang="De-at"><body><p>x</p>'
+    pages = [tag, "<!-- " + prose(1, 2000) + " -->\n" + tag, " \n" * 50_000 + tag, "<!DOCTYPE html>" + "<!-- a -->" * 3000 + tag, "<p>" + prose(2, 2000), None]
+    df = spark.createDataFrame(list(enumerate(pages)), "page_id long, html string")
+    got = df.select("page_id", op10_language.declared_of(op10_language.F.col("html")).alias("d")).collect()
+    assert [r.d for r in sorted(got)] == ["de"] * 4 + ["", ""]
+
+
 def test_language_without_labels(spark):
     none = spark.createDataFrame([(None, "text"), ("en", None)], "lang string, text string")
     model = op10_language.fit(none)

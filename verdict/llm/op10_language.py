@@ -99,8 +99,8 @@ def _address(url) -> tuple:
 
 
 def declared_of(html):
-    """Primary tag of <html lang=...>, lower-cased ('' if none)."""
-    return F.lower(F.regexp_extract(F.coalesce(html, F.lit("")), r"""(?is)^.{0,2000}?<html\b[^>]*?\blang\s*=\s*["']?([a-zA-Z]+)""", 1))
+    """Primary tag of the first <html lang=...>, wherever it starts, lower-cased ('' if none)."""
+    return F.lower(F.regexp_extract(F.coalesce(html, F.lit("")), r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?([a-zA-Z]+)""", 1))
 
 
 def identify(pages: DataFrame, model: Model, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
