@@ -67,6 +67,13 @@ def test_registered():
     assert "pipeline" in names
 
 
+def test_bench_times_every_query():
+    import bench
+
+    assert bench.to_time(E.queries()) == sorted(E.queries())
+    assert bench.to_time(E.queries(), ["pipeline"]) == ["pipeline"]
+
+
 # ------------------------------------------------------------------ 1 license scan
 
 def test_license_odd_rows(odd_docs):
