@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import string
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -59,3 +60,10 @@ def small_batches(batches: Iterator[pa.RecordBatch], text: int, limit: int = 2 <
         for lo, hi in zip(cuts, cuts[1:]):
             if hi > lo:
                 yield b.slice(lo, hi - lo)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows written as Parquet under a new name in the shared folder and reread; the caller clears that folder."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
