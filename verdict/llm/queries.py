@@ -16,6 +16,7 @@ from . import (
     op9_url,
     op10_language,
     op11_bpe,
+    op12_phrases,
     op13_runs,
 )
 from .common import read_table
@@ -70,6 +71,10 @@ def op11_bpe_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op11_bpe.report(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_phrases.collocations(read_table(spark, sf_dir, "documents"))
+
+
 def op13_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op13_runs.find_runs(read_table(spark, sf_dir, "documents"), plant=op13_runs.planted)
 
@@ -77,6 +82,6 @@ def op13_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_license_scan, op2_quality_rules, op3_mix_sources, op4_token_counts, op5_jaccard_join, op6_suffix_dedup, op7_html_text,
     op8_benchmark_leaks, op9_url_filter, op10_language_id, op11_bpe_ids,
-    op13_word_runs)}
+    op12_collocations, op13_word_runs)}
 ORACLE_SQL = {"op1_license_scan": op1_license.SQL, "op2_quality_rules": op2_quality.SQL, "op3_mix_sources": op3_mixing.SQL,
-              "op9_url_filter": op9_url.SQL}
+              "op9_url_filter": op9_url.SQL, "op12_collocations": op12_phrases.SQL}
