@@ -2,9 +2,9 @@
 
 ``encode``: the texts are split into words by Spark tasks and counted; each distinct word is
 merged once, which gives a table (word, n, ids). Its most frequent words go to the tasks as
-numbers: at most ``FREQUENT`` words hold at least that share of all words each, and at most
-``WORD_BYTES`` bytes a word on average, so the table sent has a fixed bound. Every text becomes
-the numbers of its words; the words that are not frequent, each of them rare by definition, are
+numbers: at most ``FREQUENT`` words of ``WORD_BYTES`` bytes, and longer ones whose bytes their
+counts bound, so the table sent has a fixed bound. Every text becomes the numbers of its words;
+the words that are not frequent, each of them at most 1 / ``FREQUENT`` of all words, are
 joined with the table by word and come back to their text by position. A text is named by its
 MD5, so copies of a text share what comes back, and ids may repeat or be null. A text that a
 third of all rows repeat makes a skewed join key whose text side Spark splits; its words
@@ -33,13 +33,13 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches, written
 from .op4_tokens import byte_letters
 
-#: Words sent to every task at most, and their bytes a word on average.
+#: Words sent to every task at most, and their bytes.
 FREQUENT, WORD_BYTES = 1 << 18, 64
 #: Beyond this code point texts are split by the library.
 PLAIN_UP_TO = 0x4FF
@@ -249,6 +249,21 @@ def _join_ids(shared_ids) -> Callable:
     return run
 
 
+def _often(table: DataFrame, total: int, frequent: int) -> Column:
+    """Whether a word goes to every task: at most ``frequent`` short words, from a count on, and long ones of
+    ``frequent * WORD_BYTES`` bytes together (n * frequent * WORD_BYTES >= total * bytes for each, and all n add up to total)."""
+    short = F.octet_length("word") <= WORD_BYTES
+    step = F.floor(F.log2("n") * 16).cast("int")  # some hundred steps of counts
+    left, least = frequent, None
+    for r in sorted(table.filter(short).groupBy(step.alias("step")).agg(F.count("*").alias("words")).collect(), reverse=True):
+        left -= r["words"]
+        if left < 0:
+            break
+        least = r["step"]
+    enough = F.lit(False) if least is None else step >= least
+    return (short & enough) | (~short & (F.col("n").cast("double") * float(frequent * WORD_BYTES) >= F.octet_length("word") * float(total)))
+
+
 def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
     """id, ids (array of int) per input row. ``path``: the vocabulary file, read here on the driver."""
     spark, vocab = df.sparkSession, Vocabulary(path)
@@ -256,7 +271,7 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     docs = df.select(F.col(id_col).alias("id"), F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))).alias("text_key"), F.col(text_col).alias("text"))
     table = word_table(docs.select("text").filter("text <> ''"), vocab)
     total = table.agg(F.sum("n")).first()[0] or 0
-    often = (F.col("n") * frequent >= total) & (F.col("n") * frequent * WORD_BYTES >= F.octet_length("word") * F.lit(total))
+    often = _often(table, total, frequent)
     chosen = table.filter(often).toArrow().sort_by([("n", "descending"), ("word", "ascending")])  # bounded, see above
     shared = spark.sparkContext.broadcast(chosen.column("word").to_pylist())
     shared_ids = spark.sparkContext.broadcast(_flat(chosen.column("ids").to_pylist() + [[i] for i in vocab.added.values()]))
