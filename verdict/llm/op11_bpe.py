@@ -27,7 +27,6 @@ import hashlib
 import heapq
 import json
 import unicodedata
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -40,7 +39,9 @@ from .common import small_batches, written
 from .op4_tokens import byte_letters
 
 #: Words sent to every task at most, and their bytes.
-FREQUENT, WORD_BYTES = 1 << 18, 64
+FREQUENT, WORD_BYTES = 1 << 19, 64
+#: The contractions that the pattern names first, in its order.
+CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 #: Beyond this code point texts are split by the library.
 PLAIN_UP_TO = 0x4FF
 
@@ -127,16 +128,91 @@ def splitter(pattern: str, added: dict[str, int], library_parts: str) -> Callabl
     return words
 
 
+# Classes of the code points below 0x300, where NFC changes nothing: 0 blank, 1 letter, 2 digit, 3 other.
+_DIRECT = 0x300
+_LETTER, _DIGIT, _OTHER = 1, 2, 3
+_DOTTED_I = 0x130  # the one whose lower case is two characters
+
+
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    import regex
+
+    kind, low = np.zeros(_DIRECT, np.uint8), np.arange(_DIRECT, dtype=np.uint32)
+    for cp in range(_DIRECT):
+        c = chr(cp)
+        kind[cp] = _LETTER if regex.match(r"\p{L}", c) else _DIGIT if regex.match(r"\p{N}", c) else 0 if regex.match(r"\s", c) else _OTHER
+        low[cp] = ord(c.lower()[0])
+    return kind, low
+
+
+class WordCodes:
+    """texts -> distinct words, the code of every word, and the number of words of each text.
+
+    Texts below ``_DIRECT`` without an added string are split all at once: a word starts where the class changes, at
+    each digit, and around a contraction; the others one by one by ``splitter``."""
+
+    def __init__(self, parts: tuple):
+        self.split, self.added = splitter(*parts), parts[1]
+        self.contractions = [[ord(c) for c in m] for m in CONTRACTIONS]
+        if not parts[0].startswith("|".join("'" + m for m in CONTRACTIONS) + "|"):
+            raise ValueError("the pattern has other contractions")
+        self.kind, self.low = _tables()
+
+    def __call__(self, texts: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        cps = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le"), np.uint32)
+        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+        odd = np.zeros(len(texts), bool)
+        odd[np.searchsorted(ends, np.nonzero((cps >= _DIRECT) | (cps == _DOTTED_I))[0], "right")] = True
+        for i, t in enumerate(texts):
+            if not odd[i] and any(s in t for s in self.added):
+                odd[i] = True
+        if odd.any():
+            cps = cps[np.repeat(~odd, np.diff(ends, prepend=0))]
+        plain = np.nonzero(~odd)[0]
+        words, at = self._direct(cps)
+        ends = np.cumsum(np.diff(ends, prepend=0)[plain])
+        doc = plain[np.searchsorted(ends, at, "right")] if len(plain) else at
+        if odd.any():
+            slow = [self.split(texts[i]) for i in np.nonzero(odd)[0]]
+            words = pa.concat_arrays([words, pa.array([w for ws in slow for w in ws], pa.string())])
+            doc = np.concatenate([doc, np.repeat(np.nonzero(odd)[0], [len(ws) for ws in slow])])
+        coded = words.dictionary_encode()
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        if odd.any():
+            codes = codes[np.argsort(doc, kind="stable")]
+        return coded.dictionary, codes, np.bincount(doc, minlength=len(texts))
+
+    def _direct(self, cps: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+        """Words, and the place where each starts."""
+        kind, low = self.kind[cps], self.low[cps]
+        first = np.ones(len(kind), bool)
+        first[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+        marks = np.nonzero(first & (kind == _OTHER) & (cps == ord("'")))[0]
+        free = np.ones(len(marks), bool)
+        for m in self.contractions:  # in the order of the pattern, the first that fits
+            fits = free & (marks + len(m) < len(cps))
+            for k, c in enumerate(m, 1):
+                fits[fits] = low[marks[fits] + k] == c
+            first[marks[fits] + 1] = False
+            after = marks[fits] + len(m) + 1
+            first[after[after < len(cps)]] = True
+            free &= ~fits
+        inside = kind > 0
+        at = np.nonzero(first & inside)[0]
+        wide = 1 + (low >= 0x80)
+        offsets = np.concatenate([np.concatenate([[0], np.cumsum(wide * inside, dtype=np.int32)])[at], [(wide * inside).sum()]]).astype(np.int32)
+        text = low[inside].tobytes().decode("utf-32-le").encode()
+        return pa.Array.from_buffers(pa.string(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(text)]), at
+
+
 def _count_words(parts: tuple) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, added = splitter(*parts), parts[1]
+        coder = WordCodes(parts)
+        added = pa.array(list(coder.added), pa.string())
         for b in small_batches(batches, 0):
-            n = Counter()
-            for t in b.column(0).to_pylist():
-                n.update(words(t))
-            for s in added:
-                n.pop(s, None)
-            yield pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.string()), pa.array(n.values(), pa.int64())], names=["word", "n"])
+            words, codes, _ = coder(b.column(0).to_pylist())
+            counted = pa.RecordBatch.from_arrays([words, pa.array(np.bincount(codes, minlength=len(words)), pa.int64())], names=["word", "n"])
+            yield counted.filter(pc.invert(pc.is_in(words, added)))
     return run
 
 
@@ -162,46 +238,48 @@ def word_table(texts: DataFrame, vocab: Vocabulary) -> DataFrame:
     return written(counted.mapInArrow(_encode_words(vocab.ids, vocab.ranks, vocab.end), "word string, n long, ids array<int>"), "bpe-words")
 
 
-def _numbered(parts: tuple, shared) -> Callable[[list[str]], tuple[list[list[int]], list[dict[str, int]]]]:
-    """texts -> the numbers of their words, and the words that are not frequent with their numbers."""
-    words, added = splitter(*parts), parts[1]
-    number = {w: i for i, w in enumerate(shared.value)}
-    for s in added:
+def _numbered(parts: tuple, shared) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]]:
+    """texts -> number of each word, words of each text, and the words that are not frequent: their number in the
+    order in which a text has them first, after all frequent and added ones, a row of (text, word) each."""
+    coder = WordCodes(parts)
+    number = {w: i for i, w in enumerate(shared.value.split("\n"))} if shared.value else {}
+    for s in coder.added:
         number[s] = len(number)
     base = len(number)
 
     def run(texts):
-        out, rare = [], []
-        for t in texts:
-            ws = words(t or "")
-            ks, mine = list(map(number.get, ws)), {}
-            if None in ks:
-                ks = [base + mine.setdefault(w, len(mine)) if k is None else k for k, w in zip(ks, ws)]
-            out.append(ks)
-            rare.append(mine)
-        return out, rare
+        words, codes, sizes = coder([t or "" for t in texts])
+        named = words.to_pylist()
+        known = np.fromiter((number.get(w, -1) for w in named), np.int64, len(named))
+        numbers = known[codes] if len(codes) else np.empty(0, np.int64)
+        at = np.nonzero(numbers < 0)[0]
+        text = np.repeat(np.arange(len(texts)), sizes)[at]
+        _, first, group = np.unique(text * len(named) + codes[at], return_index=True, return_inverse=True)
+        order = np.argsort(first, kind="stable")  # texts ascend, and so do the places in each
+        texts_of = text[first[order]]
+        j = np.arange(len(order)) - np.searchsorted(texts_of, texts_of)
+        place = np.empty(len(order), np.int64)
+        place[order] = j
+        numbers[at] = base + place[group]
+        return numbers, sizes, texts_of, j, words.take(pa.array(codes[at][first[order]], pa.int64()))
 
     return run
 
 
 def _rare_words(parts: tuple, shared) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = _numbered(parts, shared)
+        numbered = _numbered(parts, shared)
         for b in small_batches(batches, 1):
-            _, rare = numbers(b.column(1).to_pylist())
-            counts = np.fromiter(map(len, rare), np.int64, len(rare))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(np.repeat(np.arange(len(rare)), counts))),
-                 pa.array([j for r in rare for j in range(len(r))], pa.int32()), pa.array([w for r in rare for w in r], pa.string())],
-                names=["text_key", "j", "word"])
+            _, _, text, j, words = numbered(b.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(text, pa.int64())), pa.array(j, pa.int32()), words], names=["text_key", "j", "word"])
     return run
 
 
-def _pack(numbers: list[int]) -> bytes:
+def _pack(numbers: np.ndarray) -> bytes:
     """Four planes of bytes, the low one first: the high ones are nearly empty, which the shuffle compresses."""
     import zstandard
 
-    planes = np.array(numbers, "<u4").view(np.uint8).reshape(-1, 4).T
+    planes = numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T
     return zstandard.compress(planes.tobytes(), 1)
 
 
@@ -214,10 +292,11 @@ def _unpack(packed: bytes) -> np.ndarray:
 
 def _number_texts(parts: tuple, shared) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = _numbered(parts, shared)
+        numbered = _numbered(parts, shared)
         for b in small_batches(batches, 2):
-            ks, _ = numbers(b.column(2).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(map(_pack, ks), pa.binary())], names=["id", "text_key", "numbers"])
+            numbers, sizes, *_ = numbered(b.column(2).to_pylist())
+            packed = [_pack(x) for x in np.split(numbers, np.cumsum(sizes)[:-1])] if len(sizes) else []
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(packed, pa.binary())], names=["id", "text_key", "numbers"])
     return run
 
 
@@ -226,26 +305,43 @@ def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter((i for x in lists for i in x), np.int32, int(sizes.sum())), sizes
 
 
-def _join_ids(shared_ids) -> Callable:
-    """Numbers and the ids of the rare words of each text -> ids of the text."""
+def _ids_of(known: np.ndarray, known_sizes: np.ndarray, numbers: pa.Array, rare: pa.Array) -> pa.ListArray:
+    """Numbers and the ids of the rare words of each text -> ids of each text."""
+    numbers, rare = [_unpack(x) for x in numbers.to_pylist()], [r or [] for r in rare.to_pylist()]
+    own, own_sizes = _flat([ids for r in rare for ids in r])
+    flat, sizes = np.concatenate([known, own]), np.concatenate([known_sizes, own_sizes])
+    starts = np.cumsum(sizes) - sizes
+    for ks, at in zip(numbers, np.cumsum([0, *map(len, rare)])):
+        ks[ks >= len(known_sizes)] += at
+    ks = np.concatenate([*numbers, np.empty(0, np.int64)])
+    k_sizes = sizes[ks]
+    ends = np.concatenate([[0], np.cumsum(k_sizes)])
+    ids = flat[np.repeat(starts[ks] - ends[:-1], k_sizes) + np.arange(ends[-1])]
+    offsets = ends[np.cumsum([0, *map(len, numbers)])].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32()))
+
+
+def _decoded(ids: pa.ListArray, pieces: pa.StringArray) -> pa.Array:
+    return pc.fill_null(pc.binary_join(pa.ListArray.from_arrays(*_parts(ids, pieces)), " "), "")
+
+
+def _digests(ids: pa.ListArray, pieces: pa.StringArray) -> list[pa.Array]:
+    """Number of ids, and the SHA-256 of the ids (little-endian unsigned 32-bit integers) and of the text decoded from them."""
+    sizes, flat = ids.value_lengths().to_numpy(zero_copy_only=False), ids.flatten().to_numpy(zero_copy_only=False).astype("<u4")
+    ends = np.cumsum(sizes)
+    return [pa.array(sizes, pa.int64()), pa.array([hashlib.sha256(flat[e - n:e]).hexdigest() for e, n in zip(ends, sizes)], pa.string()),
+            pa.array([hashlib.sha256(t.encode()).hexdigest() for t in _decoded(ids, pieces).to_pylist()], pa.string())]
+
+
+def _join_ids(shared_ids, pieces=None) -> Callable:
+    """The join back by position; with ``pieces`` the digests of the ids and of what they decode to."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, known_sizes = shared_ids.value
+        strings = pieces and pa.array(pieces.value, pa.string())
         for b in small_batches(batches, 1, 1 << 18):
-            numbers = [_unpack(x) for x in b.column(1).to_pylist()]
-            rare = [r or [] for r in b.column(2).to_pylist()]
-            own, own_sizes = _flat([ids for r in rare for ids in r])
-            flat, sizes = np.concatenate([known, own]), np.concatenate([known_sizes, own_sizes])
-            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(sizes) else sizes
-            before = np.cumsum([0, *map(len, rare)])
-            for ks, at in zip(numbers, before):
-                ks[ks >= len(known_sizes)] += at
-            ks = np.concatenate(numbers) if numbers else np.empty(0, np.int64)
-            k_sizes = sizes[ks]
-            ends = np.cumsum(k_sizes)
-            ids = flat[np.repeat(starts[ks] - ends + k_sizes, k_sizes) + np.arange(ends[-1] if len(ends) else 0)]
-            word_ends = np.cumsum([0, *map(len, numbers)])
-            offsets = np.concatenate([[0], ends])[word_ends].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32()))], names=["id", "ids"])
+            ids = _ids_of(known, known_sizes, b.column(1), b.column(2))
+            out = _digests(ids, strings) if pieces else [ids]
+            yield pa.RecordBatch.from_arrays([b.column(0), *out], names=["id", *(("n_tokens", "ids_sha256", "decoded_sha256") if pieces else ("ids",))])
     return run
 
 
@@ -264,16 +360,16 @@ def _often(table: DataFrame, total: int, frequent: int) -> Column:
     return (short & enough) | (~short & (F.col("n").cast("double") * float(frequent * WORD_BYTES) >= F.octet_length("word") * float(total)))
 
 
-def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
-    """id, ids (array of int) per input row. ``path``: the vocabulary file, read here on the driver."""
-    spark, vocab = df.sparkSession, Vocabulary(path)
+def _numbered_texts(df: DataFrame, vocab: Vocabulary, id_col: str, text_col: str, frequent: int):
+    """Rows of id, numbers and the ids of the rare words by their place, and the ids of the frequent words, broadcast."""
+    spark = df.sparkSession
     parts = vocab.pattern, vocab.added, vocab.library_parts
     docs = df.select(F.col(id_col).alias("id"), F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))).alias("text_key"), F.col(text_col).alias("text"))
     table = word_table(docs.select("text").filter("text <> ''"), vocab)
     total = table.agg(F.sum("n")).first()[0] or 0
     often = _often(table, total, frequent)
     chosen = table.filter(often).toArrow().sort_by([("n", "descending"), ("word", "ascending")])  # bounded, see above
-    shared = spark.sparkContext.broadcast(chosen.column("word").to_pylist())
+    shared = spark.sparkContext.broadcast("\n".join(chosen.column("word").to_pylist()))
     shared_ids = spark.sparkContext.broadcast(_flat(chosen.column("ids").to_pylist() + [[i] for i in vocab.added.values()]))
     rare = (docs.select("text_key", "text").filter("text <> ''").mapInArrow(_rare_words(parts, shared), "text_key binary, j int, word string")
             .join(table.filter(~often).select("word", "ids"), "word")
@@ -281,8 +377,13 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
             .select("text_key", F.col("rare.ids").alias("rare")))
     id_type = df.schema[id_col].dataType.simpleString()
     numbered = docs.mapInArrow(_number_texts(parts, shared), f"id {id_type}, text_key binary, numbers binary")
-    return (numbered.join(rare, "text_key", "left").select("id", "numbers", "rare")
-            .mapInArrow(_join_ids(shared_ids), f"id {id_type}, ids array<int>").withColumnRenamed("id", id_col))
+    return numbered.join(rare, "text_key", "left").select("id", "numbers", "rare"), id_type, shared_ids
+
+
+def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
+    """id, ids (array of int) per input row. ``path``: the vocabulary file, read here on the driver."""
+    rows, id_type, shared_ids = _numbered_texts(df, Vocabulary(path), id_col, text_col, frequent)
+    return rows.mapInArrow(_join_ids(shared_ids), f"id {id_type}, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
@@ -294,7 +395,7 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "deco
         pieces = pa.array(shared.value, pa.string())
         for b in batches:
             ids = b.column(at)
-            texts = [pc.fill_null(pc.binary_join(pa.ListArray.from_arrays(*_parts(ids.slice(i, 256), pieces)), " "), "") for i in range(0, b.num_rows, 256)]
+            texts = [_decoded(ids.slice(i, 256), pieces) for i in range(0, b.num_rows, 256)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.concat_arrays(texts) if texts else pa.array([], pa.string())], names=[*b.schema.names, text_col])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
@@ -307,19 +408,10 @@ def _parts(ids: pa.ListArray, pieces: pa.StringArray) -> tuple[pa.Array, pa.Arra
     return pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pieces.take(ids.flatten())
 
 
-def report(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_tokens and the digests of the ids (little-endian unsigned 32-bit integers) and of the text decoded from them."""
-    coded = decode(encode(df, path, id_col, text_col), path)
-    id_type = coded.schema[id_col].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, sizes = b.column(1), b.column(1).value_lengths().to_numpy(zero_copy_only=False)
-            flat, ends = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4"), np.cumsum(sizes)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(sizes, pa.int64()),
-                 pa.array([hashlib.sha256(flat[e - n:e]).hexdigest() for e, n in zip(ends, sizes)], pa.string()),
-                 pa.array([hashlib.sha256(t.encode()).hexdigest() for t in b.column(2).to_pylist()], pa.string())],
-                names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return coded.mapInArrow(run, f"`{id_col}` {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+def report(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
+    """id, n_tokens and the digests of the ids and of the text decoded from them, all in the task that joins the ids back."""
+    vocab = Vocabulary(path)
+    rows, id_type, shared_ids = _numbered_texts(df, vocab, id_col, text_col, frequent)
+    pieces = df.sparkSession.sparkContext.broadcast(vocab.pieces())
+    return (rows.mapInArrow(_join_ids(shared_ids, pieces), f"id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            .withColumnRenamed("id", id_col))
