@@ -6,9 +6,9 @@ numbers: at most ``FREQUENT`` words of ``WORD_BYTES`` bytes, and longer ones who
 counts bound, so the table sent has a fixed bound. Every text becomes the numbers of its words;
 the words that are not frequent, each of them at most 1 / ``FREQUENT`` of all words, are
 joined with the table by word and come back to their text by position. A text is named by its
-MD5, so copies of a text share what comes back, and ids may repeat or be null. A text that a
-third of all rows repeat makes a skewed join key whose text side Spark splits; its words
-are frequent, so the other side has a row or none.
+MD5, so copies of a text share what comes back, and ids may repeat or be null. The words of a text
+that very many rows repeat are frequent; texts without other words wait for nothing and are dealt by
+their id, so no key of the join has more rows than a word that is not frequent.
 
 ``decode``: the ids of all rows of a batch meet the table (id, piece) by one indexed take, as
 a broadcast join with a table that the vocabulary bounds.
@@ -294,9 +294,11 @@ def _number_texts(parts: tuple, shared) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbered = _numbered(parts, shared)
         for b in small_batches(batches, 2):
-            numbers, sizes, *_ = numbered(b.column(2).to_pylist())
+            numbers, sizes, text, *_ = numbered(b.column(2).to_pylist())
             packed = [_pack(x) for x in np.split(numbers, np.cumsum(sizes)[:-1])] if len(sizes) else []
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(packed, pa.binary())], names=["id", "text_key", "numbers"])
+            waits = pa.array(np.isin(np.arange(len(sizes)), text))
+            keys = pc.if_else(waits, b.column(1), b.column(3))
+            yield pa.RecordBatch.from_arrays([b.column(0), keys, pa.array(packed, pa.binary())], names=["id", "text_key", "numbers"])
     return run
 
 
@@ -376,7 +378,8 @@ def _numbered_texts(df: DataFrame, vocab: Vocabulary, id_col: str, text_col: str
             .groupBy("text_key").agg(F.sort_array(F.collect_set(F.struct("j", "ids"))).alias("rare"))
             .select("text_key", F.col("rare.ids").alias("rare")))
     id_type = df.schema[id_col].dataType.simpleString()
-    numbered = docs.mapInArrow(_number_texts(parts, shared), f"id {id_type}, text_key binary, numbers binary")
+    by_id = F.unhex(F.hex(F.xxhash64("id")))  # eight bytes at most: no MD5
+    numbered = docs.withColumn("id_key", by_id).mapInArrow(_number_texts(parts, shared), f"id {id_type}, text_key binary, numbers binary")
     return numbered.join(rare, "text_key", "left").select("id", "numbers", "rare"), id_type, shared_ids
 
 

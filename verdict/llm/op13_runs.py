@@ -90,7 +90,7 @@ class Automaton:
 
 def last_occurrences(codes: list[int]) -> Iterator[tuple[int, int, int]]:
     """(i, e, longest): for each word i and each class of suffixes of the words up to i that ended before at e
-    (their last such end), the length of its longest member."""
+    (their last such end), the length of its longest member. A class that spans heavy paths comes in parts, the longest first."""
     auto = Automaton(codes)
     link, length = auto.link, auto.length
     top, place = auto.heavy_paths()
