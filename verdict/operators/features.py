@@ -207,4 +207,4 @@ def method_name(code: Column | str) -> Column:
     """Name of the declared method or constructor: last identifier before '(' in
     the text before the first '{' ('' when absent)."""
     head = F.substring_index(col_(code), "{", 1)
-    return F.regexp_extract(head, r"([\w$]+)\s*\([^()]*\)\s*(?:throws[\w.,\s]*)?$", 1)
+    return F.regexp_extract(head, r"(?<![\w$])([\w$]+)\s*\([^()]*\)\s*(?:throws[\w.,\s]*)?$", 1)

@@ -65,36 +65,3 @@ def failed_test_data(full: DataFrame) -> DataFrame:
         any_null = any_null | F.col(c).isNull()
     ok = F.when(any_null, F.raise_error(F.lit("a failed test has a null")).cast("boolean")).otherwise(F.lit(True))
     return failed.filter(ok)
-
-
-# ---- methods of a source file -------------------------------------------------
-
-# What is not code inside a line, and a method or constructor signature.
-_STRIP_RE = r'"([^"\\]|\\.)*"|' + r"'([^'\\]|\\.)'|//.*$"
-SIGNATURE_RE = r"^\s*(?:(?:public|protected|private|static|final|synchronized|abstract|native)\s+)+(?:<[^>]*>\s+)?(?:[\w.$<>\[\]]+\s+)?([\w$]+)\s*\([^;]*$"
-
-
-def file_methods(df: DataFrame, id_col: str, text: str, class_name: str) -> DataFrame:
-    """(id, kind_order, name, start_line, end_line, method_text) of every constructor (kind 0) and method (kind 1)
-    of a file; a method with more than one @Test is left out.
-
-    A method runs from its signature line to the first line after which the brace depth is back to what it was
-    before; strings, character literals and line comments do not count. Windows are over the lines of one file.
-    """
-    lines = df.select(id_col, F.col(class_name).alias("_cls"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("line_idx", "line"))
-    bare = F.regexp_replace("line", _STRIP_RE, "")
-    delta = F.length(F.translate(bare, "}", "")) - F.length(F.translate(bare, "{", ""))
-    w = Window.partitionBy(id_col).orderBy("line_idx")
-    lines = lines.withColumn("_d", delta).withColumn("_after", F.sum("_d").over(w))
-    starts = lines.withColumn("name", F.regexp_extract("line", SIGNATURE_RE, 1)).filter(F.col("name") != "").select(
-        F.col(id_col).alias("_id"), "name", F.when(F.col("name") == F.col("_cls"), 0).otherwise(1).alias("kind_order"),
-        F.col("line_idx").alias("start_line"), (F.col("_after") - F.col("_d")).alias("_before"))
-    ends = (starts.join(lines, (F.col("_id") == F.col(id_col)) & (F.col("line_idx") >= F.col("start_line"))
-                        & (F.col("_after") <= F.col("_before")))
-            .groupBy("_id", "name", "kind_order", "start_line").agg(F.min("line_idx").alias("end_line")))
-    text_of = F.array_join(F.slice(F.split(F.col(text), "\n", -1), F.col("start_line") + 1,
-                                   F.col("end_line") - F.col("start_line") + 1), "\n")
-    out = ends.join(df, F.col("_id") == F.col(id_col)).select(
-        id_col, "kind_order", "name", F.col("start_line").cast("long").alias("start_line"),
-        F.col("end_line").cast("long").alias("end_line"), text_of.alias("method_text"))
-    return out.filter(F.size(F.split("method_text", "@Test", -1)) <= 2)

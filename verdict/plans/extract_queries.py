@@ -4,10 +4,10 @@ runs, pending tasks and name collisions."""
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import features as FT
+from ..operators import methods as MT
 from ..operators import outcomes as O
 from ..operators import render as RD
 from ..sources import views as V
@@ -83,38 +83,13 @@ def names_from_code(spark, sf_dir):
                     F.array_join(_invoked(F.col("test")), ",").alias("invoked_names"))
 
 
-_STRIP_RE = r'"([^"\\]|\\.)*"|' + r"'([^'\\]|\\.)'|//.*$"
-
-
 @register("method_spans", with_views("""
-SELECT s.row_idx, CAST(s.start_line AS BIGINT) AS start_line, CAST(e.end_line AS BIGINT) AS end_line
-FROM st s LEFT JOIN en e ON s.row_idx = e.row_idx""", "code", ctes=r"""
-ln AS (
-  SELECT row_idx, i - 1 AS line_idx, l[i] AS line,
-         regexp_replace(l[i], '"([^"\\]|\\.)*"|''([^''\\]|\\.)''|//.*$', '', 'g') AS bare
-  FROM (SELECT row_idx, l, generate_subscripts(l, 1) AS i FROM (SELECT row_idx, string_split(test, chr(10)) AS l FROM code))),
-dp AS (SELECT *, sum(len(bare) - len(replace(bare, '{', '')) - (len(bare) - len(replace(bare, '}', ''))))
-                   OVER (PARTITION BY row_idx ORDER BY line_idx) AS depth_after FROM ln),
-st AS (SELECT row_idx, min(line_idx) AS start_line FROM dp WHERE regexp_matches(line, 'public void \w+\(') GROUP BY row_idx),
-en AS (SELECT d.row_idx, min(d.line_idx) AS end_line FROM dp d JOIN st s ON d.row_idx = s.row_idx
-       WHERE d.line_idx >= s.start_line AND d.depth_after <= 0 GROUP BY d.row_idx)"""))
+SELECT id AS row_idx, CAST(arg_min(s, i) AS BIGINT) AS start_line, CAST(arg_min(e, i) AS BIGINT) AS end_line FROM found GROUP BY id""",
+                                     "code", ctes="tests_ AS (SELECT row_idx AS id, test AS body FROM code)," + MT.scan_sql("tests_", in_type=False)))
 def method_spans(spark, sf_dir):
-    """Method span from its signature line to the line where the brace depth
-    (strings, char literals and line comments removed) returns to the outer level."""
-    from ..operators import lines as L
+    """First and last line of the test method of a text, by the lexical scan."""
     c = V.code(spark, sf_dir).select("row_idx", "test")
-    ln = L.text_lines(c, ["row_idx"], "test")
-    bare = F.regexp_replace("line", _STRIP_RE, "")
-    delta = (F.length(bare) - F.length(F.replace(bare, F.lit("{"), F.lit("")))) - (
-        F.length(bare) - F.length(F.replace(bare, F.lit("}"), F.lit(""))))
-    w = Window.partitionBy("row_idx").orderBy("line_idx")  # the lines of one file
-    dp = ln.withColumn("depth_after", F.sum(delta).over(w))
-    st = dp.filter(F.col("line").rlike(r"public void \w+\(")).groupBy("row_idx").agg(
-        F.min("line_idx").alias("start_line"))
-    en = (dp.join(st, "row_idx").filter((F.col("line_idx") >= F.col("start_line")) & (F.col("depth_after") <= 0))
-          .groupBy("row_idx").agg(F.min("line_idx").alias("end_line")))
-    return st.join(en, "row_idx", "left").select("row_idx", F.col("start_line").cast("long"),
-                                                  F.col("end_line").cast("long"))
+    return MT.methods_of(c, "row_idx", "test", in_type=False).filter("member = 0").select("row_idx", "start_line", "end_line")
 
 
 _IMPORTS_SQL = r"""

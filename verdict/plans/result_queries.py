@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import outcomes as O
 from ..operators import render as RD
+from ..operators import methods as MT
 from ..operators import results as RS
 from ..sources import views as V
 from ..sources.tables import table
@@ -107,48 +108,59 @@ def failed_test_data(spark, sf_dir):
         "project", "bug_num", "unique_test_name", "row_idx", F.md5("generated_test").alias("test_md5"), "failed_fixed")
 
 
+# A class file around the sentences of a document: a member each, in forms that a scan has to tell apart.
+# {C}: class, {N}: name; the number picks the form.
+_MEMBERS = [
+    "  public {C}(int n) {\n    init(\"}\"); // }\n  }",
+    "  /** Says {N}. { */\n  protected static String {N}(String s) {\n    if (s != null) {\n      call(s);\n    }\n  }",
+    "  public void {N}() {\n    // @Test and @Test\n  }",
+    "  /* } { */ @Deprecated(since = \"}\")\n  public\n  Map<String, List<int[]>> {N}(\n      @Named(\"{\") String s, char c)\n      throws IOException {\n    char a = '{', b = '\\'', d = '\\u007d';\n"
+    "    return of(\"\\\\\", \"\\\"}\"); /* }\n    } */ }",
+    "  abstract void {N}(int n);\n  int[] {N}_a = { 1, 2 };\n  Runnable {N}_r = new Runnable() { public void run() { } };",
+    "  static class {N} {\n    void inner() { }\n  }\n  static { init(); }",
+    "  void {N}() { for (;;) { break; } }",
+]
+
+
 _FILES_SQL = r"""
 files AS (
-  SELECT row_idx, cls, 'public class ' || cls || ' {' || chr(10) || array_to_string(list_transform(names, lambda x, i:
-    CASE WHEN i = 1 THEN '  public ' || cls || '(int n) {' || chr(10) || '    init("}"); // }' || chr(10) || '  }'
-         WHEN i % 7 = 3 THEN '  public void ' || x || '() {' || chr(10) || '    // @Test and @Test' || chr(10) || '  }'
-         ELSE '  protected static String ' || x || '(String s)' || ' {' || chr(10) || '    if (s != null) {' || chr(10) || '      call(s);'
-              || chr(10) || '    }' || chr(10) || '  }' END), chr(10)) || chr(10) || '}' AS body
-  FROM (SELECT doc_id AS row_idx, 'C' || CAST(doc_id % 9 AS VARCHAR) AS cls,
+  SELECT id, cls, '// class x {' || chr(10) || 'public class ' || cls || ' {' || chr(10) || array_to_string(list_transform(names, lambda x, i:
+    replace(replace(CASE WHEN i = 1 THEN FORM0 ELSE CASE (i - 2) % 6 WHEN 0 THEN FORM1 WHEN 1 THEN FORM2 WHEN 2 THEN FORM3
+                                                                    WHEN 3 THEN FORM4 WHEN 4 THEN FORM5 ELSE FORM6 END END,
+                    '{N}', x), '{C}', cls)), chr(10)) || chr(10) || '}' || chr(10) || 'class Other { void late() { } }' AS body
+  FROM (SELECT doc_id AS id, 'C' || CAST(doc_id % 9 AS VARCHAR) AS cls,
                list_filter(list_transform(regexp_split_to_array(lower(coalesce(text, '')), '[.\n]+'),
                                           lambda x: array_to_string(regexp_extract_all(x, '[a-z]+'), '_')), lambda x: x <> '') AS names
-        FROM documents)),
-ln AS (SELECT row_idx, cls, i - 1 AS line_idx, l[i] AS line,
-              regexp_replace(l[i], '"([^"\\]|\\.)*"|''([^''\\]|\\.)''|//.*$', '', 'g') AS bare
-       FROM (SELECT row_idx, cls, l, generate_subscripts(l, 1) AS i FROM (SELECT row_idx, cls, string_split(body, chr(10)) AS l FROM files))),
-dp AS (SELECT *, length(replace(bare, '}', '')) - length(replace(bare, '{', '')) AS d,
-              sum(length(replace(bare, '}', '')) - length(replace(bare, '{', ''))) OVER (PARTITION BY row_idx ORDER BY line_idx) AS after FROM ln),
-st AS (SELECT row_idx, cls, line_idx AS s, after - d AS before, regexp_extract(line, '^\s*(?:(?:public|protected|private|static|final|synchronized|abstract|native)\s+)+(?:<[^>]*>\s+)?(?:[\w.$<>\[\]]+\s+)?([\w$]+)\s*\([^;]*$', 1) AS name
-       FROM dp),
-en AS (SELECT st.row_idx, cls, name, s, min(dp.line_idx) AS e FROM st JOIN (SELECT row_idx, line_idx, after FROM dp) dp
-       ON dp.row_idx = st.row_idx AND dp.line_idx >= s AND dp.after <= before WHERE name <> '' GROUP BY ALL),
-ms AS (SELECT en.row_idx, CASE WHEN name = en.cls THEN 0 ELSE 1 END AS kind_order, name, CAST(s AS BIGINT) AS start_line,
-              CAST(e AS BIGINT) AS end_line, array_to_string(string_split(body, chr(10))[s + 1:e + 1], chr(10)) AS t
-       FROM en JOIN files USING (row_idx))"""
-
-
-def _source_files(spark, sf_dir):
+        FROM documents)),"""
+for _i, _m in enumerate(_MEMBERS):
+    _FILES_SQL = _FILES_SQL.replace(f"FORM{_i}", "'" + _m.replace("'", "''").replace("\n", "' || chr(10) || '") + "'")
+
+
+def source_files(spark, sf_dir):
+    """(row_idx, cls, body): the class file of each document."""
     d = table(spark, sf_dir, "documents").select("doc_id", V.sentence_names(F.col("text")).alias("names"))
     cls = F.concat(F.lit("C"), (F.col("doc_id") % 9).cast("string"))
-    methods = F.transform("names", lambda x, i: F.when(
-        i == 0, F.concat(F.lit("  public "), cls, F.lit('(int n) {\n    init("}"); // }\n  }'))).when(
-        (i + 1) % 7 == 3, F.concat(F.lit("  public void "), x, F.lit("() {\n    // @Test and @Test\n  }"))).otherwise(
-        F.concat(F.lit("  protected static String "), x, F.lit("(String s) {\n    if (s != null) {\n      call(s);\n    }\n  }"))))
-    body = F.concat(F.lit("public class "), cls, F.lit(" {\n"), F.array_join(methods, "\n"), F.lit("\n}"))
+
+    def member(x, i):
+        form = F.when(i == 0, F.lit(_MEMBERS[0]))
+        for k, m in enumerate(_MEMBERS[1:]):
+            form = form.when((i - 1) % 6 == k, F.lit(m))
+        return F.replace(F.replace(form, F.lit("{N}"), x), F.lit("{C}"), cls)
+
+    body = F.concat(F.lit("// class x {\npublic class "), cls, F.lit(" {\n"), F.array_join(F.transform("names", member), "\n"),
+                    F.lit("\n}\nclass Other { void late() { } }"))
     return d.select(F.col("doc_id").alias("row_idx"), cls.alias("cls"), body.alias("body"))
 
 
-@register("file_methods", "WITH " + _FILES_SQL.strip() + r"""
-SELECT row_idx, kind_order, name, start_line, end_line, md5(t) AS method_md5 FROM ms WHERE len(string_split(t, '@Test')) <= 2""")
+@register("file_methods", "WITH " + _FILES_SQL.strip() + MT.scan_sql("files") + r"""
+SELECT id AS row_idx, CASE WHEN name = cls THEN 0 ELSE 1 END AS kind_order, name, CAST(s AS BIGINT) AS start_line, CAST(e AS BIGINT) AS end_line,
+       md5(t) AS method_md5, md5(doc) AS doc_md5
+FROM found WHERE len(string_split(t, '@Test')) <= 2""")
 def file_methods(spark, sf_dir):
-    """Every constructor and method of a file with its text; those with more than one @Test are left out."""
-    out = RS.file_methods(_source_files(spark, sf_dir), "row_idx", "body", "cls")
-    return out.select("row_idx", "kind_order", "name", "start_line", "end_line", F.md5("method_text").alias("method_md5"))
+    """Every constructor and method of a file's first type with its text; those with more than one @Test are left out."""
+    out = MT.file_methods(source_files(spark, sf_dir), "row_idx", "body")
+    return out.select("row_idx", "kind_order", "name", "start_line", "end_line", F.md5("method_text").alias("method_md5"),
+                      F.md5("docstring").alias("doc_md5"))
 
 
 # A scaffolding template with the placeholders of the real one; callers pass their own file's text.
