@@ -3,6 +3,8 @@ imports/template, isolation forest: fixtures vs plain-Python semantics."""
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -112,18 +114,18 @@ def test_isolation_forest_planted_outlier(spark):
     assert a == b  # same seeds -> same ranking
 
 
-def test_isolation_blocks_and_pools(spark):
-    """Any block size gives the same scores; a small pool still finds the outlier; ids may be strings."""
+def test_isolation_blocks_and_partitions(spark):
+    """Any block size and any deal of the rows give the same scores; ids may be strings."""
     rng = np.random.default_rng(2)
     rows = [("p", 0, f"t{i}", *rng.normal(size=2).tolist()) for i in range(300)]
     rows[13] = ("p", 0, "t13", 40.0, -40.0)
     df = spark.createDataFrame(rows, "project string, bug_num long, row_idx string, a double, b double")
-    run = lambda **k: {(r["row_idx"], r["seed"]): r["mean_path"] for r in OUT.isolation_scores(
-        df, ["project", "bug_num"], "row_idx", ["a", "b"], seeds=[0, 1], n_trees=20, **k).collect()}
+    run = lambda deal=df, **k: {(r["row_idx"], r["seed"]): r["mean_path"] for r in OUT.isolation_scores(
+        deal, ["project", "bug_num"], "row_idx", ["a", "b"], seeds=[0, 1], n_trees=20, **k).collect()}
     one, many = run(), run(block_rows=64)
-    assert one == many and len(one) == 600
+    assert one == many == run(df.repartition(7)) and len(one) == 600
     assert min(one, key=one.get)[0] == "t13"
-    assert len(run(pool=100)) == 600
+    assert run(max_samples=40) == run(df.repartition(5), max_samples=40) != one
 
 
 def test_isolation_draws_over_the_whole_bug(spark):
@@ -134,11 +136,23 @@ def test_isolation_draws_over_the_whole_bug(spark):
     scored = OUT.isolation_scores(df, ["project", "bug_num"], "row_idx", ["a"], seeds=[0, 1], n_trees=8).collect()
     got = {(r["seed"], r["row_idx"]): r["mean_path"] for r in scored}
     assert len(got) == 12000
-    key = df.limit(1).select(F.xxhash64(F.to_json(F.struct("project", "bug_num"))).alias("k")).first()["k"]
-    x = np.array([[value[r["id"]]] for r in ids])
+    x, h = np.array([[value[r["id"]]] for r in ids]), np.array([r["h"] for r in ids])
+    name = df.limit(1).select(F.to_json(F.struct("project", "bug_num")).alias("g")).first()["g"]
     for seed in (0, 1):
-        picks, growth = OUT.draw(seed, key, 6000, 8, 256)
-        assert picks.shape == (8, 256) and all(len(set(p)) == 256 for p in picks.tolist()) and picks.max() >= 4096
+        u = OUT.priorities(h, seed, np.arange(8))
+        picks = np.argsort(u, axis=0)[:256].T  # the whole column sorted: no limit, no merge
+        assert all(len(set(p)) == 256 for p in picks.tolist()) and picks.max() >= 4096
+        assert (np.sort(u, axis=0)[255] < OUT.sample_limit(np.array([6000]), 256)).all()
+        growth = int(np.random.default_rng([seed, zlib.crc32(name.encode())]).integers(2 ** 62))
         plain = OUT.mean_path(x, OUT.pack_forest(OUT.grow_forest(x[picks.ravel()], np.repeat(np.arange(8), 256), growth)), 8)
         assert [got[seed, r["id"]] for r in ids] == plain.tolist()
         assert len(set(plain.tolist())) > 100
+
+
+def test_priorities_are_uniform():
+    """Shares of rows below a quarter, and no two trees or seeds alike."""
+    h = np.random.default_rng(3).integers(-2 ** 62, 2 ** 62, 20_000)
+    u = np.concatenate([OUT.priorities(h, s, np.arange(10)) for s in (0, 1, 9)], axis=1)
+    assert np.abs((u < 2.0 ** 62).mean(axis=0) - 0.25).max() < 0.015
+    corr = np.corrcoef(u.astype(float).T)
+    assert np.abs(corr - np.eye(30)).max() < 0.04

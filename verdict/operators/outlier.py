@@ -3,10 +3,11 @@
 MLlib has no isolation forest, so it is built from Spark stages, one path for all sizes:
 
 1. draw: each tree of each seed draws its at most 256 rows without replacement over all rows of
-   the group, as in the library: positions (skew-safe, by id hash) from a generator that only the
-   seed and the group feed. Only rows drawn go on, each once per (group, seed).
-2. grow: one grouped call per (group, seed) sees its drawn rows (at most trees x 256), repeats the
-   draw and returns the node table of all trees, packed (17 bytes a node): random feature, uniform
+   the group, as in the library: the 256 rows of smallest priority, a hash of (row, seed, tree). Bottom-k
+   samples merge, so a task keeps only rows that some tree may draw (priority below a limit that the
+   group's size gives), and no row has to know its position. Each goes on once per (group, seed).
+2. grow: one grouped call per (group, seed) sees its candidates (some trees x 400), cuts them to the
+   256 smallest of each tree and returns the node table of all trees, packed (17 bytes a node): random feature, uniform
    split, depth limit ceil(log2 psi), level by level with NumPy.
 3. score: rows are dealt into blocks of ``BLOCK_ROWS``; a block meets its group's forests and
    walks them in small chunks. Score = 2 ** (-E[h] / c(psi)).
@@ -15,6 +16,7 @@ MLlib has no isolation forest, so it is built from Spark stages, one path for al
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -145,30 +147,63 @@ def mean_path(x: np.ndarray, packed: bytes, n_trees: int) -> np.ndarray:
     return out
 
 
-def draw(seed: int, key: int, n: int, n_trees: int, max_samples: int) -> tuple[np.ndarray, int]:
-    """(positions of the sample rows of each tree, one line a tree; seed of the growth) for a group of ``n`` rows."""
-    rng = np.random.default_rng([int(seed), int(key) & 0xFFFFFFFF])
-    psi = min(max_samples, int(n))
-    return np.stack([rng.choice(int(n), psi, replace=False) for _ in range(n_trees)]), int(rng.integers(2 ** 62))
+def priorities(h: np.ndarray, seed: int, tree: np.ndarray) -> np.ndarray:
+    """A uniform 64-bit number of each (row, tree) from the hash of the row's id, a line a row."""
+    with np.errstate(over="ignore"):
+        x = h.astype(np.uint64)[:, None] + np.uint64(0x9E3779B97F4A7C15) * (np.uint64(seed * 1_000_003 + 1) + tree.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
+        for shift, odd in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):  # Fixed values: a 64-bit finaliser
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(odd)
+        return x ^ (x >> np.uint64(31))
+
+
+def sample_limit(n: np.ndarray, k: int) -> np.ndarray:
+    """Priorities below this may be among the k smallest of n rows: k and eight deviations more are expected below it."""
+    share = np.minimum(1.0, (k + 8.0 * np.sqrt(k) + 16.0) / np.maximum(n, 1))
+    return np.where(n <= k, 2.0 ** 64, share * 2.0 ** 64)
+
+
+def _candidates(features: Sequence[str], seeds: Sequence[int], n_trees: int, k: int):
+    """Rows that some tree of a seed may draw, once per (row, seed), with those trees and the priorities there;
+    in a group of at most k rows every tree takes every row, so the list stays empty."""
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        trees = np.arange(n_trees)
+        for part in parts:
+            for lo in range(0, len(part), CHUNK_ROWS):
+                rows = part.iloc[lo:lo + CHUNK_ROWS]
+                n, h = rows["_n"].to_numpy(), rows["_h"].to_numpy()
+                for seed in seeds:
+                    u = priorities(h, seed, trees)
+                    near = (u < sample_limit(n, k)[:, None]) & (n > k)[:, None]
+                    taken = np.flatnonzero(near.any(axis=1) | (n <= k))
+                    if len(taken):
+                        out = rows.iloc[taken].drop(columns="_n")
+                        out.insert(0, "seed", seed)
+                        out["_trees"] = [np.flatnonzero(near[i]).astype("<u2").tobytes() for i in taken]
+                        out["_u"] = [u[i][near[i]].astype("<u8").tobytes() for i in taken]
+                        yield out
+    return run
 
 
-def _drawn(n_trees: int, max_samples: int):
-    def run(groups: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in groups:
-            for row in part.itertuples(index=False, name=None):
-                g, key, n, seed = row
-                yield pd.DataFrame({"_g": g, "_key": key, "_n": n, "seed": seed, "_pos": np.unique(draw(seed, key, n, n_trees, max_samples)[0])})
-    return run
+def draw(h: np.ndarray, trees: Sequence[bytes], u: Sequence[bytes], n_trees: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, tree) of the k rows of smallest priority of each tree, sorted by tree: the merge of bottom-k samples."""
+    if not any(len(t) for t in trees):
+        order = np.argsort(h, kind="stable")
+        return np.tile(order, n_trees), np.repeat(np.arange(n_trees), len(order))
+    row = np.repeat(np.arange(len(h)), [len(t) // 2 for t in trees])
+    tree, first = np.frombuffer(b"".join(trees), "<u2").astype(np.int64), np.frombuffer(b"".join(u), "<u8")
+    order = np.lexsort((h[row], first, tree))
+    row, tree = row[order], tree[order]
+    place = np.arange(len(tree)) - np.searchsorted(tree, tree)
+    return row[place < k], tree[place < k]
 
 
 def _grow(features: Sequence[str], n_trees: int, max_samples: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("_pos", kind="stable")
-        g, key, n, seed = (rows[c].iloc[0] for c in ("_g", "_key", "_n", "seed"))
-        picks, growth = draw(seed, key, n, n_trees, max_samples)
-        x = rows[list(features)].to_numpy(dtype=float)[np.searchsorted(rows["_pos"].to_numpy(), picks.ravel())]
-        nodes = grow_forest(x, np.repeat(np.arange(n_trees), picks.shape[1]), growth)
-        return pd.DataFrame([(g, int(seed), picks.shape[1], pack_forest(nodes))], columns=["_g", "seed", "_psi", "forest"])
+        g, seed, h = rows["_g"].iloc[0], int(rows["seed"].iloc[0]), rows["_h"].to_numpy()
+        row, tree = draw(h, rows["_trees"].tolist(), rows["_u"].tolist(), n_trees, max_samples)
+        growth = int(np.random.default_rng([seed, zlib.crc32(g.encode())]).integers(2 ** 62))
+        nodes = grow_forest(rows[list(features)].to_numpy(dtype=float)[row], tree, growth)
+        return pd.DataFrame([(g, seed, int(np.bincount(tree).max()), pack_forest(nodes))], columns=["_g", "seed", "_psi", "forest"])
     return run
 
 
@@ -184,21 +219,16 @@ def _score(features: Sequence[str], n_trees: int):
 
 def isolation_scores(df: DataFrame, group: Sequence[str], id_col: str, features: Sequence[str],
                      seeds: Sequence[int] = tuple(range(10)), n_trees: int = N_TREES,
-                     max_samples: int = MAX_SAMPLES, pool: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(group..., id, seed, mean_path, score) for every row and seed; the id keeps its type.
-
-    ``pool``: trees draw only from so many rows of a group, by id hash; all rows if None."""
+                     max_samples: int = MAX_SAMPLES, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(group..., id, seed, mean_path, score) for every row and seed; the id keeps its type."""
     base = df.select(F.to_json(F.struct(*group)).alias("_g"), F.col(id_col).alias("_id"), *group,
                      *[F.col(f).cast("double").alias(f) for f in features])
-    base = cut_lineage(base.withColumn("_h", F.xxhash64("_id")))  # read for sizes, draws and scores
-    size = F.count(F.lit(1))
-    sizes = base.groupBy("_g").agg((size if pool is None else F.least(size, F.lit(pool))).alias("_n"))
+    base = cut_lineage(base.withColumn("_h", F.xxhash64("_id")))  # narrow; read for sizes, draws and scores
+    sizes = base.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
     n_part = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    calls = sizes.select("_g", F.xxhash64("_g").alias("_key"), "_n", F.explode(F.array(*[F.lit(int(s)) for s in seeds])).alias("seed"))
-    draws = calls.repartition(n_part, "_g", "seed").mapInPandas(
-        _drawn(n_trees, max_samples), "_g string, _key long, _n long, seed int, _pos long")
-    placed = group_positions(base.select("_g", "_h", "_id", *features), ["_g"], ["_h", "_id"], "_pos")
-    sample = draws.join(placed.drop("_h", "_id"), ["_g", "_pos"])
+    columns = ", ".join(f"`{f}` double" for f in features)
+    sample = base.join(sizes, "_g").select("_g", "_h", "_n", *features).mapInPandas(
+        _candidates(list(features), [int(x) for x in seeds], n_trees, max_samples), f"seed int, _g string, _h long, {columns}, _trees binary, _u binary")
     forests = cut_lineage(sample.repartition(n_part, "_g", "seed").groupBy("_g", "seed").applyInPandas(
         _grow(list(features), n_trees, max_samples), "_g string, seed int, _psi int, forest binary"))
     blocks = base.groupBy("_g").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("_k"))

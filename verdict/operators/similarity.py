@@ -1,26 +1,35 @@
-"""TF-IDF cosine similarity fitted per group (bug), as joins and aggregates.
+"""TF-IDF cosine similarity fitted per group (bug) over packed term vectors.
 
 Corpus of a group = its distinct focal methods + distinct docstrings + all test
 prefixes + all generated tests. Tokens: lower-cased runs of two or more word
 characters, minus a stop-word table. idf = ln((1 + n) / (1 + df)) + 1, raw term
 counts, L2-normalised vectors; similarity = dot product.
 
-Everything is keyed by (group, token): the document-frequency aggregate is
-partial, and a hot group splits across tasks by token.
+There is no (document, token) table. Texts become sorted arrays of 64-bit token hashes inside
+the task that reads them; what is shuffled is one count per (group, token) and task, and one packed
+vector per row, which meets its group's document frequencies in a sorted stream. A group with many
+rows is cut into parts by token and by row, so a hot group is many tasks; which groups those are
+(at most ``HEAVY`` of them) is all that the driver sees.
 """
 
 from __future__ import annotations
 
 import os
-from collections.abc import Sequence
+import re
+from collections import Counter
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import written
 
-TOKEN_RE = r"(?U)\b\w\w+\b"  # Python-style word tokens (Unicode \w)
+TOKEN = re.compile(r"\w\w+")  # Unicode word characters, two at least
+#: Rows of a group dealt to one task, groups that may have more, and the most token parts of a group.
+BLOCK_ROWS, HEAVY, TOKEN_PARTS = 20_000, 10_000, 16
 
 
 @lru_cache(maxsize=1)
@@ -31,68 +40,174 @@ def english_stop_words() -> tuple[str, ...]:
         return tuple(w for w in f.read().split("\n") if w)
 
 
-def stop_word_table(spark: SparkSession, words: Sequence[str] | None = None) -> DataFrame:
-    return spark.createDataFrame([(w,) for w in (words or english_stop_words())], "token string")
-
-
-def tokens(text: Column | str) -> Column:
-    c = F.col(text) if isinstance(text, str) else text
-    return F.regexp_extract_all(F.lower(c), F.lit(TOKEN_RE), 0)
+class _Terms:
+    """text -> its token hashes; the hash of a token is remembered while the table stays small."""
+
+    def __init__(self, stop: Sequence[str]):
+        import xxhash
+
+        self.digest, self.known, self.stop = xxhash.xxh3_64_intdigest, {}, dict.fromkeys(stop)
+
+    def __call__(self, text: str | None) -> list[int]:
+        if len(self.known) > 500_000:
+            self.known.clear()
+        found, known = TOKEN.findall((text or "").lower()), self.known
+        for w in set(found).difference(known):
+            known[w] = None if w in self.stop else self.digest(w) - (1 << 63)
+        return [h for h in map(known.__getitem__, found) if h is not None]
+
+
+def _count_documents(stop: Sequence[str]):
+    """(group, text) -> (group, token or null, documents); null counts the documents."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = _Terms(stop)
+        for b in batches:
+            counts: dict[int, Counter] = {}
+            for g, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                mine = counts.setdefault(g, Counter())
+                mine.update(set(terms(text)))
+                mine[None] += 1
+            for g, mine in counts.items():
+                yield pa.RecordBatch.from_arrays([pa.array([g] * len(mine), pa.int64()), pa.array(mine.keys(), pa.int64()),
+                                                  pa.array(mine.values(), pa.int64())], names=["_g", "token", "n"])
+    return run
+
+
+def _parts_of(plan: dict[int, tuple[int, int]], g: int) -> tuple[int, int]:
+    return plan.get(g, (1, 1))
+
+
+_STREAM = "_g long, part int, kind int, {id} {type}, tokens binary, counts binary, more binary, n long"
+
+
+def _frequencies(plan: dict[int, tuple[int, int]], id_name: str, id_type: pa.DataType):
+    """Document frequencies packed per (group, part): every part of the rows gets its tokens' counts and the number of documents."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            g, n = b.column(0).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)
+            token, whole = b.column(1).fill_null(0).to_numpy(zero_copy_only=False), b.column(1).is_null().to_numpy(zero_copy_only=False)
+            order, rows = np.argsort(g, kind="stable"), []
+            for at in np.split(order, np.nonzero(np.diff(g[order]))[0] + 1) if len(order) else ():
+                key = int(g[at[0]])
+                by_token, by_row = _parts_of(plan, key)
+                docs = n[at[whole[at]]]
+                at = at[~whole[at]]
+                slot = token[at].astype(np.uint64) % np.uint64(by_token)
+                for t in range(by_token):
+                    mine = at[slot == t]
+                    for r in range(by_row):
+                        if len(mine):
+                            rows.append((key, t * by_row + r, 0, token[mine].tobytes(), n[mine].tobytes(), None))
+                        if len(docs):
+                            rows.append((key, t * by_row + r, 0, b"", b"", int(docs.sum())))
+            if rows:
+                g_, part, kind, tokens, counts, n_ = zip(*rows)
+                yield _stream_batch(g_, part, kind, pa.nulls(len(rows), id_type), tokens, counts, [None] * len(rows), n_, id_name)
+    return run
+
+
+def _stream_batch(g, part, kind, ids, tokens, counts, more, n, id_name) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(g, pa.int64()), pa.array(part, pa.int32()), pa.array(kind, pa.int32()), ids, pa.array(tokens, pa.binary()), pa.array(counts, pa.binary()),
+         pa.array(more, pa.binary()), pa.array(n, pa.int64())], names=["_g", "part", "kind", id_name, "tokens", "counts", "more", "n"])
+
+
+def _vectors(plan: dict[int, tuple[int, int]], stop: Sequence[str], id_name: str):
+    """(group, id, text, text, hash of the id) -> the distinct tokens of both texts and how often each text has them, per part of the group."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = _Terms(stop)
+        for b in batches:
+            for lo in range(0, b.num_rows, 1000):
+                some, at, rows = b.slice(lo, 1000), [], []
+                for i, (g, a, c, h) in enumerate(zip(*(some.column(k).to_pylist() for k in (0, 2, 3, 4)))):
+                    left, right = terms(a), terms(c)
+                    if not left or not right:
+                        continue  # the product is zero
+                    token, group = np.unique(np.array(left + right, np.int64), return_inverse=True)
+                    x, y = np.bincount(group[:len(left)], minlength=len(token)), np.bincount(group[len(left):], minlength=len(token))
+                    by_token, by_row = _parts_of(plan, g)
+                    slot, r = token.astype(np.uint64) % np.uint64(by_token), h % by_row
+                    for t in range(by_token):
+                        mine = slice(None) if by_token == 1 else slot == t
+                        if len(token[mine]):
+                            at.append(i)
+                            rows.append((g, t * by_row + r, 1, token[mine].tobytes(), x[mine].astype("<u4").tobytes(), y[mine].astype("<u4").tobytes(), None))
+                if rows:
+                    g_, part, kind, tokens, x_, y_, n_ = zip(*rows)
+                    yield _stream_batch(g_, part, kind, some.column(1).take(pa.array(at)), tokens, x_, y_, n_, id_name)
+    return run
+
+
+def _products(id_name: str):
+    """A stream sorted by (group, part, kind): frequencies first, then the rows' vectors -> partial products of each row."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, token, idf = None, [], None, None
+        for b in batches:
+            out, at = [], []
+            cols = [b.column(k).to_pylist() for k in (0, 1, 2, 4, 5, 6, 7)]
+            for i, (g, part, kind, tokens, counts, more, n) in enumerate(zip(*cols)):
+                if (g, part) != key:
+                    key, held, token = (g, part), [], None
+                if kind == 0:
+                    held.append((tokens, counts, n))
+                    continue
+                if token is None:  # every count of a token of a group comes from one row of the count table
+                    token, df = (np.frombuffer(b"".join(h[k] for h in held), "<i8") for k in (0, 1))
+                    order = np.argsort(token)
+                    idf = np.log((1 + sum(h[2] or 0 for h in held)) / (1 + df[order])) + 1
+                    token, held = token[order], []
+                w = idf[np.searchsorted(token, np.frombuffer(tokens, "<i8"))]
+                x, y = np.frombuffer(counts, "<u4") * w, np.frombuffer(more, "<u4") * w
+                out.append((g, float(x @ y), float(x @ x), float(y @ y)))
+                at.append(i)
+            if out:
+                g_, xy, xx, yy = zip(*out)
+                yield pa.RecordBatch.from_arrays([pa.array(g_, pa.int64()), b.column(3).take(pa.array(at)), pa.array(xy), pa.array(xx), pa.array(yy)],
+                                                 names=["_g", id_name, "xy", "xx", "yy"])
+    return run
 
 
 def tfidf_similarity(df: DataFrame, group: Sequence[str], id_col: str,
                      parts: Sequence[tuple[str, str, bool]], left: str, right: str, out: str = "sim",
-                     stop_words: Sequence[str] | None = None) -> DataFrame:
+                     stop_words: Sequence[str] | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Add ``out`` = cosine of the TF-IDF vectors of two texts of each row, with the
     vectorizer fitted per group on a corpus built from the rows.
 
     ``parts``: (tag, text column, distinct) -- the corpus takes every row's text of
     that column (``distinct=False``) or each distinct text once per group
-    (``distinct=True``). ``left`` / ``right`` are tags of two parts.
-
-    A distinct part is reduced to one text per (group, hash) before it is tokenised, so a text
-    shared by many rows is tokenised once. Everything after that is keyed by (group, document,
-    token).
+    (``distinct=True``). ``left`` / ``right`` are tags of two parts. ``id_col`` names a row of its group.
+    Rows with a null in the group, and rows with a text without a token, get 0.
     """
-    spark = df.sparkSession
-    stop = F.broadcast(stop_word_table(spark, stop_words))  # fixed-size word list
-    kinds = {tag: (col, distinct) for tag, col, distinct in parts}
-
-    def doc_id(tag: str) -> Column:
-        col, distinct = kinds[tag]
-        return F.concat(F.lit(tag + ":"), F.md5(F.col(col)) if distinct else F.col(id_col).cast("string"))
-
-    each = [F.struct(doc_id(tag).alias("doc_id"), F.col(col).alias("text")) for tag, col, distinct in parts if not distinct]
-    docs = df.select(*group, F.explode(F.array(*each)).alias("_d")).select(*group, "_d.*") if each else None
-    for tag, col, distinct in parts:
+    spark, stop = df.sparkSession, tuple(stop_words if stop_words is not None else english_stop_words())
+    column = {tag: col for tag, col, _ in parts}
+    keyed = df.withColumn("_g", F.xxhash64(*group))
+    base = keyed.filter(" AND ".join(f"`{c}` IS NOT NULL" for c in group))
+    each = [F.col(col) for _, col, distinct in parts if not distinct]
+    docs = [base.select("_g", F.explode(F.array(*each)).alias("text"))] if each else []
+    for _, col, distinct in parts:
         if distinct:
-            once = df.groupBy(*group, doc_id(tag).alias("doc_id")).agg(F.any_value(col).alias("text"))
-            docs = once if docs is None else docs.unionByName(once)
-    # the term counts feed both the document frequencies and the vectors: materialise them
-    # once (reliable checkpoint); a document without a token is a row with a null token
-    ctf = docs.select(*group, "doc_id", F.explode_outer(tokens("text")).alias("token")).groupBy(*group, "doc_id", "token").agg(
-        F.count(F.lit(1)).alias("tf"))
-    ctf = cut_lineage(ctf)
-    n_docs = ctf.groupBy(*group).agg(F.count_distinct("doc_id").alias("n"))
-    ctf = ctf.join(stop, "token", "left_anti").filter(F.col("token").isNotNull())
-    dfreq = ctf.groupBy(*group, "token").agg(F.count(F.lit(1)).alias("df"))
-    idf = dfreq.join(n_docs, list(group)).select(
-        *group, "token", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    # only the two compared kinds need weighted vectors; the rest only feed df
-    needed = F.col("doc_id").startswith(left + ":") | F.col("doc_id").startswith(right + ":")
-    w = ctf.filter(needed).join(idf, [*group, "token"]).select(
-        *group, "doc_id", "token", (F.col("tf") * F.col("idf")).alias("w"))
-    norms = w.groupBy(*group, "doc_id").agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("_norm"))
-    unit = w.join(norms, [*group, "doc_id"]).select(*group, "doc_id", "token", (F.col("w") / F.col("_norm")).alias("u"))
-    rows = df.select(*group, id_col, doc_id(left).alias("_da"), doc_id(right).alias("_db"))
-    side = lambda tag, key, u: unit.filter(F.col("doc_id").startswith(tag + ":")).select(
-        *group, F.col("doc_id").alias(key), "token", F.col("u").alias(u))
-    # the dot product once per pair of documents, not per row
-    pairs = rows.select(*group, "_da", "_db").distinct()
-    dot = (pairs.join(side(left, "_da", "_ua"), [*group, "_da"]).join(side(right, "_db", "_ub"), [*group, "_db", "token"])
-           .groupBy(*group, "_da", "_db").agg(F.round(F.sum(F.col("_ua") * F.col("_ub")), 6).alias(out)))
-    sims = rows.join(dot, [*group, "_da", "_db"]).select(*group, id_col, out)
-    return df.join(sims, [*group, id_col], "left").fillna(0.0, [out])
+            docs.append(base.groupBy("_g", F.md5(col).alias("_md5")).agg(F.any_value(col).alias("text")).select("_g", "text"))
+    corpus = docs[0]
+    for d in docs[1:]:
+        corpus = corpus.unionByName(d)
+    counts = written(corpus.mapInArrow(_count_documents(stop), "_g long, token long, n long").groupBy("_g", "token").agg(F.sum("n").alias("n")), "term-counts")
+    sizes = base.groupBy("_g").agg(F.count(F.lit(1)).alias("rows"))
+    total = base.select(F.count(F.lit(1))).first()[0]
+    most = max(block_rows, -(-total // HEAVY))
+    plan = {}
+    for g, n in sizes.filter(F.col("rows") > most).collect():  # fewer than HEAVY groups
+        blocks = -(-n // most)
+        by_token = min(blocks, TOKEN_PARTS)
+        plan[g] = (by_token, -(-blocks // by_token))
+    id_type = df.schema[id_col].dataType.simpleString()
+    schema = _STREAM.format(id=f"`{id_col}`", type=id_type)
+    arrow_id = spark.createDataFrame([], f"id {id_type}").toArrow().schema.field(0).type
+    stream = (counts.mapInArrow(_frequencies(plan, id_col, arrow_id), schema)
+              .unionByName(base.select("_g", id_col, column[left], F.col(column[right]).alias("_right"), F.xxhash64(id_col)).mapInArrow(_vectors(plan, stop, id_col), schema)))
+    products = (stream.repartition("_g", "part").sortWithinPartitions("_g", "part", "kind")
+                .mapInArrow(_products(id_col), f"_g long, `{id_col}` {id_type}, xy double, xx double, yy double"))
+    sims = products.groupBy("_g", id_col).agg(F.round(F.sum("xy") / F.sqrt(F.sum("xx") * F.sum("yy")), 6).alias(out))
+    return keyed.join(sims, ["_g", id_col], "left").select(*df.columns, out).fillna(0.0, [out])
 
 
 # The corpus of the test-docstring similarity feature.

@@ -115,7 +115,8 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def failed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Failed tests with trace, focal method, docstring, prefix, generated test and predictions
-    (the input of the ranking features): a trigger block and the whole text of one document."""
+    (the input of the ranking features): a trigger block and the whole text of one document, the first
+    half of its lines as docstring and the others as generated test."""
     t = traces(spark, sf_dir).withColumnRenamed("row_idx", "_id")
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("_doc"), F.coalesce("text", F.lit("")).alias("text"))
     c = code(spark, sf_dir)
@@ -123,13 +124,15 @@ def failed(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = F.col("row_idx")
     throws = F.when(r % 3 == 0, " throws IllegalStateException {").otherwise(" {")
     doc = F.when(r % 5 == 0, " Throws CartException if empty").otherwise("")
+    lines = F.split("text", "\n", -1)
+    half = F.ceil(F.size(lines) / 2).cast("int")
     assert_pred = F.when(r % 3 == 0, "assertTrue(x)").when(r % 3 == 1, "  ").otherwise("")
     return j.select(
         "row_idx", "project", "bug_num", "test_name",
         F.regexp_replace("trace", r"^-+", "").alias("buggy_test_trace"),
         F.replace(F.col("focal_method"), F.lit(" {"), throws).alias("focal_method"),
-        F.concat(F.substring_index("text", "\n", 1), doc).alias("docstring"), F.col("test").alias("test_prefix"),
-        F.col("text").alias("generated_test"),
+        F.concat(F.array_join(F.slice(lines, F.lit(1), half), "\n"), doc).alias("docstring"), F.col("test").alias("test_prefix"),
+        F.array_join(F.slice(lines, half + 1, F.size(lines)), "\n").alias("generated_test"),
         (r % 2).cast("int").alias("except_pred"), assert_pred.alias("assert_pred"))
 
 
@@ -270,11 +273,11 @@ JOIN code c ON c.row_idx = d.doc_id""",
     "failed": """
 SELECT t.row_idx, project, bug_num, test_name, regexp_replace(trace, '^-+', '') AS buggy_test_trace,
        replace(c.focal_method, ' {', CASE WHEN t.row_idx % 3 = 0 THEN ' throws IllegalStateException {' ELSE ' {' END) AS focal_method,
-       split_part(coalesce(text, ''), chr(10), 1) || CASE WHEN t.row_idx % 5 = 0 THEN ' Throws CartException if empty' ELSE '' END AS docstring,
-       c.test AS test_prefix, coalesce(text, '') AS generated_test,
+       array_to_string(lines[1:(len(lines) + 1) // 2], chr(10)) || CASE WHEN t.row_idx % 5 = 0 THEN ' Throws CartException if empty' ELSE '' END AS docstring,
+       c.test AS test_prefix, array_to_string(lines[(len(lines) + 1) // 2 + 1:], chr(10)) AS generated_test,
        CAST(t.row_idx % 2 AS INTEGER) AS except_pred,
        CASE t.row_idx % 3 WHEN 0 THEN 'assertTrue(x)' WHEN 1 THEN '  ' ELSE '' END AS assert_pred
-FROM traces t JOIN documents d ON d.doc_id = t.row_idx JOIN code c ON c.row_idx = t.row_idx""",
+FROM traces t JOIN (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents) d ON d.doc_id = t.row_idx JOIN code c ON c.row_idx = t.row_idx""",
 }
 
 
