@@ -3,18 +3,19 @@
 * ``distinct_line_counts`` (W7): lines of a test that no other test of the bug has.
 * ``marker_split`` (W3): one split test per marker line (earlier plain lines + it + '}').
 * ``method_spans`` (W6) and ``repair_files`` (J12): drop every method whose line
-  span holds a failing line, a range anti-join on (file, line in [start, end)).
+  span holds a failing line, a range anti-join on (file, line in [start, end)) by a sweep.
 * ``compile_error_lines`` (P29): (file, line) of compiler error lines.
 
 Steps inside one text work on its line array; only what meets other texts is
-exploded. No text is handed to Python.
+exploded. Texts go to Python for the splits alone, which are streamed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import let, py_strip
@@ -45,24 +46,57 @@ def distinct_line_counts(df: DataFrame, group: Sequence[str], id_col: str, text:
     return df.join(uniq, [*group, id_col], "left").fillna(0, [out])
 
 
+#: Text of the splits sent on at once.
+SPLIT_BYTES = 1 << 20
+
+
+def _splits_of(text: str | None, marker: str) -> Iterator[tuple[str, bool]]:
+    """(split, has_marker) of one text, one at a time; the lines before a marker are kept once."""
+    if text is None:
+        return
+    plain: list[str] = []
+    for line in text.split("\n"):
+        if not line.strip():
+            continue
+        if marker in line:
+            yield "\n".join([*plain, line, "}"]), True
+        else:
+            plain.append(line)
+    yield "\n".join(plain), False
+
+
 def marker_split(df: DataFrame, id_col: str, text: str, marker: str) -> DataFrame:
     """Split tests: for every non-blank line containing ``marker`` (in order), the
     earlier non-blank non-marker lines + that line + '}'; then one row with all
     non-blank non-marker lines. ``split_no`` orders them; the last is the full one.
+
+    A text's splits together grow with the square of its length, so they are made one after the other and sent on
+    ``SPLIT_BYTES`` at a time: a task holds the lines of one text and one batch, however many markers there are.
+    A null text has no split.
     """
-    def splits(lines: Column) -> Column:
-        has = lambda x: F.contains(x, F.lit(marker))
-        plain = lambda ls: F.filter(ls, lambda x: ~has(x))
-        at = F.filter(F.transform(lines, lambda x, i: F.when(has(x), i)), lambda i: i.isNotNull())
-        marked = F.transform(at, lambda i: F.struct(
-            F.array_join(F.concat(plain(F.slice(lines, 1, i)), F.array(F.get(lines, i), F.lit("}"))), "\n").alias("split_test"),
-            F.lit(True).alias("has_marker")))
-        full = F.struct(F.array_join(plain(lines), "\n").alias("split_test"), F.lit(False).alias("has_marker"))
-        return F.concat(marked, F.array(full))
+    id_type = df.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, out, size = [], [], 0
 
-    lines = F.filter(F.split(F.col(text), "\n", -1), lambda x: py_strip(x) != "")
-    made = df.select(id_col, F.posexplode(let(lines, splits)).alias("split_no", "_s"))
-    return made.select(id_col, "_s.split_test", "_s.has_marker", F.col("split_no").cast("long").alias("split_no"))
+            def batch() -> pa.RecordBatch:
+                split, has, no = zip(*out)
+                return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(split, pa.string()), pa.array(has, pa.bool_()),
+                                                   pa.array(no, pa.int64())], names=["id", "split_test", "has_marker", "split_no"])
+
+            for i, value in enumerate(b.column(1).to_pylist()):
+                for no, (split, has) in enumerate(_splits_of(value, marker)):
+                    at.append(i)
+                    out.append((split, has, no))
+                    size += len(split)
+                    if size > SPLIT_BYTES:
+                        yield batch()
+                        at, out, size = [], [], 0
+            if out:
+                yield batch()
+
+    return df.select(id_col, text).mapInArrow(run, f"id {id_type}, split_test string, has_marker boolean, split_no long").withColumnRenamed("id", id_col)
 
 
 def _spans(lines: Column, signature: str) -> Column:
@@ -82,25 +116,44 @@ def method_spans(files: DataFrame, file_col: str, text: str, signature: str) ->
     return files.select(file_col, F.explode(spans).alias("_s")).select(file_col, "_s.*")
 
 
+def failing_spans(spans: DataFrame, errors: DataFrame, file_col: str) -> tuple[DataFrame, DataFrame]:
+    """((file, start, end) of the spans with a failing line, (file, err_idx) of the failing lines before a file's first span).
+
+    A sweep over each file's span starts and failing lines in line order: spans don't overlap, so a line can only lie in the
+    span that opened last. A failing line counts once, so a file's sweep is as long as the file, whatever the errors.
+    """
+    points = errors.select(file_col, F.col("err_idx").cast("long").alias("pos")).filter("pos >= 0").distinct()
+    events = (spans.select(file_col, F.col("start").alias("pos"), F.lit(0).alias("kind"), "start", "end")
+              .unionByName(points.withColumn("kind", F.lit(1)), allowMissingColumns=True))
+    w = Window.partitionBy(file_col).orderBy("pos", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    open_span = F.last(F.when(F.col("kind") == 0, F.struct("start", "end")), ignorenulls=True).over(w)
+    swept = events.withColumn("_span", open_span).filter(F.col("kind") == 1)
+    bad = swept.filter(F.col("pos") < F.col("_span.end")).select(file_col, "_span.start", "_span.end").distinct()
+    return bad, swept.filter(F.col("_span").isNull()).select(file_col, F.col("pos").alias("err_idx"))
+
+
 def repair_files(files: DataFrame, errors: DataFrame, file_col: str, text: str, signature: str) -> DataFrame:
     """(file, kept): the lines (line_idx, line) that are left when every method span with a failing line, and failing
     ``import`` lines of the header, are removed. ``errors`` has (file, err_idx) 0-based.
 
-    A range anti-join on (file, line in [start, end)): the errors of a file meet its lines once, as an array.
+    A range anti-join on (file, line in [start, end)): ``failing_spans`` finds the spans to go; a file gets back
+    at most its own methods and header lines, and the lines that stay are a difference of index sets.
     """
-    bad = errors.groupBy(F.col(file_col).alias("_f")).agg(F.collect_set(F.col("err_idx").cast("long")).alias("_e"))
-    joined = files.join(bad, F.col(file_col) == F.col("_f"), "left").withColumn("_e", F.coalesce("_e", F.array().cast("array<bigint>")))
-    errs = F.col("_e")
+    bad, early = failing_spans(method_spans(files, file_col, text, signature), errors, file_col)
+    spans_out = bad.groupBy(file_col).agg(F.array_agg(F.struct("start", "end")).alias("_bad"))
+    early_out = early.groupBy(file_col).agg(F.array_agg("err_idx").alias("_early"))
+    none = lambda c, kind: F.coalesce(c, F.array().cast(kind))
+    joined = (files.select(file_col, text).join(spans_out, file_col, "left").join(early_out, file_col, "left")
+              .withColumns({"_bad": none("_bad", "array<struct<start:bigint,end:bigint>>"), "_early": none("_early", "array<bigint>")}))
 
     def kept(ls: Column) -> Column:
-        def from_spans(v: Column) -> Column:
-            hit = F.filter(v["spans"], lambda s: F.exists(errs, lambda e: (e >= s["start"]) & (e < s["end"])))
+        def left(v: Column) -> Column:
             header = F.coalesce(F.get(v["spans"], 0)["start"], v["last_brace"])
-            return let(F.struct(hit.alias("hit"), header.alias("header")), lambda h: F.filter(
-                F.transform(ls, lambda x, i: F.struct(i.cast("long").alias("line_idx"), x.alias("line"))),
-                lambda z: ~F.exists(h["hit"], lambda s: (z["line_idx"] >= s["start"]) & (z["line_idx"] < s["end"]))
-                & ~((z["line_idx"] < h["header"]) & z["line"].startswith("import") & F.array_contains(errs, z["line_idx"]))))
-        return let(_spans(ls, signature), from_spans)
+            imports = F.filter(F.transform(ls, lambda x, i: F.when(x.startswith("import") & (i < header), i.cast("long"))), lambda i: i.isNotNull())
+            gone = F.concat(F.flatten(F.transform("_bad", lambda s: F.sequence(s["start"], s["end"] - 1))), F.array_intersect(imports, F.col("_early")))
+            stay = F.array_except(F.sequence(F.lit(0).cast("long"), F.size(ls).cast("long") - 1), gone)
+            return F.transform(stay, lambda i: F.struct(i.alias("line_idx"), F.get(ls, i.cast("int")).alias("line")))
+        return let(_spans(ls, signature), left)
 
     return joined.select(file_col, let(F.split(F.col(text), "\n", -1), kept).alias("kept"))
 

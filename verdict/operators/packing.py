@@ -1,7 +1,8 @@
 """Model-input shaping: pair / triple truncation, sequence packing, statistics.
 
 Token lists are array columns; every step is a closed form or an array
-higher-order function, so no row leaves the JVM.
+higher-order function, so no row leaves the JVM. The exact median is found by
+selection in rounds of partial counts.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import let
+from ..session import cut_lineage
 
 # First segment cap, sequence length and special tokens.
 FIRST_SEGMENT_CAP = 50
@@ -110,9 +112,48 @@ def pack(df: DataFrame, segments: list[str], segment_ids: list[int], max_len: in
     return df.withColumns({"input_tokens": cols[0], "input_mask": cols[1], "segment_ids": cols[2]})
 
 
+#: Bins of a narrowing round, and the rows that are sorted at the end.
+BINS, FEW = 1024, 10_000
+
+
+def exact_percentile(df: DataFrame, value: str, p: float = 0.5) -> float | None:
+    """The p-quantile of a column of finite numbers, interpolated between the two middle ranks; nulls are skipped (none left: None).
+
+    Selection by rounds: each counts the rows of ``BINS`` equal bins between the bounds left (a partial sum, ``BINS`` rows to
+    the driver) and narrows to the bins that hold the two ranks, until the bounds meet or few rows are left between them.
+    No task sees more than its input and no buffer holds the values.
+    """
+    rows = df.select(F.col(value).cast("double").alias("v")).filter("v IS NOT NULL")
+    lo, hi, n = rows.agg(F.min("v"), F.max("v"), F.count("v")).first()
+    if not n:
+        return None
+    at = p * (n - 1)
+    ranks = [int(at), min(int(at) + 1, n - 1)]  # the two ranks, among the rows from ``lo`` on
+    below, inside = 0, n
+    while lo < hi and inside > FEW:
+        width = max((hi - lo) / BINS, 5e-324)
+        slot = F.least(F.floor((F.col("v") - lo) / width), F.lit(BINS - 1))
+        found = (rows.filter(F.col("v").between(lo, hi)).groupBy(slot.alias("slot"))
+                 .agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("v").alias("n")).orderBy("slot").collect())
+        bounds = []
+        for r in found:
+            if below + r["n"] > ranks[0] and below <= ranks[1]:
+                bounds.append((r["lo"], r["hi"], below, r["n"]))
+            below += r["n"]
+        if len(bounds) == 2:  # the ranks are the last row of one bin and the first of the next
+            return bounds[0][1] + (at - ranks[0]) * (bounds[1][0] - bounds[0][1])
+        lo, hi, below, inside = bounds[0]
+    if lo == hi:
+        return lo
+    few = [r["v"] for r in rows.filter(F.col("v").between(lo, hi)).orderBy("v").collect()]
+    a, b = few[ranks[0] - below], few[ranks[1] - below]
+    return a + (at - ranks[0]) * (b - a)
+
+
 def truncation_stats(df: DataFrame, total: Column | str) -> DataFrame:
-    """Rows, rows truncated, mean / median / max of the tokens cut."""
-    t = F.col(total) if isinstance(total, str) else total
-    return df.agg(F.count(F.lit(1)).alias("total_samples"), F.count_if(t > 0).alias("total_truncations"),
-                  F.round(F.avg(t), 6).alias("mean_trunc"), F.round(F.percentile(t, 0.5), 6).alias("median_trunc"),
-                  F.max(t).cast("long").alias("max_trunc"))
+    """Rows, rows truncated, mean / median / max of the tokens cut; the median by selection."""
+    cuts = cut_lineage(df.select((F.col(total) if isinstance(total, str) else total).alias("t")))  # one number a row, read in each round
+    median = exact_percentile(cuts, "t")
+    return cuts.agg(F.count(F.lit(1)).alias("total_samples"), F.count_if(F.col("t") > 0).alias("total_truncations"),
+                    F.round(F.avg("t"), 6).alias("mean_trunc"), F.round(F.lit(median).cast("double"), 6).alias("median_trunc"),
+                    F.max("t").cast("long").alias("max_trunc"))

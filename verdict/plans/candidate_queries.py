@@ -9,6 +9,7 @@ from ..functions.positions import group_positions
 from ..operators import candidates as C
 from ..operators import metrics as M
 from ..operators import sweep as S
+from ..operators import sampling as SP
 from ..sources import views as V
 from ..sources.tables import table
 from ..sources.views import with_views
@@ -287,3 +288,18 @@ def weighted_sample(spark, sf_dir):
         "draw_id", "c", F.floor(F.col("u2") * F.col("n")).alias("pos"))
     return chosen.join(ranked, ["c", "pos"]).select(
         "draw_id", F.col("doc_id").alias("sampled_doc_id"), F.col("c").alias("sampled_class"))
+
+
+@register("weighted_documents", f"""
+WITH w AS (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[a-z]+'))::HUGEINT AS weight FROM documents),
+starts AS (SELECT doc_id, weight, sum(weight) OVER (ORDER BY doc_id) - weight AS start FROM w WHERE weight > 0),
+draws AS (
+  SELECT doc_id AS draw_id, CAST((('0x' || substr(md5(concat_ws('-', '{_SAMPLE_SEED}', CAST(doc_id AS VARCHAR), 'w')), 1, 15))::BIGINT::HUGEINT
+                                  * (SELECT sum(weight) FROM starts)) // (1::HUGEINT << {SP.BITS}) AS BIGINT) AS pos
+  FROM documents)
+SELECT draw_id, s.doc_id FROM draws ASOF JOIN starts s ON draws.pos >= s.start""")
+def weighted_documents(spark, sf_dir):
+    """As many draws as documents, with replacement, each document with a chance in proportion to its words."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[a-z]+"), F.lit(0))).alias("weight"))
+    draws = d.select(F.col("doc_id").alias("draw_id"), SP.uniform_bits(F.lit(_SAMPLE_SEED), "doc_id", F.lit("w")).alias("bits"))
+    return SP.draw_rows(d, draws, "doc_id", "weight", "draw_id", "bits")

@@ -230,11 +230,14 @@ SELECT 'aligned', count(*) FROM (SELECT doc_id FROM documents) d FULL OUTER JOIN
 def quality_checks(spark, sf_dir):
     """V1 / V2 / V4: nulls in the test table, duplicate keys, rows present on one side only."""
     from ..operators import checks as CK
-    c = V.cases(spark, sf_dir)
-    d = table(spark, sf_dir, "documents").select("doc_id")
-    lab = table(spark, sf_dir, "labels").select("doc_id")
-    return (CK.null_counts(c).unionByName(CK.key_violations(c, ["project", "bug_num", "test_name", "generated_test"]))
-            .unionByName(CK.alignment_violations(d, lab, ["doc_id"])))
+    c = V.cases(spark, sf_dir, flags=False).withColumn("_l", F.lit(True))
+    lab = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("_id"), (F.col("quality") == 0).alias("failed_buggy"),
+                                                (F.col("toxic") == 1).alias("failed_fixed"), F.lit(True).alias("_r"))
+    both = c.join(lab, F.col("row_idx") == F.col("_id"), "full_outer")  # each table once, every check on its rows
+    case = F.col("_l").isNotNull()
+    columns = ["row_idx", "project", "bug_num", "test_name", "focal_method", "generated_test", "failed_buggy", "failed_fixed"]
+    return CK.check_table(both, {"no_nulls": case & CK.any_null(columns), "aligned": F.col("_l").isNull() | F.col("_r").isNull()},
+                          {"unique_key": ["project", "bug_num", "test_name", F.md5("generated_test")]}, case)
 
 
 @register("failed_tests", with_views("""

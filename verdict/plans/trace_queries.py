@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import features as FT
 from ..operators import triggers as TR
-from ..session import cut_lineage
+from ..session import cut_lineage, ensure_checkpoint_dir
+from ..sources import files as SF
 from ..sources import views as V
 from ..sources.tables import table
 from ..sources.views import with_views
@@ -55,6 +58,32 @@ def trace_parse(spark, sf_dir):
         (F.col("trace_desc") != "").alias("has_desc"), "category")
 
 
+# A log holds so many events at most, as a rotated log does; event ids deal them into the buggy and the fixed one.
+_LOG_EVENTS = 100_000
+_LOG_RE = r"project=([^/]+)/system=([^/]+)/bug_num=([0-9]+)/tag=([^/]+)/[^/]+$"
+
+
+@register("trigger_log_scan", with_views(f"""
+SELECT project, system, bug_num, tag, block_pos, block_test_name AS test_name, category, md5(block) AS block_md5
+FROM parsed""", "traces", ctes=f"""
+logged AS (SELECT *, 'log' || CAST(row_idx // {_LOG_EVENTS} AS VARCHAR) AS system, CASE WHEN contains(trace, 'Exception') THEN 'b' ELSE 'f' END AS tag FROM traces),
+src AS (
+  SELECT project, system, bug_num, tag, row_number() OVER w - 1 AS block_pos, regexp_replace(trace, '^-+', '')
+         || CASE WHEN row_number() OVER w = count(*) OVER (PARTITION BY project, system, bug_num, tag) THEN chr(10) ELSE '' END AS block
+  FROM logged WINDOW w AS (PARTITION BY project, system, bug_num, tag ORDER BY row_idx)),
+""" + _PARSE_SQL))
+def trigger_log_scan(spark, sf_dir):
+    """The logs of all events written as text files to the shared folder, and scanned by their block separator."""
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/trigger-logs-{uuid.uuid4().hex}"
+    keys = ["project", "system", "bug_num", "tag"]
+    t = V.traces(spark, sf_dir).withColumns({
+        "system": F.concat(F.lit("log"), F.floor(F.col("row_idx") / _LOG_EVENTS).cast("string")),
+        "tag": F.when(F.contains("trace", F.lit("Exception")), "b").otherwise("f")})
+    t.repartition(*keys).sortWithinPartitions(*keys, "row_idx").select(*keys, "trace").write.partitionBy(*keys).text(root)
+    blocks = SF.read_trigger_logs(spark, root, glob="*.txt", path_re=_LOG_RE)
+    return blocks.select(*keys, "block_pos", "test_name", "category", F.md5("block").alias("block_md5"))
+
+
 @register("trace_category", with_views("""
 SELECT project, bug_num, category, count(*) AS n_blocks FROM parsed GROUP BY project, bug_num, category""",
                                        "traces", ctes=_SRC_TRACES + ",\n" + _PARSE_SQL))

@@ -1,16 +1,17 @@
 """File sources and sinks of the pipeline: code-safe CSV, trigger logs, whole
 source files with keys in their paths, archive listings, tolerant scans,
-pending-task sets and partitioned Parquet sinks."""
+pending-task sets, resumable runs and partitioned Parquet sinks."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..operators.triggers import complete_blocks, parse_blocks, split_log
+from ..operators.triggers import block_text, complete_blocks, parse_blocks
+from ..session import cut_lineage
 
 # Cell texts that the reference's CSV reader treats as missing.
 NA_WORDS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
@@ -100,20 +101,29 @@ def read_bug_lists(spark: SparkSession, pattern: str, projects: Sequence[str] |
     return df.filter(F.col("project").isin(*projects)) if projects else df
 
 
-def read_trigger_logs(spark: SparkSession, root: str) -> DataFrame:
+def read_trigger_logs(spark: SparkSession, root: str, glob: str = "*.trigger.log", path_re: str = LOG_PATH_RE) -> DataFrame:
     """Trigger logs under ``root`` -> one row per block with path keys.
 
     (project, system, bug_num, tag, block_pos, test_name, block, category, n_lines).
     A block of fewer than two lines is an error of the log: the read fails on it.
+
+    The block separator is the record separator of the scan, so a long log is read by many tasks. A block's
+    place in its log is its place in its split plus the blocks of the log's earlier splits: both come from the
+    split's offset and the row's number in the scan, and only (log, split) counts are brought together.
     """
-    raw = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.trigger.log")
-           .text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value"))
-    keyed = raw.select(
-        F.regexp_extract("path", LOG_PATH_RE, 1).alias("project"),
-        F.regexp_extract("path", LOG_PATH_RE, 2).alias("system"),
-        F.regexp_extract("path", LOG_PATH_RE, 3).cast("long").alias("bug_num"),
-        F.regexp_extract("path", LOG_PATH_RE, 4).alias("tag"),
-        F.posexplode(split_log("value")).alias("block_pos", "block"))
+    raw = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).option("lineSep", "\n---").text(root)
+           .select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_split"), "value")
+           .withColumn("_row", F.monotonically_increasing_id()))
+    splits = raw.groupBy("path", "_split").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("path").orderBy("_split")) - F.col("_n")  # the splits of one log
+    placed = raw.join(splits.select("path", "_split", "_first", before.alias("_before")), ["path", "_split"])
+    pos = F.col("_before") + F.col("_row") - F.col("_first")
+    keyed = placed.select(
+        F.regexp_extract("path", path_re, 1).alias("project"),
+        F.regexp_extract("path", path_re, 2).alias("system"),
+        F.regexp_extract("path", path_re, 3).cast("long").alias("bug_num"),
+        F.regexp_extract("path", path_re, 4).alias("tag"),
+        pos.alias("block_pos"), F.when(pos == 0, block_text("value")).otherwise(F.col("value")).alias("block"))
     return complete_blocks(parse_blocks(keyed.filter(F.col("block") != "")))
 
 
@@ -165,6 +175,45 @@ def pending_tasks(tasks: DataFrame, finished: DataFrame, keys: Sequence[str]) ->
     return tasks.join(finished.select(*keys).distinct(), list(keys), "left_anti")
 
 
+MANIFEST = "status string, run string, at timestamp"
+
+
+def run_pending(tasks: DataFrame, keys: Sequence[str], compute: Callable[[DataFrame], DataFrame], out: str, manifest: str,
+                run: str, waves: int = 1, strict: bool = True) -> DataFrame:
+    """Run what is not done yet and commit it by partition (S14, S15); (keys, status) of every task: skip, done or failed.
+
+    ``compute`` gets the pending tasks and returns their rows with the key columns. Each of ``waves`` deals (by key hash) is
+    written as partitions of ``out`` by dynamic overwrite, so a wave that ran before and was cut off is replaced, not doubled, and
+    no other partition is touched. Only after its write does a wave enter the manifest as done; one that fails enters it as
+    failed. A rerun, also after a killed driver, takes exactly the tasks without a done entry. ``strict`` raises the first
+    failure after all waves have run.
+    """
+    spark, keys = tasks.sparkSession, list(keys)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tasks.select(*keys).schema) + ", " + MANIFEST
+    tasks = cut_lineage(tasks.select(*keys).distinct())
+    finished = read_or_empty(spark, manifest, schema).filter("status = 'done'")
+    todo = cut_lineage(pending_tasks(tasks, finished, keys).withColumn("_wave", F.pmod(F.xxhash64(*keys), F.lit(waves))))
+
+    def note(some: DataFrame, status: str) -> None:
+        (some.select(*keys, F.lit(status).alias("status"), F.lit(run).alias("run"), F.current_timestamp().alias("at"))
+         .write.mode("append").parquet(manifest))
+
+    failure = None
+    for wave in sorted(r[0] for r in todo.select("_wave").distinct().collect()):  # at most ``waves`` numbers
+        mine = todo.filter(F.col("_wave") == wave).drop("_wave")
+        try:
+            (compute(mine).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(out))
+        except Exception as e:  # noqa: BLE001 - the wave is noted and the next one runs
+            note(mine, "failed")
+            failure = failure or e
+        else:
+            note(mine, "done")
+    if failure is not None and strict:
+        raise failure
+    mine = read_or_empty(spark, manifest, schema).filter(F.col("run") == run).select(*keys, "status")
+    return tasks.join(mine, keys, "left").withColumn("status", F.coalesce("status", F.lit("skip")))
+
+
 def write_results(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     """Partitioned Parquet sink (S14); run keys become directories for pruning."""
     w = df.write.mode("overwrite")
