@@ -10,8 +10,12 @@ Every document is scanned whole, on its own: no shuffle, one Arrow batch in memo
 table is the stated query set: it is read in blocks of ``BLOCK_CHARS`` characters, each block
 one automaton per task and one pass over the documents.
 
-Defined results: null or empty texts match nothing; null items and items shorter than
-``LEAST_CHARS`` in normal form are left out (too short to tell a leak from chance); equal items
+Items shorter than ``SHORT_CHARS`` in normal form have no budget and match as whole words only: no
+letter or digit stands beside them, and no edit is allowed. An item of one ordinary word so matches
+every document with that word; ``least_chars`` leaves shorter items out where that is not wanted.
+
+Defined results: null or empty texts match nothing; null items and items without a character in
+normal form are left out; equal items
 match on their own; repeated documents give rows of their own; an empty item table gives no row.
 Other columns are not read.
 """
@@ -26,7 +30,7 @@ from pyspark.sql import functions as F
 
 ERROR_RATE = 0.05
 PIECE_CHARS = 16
-LEAST_CHARS = 32
+SHORT_CHARS = 32
 BLOCK_CHARS = 4_000_000
 
 
@@ -35,8 +39,8 @@ def normal(text: str | None) -> str:
 
 
 def budget(m: int, rate: float = ERROR_RATE, piece: int = PIECE_CHARS) -> int:
-    """Edits allowed in m characters: a share of m, and few enough for pieces of ``piece`` characters."""
-    return max(0, min(int(m * rate), m // piece - 1))
+    """Edits allowed in m characters: a share of m, and few enough for pieces of ``piece`` characters; none in a short item."""
+    return 0 if m < SHORT_CHARS else max(0, min(int(m * rate), m // piece - 1))
 
 
 def pieces(item: str, k: int) -> list[tuple[int, str]]:
@@ -46,6 +50,13 @@ def pieces(item: str, k: int) -> list[tuple[int, str]]:
     return [(cuts[i], item[cuts[i]:cuts[i + 1]]) for i in range(k + 1)]
 
 
+def whole_words(text: str, start: int, item: str) -> bool:
+    """Whether no letter or digit goes on beyond either end of ``item`` at ``start``."""
+    end = start + len(item)
+    return not (start and item[0].isalnum() and text[start - 1].isalnum()) and not (
+        end < len(text) and item[-1].isalnum() and text[end].isalnum())
+
+
 class Pattern:
     """Myers' bit vectors of one item (Python integers of any width)."""
 
@@ -110,7 +121,8 @@ class Matcher:
                     continue
                 seen.add(start)
                 if start >= 0 and text.startswith(item, start):
-                    found[n] = (0, start + m)
+                    if m >= SHORT_CHARS or whole_words(text, start, item):
+                        found[n] = (0, start + m)
                     continue
                 if not k:
                     continue
@@ -123,11 +135,11 @@ class Matcher:
         return [(self.items[n][0], d, end) for n, (d, end) in sorted(found.items())]
 
 
-def _blocks(items: DataFrame, item_id: str, item_text: str, size: int) -> Iterator[list[tuple[int, str]]]:
+def _blocks(items: DataFrame, item_id: str, item_text: str, size: int, least_chars: int) -> Iterator[list[tuple[int, str]]]:
     block, chars = [], 0
     for row in items.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).toLocalIterator():
         t = normal(row["t"])
-        if len(t) < LEAST_CHARS:
+        if len(t) < max(least_chars, 1):
             continue
         block.append((row["i"], t))
         chars += len(t)
@@ -139,11 +151,11 @@ def _blocks(items: DataFrame, item_id: str, item_text: str, size: int) -> Iterat
 
 
 def find_leaks(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id",
-               item_text: str = "text", rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+               item_text: str = "text", rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS, least_chars: int = 1) -> DataFrame:
     """doc_id, item_id, distance, end_pos (in the normal text): one row per document and item it holds."""
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     out = None
-    for block in _blocks(items, item_id, item_text, block_chars):
+    for block in _blocks(items, item_id, item_text, block_chars, least_chars):
         shared = df.sparkSession.sparkContext.broadcast(block)  # block_chars characters at most, and one item
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -161,9 +173,9 @@ def find_leaks(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
 
 
 def drop_leaks(df: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
-               rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+               rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS, least_chars: int = 1) -> DataFrame:
     """The input rows, all columns unchanged, without those that hold an item."""
-    for block in _blocks(items, item_id, item_text, block_chars):
+    for block in _blocks(items, item_id, item_text, block_chars, least_chars):
         shared = df.sparkSession.sparkContext.broadcast(block)
         at = df.columns.index(text_col)
 
