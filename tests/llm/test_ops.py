@@ -14,6 +14,7 @@ import time
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from scripts.check_oracle import rows_of
@@ -555,6 +556,16 @@ def test_language_held_out(spark):
     assert n > 300 and wrong <= 0.02 * n
 
 
+def test_language_model_does_not_depend_on_the_deal(spark):
+    """The same sample and model after any repartition, with or without ids, and about the bound of rows."""
+    rows = [(i, prose(i, 30), ["en", "fr", None][i % 3]) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for some in (df, df.drop("doc_id")):
+        a, b, c = (op10_language.fit(d, train_rows=100) for d in (some.repartition(1), some.repartition(7), some.orderBy(F.desc("text"))))
+        assert a.languages == b.languages == ["en", "fr"] and np.array_equal(a.log, b.log) and np.array_equal(a.log, c.log)
+        assert not np.array_equal(a.log, op10_language.fit(some).log)
+
+
 def brute_language(rows, model):
     """Rows (text evidence, said, suffix, domain, host) -> posterior scores, by plain loops."""
     k, langs = op10_language.STRENGTH, model.languages

@@ -66,12 +66,18 @@ def evidence(log: np.ndarray, text: str) -> np.ndarray:
     return log @ c * (EFFECTIVE / max(n, EFFECTIVE)) if n else np.zeros(len(log))
 
 
-def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", train_rows: int = TRAIN_ROWS) -> Model:
-    """Grouped trigram counts of about ``train_rows`` labelled rows (all, if there are fewer)."""
-    rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter("lang is not null and text is not null")
+def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", train_rows: int = TRAIN_ROWS, id_col: str = "doc_id") -> Model:
+    """Grouped trigram counts of about ``train_rows`` labelled rows (all, if there are fewer).
+
+    Which rows: those whose hash of id and text is below a limit, so that the model depends on the rows alone, not on
+    files, partitions or order. Without a column ``id_col`` the text alone is hashed, and copies are taken together."""
+    by = [F.col(c) for c in (id_col, text_col) if c in labelled.columns]
+    rows = (labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.lit(SEED), *by).alias("h"))
+            .filter("lang is not null and text is not null"))
     n = rows.count()
     if n > train_rows:
-        rows = rows.sample(train_rows / n, seed=SEED)
+        rows = rows.filter(F.pmod("h", F.lit(1 << 40)) < int(train_rows / n * (1 << 40)))
+    rows = rows.drop("h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
