@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir), works on all rows the stage before it kept and returns a
 DataFrame; all but the last return the columns of documents. ``run`` writes every stage as
 Parquet in the shared checkpoint folder and rereads it as the next one's docs, so that a lost
-executor costs a stage's tasks and not the stages before.
+executor costs a stage's tasks and not the stages before. A stage's table goes once the next one is
+written; the last one, which the result reads, is the caller's to clear.
 """
 
 from __future__ import annotations
@@ -60,4 +61,12 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = f"{folder}/{i}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if i:
+            _remove(spark, f"{folder}/{i - 1}")
     return docs
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    """Delete a table of this run on whatever file system holds it."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
