@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..session import written
 
@@ -178,7 +179,7 @@ def tfidf_similarity(df: DataFrame, group: Sequence[str], id_col: str,
     (``distinct=True``). ``left`` / ``right`` are tags of two parts. ``id_col`` names a row of its group.
     Rows with a null in the group, and rows with a text without a token, get 0.
     """
-    spark, stop = df.sparkSession, tuple(stop_words if stop_words is not None else english_stop_words())
+    stop = tuple(stop_words if stop_words is not None else english_stop_words())
     column = {tag: col for tag, col, _ in parts}
     keyed = df.withColumn("_g", F.xxhash64(*group))
     base = keyed.filter(" AND ".join(f"`{c}` IS NOT NULL" for c in group))
@@ -201,7 +202,7 @@ def tfidf_similarity(df: DataFrame, group: Sequence[str], id_col: str,
         plan[g] = (by_token, -(-blocks // by_token))
     id_type = df.schema[id_col].dataType.simpleString()
     schema = _STREAM.format(id=f"`{id_col}`", type=id_type)
-    arrow_id = spark.createDataFrame([], f"id {id_type}").toArrow().schema.field(0).type
+    arrow_id = to_arrow_type(df.schema[id_col].dataType)
     stream = (counts.mapInArrow(_frequencies(plan, id_col, arrow_id), schema)
               .unionByName(base.select("_g", id_col, column[left], F.col(column[right]).alias("_right"), F.xxhash64(id_col)).mapInArrow(_vectors(plan, stop, id_col), schema)))
     products = (stream.repartition("_g", "part").sortWithinPartitions("_g", "part", "kind")

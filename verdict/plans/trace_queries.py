@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import features as FT
 from ..operators import triggers as TR
-from ..session import cut_lineage, ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, written
 from ..sources import files as SF
 from ..sources import views as V
 from ..sources.tables import table
@@ -221,8 +221,8 @@ feat AS (
 
 
 def _features(spark, sf_dir, names, keep=()):
-    # every count and text feature reads the rows again: build them once
-    return FT.add_features(cut_lineage(V.failed(spark, sf_dir)), names, keep)
+    # every count and text feature reads the rows again: build them once, compressed
+    return FT.add_features(written(V.failed(spark, sf_dir), "failed"), names, keep)
 
 
 @register("value_counts", with_views("""

@@ -118,9 +118,8 @@ def failed(spark: SparkSession, sf_dir: str) -> DataFrame:
     (the input of the ranking features): a trigger block and the whole text of one document, the first
     half of its lines as docstring and the others as generated test."""
     t = traces(spark, sf_dir).withColumnRenamed("row_idx", "_id")
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("_doc"), F.coalesce("text", F.lit("")).alias("text"))
-    c = code(spark, sf_dir)
-    j = d.join(t, F.col("_doc") == F.col("_id")).join(c, F.col("_doc") == F.col("row_idx"))
+    d = _with_code(table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    j = d.withColumnRenamed("doc_id", "row_idx").join(t, F.col("row_idx") == F.col("_id"))
     r = F.col("row_idx")
     throws = F.when(r % 3 == 0, " throws IllegalStateException {").otherwise(" {")
     doc = F.when(r % 5 == 0, " Throws CartException if empty").otherwise("")
@@ -147,8 +146,13 @@ def code(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Generated-test-shaped code: every sentence of the document is a statement, followed by
     an oracle; its form cycles over assertions, the six exception forms, forms that the
     classifier must reject, and no oracle."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    d = d.select("doc_id", sentence_names(F.col("text")).alias("_names"))
+    d = _with_code(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return d.select(F.col("doc_id").alias("row_idx"), "test", "focal_method")
+
+
+def _with_code(d: DataFrame) -> DataFrame:
+    """The documents (doc_id, text and what else they have) with the code that ``code`` makes of each."""
+    d = d.withColumn("_names", sentence_names(F.col("text")))
     w = F.coalesce(F.get("_names", 0), F.lit("x"))
     k = F.size("_names").cast("string")
     call = F.concat(F.lit("cart."), w, F.lit("()"))
@@ -176,14 +180,13 @@ def code(spark: SparkSession, sf_dir: str) -> DataFrame:
     test = F.concat(head, F.lit("\n  public void test"), F.lpad((F.col("doc_id") % 100).cast("string"), 2, "0"),
                     F.lit("()  throws Throwable  {\n      "), F.array_join(stmts, "\n      "), F.lit("\n      "), tail, F.lit("\n  }"))
     focal = F.concat(F.lit("public String "), w, F.lit("(int n) {\n    return \""), w, F.lit("\";\n  }"))
-    return d.select(F.col("doc_id").alias("row_idx"), test.alias("test"), focal.alias("focal_method"))
+    return d.withColumns({"test": test, "focal_method": focal}).drop("_names")
 
 
 def test_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Test-class files around all words of a document: package, one import per word (the last
     one after the @RunWith line), class header and one test case."""
-    c = code(spark, sf_dir)
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_idx"), "source", "text")
+    d = _with_code(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).withColumnRenamed("doc_id", "row_idx")
     d = d.withColumn("_w", F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z]+"), F.lit(0)))
     imports = F.transform("_w", lambda w: F.concat(F.lit("import pkg."), w, F.lit(";")))
     cls = F.concat(F.lit("C"), (F.col("row_idx") % 9).cast("string"))
@@ -192,7 +195,7 @@ def test_files(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.array_join(imports, "\n"), F.lit("import org.junit.Test;"),
                        F.lit("@RunWith(EvoRunner.class)"), F.concat(F.lit("import late."), late, F.lit(";")),
                        F.concat(F.lit("public class "), cls, F.lit("_ESTest {")), F.col("test"), F.lit("}"))
-    return d.join(c, "row_idx").select("row_idx", F.col("source").alias("project"),
+    return d.select("row_idx", F.col("source").alias("project"),
                                        F.concat(F.lit("pkg."), F.col("source")).alias("package"),
                                        cls.alias("class_name"), "test", body.alias("file_text"))
 
