@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import ranking as R
-from ..session import cut_lineage
+from ..session import written
 from ..sources import views as V
 from ..sources.tables import table
 from ..sources.views import with_views
@@ -76,7 +76,7 @@ def topk_mean_over_seeds(spark, sf_dir):
 def _isolated(spark, sf_dir):
     from ..operators import features as FT
     from ..operators import outlier as OUT
-    feats = FT.add_features(cut_lineage(V.failed(spark, sf_dir)), FT.FEATURE_NAMES)
+    feats = FT.add_features(written(V.failed(spark, sf_dir), "failed"), FT.FEATURE_NAMES)
     return OUT.isolation_rank(feats, ["project", "bug_num"], "row_idx", FT.FEATURE_NAMES)
 
 
