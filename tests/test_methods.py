@@ -83,3 +83,26 @@ def test_method_name_of_long_heads(spark):
     start = time.monotonic()
     got = [r[0] for r in df.select(FT.method_name("s")).collect()]
     assert got == ["a" * 60_000, "", "f$1", ""] and time.monotonic() - start < 10
+
+
+def test_class_headers(spark):
+    from verdict.operators import lookup as LK
+
+    files = [("import a.b.P;\nimport static x.Y;\npublic final class A<T extends Q> extends P<T> implements I {",), ("class B extends P { }",), ("interface I { }",),
+             ("// class Z extends P\nimport p.*;\nabstract class C { }",), (None,), ("",)]
+    got = LK.class_headers(spark.createDataFrame(files, "body string"), "body").collect()
+    assert sorted((r["class"], r["extends"], r["imported"]) for r in got) == [("A", "P", True), ("B", "P", False), ("C", None, False)]
+
+
+def test_focal_methods(spark):
+    """Own class before superclass, last call first, constructors before methods; a parent that is not imported isn't walked."""
+    from verdict.operators import lookup as LK
+
+    files = [("import p.P;\nclass A extends P {\n  A(int n) { }\n  /** own */ int f() { return 1; }\n}",),
+             ("import p.Q;\nclass P extends Q {\n  int f() { }\n  int g() { }\n}",), ("class Q extends R { void h() { } }",), ("class R { void far() { } }",)]
+    tests = spark.createDataFrame([(1, "A"), (2, "A"), (3, "A"), (4, "A"), (5, "None"), (6, "P")], "id int, cls string")
+    names = spark.createDataFrame([(1, "f", 0), (1, "g", 1), (2, "x", 0), (2, "h", 1), (3, "A", 0), (3, "f", 0), (4, "far", 0), (5, "f", 0), (6, "f", 2), (6, "h", 1)],
+                                  "id int, name string, name_pos int")
+    got = {r.id: (r["class"], r.name, r.depth, r.text, r.doc) for r in LK.focal_methods(tests, names, spark.createDataFrame(files, "body string"), "id", "cls", "body").collect()}
+    assert got == {1: ("A", "f", 0, "  /** own */ int f() { return 1; }", "/** own */"), 2: ("Q", "h", 2, " void h() { }", ""),
+                   3: ("A", "A", 0, "  A(int n) { }", ""), 6: ("Q", "h", 1, " void h() { }", "")}

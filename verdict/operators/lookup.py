@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.positions import group_positions
 from ..session import cut_lineage
+from .methods import file_methods
 
 BOOL_TYPES = ("bool", "boolean")
 NUMERIC_TYPES = ("int", "float", "double")
@@ -108,3 +109,32 @@ def superclass_chain(classes: DataFrame) -> DataFrame:
         reach = cut_lineage(reach.unionByName(more).groupBy("class", "ancestor").agg(F.min("depth").alias("depth")))
         known *= 2
     return reach
+
+
+# A type's header and an import line.
+_EXTENDS_RE = r"(?m)^\s*(?:(?:public|abstract|final)\s+)*class\s+([\w$]+)(?:\s*<[^{]*?>)?\s+extends\s+([\w$]+)"
+_CLASS_RE = r"(?m)^\s*(?:(?:public|abstract|final)\s+)*class\s+([\w$]+)"
+_IMPORT_RE = r"(?m)^\s*import\s+(?:static\s+)?[\w.$]*?([\w$]+)\s*;"
+
+
+def class_headers(files: DataFrame, text: str) -> DataFrame:
+    """(class, extends, imported) of the first class of each file; files without a class are left out."""
+    parent = F.regexp_extract(text, _EXTENDS_RE, 2)
+    return files.select(F.regexp_extract(text, _CLASS_RE, 1).alias("class"), F.when(parent != "", parent).alias("extends"),
+                        F.array_contains(F.regexp_extract_all(F.col(text), F.lit(_IMPORT_RE), 1), parent).alias("imported")).filter("class <> ''")
+
+
+def focal_methods(tests: DataFrame, names: DataFrame, files: DataFrame, id_col: str, class_col: str, text: str) -> DataFrame:
+    """The focal method of each test: P31, J16 and J8 in one plan.
+
+    ``files`` (one class each) give their methods with documentation (``methods.file_methods``) and their headers; ``tests``
+    (id, class under test) look up their invoked ``names`` (id, name, name_pos) there and then in the superclasses, nearest
+    first. (id, class, name, name_pos, depth, text, doc) of the tests with a match.
+    """
+    headers = class_headers(files, text)
+    own = files.select(F.regexp_extract(text, _CLASS_RE, 1).alias("class"), F.col(text).alias("_body")).filter("class <> ''")
+    decls = file_methods(own, "class", "_body").select(
+        "class", "name", "kind_order", F.col("member").alias("decl_pos"), F.col("method_text").alias("text"), F.col("docstring").alias("doc"))
+    start = tests.select(id_col, F.col(class_col).alias("class"))
+    above = start.join(superclass_chain(headers), "class").select(id_col, F.col("ancestor").alias("class"), "depth")
+    return first_match(names, start.withColumn("depth", F.lit(0)).unionByName(above), decls, id_col)

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import let
 from ..operators import lookup as LK
+from ..operators import methods as MT
+from ..sources import views as V
 from ..sources.tables import table
 from .registry import register
 
@@ -144,3 +146,53 @@ def superclass_walk(spark, sf_dir):
         .alias("extends"),
         (F.col("p_size") % 5 != 0).alias("imported"))
     return LK.superclass_chain(classes)
+
+
+_FOCAL_SQL = r"""
+WITH RECURSIVE sentences AS (
+  SELECT doc_id, list_filter(list_transform(regexp_split_to_array(lower(coalesce(text, '')), '[.\n]+'),
+                                            lambda x: array_to_string(regexp_extract_all(x, '[a-z]+'), '_')), lambda x: x <> '') AS names
+  FROM documents),
+files AS (
+  SELECT doc_id AS id, concat('package pkg;', chr(10), CASE WHEN doc_id % 5 <> 0 THEN concat('import pkg.K', doc_id // 2, ';', chr(10)) ELSE '' END,
+                              'public class K', doc_id, CASE WHEN doc_id > 0 THEN concat(' extends K', doc_id // 2) ELSE '' END, ' {', chr(10),
+                              array_to_string(list_transform(names, lambda x: concat('  /** { ', x, ' */', chr(10), '  public int ', x, '(int n) {', chr(10),
+                                                                                     '    return "}".length();', chr(10), '  }')), chr(10)), chr(10), '}') AS body
+  FROM sentences),""" + MT.scan_sql("files") + """,
+step AS (SELECT c.doc_id AS class, c.doc_id // 2 AS parent FROM documents c WHERE c.doc_id > 0 AND c.doc_id % 5 <> 0
+                                                                       AND EXISTS (SELECT 1 FROM documents p WHERE p.doc_id = c.doc_id // 2)),
+walk(class, ancestor, depth) AS (
+  SELECT class, parent, 1 FROM step UNION ALL SELECT w.class, s.parent, w.depth + 1 FROM walk w JOIN step s ON w.ancestor = s.class),
+tests AS (SELECT d.doc_id, CASE WHEN EXISTS (SELECT 1 FROM documents x WHERE x.doc_id = 2 * d.doc_id) THEN 2 * d.doc_id ELSE d.doc_id END AS class FROM documents d),
+places AS (SELECT doc_id, class, 0 AS depth FROM tests UNION ALL SELECT doc_id, ancestor, depth FROM tests JOIN walk USING (class)),
+called AS (SELECT doc_id, name, min(pos) AS pos FROM (SELECT doc_id, unnest(names) AS name, len(names) - unnest(generate_series(1, len(names))) AS pos FROM sentences)
+           GROUP BY doc_id, name),
+hits AS (SELECT c.doc_id, f.id AS class, c.name, c.pos, p.depth, f.i, f.t, f.doc FROM called c JOIN places p ON p.doc_id = c.doc_id
+         JOIN found f ON f.id = p.class AND f.name = c.name WHERE len(string_split(f.t, '@Test')) <= 2),
+best AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY pos, depth, i) = 1)
+SELECT d.doc_id, coalesce('K' || b.class, '') AS focal_class, coalesce(b.depth, -1) AS depth, coalesce(b.name, '') AS focal_name,
+       md5(coalesce(b.t, '')) AS method_md5, coalesce(b.doc, '') AS docstring
+FROM documents d LEFT JOIN best b USING (doc_id)"""
+
+
+@register("focal_method_lookup", _FOCAL_SQL)
+def focal_method_lookup(spark, sf_dir):
+    """P31 -> J16 -> J8: the methods of class files, looked up by each test's calls (last first) in its class and superclasses."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    k = lambda c: F.concat(F.lit("K"), c.cast("string"))
+    up = F.floor(F.col("doc_id") / 2)
+    s = d.select("doc_id", V.sentence_names(F.col("text")).alias("names"))
+    members = F.transform("names", lambda x: F.concat(F.lit("  /** { "), x, F.lit(" */\n  public int "), x, F.lit("(int n) {\n    return \"}\".length();\n  }")))
+    body = F.concat(F.lit("package pkg;\n"), F.when(F.col("doc_id") % 5 != 0, F.concat(F.lit("import pkg."), k(up), F.lit(";\n"))).otherwise(""),
+                    F.lit("public class "), k(F.col("doc_id")), F.when(F.col("doc_id") > 0, F.concat(F.lit(" extends "), k(up))).otherwise(""),
+                    F.lit(" {\n"), F.array_join(members, "\n"), F.lit("\n}"))
+    files = s.select(body.alias("body"))
+    names = s.select("doc_id", F.posexplode("names").alias("_p", "name"), F.size("names").alias("_n")).select(
+        "doc_id", "name", (F.col("_n") - 1 - F.col("_p")).alias("name_pos"))
+    twice = d.select((F.col("doc_id") / 2).alias("doc_id")).filter("doc_id = floor(doc_id)").select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(True).alias("_is"))
+    tests = d.select("doc_id").join(twice, "doc_id", "left").select(
+        "doc_id", k(F.when(F.col("_is"), 2 * F.col("doc_id")).otherwise(F.col("doc_id"))).alias("cls"))
+    best = LK.focal_methods(tests, names, files, "doc_id", "cls", "body")
+    return d.select("doc_id").join(best, "doc_id", "left").select(
+        "doc_id", F.coalesce("class", F.lit("")).alias("focal_class"), F.coalesce("depth", F.lit(-1)).alias("depth"),
+        F.coalesce("name", F.lit("")).alias("focal_name"), F.md5(F.coalesce("text", F.lit(""))).alias("method_md5"), F.coalesce("doc", F.lit("")).alias("docstring"))
