@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import time
 
 import duckdb
@@ -106,3 +107,20 @@ def test_focal_methods(spark):
     got = {r.id: (r["class"], r.name, r.depth, r.text, r.doc) for r in LK.focal_methods(tests, names, spark.createDataFrame(files, "body string"), "id", "cls", "body").collect()}
     assert got == {1: ("A", "f", 0, "  /** own */ int f() { return 1; }", "/** own */"), 2: ("Q", "h", 2, " void h() { }", ""),
                    3: ("A", "A", 0, "  A(int n) { }", ""), 6: ("Q", "h", 1, " void h() { }", "")}
+
+
+def test_first_match_in_rounds(spark):
+    """Equal to the one-pass lookup: long name lists, hits in every round, repeated names, no hit at all, null names, no rows."""
+    from verdict.operators import lookup as LK
+
+    rng = random.Random(5)
+    names = [(i, f"n{rng.randrange(400)}", p) for i in range(60) for p in range(rng.choice([0, 1, 3, 9, 70, 700]))] + [(99, "n1", 600), (98, "none", 0), (97, None, 0)]
+    classes = [(i, f"C{(i + k) % 9}", k) for i in [*range(60), 97, 98, 99] for k in range(3)]
+    decls = [(f"C{c}", f"n{n}", rng.randrange(2), p, f"text {c} {n}", "") for c in range(9) for p, n in enumerate(rng.sample(range(0, 2000), 40))] + [
+        ("C1", "n1", 1, 900, "t", "d"), ("C1", None, 1, 901, "t", "d")]
+    tables = [spark.createDataFrame(*x) for x in (
+        (names, "id int, name string, name_pos int"), (classes, "id int, class string, depth int"),
+        (decls, "class string, name string, kind_order int, decl_pos int, text string, doc string"))]
+    once = LK.first_match(*tables, "id").orderBy("id").collect()
+    assert LK.first_match_in_rounds(*tables, "id").orderBy("id").collect() == once and 10 < len(once) < 63
+    assert LK.first_match_in_rounds(tables[0].limit(0), *tables[1:], "id").collect() == []

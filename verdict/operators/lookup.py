@@ -9,6 +9,9 @@ superclass walk.
   equals an invoked name, by (name position, class depth, declaration order);
   names and declarations are reduced to their best occurrence first, so the
   join is bounded by distinct names, not by text length squared.
+* ``first_match_in_rounds`` (J8): the same where tests have many names and classes many
+  ancestors: the names of highest priority are looked up first, and only tests without a
+  match go on, so the names met by every ancestor are few.
 * ``superclass_chain`` (J16): follow ``extends`` while the parent is imported
   and exists; joins double the depth, cycles end.
 """
@@ -19,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.positions import group_positions
-from ..session import cut_lineage
+from ..session import cut_lineage, written
 from .methods import file_methods
 
 BOOL_TYPES = ("bool", "boolean")
@@ -88,6 +91,34 @@ def first_match(names: DataFrame, classes: DataFrame, decls: DataFrame, id_col:
     return best.select(id_col, "_b.*")
 
 
+def first_match_in_rounds(names: DataFrame, classes: DataFrame, decls: DataFrame, id_col: str) -> DataFrame:
+    """``first_match`` that stops a test at its first hit; same tables in, same rows out.
+
+    A round takes the positions of one length in octal (0, 1-7, 8-63, ...), so the longest list of n names takes log8(n) + 2
+    rounds. Names meet declarations by 64-bit hash inside a class, without texts; the texts join the one declaration
+    that each test has found. ``decls`` is read more than once: pass a written table.
+    """
+    digits = F.length(F.conv(F.col("name_pos").cast("string"), 10, 8))
+    rounds = written(names.filter("name IS NOT NULL").select(id_col, F.xxhash64("name").alias("_h"), "name_pos", F.when(F.col("name_pos") == 0, 0).otherwise(digits).alias("_round")),
+                     "invoked-names", by="_round")
+    places = written(classes.select(id_col, "class", "depth"), "places")
+    keyed = decls.filter("name IS NOT NULL").withColumn("_h", F.xxhash64("name"))
+    best = written(keyed.groupBy("class", "_h").agg(F.min(F.struct("kind_order", "decl_pos")).alias("_d")), "declared")
+    key = F.struct("name_pos", "depth", "_d", "class", "_h")
+    found = None
+    for r in range((rounds.agg(F.max("_round")).first()[0] or 0) + 1):
+        left = rounds.filter(F.col("_round") == r).drop("_round")
+        if found is not None:
+            left = left.join(found.select(id_col), id_col, "left_anti")
+        hits = cut_lineage(left.join(places, id_col).join(best, ["class", "_h"]).groupBy(id_col).agg(F.min(key).alias("_k")))
+        found = hits if found is None else found.unionByName(hits)
+    found = found.select(id_col, "_k.*").select(id_col, "class", "_h", "name_pos", "depth", F.col("_d.kind_order").alias("kind_order"),
+                                                F.col("_d.decl_pos").alias("decl_pos"))
+    # a class that several files declare may hold the key twice
+    return found.join(keyed, ["class", "_h", "kind_order", "decl_pos"]).groupBy(id_col).agg(
+        F.min(F.struct("class", "name", "name_pos", "depth", "text", "doc")).alias("_b")).select(id_col, "_b.*")
+
+
 def superclass_chain(classes: DataFrame) -> DataFrame:
     """(class, ancestor, depth) for depth >= 1 along ``extends`` while the parent is
     imported by the child and exists. ``classes``: (class, extends, imported bool).
@@ -131,10 +162,10 @@ def focal_methods(tests: DataFrame, names: DataFrame, files: DataFrame, id_col:
     (id, class under test) look up their invoked ``names`` (id, name, name_pos) there and then in the superclasses, nearest
     first. (id, class, name, name_pos, depth, text, doc) of the tests with a match.
     """
-    headers = class_headers(files, text)
+    headers = cut_lineage(class_headers(files, text))
     own = files.select(F.regexp_extract(text, _CLASS_RE, 1).alias("class"), F.col(text).alias("_body")).filter("class <> ''")
-    decls = file_methods(own, "class", "_body").select(
-        "class", "name", "kind_order", F.col("member").alias("decl_pos"), F.col("method_text").alias("text"), F.col("docstring").alias("doc"))
+    decls = written(file_methods(own, "class", "_body").select(
+        "class", "name", "kind_order", F.col("member").alias("decl_pos"), F.col("method_text").alias("text"), F.col("docstring").alias("doc")), "methods")
     start = tests.select(id_col, F.col(class_col).alias("class"))
     above = start.join(superclass_chain(headers), "class").select(id_col, F.col("ancestor").alias("class"), "depth")
-    return first_match(names, start.withColumn("depth", F.lit(0)).unionByName(above), decls, id_col)
+    return first_match_in_rounds(names, start.withColumn("depth", F.lit(0)).unionByName(above), decls, id_col)

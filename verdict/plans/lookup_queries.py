@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import let
 from ..operators import lookup as LK
 from ..operators import methods as MT
+from ..session import written
 from ..sources import views as V
 from ..sources.tables import table
 from .registry import register
@@ -181,7 +182,7 @@ def focal_method_lookup(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     k = lambda c: F.concat(F.lit("K"), c.cast("string"))
     up = F.floor(F.col("doc_id") / 2)
-    s = d.select("doc_id", V.sentence_names(F.col("text")).alias("names"))
+    s = written(d.select("doc_id", V.sentence_names(F.col("text")).alias("names")), "sentences")
     members = F.transform("names", lambda x: F.concat(F.lit("  /** { "), x, F.lit(" */\n  public int "), x, F.lit("(int n) {\n    return \"}\".length();\n  }")))
     body = F.concat(F.lit("package pkg;\n"), F.when(F.col("doc_id") % 5 != 0, F.concat(F.lit("import pkg."), k(up), F.lit(";\n"))).otherwise(""),
                     F.lit("public class "), k(F.col("doc_id")), F.when(F.col("doc_id") > 0, F.concat(F.lit(" extends "), k(up))).otherwise(""),

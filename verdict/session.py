@@ -77,9 +77,9 @@ def cut_lineage(df):
     return df.checkpoint(eager=True)
 
 
-def written(df, name: str):
-    """The rows as Parquet in the shared checkpoint folder, reread: smaller than a checkpoint, for tables read more than once.
-    The caller clears that folder."""
+def written(df, name: str, by: str | None = None):
+    """The rows as Parquet (zstd) in the shared checkpoint folder, reread: smaller than a checkpoint, for tables read more than
+    once. ``by``: a column of few values that gets a folder for each. The caller clears that folder."""
     path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
