@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions.positions import group_positions
 from ..session import cut_lineage, written
-from .methods import file_methods
+from .methods import method_offsets, sliced
 
 BOOL_TYPES = ("bool", "boolean")
 NUMERIC_TYPES = ("int", "float", "double")
@@ -91,32 +91,33 @@ def first_match(names: DataFrame, classes: DataFrame, decls: DataFrame, id_col:
     return best.select(id_col, "_b.*")
 
 
+#: First positions of the rounds of ``first_match_in_rounds``.
+ROUNDS = (0, 1)
+
+
 def first_match_in_rounds(names: DataFrame, classes: DataFrame, decls: DataFrame, id_col: str) -> DataFrame:
-    """``first_match`` that stops a test at its first hit; same tables in, same rows out.
+    """The declaration that ``first_match`` finds for each test, where a test stops at its first hit.
 
-    A round takes the positions of one length in octal (0, 1-7, 8-63, ...), so the longest list of n names takes log8(n) + 2
-    rounds. Names meet declarations by 64-bit hash inside a class, without texts; the texts join the one declaration
-    that each test has found. ``decls`` is read more than once: pass a written table.
+    names and classes as there; decls: (class, name, kind_order, decl_pos) and small columns of the caller's, which come back
+    with id, class, name_pos and depth. A round takes a range of positions (``ROUNDS``) of the tests that no earlier one has
+    settled, so few names meet all superclasses. Names meet declarations by a 64-bit hash of class and name. ``decls`` is read
+    in each round: pass a written table.
     """
-    digits = F.length(F.conv(F.col("name_pos").cast("string"), 10, 8))
-    rounds = written(names.filter("name IS NOT NULL").select(id_col, F.xxhash64("name").alias("_h"), "name_pos", F.when(F.col("name_pos") == 0, 0).otherwise(digits).alias("_round")),
+    begins = sum((F.when(F.col("name_pos") >= p, 1).otherwise(0) for p in ROUNDS[1:]), F.lit(0))
+    rounds = written(names.filter("name IS NOT NULL").select(id_col, F.xxhash64("name").alias("_h"), "name_pos", begins.alias("_round")),
                      "invoked-names", by="_round")
     places = written(classes.select(id_col, "class", "depth"), "places")
-    keyed = decls.filter("name IS NOT NULL").withColumn("_h", F.xxhash64("name"))
-    best = written(keyed.groupBy("class", "_h").agg(F.min(F.struct("kind_order", "decl_pos")).alias("_d")), "declared")
-    key = F.struct("name_pos", "depth", "_d", "class", "_h")
+    extra = [c for c in decls.columns if c not in ("class", "name", "kind_order", "decl_pos")]
+    keyed = decls.filter("name IS NOT NULL").select(F.xxhash64("class", F.xxhash64("name")).alias("_k"), "kind_order", "decl_pos", *extra)
+    key = F.struct("name_pos", "depth", "kind_order", "decl_pos", "class", *extra)
     found = None
-    for r in range((rounds.agg(F.max("_round")).first()[0] or 0) + 1):
+    for r in range(len(ROUNDS)):
         left = rounds.filter(F.col("_round") == r).drop("_round")
         if found is not None:
             left = left.join(found.select(id_col), id_col, "left_anti")
-        hits = cut_lineage(left.join(places, id_col).join(best, ["class", "_h"]).groupBy(id_col).agg(F.min(key).alias("_k")))
+        hits = written(left.join(places, id_col).withColumn("_k", F.xxhash64("class", "_h")).drop("_h").join(keyed, "_k").groupBy(id_col).agg(F.min(key).alias("_k")), "found")
         found = hits if found is None else found.unionByName(hits)
-    found = found.select(id_col, "_k.*").select(id_col, "class", "_h", "name_pos", "depth", F.col("_d.kind_order").alias("kind_order"),
-                                                F.col("_d.decl_pos").alias("decl_pos"))
-    # a class that several files declare may hold the key twice
-    return found.join(keyed, ["class", "_h", "kind_order", "decl_pos"]).groupBy(id_col).agg(
-        F.min(F.struct("class", "name", "name_pos", "depth", "text", "doc")).alias("_b")).select(id_col, "_b.*")
+    return found.select(id_col, "_k.*")
 
 
 def superclass_chain(classes: DataFrame) -> DataFrame:
@@ -128,16 +129,16 @@ def superclass_chain(classes: DataFrame) -> DataFrame:
     (class, ancestor) pair keeps its smallest depth, so a cycle ends when it closes.
     """
     exists = classes.select(F.col("class").alias("_parent")).distinct()
-    reach = cut_lineage(classes.filter(F.col("imported") & F.col("extends").isNotNull())
+    reach = written(classes.filter(F.col("imported") & F.col("extends").isNotNull())
                         .join(exists, F.col("extends") == F.col("_parent"), "left_semi")
-                        .select("class", F.col("extends").alias("ancestor"), F.lit(1).alias("depth")).distinct())
+                        .select("class", F.col("extends").alias("ancestor"), F.lit(1).alias("depth")).distinct(), "superclasses")
     known = 1
     while not (far := reach.filter(F.col("depth") == known)).isEmpty():
         f, r = far.alias("f"), reach.alias("r")
         more = f.join(r, F.col("f.ancestor") == F.col("r.class")).select(
             F.col("f.class").alias("class"), F.col("r.ancestor").alias("ancestor"),
             (F.col("f.depth") + F.col("r.depth")).alias("depth"))
-        reach = cut_lineage(reach.unionByName(more).groupBy("class", "ancestor").agg(F.min("depth").alias("depth")))
+        reach = written(reach.unionByName(more).groupBy("class", "ancestor").agg(F.min("depth").alias("depth")), "superclasses")
         known *= 2
     return reach
 
@@ -158,14 +159,21 @@ def class_headers(files: DataFrame, text: str) -> DataFrame:
 def focal_methods(tests: DataFrame, names: DataFrame, files: DataFrame, id_col: str, class_col: str, text: str) -> DataFrame:
     """The focal method of each test: P31, J16 and J8 in one plan.
 
-    ``files`` (one class each) give their methods with documentation (``methods.file_methods``) and their headers; ``tests``
-    (id, class under test) look up their invoked ``names`` (id, name, name_pos) there and then in the superclasses, nearest
-    first. (id, class, name, name_pos, depth, text, doc) of the tests with a match.
+    ``files`` (one class each) give the places of their methods and documentation (``methods.method_offsets``) and their
+    headers; ``tests`` (id, class under test) look up their invoked ``names`` (id, name, name_pos) there and then in the
+    superclasses, nearest first. Texts stay in the files until a test has found its method. (id, class, name, name_pos, depth,
+    text, doc) of the tests with a match.
     """
     headers = cut_lineage(class_headers(files, text))
-    own = files.select(F.regexp_extract(text, _CLASS_RE, 1).alias("class"), F.col(text).alias("_body")).filter("class <> ''")
-    decls = written(file_methods(own, "class", "_body").select(
-        "class", "name", "kind_order", F.col("member").alias("decl_pos"), F.col("method_text").alias("text"), F.col("docstring").alias("doc")), "methods")
+    own = files.select(F.struct(F.regexp_extract(text, _CLASS_RE, 1).alias("class"), F.xxhash64(text).alias("_file")).alias("_c"),
+                       F.col(text).alias("_body"))
+    decls = written(method_offsets(own, "_c", "_body").select("_c.*", "name", "kind_order", F.col("member").alias("decl_pos"), "span", "doc_span", "name_span",
+                                                                           F.when(F.col("name_span").isNull(), F.col("name")).alias("split_name"))
+                    .filter("class <> ''"), "methods")
     start = tests.select(id_col, F.col(class_col).alias("class"))
     above = start.join(superclass_chain(headers), "class").select(id_col, F.col("ancestor").alias("class"), "depth")
-    return first_match_in_rounds(names, start.withColumn("depth", F.lit(0)).unionByName(above), decls, id_col)
+    best = first_match_in_rounds(names, start.withColumn("depth", F.lit(0)).unionByName(above), decls, id_col)
+    bodies = files.select(F.xxhash64(text).alias("_file"), F.col(text).alias("_body")).dropDuplicates(["_file"])
+    return best.join(bodies, "_file").select(
+        id_col, "class", F.coalesce("split_name", sliced("_body", "name_span")).alias("name"), "name_pos", "depth",
+        sliced("_body", "span").alias("text"), sliced("_body", "doc_span").alias("doc"))

@@ -15,7 +15,7 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Lexical rules of the language, in the order in which they are tried; literals end at their line.
@@ -39,12 +39,17 @@ def _plain(m: re.Match) -> str:
 
 
 def scan(text: str, in_type: bool = True) -> list[tuple[str, str | None, int, int, str, str]]:
-    """(name, name of the type, start line, end line, text, documentation comment) of each method, in file order.
+    """(name, name of the type, start line, end line, text, documentation comment) of each method, in file order."""
+    return [(name, kind, first, last, text[lo:hi], text[a:b]) for name, kind, first, last, lo, hi, a, b in spans(text, in_type)]
+
+
+def spans(text: str, in_type: bool = True) -> list[tuple[str, str | None, int, int, int, int, int, int]]:
+    """(name, name of the type, start line, end line, start and end of its text, start and end of its comment) of each method.
 
     ``in_type``: the direct members of the first type of a file; else the methods of a fragment that are in no braces.
     Lines count from 0. A method that never closes is left out; one without a body is no method here."""
     line_ends = [m.start() for m in re.finditer("\n", text)]
-    depth, start, parts, doc, out = 0, 0, [], "", []  # start: after the last { } ; and parts: the header up to ``at``
+    depth, start, parts, doc, out = 0, 0, [], (0, 0), []  # start: after the last { } ; and parts: the header up to ``at``
     at, open_at, kind, type_end = 0, {}, None, None
     for m in _TOKEN.finditer(text):
         wanted = depth in ((0, 1) if in_type else (0,))
@@ -55,7 +60,7 @@ def scan(text: str, in_type: bool = True) -> list[tuple[str, str | None, int, in
             if wanted:
                 parts.append(_plain(m))
                 if m.lastgroup == "comment" and m.group().startswith("/**"):
-                    doc = m.group()
+                    doc = m.span()
             continue
         if m.group() == "{":
             header = "".join(parts) if wanted else ""
@@ -76,8 +81,8 @@ def scan(text: str, in_type: bool = True) -> list[tuple[str, str | None, int, in
                 type_end = True
             if depth in open_at:
                 name, first, lo, comment = open_at.pop(depth)
-                out.append((name, kind, first, bisect_left(line_ends, m.start()), text[lo:m.end()], comment))
-        start, parts, doc = m.end(), [], ""
+                out.append((name, kind, first, bisect_left(line_ends, m.start()), lo, m.end(), *comment))
+        start, parts, doc = m.end(), [], (0, 0)
     return out
 
 
@@ -109,6 +114,39 @@ def file_methods(df: DataFrame, id_col: str, text: str) -> DataFrame:
     return methods_of(df, id_col, text).filter(F.size(F.split("method_text", "@Test", -1)) <= 2)
 
 
+def _offsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["id", "kind_order", "member", "name", "span", "doc_span", "name_span"]
+    types = [None, pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+    for b in batches:
+        rows, size = [], 0
+        types[0] = b.schema.types[0]
+        for key, text in zip(b.column(0).to_pylist(), b.column(1)):
+            text = text.as_py() or ""
+            size += len(text)
+            for i, (name, kind, _, _, lo, hi, a, e) in enumerate(spans(text)):
+                if text.count("@Test", lo, hi) <= 1:
+                    at = text.find(name, lo, hi)
+                    rows.append((key, 0 if name == kind else 1, i, name, lo << 32 | hi, a << 32 | e, at << 32 | at + len(name) if at >= 0 else None))
+            if rows and size > 4 << 20:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+                rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+
+
+def method_offsets(df: DataFrame, id_col: str, text: str) -> DataFrame:
+    """(id, kind_order, member, name, span, doc_span, name_span) of the members that ``file_methods`` keeps, without their texts:
+    a span is start * 2**32 + end in characters of the file; ``sliced`` reads it. name_span is null for a name that a comment splits."""
+    schema = f"id {df.schema[id_col].dataType.simpleString()}, kind_order int, member int, name string, span long, doc_span long, name_span long"
+    return df.select(F.col(id_col), F.col(text)).mapInArrow(_offsets, schema).withColumnRenamed("id", id_col)
+
+
+def sliced(text: str, span: str) -> Column:
+    """The part of ``text`` that a span names."""
+    start = F.shiftright(span, 32).cast("int")
+    return F.substring(text, start + 1, F.col(span).bitwiseAND(F.lit(0xFFFFFFFF)).cast("int") - start)
+
+
 def scan_sql(source: str, in_type: bool = True) -> str:
     """The same scan as DuckDB CTEs over ``source`` (id, body): ``found`` (id, name, cls, s, e, t, doc) of every method.
 
