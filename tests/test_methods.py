@@ -108,6 +108,9 @@ def test_focal_methods(spark):
     got = {r.id: (r["class"], r.name, r.depth, r.text, r.doc) for r in LK.focal_methods(tests, names, spark.createDataFrame(files, "body string"), "id", "cls", "body").collect()}
     assert got == {1: ("A", "f", 0, "  /** own */ int f() { return 1; }", "/** own */"), 2: ("Q", "h", 2, " void h() { }", ""),
                    3: ("A", "A", 0, "  A(int n) { }", ""), 6: ("Q", "h", 1, " void h() { }", "")}
+    # repeated rows of files and names, a name declared twice: the same result
+    again = LK.focal_methods(tests, names.unionByName(names.withColumn("name_pos", F.col("name_pos") + 5)), spark.createDataFrame(files * 3, "body string"), "id", "cls", "body")
+    assert {r.id: (r["class"], r.name, r.depth, r.text, r.doc) for r in again.collect()} == got
 
 
 def test_first_match_in_rounds(spark):
@@ -117,7 +120,7 @@ def test_first_match_in_rounds(spark):
     rng = random.Random(5)
     names = [(i, f"n{rng.randrange(400)}", p) for i in range(60) for p in range(rng.choice([0, 1, 3, 9, 70, 700]))] + [(99, "n1", 600), (98, "none", 0), (97, None, 0)]
     classes = [(i, f"C{(i + k) % 9}", k) for i in [*range(60), 97, 98, 99] for k in range(3)]
-    decls = [(f"C{c}", f"n{n}", rng.randrange(2), p, f"text {c} {n}", "") for c in range(9) for p, n in enumerate(rng.sample(range(0, 2000), 40))] + [
+    decls = [(f"C{c}", f"n{n}", rng.randrange(2), p, f"text {c} {n}", "") for c in range(9) for p, n in enumerate(rng.sample(range(2, 2000), 40))] + [
         ("C1", "n1", 1, 900, "t", "d"), ("C1", None, 1, 901, "t", "d")]
     tables = [spark.createDataFrame(*x) for x in (
         (names, "id int, name string, name_pos int"), (classes, "id int, class string, depth int"),
@@ -135,6 +138,7 @@ def test_offsets_are_the_methods(spark):
     df = spark.createDataFrame(files, "id string, body string")
     cut = MT.method_offsets(df, "id", "body").join(df, "id").select(
         "id", "kind_order", "member", F.coalesce(MT.sliced("body", "name_span"), "name").alias("name"), "name", MT.sliced("body", "span").alias("text"), MT.sliced("body", "doc_span").alias("doc"))
-    whole = MT.file_methods(df, "id", "body").select("id", "kind_order", "member", "name", "name", "method_text", "docstring")
+    first = MT.file_methods(df, "id", "body").groupBy("id", "name").agg(F.min(F.struct("member", "kind_order", "method_text", "docstring")).alias("m"))
+    whole = first.select("id", "name", "m.*").select("id", "kind_order", "member", "name", "name", "method_text", "docstring")
     rows = sorted(map(tuple, cut.collect()))
     assert rows == sorted(map(tuple, whole.collect())) and any(r[0] == "wide" and r[3] == "hi" for r in rows)

@@ -98,23 +98,24 @@ ROUNDS = (0, 1)
 def first_match_in_rounds(names: DataFrame, classes: DataFrame, decls: DataFrame, id_col: str) -> DataFrame:
     """The declaration that ``first_match`` finds for each test, where a test stops at its first hit.
 
-    names and classes as there; decls: (class, name, kind_order, decl_pos) and small columns of the caller's, which come back
-    with id, class, name_pos and depth. A round takes a range of positions (``ROUNDS``) of the tests that no earlier one has
+    names and classes as there; decls: (class, name, kind_order, decl_pos), each name once a class. Small columns of the
+    caller's in classes and decls come back with id, class, name_pos and depth. A round takes a range of positions (``ROUNDS``) of the tests that no earlier one has
     settled, so few names meet all superclasses. Names meet declarations by a 64-bit hash of class and name. ``decls`` is read
     in each round: pass a written table.
     """
     begins = sum((F.when(F.col("name_pos") >= p, 1).otherwise(0) for p in ROUNDS[1:]), F.lit(0))
     rounds = written(names.filter("name IS NOT NULL").select(id_col, F.xxhash64("name").alias("_h"), "name_pos", begins.alias("_round")),
                      "invoked-names", by="_round")
-    places = written(classes.select(id_col, "class", "depth"), "places")
-    extra = [c for c in decls.columns if c not in ("class", "name", "kind_order", "decl_pos")]
-    keyed = decls.filter("name IS NOT NULL").select(F.xxhash64("class", F.xxhash64("name")).alias("_k"), "kind_order", "decl_pos", *extra)
-    key = F.struct("name_pos", "depth", "kind_order", "decl_pos", "class", *extra)
+    places = written(classes, "places")
+    extra = [c for c in classes.columns if c not in (id_col, "class", "depth")]
+    given = [c for c in decls.columns if c not in ("class", "name", "kind_order", "decl_pos")]
+    keyed = decls.filter("name IS NOT NULL").select(F.xxhash64("class", F.xxhash64("name")).alias("_k"), "kind_order", "decl_pos", *given)
+    key = F.struct("name_pos", "depth", "kind_order", "decl_pos", "class", *extra, *given)
     found = None
     for r in range(len(ROUNDS)):
         left = rounds.filter(F.col("_round") == r).drop("_round")
         if found is not None:
-            left = left.join(found.select(id_col), id_col, "left_anti")
+            left = left.join(found.select(id_col), id_col, "left_anti").groupBy(id_col, "_h").agg(F.min("name_pos").alias("name_pos"))
         hits = written(left.join(places, id_col).withColumn("_k", F.xxhash64("class", "_h")).drop("_h").join(keyed, "_k").groupBy(id_col).agg(F.min(key).alias("_k")), "found")
         found = hits if found is None else found.unionByName(hits)
     return found.select(id_col, "_k.*")
@@ -150,10 +151,10 @@ _IMPORT_RE = r"(?m)^\s*import\s+(?:static\s+)?[\w.$]*?([\w$]+)\s*;"
 
 
 def class_headers(files: DataFrame, text: str) -> DataFrame:
-    """(class, extends, imported) of the first class of each file; files without a class are left out."""
+    """(class, extends, imported, file) of the first class of each file; files without a class are left out. file: hash of the text."""
     parent = F.regexp_extract(text, _EXTENDS_RE, 2)
     return files.select(F.regexp_extract(text, _CLASS_RE, 1).alias("class"), F.when(parent != "", parent).alias("extends"),
-                        F.array_contains(F.regexp_extract_all(F.col(text), F.lit(_IMPORT_RE), 1), parent).alias("imported")).filter("class <> ''")
+                        F.array_contains(F.regexp_extract_all(F.col(text), F.lit(_IMPORT_RE), 1), parent).alias("imported"), F.xxhash64(text).alias("file")).filter("class <> ''")
 
 
 def focal_methods(tests: DataFrame, names: DataFrame, files: DataFrame, id_col: str, class_col: str, text: str) -> DataFrame:
@@ -161,19 +162,22 @@ def focal_methods(tests: DataFrame, names: DataFrame, files: DataFrame, id_col:
 
     ``files`` (one class each) give the places of their methods and documentation (``methods.method_offsets``) and their
     headers; ``tests`` (id, class under test) look up their invoked ``names`` (id, name, name_pos) there and then in the
-    superclasses, nearest first. Texts stay in the files until a test has found its method. (id, class, name, name_pos, depth,
+    superclasses, nearest first. A class that several files declare is the one of smallest hash. Texts stay in the files until a test has found its method. (id, class, name, name_pos, depth,
     text, doc) of the tests with a match.
     """
-    headers = cut_lineage(class_headers(files, text))
-    own = files.select(F.struct(F.regexp_extract(text, _CLASS_RE, 1).alias("class"), F.xxhash64(text).alias("_file")).alias("_c"),
-                       F.col(text).alias("_body"))
-    decls = written(method_offsets(own, "_c", "_body").select("_c.*", "name", "kind_order", F.col("member").alias("decl_pos"), "span", "doc_span", "name_span",
-                                                                           F.when(F.col("name_span").isNull(), F.col("name")).alias("split_name"))
-                    .filter("class <> ''"), "methods")
+    every = cut_lineage(class_headers(files, text))
+    rows, different = every.agg(F.count(F.lit(1)), F.countDistinct("file")).first()
+    if rows > different:  # repeated rows: each text counts once
+        files = files.withColumn("_file", F.xxhash64(text)).dropDuplicates(["_file"]).drop("_file")
+    headers = every.groupBy("class").agg(F.min(F.struct("file", "extends", "imported")).alias("f")).select("class", "f.*")
+    own = files.select(F.xxhash64(text).alias("file"), F.col(text).alias("_body"))
+    decls = written(method_offsets(own, "file", "_body").select(
+        F.col("file").alias("class"), "name", "kind_order", F.col("member").alias("decl_pos"), "span", "doc_span", "name_span",
+        F.when(F.col("name_span").isNull(), F.col("name")).alias("split_name")), "methods")
     start = tests.select(id_col, F.col(class_col).alias("class"))
     above = start.join(superclass_chain(headers), "class").select(id_col, F.col("ancestor").alias("class"), "depth")
-    best = first_match_in_rounds(names, start.withColumn("depth", F.lit(0)).unionByName(above), decls, id_col)
-    bodies = files.select(F.xxhash64(text).alias("_file"), F.col(text).alias("_body")).dropDuplicates(["_file"])
-    return best.join(bodies, "_file").select(
-        id_col, "class", F.coalesce("split_name", sliced("_body", "name_span")).alias("name"), "name_pos", "depth",
-        sliced("_body", "span").alias("text"), sliced("_body", "doc_span").alias("doc"))
+    places = start.withColumn("depth", F.lit(0)).unionByName(above).join(headers.select("class", "file"), "class")
+    best = first_match_in_rounds(names, places.select(id_col, F.col("file").alias("class"), "depth", F.col("class").alias("_name")), decls, id_col)
+    found = best.join(own.withColumnRenamed("file", "class"), "class")
+    return found.select(id_col, F.col("_name").alias("class"), F.coalesce("split_name", sliced("_body", "name_span")).alias("name"),
+                        "name_pos", "depth", sliced("_body", "span").alias("text"), sliced("_body", "doc_span").alias("doc"))

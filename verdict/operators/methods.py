@@ -33,9 +33,9 @@ _TOKEN = re.compile(f"(?P<comment>{COMMENT})|(?P<literal>{LITERAL})|[{{{{}}}};]"
 _BEFORE, _CONSTRUCTOR, _METHOD, _TYPE = (re.compile(p, re.ASCII) for p in (BEFORE_TYPE, CONSTRUCTOR, METHOD, TYPE))
 
 
-def _plain(m: re.Match) -> str:
+def _plain(what: str, token: str) -> str:
     """What a header keeps of a token: line ends, and a pair of quotes for a literal."""
-    return ('""' if m.lastgroup == "literal" else "") + "\n" * m.group().count("\n")
+    return ('""' if what == "literal" else "") + "\n" * token.count("\n")
 
 
 def scan(text: str, in_type: bool = True) -> list[tuple[str, str | None, int, int, str, str]]:
@@ -49,40 +49,48 @@ def spans(text: str, in_type: bool = True) -> list[tuple[str, str | None, int, i
     ``in_type``: the direct members of the first type of a file; else the methods of a fragment that are in no braces.
     Lines count from 0. A method that never closes is left out; one without a body is no method here."""
     line_ends = [m.start() for m in re.finditer("\n", text)]
+    levels = 2 if in_type else 1  # depths below it have headers that matter
     depth, start, parts, doc, out = 0, 0, [], (0, 0), []  # start: after the last { } ; and parts: the header up to ``at``
     at, open_at, kind, type_end = 0, {}, None, None
     for m in _TOKEN.finditer(text):
-        wanted = depth in ((0, 1) if in_type else (0,))
-        if wanted:
-            parts.append(text[at:m.start()])
-        at = m.end()
-        if m.lastgroup:
-            if wanted:
-                parts.append(_plain(m))
-                if m.lastgroup == "comment" and m.group().startswith("/**"):
-                    doc = m.span()
+        lo, hi = m.span()
+        what = m.lastgroup
+        if depth < levels and depth >= 0:
+            if at < lo:
+                parts.append(text[at:lo])
+            if what:
+                token = m.group()
+                parts.append(_plain(what, token))
+                if token.startswith("/**"):
+                    doc = (lo, hi)
+        at = hi
+        if what:
             continue
-        if m.group() == "{":
-            header = "".join(parts) if wanted else ""
-            if in_type and depth == 0 and kind is None and (t := _TYPE.search(header)):
+        brace = text[lo]
+        if brace == "{":
+            if in_type and depth == 0 and kind is None and (t := _TYPE.search("".join(parts))):
                 kind = t.group(1)
                 type_end = False
-            elif wanted and (depth == 1 and type_end is False if in_type else True):
+            elif (depth == 1 and type_end is False) if in_type else depth == 0:
+                header = "".join(parts)
                 skip = _BEFORE.match(header).end()
-                c, d = _CONSTRUCTOR.match(header[skip:]), _METHOD.match(header[skip:])
+                rest = header[skip:]
+                d = _METHOD.match(rest)
+                c = None if d else _CONSTRUCTOR.match(rest)
                 name = d.group(1) if d else c.group(1) if c and c.group(1) == kind else None
                 if name:
-                    first = bisect_left(line_ends, start) + header[:skip].count("\n")
+                    first = bisect_left(line_ends, start) + header.count("\n", 0, skip)
                     open_at[depth] = (name, first, max(start, line_ends[first - 1] + 1 if first else 0), doc)
             depth += 1
-        elif m.group() == "}":
+        elif brace == "}":
             depth -= 1
             if depth == 0 and type_end is False:
                 type_end = True
             if depth in open_at:
-                name, first, lo, comment = open_at.pop(depth)
-                out.append((name, kind, first, bisect_left(line_ends, m.start()), lo, m.end(), *comment))
-        start, parts, doc = m.end(), [], (0, 0)
+                name, first, begin, comment = open_at.pop(depth)
+                out.append((name, kind, first, bisect_left(line_ends, lo), begin, hi, *comment))
+        start, doc = hi, (0, 0)
+        parts.clear()
     return out
 
 
@@ -123,8 +131,10 @@ def _offsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, text in zip(b.column(0).to_pylist(), b.column(1)):
             text = text.as_py() or ""
             size += len(text)
+            seen = set()
             for i, (name, kind, _, _, lo, hi, a, e) in enumerate(spans(text)):
-                if text.count("@Test", lo, hi) <= 1:
+                if name not in seen and text.count("@Test", lo, hi) <= 1:
+                    seen.add(name)
                     at = text.find(name, lo, hi)
                     rows.append((key, 0 if name == kind else 1, i, name, lo << 32 | hi, a << 32 | e, at << 32 | at + len(name) if at >= 0 else None))
             if rows and size > 4 << 20:
@@ -135,8 +145,8 @@ def _offsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def method_offsets(df: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(id, kind_order, member, name, span, doc_span, name_span) of the members that ``file_methods`` keeps, without their texts:
-    a span is start * 2**32 + end in characters of the file; ``sliced`` reads it. name_span is null for a name that a comment splits."""
+    """(id, kind_order, member, name, span, doc_span, name_span) of the first member of each name that ``file_methods`` keeps, without
+    their texts: a span is start * 2**32 + end in characters of the file; ``sliced`` reads it. name_span is null for a name that a comment splits."""
     schema = f"id {df.schema[id_col].dataType.simpleString()}, kind_order int, member int, name string, span long, doc_span long, name_span long"
     return df.select(F.col(id_col), F.col(text)).mapInArrow(_offsets, schema).withColumnRenamed("id", id_col)
 
