@@ -149,6 +149,28 @@ def test_isolation_draws_over_the_whole_bug(spark):
         assert len(set(plain.tolist())) > 100
 
 
+def test_forests_travel_packed():
+    """Features, splits, children and leaf paths come back from the packed form; two trees, one of them a single leaf."""
+    x = np.random.default_rng(5).normal(size=(41, 3))
+    nodes = OUT.grow_forest(x, np.repeat([0, 1], [40, 1]), 9)
+    feature, split, left, path = OUT.unpack_forest(OUT.pack_forest(nodes), 2)
+    order = np.argsort(nodes["node"])
+    inner = feature >= 0
+    assert inner.any() and not inner[1]
+    assert (feature == nodes["feature"][order]).all() and (left == nodes["left"][order]).all()
+    assert (left[inner] + 1 == nodes["right"][order][inner]).all() and (split == nodes["split"][order]).all()
+    assert (path[~inner] == (nodes["depth"] + OUT.avg_path_length(nodes["size"]))[order][~inner].astype("f4")).all()
+
+
+def test_isolation_repeated_ids(spark):
+    """Rows that share an id are scored one by one: one row out per row and seed; an empty table gives no rows."""
+    rows = [("p", None if i % 2 else 1, i % 10, float(i)) for i in range(40)]
+    df = spark.createDataFrame(rows, "project string, bug_num long, row_idx long, a double")
+    got = OUT.isolation_scores(df, ["project", "bug_num"], "row_idx", ["a"], seeds=[0, 1], n_trees=4)
+    assert got.count() == 80 and got.filter("bug_num is null").count() == 40
+    assert OUT.isolation_scores(df.limit(0), ["project", "bug_num"], "row_idx", ["a"], seeds=[0], n_trees=4).count() == 0
+
+
 def test_priorities_are_uniform():
     """Shares of rows below a quarter, and no two trees or seeds alike."""
     h = np.random.default_rng(3).integers(-2 ** 62, 2 ** 62, 20_000)

@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import col_, py_strip
+from .lines import lone_lines
+from .similarity import test_doc_similarity
 
 BUG = ("project", "bug_num")
 
@@ -88,9 +90,10 @@ def counts_over(df: DataFrame, specs: Sequence[tuple[Sequence[str], str, Column
     No window: a (bug, value) that holds a third of the rows is one row per map task in the
     aggregate, and adaptive execution broadcasts the count table or splits the hot key.
     """
+    rows = df  # every count reads the rows as given, not the joins of the counts before
     for keys, out, where in specs:
         n = F.count(F.lit(1)) if where is None else F.count_if(where)
-        counts = df.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(n.cast("long").alias(out))
+        counts = rows.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(n.cast("long").alias(out))
         same = F.lit(True)
         for k in keys:
             same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
@@ -155,7 +158,8 @@ def _derive(df: DataFrame, name: str, have: set[str], pending: list, after: list
         after.append((name, F.when(F.col("not_rare_e"), F.lit(0).cast("long")).otherwise(F.col("_rare_n")), "_rare_n"))
     elif name == "focal_rare_e_count":
         df = need("not_rare_e", "trace_exception_name")
-        pending.append(([*BUG, "focal_method", "trace_exception_name"], name, ~F.col("not_rare_e")))
+        df = df.withColumn("_focal", F.md5("focal_method"))  # a digest travels in place of the method
+        pending.append(([*BUG, "_focal", "trace_exception_name"], name, ~F.col("not_rare_e")))
     elif name == "focal_name":
         df = df.withColumn(name, method_name("focal_method"))
     elif name == "focal_name_count":
@@ -166,12 +170,8 @@ def _derive(df: DataFrame, name: str, have: set[str], pending: list, after: list
     elif name == "test_prefix_exception":
         df = need("prefix_e_names")
         df = df.withColumn(name, F.size("prefix_e_names") > 0)
-    elif name == "distinct_line":
-        from .lines import distinct_line_counts
-        df = distinct_line_counts(df, BUG, "row_idx", "generated_test", name)
-    elif name == "test_doc_sim":
-        from .similarity import test_doc_similarity
-        df = test_doc_similarity(df, BUG, "row_idx", name)
+    elif name in ("distinct_line", "test_doc_sim"):
+        pass  # reads other rows' texts: added by add_features
     else:
         raise ValueError(f"unknown feature {name!r}")
     have.add(name)
@@ -186,7 +186,7 @@ def add_features(df: DataFrame, names: Sequence[str] = FEATURE_NAMES, keep: Sequ
     for n in names:
         if n.endswith("_type") or n.endswith("_name"):
             raise ValueError(f"feature {n!r} is not numeric")
-    original = list(df.columns)
+    original, given = list(df.columns), df
     # the prediction columns become flags before any feature reads them
     df = df.withColumn("assert_pred", py_strip(F.col("assert_pred")) != "")
     df = df.withColumn("except_pred", F.col("except_pred").cast("boolean"))
@@ -199,6 +199,12 @@ def add_features(df: DataFrame, names: Sequence[str] = FEATURE_NAMES, keep: Sequ
     df = counts_over(df, pending)
     for out, expr, tmp in after:
         df = df.withColumn(out, expr).drop(tmp)
+    # features that need the texts of other rows are found on the rows as given and joined last: what
+    # travels through the joins is what the caller reads
+    if "distinct_line" in names:
+        df = df.join(lone_lines(given, BUG, "row_idx", "generated_test", "distinct_line"), [*BUG, "row_idx"], "left").fillna(0, ["distinct_line"])
+    if "test_doc_sim" in names:
+        df = test_doc_similarity(given, BUG, "row_idx", "test_doc_sim", onto=df)
     extra = [n for n in keep if n in have and n not in names and n not in original]
     return df.select(*original, *[F.col(n) for n in names if n not in original], *extra)
 

@@ -1,6 +1,6 @@
 """Line-level operators over code texts.
 
-* ``distinct_line_counts`` (W7): lines of a test that no other test of the bug has.
+* ``distinct_line_counts``, ``lone_lines`` (W7): lines of a test that no other test of the bug has.
 * ``marker_split`` (W3): one split test per marker line (earlier plain lines + it + '}').
 * ``method_spans`` (W6) and ``repair_files`` (J12): drop every method whose line
   span holds a failing line, a range anti-join on (file, line in [start, end)) by a sweep.
@@ -38,12 +38,16 @@ def test_line_set(text: Column | str) -> Column:
     return F.array_distinct(body)
 
 
+def lone_lines(df: DataFrame, group: Sequence[str], id_col: str, text: str, out: str) -> DataFrame:
+    """(group..., id, ``out``) of the tests with lines found in no other test of their group; lines meet by their MD5 digest."""
+    exploded = df.select(*group, id_col, F.explode(F.transform(test_line_set(text), lambda x: F.unhex(F.md5(x)))).alias("_line"))
+    per_line = exploded.groupBy(*group, "_line").agg(F.count(F.lit(1)).alias("_n"), F.min(id_col).alias(id_col))
+    return per_line.filter(F.col("_n") == 1).groupBy(*group, id_col).agg(F.count(F.lit(1)).cast("int").alias(out))
+
+
 def distinct_line_counts(df: DataFrame, group: Sequence[str], id_col: str, text: str, out: str) -> DataFrame:
     """Add ``out`` = number of lines of the test found in no other test of its group."""
-    exploded = df.select(*group, id_col, F.explode(test_line_set(text)).alias("_line"))
-    per_line = exploded.groupBy(*group, "_line").agg(F.count(F.lit(1)).alias("_n"), F.min(id_col).alias(id_col))
-    uniq = per_line.filter(F.col("_n") == 1).groupBy(*group, id_col).agg(F.count(F.lit(1)).cast("int").alias(out))
-    return df.join(uniq, [*group, id_col], "left").fillna(0, [out])
+    return df.join(lone_lines(df, group, id_col, text, out), [*group, id_col], "left").fillna(0, [out])
 
 
 #: Text of the splits sent on at once.

@@ -5,9 +5,10 @@ MLlib has no isolation forest, so it is built from Spark stages, one path for al
 1. draw: each tree of each seed draws its at most 256 rows without replacement over all rows of
    the group, as in the library: the 256 rows of smallest priority, a hash of (row, seed, tree). Bottom-k
    samples merge, so a task keeps only rows that some tree may draw (priority below a limit that the
-   group's size gives), and no row has to know its position. Each goes on once per (group, seed).
+   group's size gives), and no row has to know its position. Each goes on once per (group, seed), without its priorities,
+   which follow from its hash.
 2. grow: one grouped call per (group, seed) sees its candidates (some trees x 400), cuts them to the
-   256 smallest of each tree and returns the node table of all trees, packed (17 bytes a node): random feature, uniform
+   256 smallest of each tree and returns the node table of all trees, packed (about 5 bytes a node): random feature, uniform
    split, depth limit ceil(log2 psi), level by level with NumPy.
 3. score: rows are dealt into blocks of ``BLOCK_ROWS``; a block meets its group's forests and
    walks them in small chunks. Score = 2 ** (-E[h] / c(psi)).
@@ -118,22 +119,35 @@ def grow_forest(x: np.ndarray, tree: np.ndarray, seed: int) -> dict[str, np.ndar
     return {k: np.concatenate(v) for k, v in out.items()}
 
 
-NODE = np.dtype([("feature", "i1"), ("split", "<f8"), ("left", "<i4"), ("path", "<f4")])
-
-
 def pack_forest(nodes: dict[str, np.ndarray]) -> bytes:
-    """Nodes in id order: feature (-1 leaf), split, left child (the right one follows it), path length of a leaf."""
+    """Nodes in id order, compressed: their number, features (-1 leaf), splits of the inner nodes, path lengths of the leaves.
+    The children aren't stored: inner nodes in id order have the pairs of ids that follow the roots."""
     order = np.argsort(nodes["node"])
-    out = np.zeros(len(order), NODE)
-    out["feature"], out["split"], out["left"] = (nodes[k][order] for k in ("feature", "split", "left"))
-    out["path"] = (nodes["depth"] + avg_path_length(nodes["size"]))[order]
-    return out.tobytes()
+    feature = nodes["feature"][order]
+    leaf = feature < 0
+    path = (nodes["depth"] + avg_path_length(nodes["size"]))[order]
+    parts = (np.array([len(order)], "<i4"), feature.astype("i1"), nodes["split"][order][~leaf].astype("<f8"), path[leaf].astype("<f4"))
+    return zlib.compress(b"".join(p.tobytes() for p in parts), 1)
+
+
+def unpack_forest(packed: bytes, n_trees: int) -> tuple[np.ndarray, ...]:
+    """(feature, split, left child, path length) of every node; the right child follows the left one, the roots are the first nodes."""
+    raw = zlib.decompress(packed)
+    n = int(np.frombuffer(raw, "<i4", 1)[0])
+    feature = np.frombuffer(raw, "i1", n, 4)
+    inner = feature >= 0
+    m = int(inner.sum())
+    split, left, path = np.zeros(n), np.full(n, -1, np.int64), np.zeros(n, np.float32)
+    split[inner] = np.frombuffer(raw, "<f8", m, 4 + n)
+    path[~inner] = np.frombuffer(raw, "<f4", n - m, 4 + n + 8 * m)
+    left[inner] = n_trees + 2 * np.arange(m)
+    return feature, split, left, path
 
 
 def mean_path(x: np.ndarray, packed: bytes, n_trees: int) -> np.ndarray:
-    """Mean path length of every row over all trees; the first ``n_trees`` nodes are the roots."""
-    nodes, out = np.frombuffer(packed, NODE), np.empty(len(x))
-    feature, split, left = (np.ascontiguousarray(nodes[k]) for k in ("feature", "split", "left"))
+    """Mean path length of every row over all trees."""
+    feature, split, left, path = unpack_forest(packed, n_trees)
+    out = np.empty(len(x))
     for s in range(0, len(x), CHUNK_ROWS):
         part = x[s:s + CHUNK_ROWS]
         at = np.repeat(np.arange(n_trees), len(part))
@@ -143,7 +157,7 @@ def mean_path(x: np.ndarray, packed: bytes, n_trees: int) -> np.ndarray:
             cur = at[open_]
             at[open_] = left[cur] + (part[row[open_], feature[cur]] >= split[cur])
             open_ = open_[feature[at[open_]] >= 0]
-        out[s:s + CHUNK_ROWS] = nodes["path"][at].astype(float).reshape(n_trees, len(part)).mean(axis=0)
+        out[s:s + CHUNK_ROWS] = path[at].astype(float).reshape(n_trees, len(part)).mean(axis=0)
     return out
 
 
@@ -162,48 +176,46 @@ def sample_limit(n: np.ndarray, k: int) -> np.ndarray:
     return np.where(n <= k, 2.0 ** 64, share * 2.0 ** 64)
 
 
-def _candidates(features: Sequence[str], seeds: Sequence[int], n_trees: int, k: int):
-    """Rows that some tree of a seed may draw, once per (row, seed), with those trees and the priorities there;
-    in a group of at most k rows every tree takes every row, so the list stays empty."""
+def _candidates(seeds: Sequence[int], n_trees: int, k: int):
+    """Rows that some tree of a seed may draw, once per (row, seed); in a group of at most k rows every tree takes every row.
+    The priorities aren't sent: they follow from the row's hash."""
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         trees = np.arange(n_trees)
         for part in parts:
             for lo in range(0, len(part), CHUNK_ROWS):
                 rows = part.iloc[lo:lo + CHUNK_ROWS]
                 n, h = rows["_n"].to_numpy(), rows["_h"].to_numpy()
+                limit = sample_limit(n, k)[:, None]
                 for seed in seeds:
-                    u = priorities(h, seed, trees)
-                    near = (u < sample_limit(n, k)[:, None]) & (n > k)[:, None]
-                    taken = np.flatnonzero(near.any(axis=1) | (n <= k))
+                    taken = np.flatnonzero((priorities(h, seed, trees) < limit).any(axis=1) | (n <= k))
                     if len(taken):
-                        out = rows.iloc[taken].drop(columns="_n")
+                        out = rows.iloc[taken].copy()
                         out.insert(0, "seed", seed)
-                        out["_trees"] = [np.flatnonzero(near[i]).astype("<u2").tobytes() for i in taken]
-                        out["_u"] = [u[i][near[i]].astype("<u8").tobytes() for i in taken]
                         yield out
     return run
 
 
-def draw(h: np.ndarray, trees: Sequence[bytes], u: Sequence[bytes], n_trees: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, tree) of the k rows of smallest priority of each tree, sorted by tree: the merge of bottom-k samples."""
-    if not any(len(t) for t in trees):
+def draw(h: np.ndarray, seed: int, n_trees: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, tree) of the k rows of smallest priority of each tree, sorted by tree; every row where there are at most k."""
+    if len(h) <= k:
         order = np.argsort(h, kind="stable")
         return np.tile(order, n_trees), np.repeat(np.arange(n_trees), len(order))
-    row = np.repeat(np.arange(len(h)), [len(t) // 2 for t in trees])
-    tree, first = np.frombuffer(b"".join(trees), "<u2").astype(np.int64), np.frombuffer(b"".join(u), "<u8")
-    order = np.lexsort((h[row], first, tree))
-    row, tree = row[order], tree[order]
-    place = np.arange(len(tree)) - np.searchsorted(tree, tree)
-    return row[place < k], tree[place < k]
+    picks = []
+    for t in range(n_trees):
+        u = priorities(h, seed, np.array([t]))[:, 0]
+        near = np.flatnonzero(u <= np.partition(u, k - 1)[k - 1])
+        picks.append(near[np.lexsort((h[near], u[near]))][:k])
+    return np.concatenate(picks), np.repeat(np.arange(n_trees), k)
 
 
-def _grow(features: Sequence[str], n_trees: int, max_samples: int):
+def _grow(features: Sequence[str], n_trees: int, max_samples: int, block_rows: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         g, seed, h = rows["_g"].iloc[0], int(rows["seed"].iloc[0]), rows["_h"].to_numpy()
-        row, tree = draw(h, rows["_trees"].tolist(), rows["_u"].tolist(), n_trees, max_samples)
+        row, tree = draw(h, seed, n_trees, max_samples)
         growth = int(np.random.default_rng([seed, zlib.crc32(g.encode())]).integers(2 ** 62))
         nodes = grow_forest(rows[list(features)].to_numpy(dtype=float)[row], tree, growth)
-        return pd.DataFrame([(g, seed, int(np.bincount(tree).max()), pack_forest(nodes))], columns=["_g", "seed", "_psi", "forest"])
+        k = -(-int(rows["_n"].iloc[0]) // block_rows)
+        return pd.DataFrame([(g, seed, int(np.bincount(tree).max()), k, pack_forest(nodes))], columns=["_g", "seed", "_psi", "_k", "forest"])
     return run
 
 
@@ -224,22 +236,22 @@ def isolation_scores(df: DataFrame, group: Sequence[str], id_col: str, features:
     base = df.select(F.to_json(F.struct(*group)).alias("_g"), F.col(id_col).alias("_id"), *group,
                      *[F.col(f).cast("double").alias(f) for f in features])
     base = cut_lineage(base.withColumn("_h", F.xxhash64("_id")))  # narrow; read for sizes, draws and scores
-    sizes = base.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
+    groups = base.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"), *[F.any_value(c).alias(c) for c in group])
+    sized = base.drop(*group).join(groups.select("_g", "_n"), "_g")
     n_part = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     columns = ", ".join(f"`{f}` double" for f in features)
-    sample = base.join(sizes, "_g").select("_g", "_h", "_n", *features).mapInPandas(
-        _candidates(list(features), [int(x) for x in seeds], n_trees, max_samples), f"seed int, _g string, _h long, {columns}, _trees binary, _u binary")
-    forests = cut_lineage(sample.repartition(n_part, "_g", "seed").groupBy("_g", "seed").applyInPandas(
-        _grow(list(features), n_trees, max_samples), "_g string, seed int, _psi int, forest binary"))
-    blocks = base.groupBy("_g").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("_k"))
-    rows = base.join(blocks, "_g").withColumn("_b", F.pmod("_h", F.col("_k").cast("long")).cast("int"))
-    copies = forests.join(blocks, "_g").withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
+    sample = sized.select("_g", "_h", "_n", *features).mapInPandas(
+        _candidates([int(x) for x in seeds], n_trees, max_samples), f"seed int, _g string, _h long, _n long, {columns}")
+    forests = sample.repartition(n_part, "_g", "seed").groupBy("_g", "seed").applyInPandas(
+        _grow(list(features), n_trees, max_samples, block_rows), "_g string, seed int, _psi int, _k int, forest binary")
+    rows = sized.withColumn("_b", F.pmod("_h", F.ceil(F.col("_n") / block_rows)).cast("int"))
+    copies = forests.withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
     # CPU-heavy on few bytes: an explicit repartition keeps one task per shuffle partition
     left = rows.select("_g", "_b", "_id", *features).repartition(n_part, "_g", "_b").groupBy("_g", "_b")
     right = copies.select("_g", "_b", "seed", "_psi", "forest").repartition(n_part, "_g", "_b").groupBy("_g", "_b")
     id_type = df.schema[id_col].dataType.simpleString()
     scored = left.cogroup(right).applyInPandas(_score(list(features), n_trees), f"_id {id_type}, _g string, seed int, _psi int, mean_path double")
-    out = scored.join(base.select("_g", "_id", *group), ["_g", "_id"])
+    out = scored.join(groups.drop("_n"), "_g")
     psi = F.col("_psi").cast("double")
     c_psi = F.when(psi > 2, 2.0 * (F.log(psi - 1.0) + EULER) - 2.0 * (psi - 1.0) / psi).otherwise(1.0)
     return out.select(*group, F.col("_id").alias(id_col), "seed", "mean_path", F.pow(F.lit(2.0), -F.col("mean_path") / c_psi).alias("score"))

@@ -168,21 +168,13 @@ def _products(id_name: str):
     return run
 
 
-def tfidf_similarity(df: DataFrame, group: Sequence[str], id_col: str,
-                     parts: Sequence[tuple[str, str, bool]], left: str, right: str, out: str = "sim",
-                     stop_words: Sequence[str] | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Add ``out`` = cosine of the TF-IDF vectors of two texts of each row, with the
-    vectorizer fitted per group on a corpus built from the rows.
-
-    ``parts``: (tag, text column, distinct) -- the corpus takes every row's text of
-    that column (``distinct=False``) or each distinct text once per group
-    (``distinct=True``). ``left`` / ``right`` are tags of two parts. ``id_col`` names a row of its group.
-    Rows with a null in the group, and rows with a text without a token, get 0.
-    """
+def tfidf_scores(df: DataFrame, group: Sequence[str], id_col: str,
+                 parts: Sequence[tuple[str, str, bool]], left: str, right: str, out: str = "sim",
+                 stop_words: Sequence[str] | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(``_g``, id, ``out``) of the rows with tokens in both texts; see ``tfidf_similarity``. ``_g`` is the group's hash."""
     stop = tuple(stop_words if stop_words is not None else english_stop_words())
     column = {tag: col for tag, col, _ in parts}
-    keyed = df.withColumn("_g", F.xxhash64(*group))
-    base = keyed.filter(" AND ".join(f"`{c}` IS NOT NULL" for c in group))
+    base = df.withColumn("_g", F.xxhash64(*group)).filter(" AND ".join(f"`{c}` IS NOT NULL" for c in group))
     each = [F.col(col) for _, col, distinct in parts if not distinct]
     docs = [base.select("_g", F.explode(F.array(*each)).alias("text"))] if each else []
     for _, col, distinct in parts:
@@ -207,7 +199,26 @@ def tfidf_similarity(df: DataFrame, group: Sequence[str], id_col: str,
               .unionByName(base.select("_g", id_col, column[left], F.col(column[right]).alias("_right"), F.xxhash64(id_col)).mapInArrow(_vectors(plan, stop, id_col), schema)))
     products = (stream.repartition("_g", "part").sortWithinPartitions("_g", "part", "kind")
                 .mapInArrow(_products(id_col), f"_g long, `{id_col}` {id_type}, xy double, xx double, yy double"))
-    sims = products.groupBy("_g", id_col).agg(F.round(F.sum("xy") / F.sqrt(F.sum("xx") * F.sum("yy")), 6).alias(out))
+    return products.groupBy("_g", id_col).agg(F.round(F.sum("xy") / F.sqrt(F.sum("xx") * F.sum("yy")), 6).alias(out))
+
+
+def tfidf_similarity(df: DataFrame, group: Sequence[str], id_col: str,
+                     parts: Sequence[tuple[str, str, bool]], left: str, right: str, out: str = "sim",
+                     stop_words: Sequence[str] | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Add ``out`` = cosine of the TF-IDF vectors of two texts of each row, with the
+    vectorizer fitted per group on a corpus built from the rows.
+
+    ``parts``: (tag, text column, distinct) -- the corpus takes every row's text of
+    that column (``distinct=False``) or each distinct text once per group
+    (``distinct=True``). ``left`` / ``right`` are tags of two parts. ``id_col`` names a row of its group.
+    Rows with a null in the group, and rows with a text without a token, get 0.
+    """
+    sims = tfidf_scores(df, group, id_col, parts, left, right, out, stop_words, block_rows)
+    return _with_scores(df, group, id_col, sims, out)
+
+
+def _with_scores(df: DataFrame, group: Sequence[str], id_col: str, sims: DataFrame, out: str) -> DataFrame:
+    keyed = df.withColumn("_g", F.xxhash64(*group))
     return keyed.join(sims, ["_g", id_col], "left").select(*df.columns, out).fillna(0.0, [out])
 
 
@@ -216,6 +227,7 @@ FEATURE_CORPUS = [("f", "focal_method", True), ("d", "docstring", True), ("p", "
                   ("t", "generated_test", False)]
 
 
-def test_doc_similarity(df: DataFrame, group: Sequence[str], id_col: str, out: str = "test_doc_sim") -> DataFrame:
-    """The ``test_doc_sim`` ranking feature: generated test vs docstring."""
-    return tfidf_similarity(df, group, id_col, FEATURE_CORPUS, "t", "d", out)
+def test_doc_similarity(df: DataFrame, group: Sequence[str], id_col: str, out: str = "test_doc_sim", onto: DataFrame | None = None) -> DataFrame:
+    """The ``test_doc_sim`` ranking feature: generated test vs docstring, added to the rows or to ``onto`` (same groups and ids)."""
+    sims = tfidf_scores(df, group, id_col, FEATURE_CORPUS, "t", "d", out)
+    return _with_scores(df if onto is None else onto, group, id_col, sims, out)

@@ -46,7 +46,11 @@ def cases(spark: SparkSession, sf_dir: str, flags: bool = True) -> DataFrame:
 
 def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One trigger-log block per event: test name line, exception line, frame."""
-    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    return table(spark, sf_dir, "events").select(*_trace_columns())
+
+
+def _trace_columns() -> list[Column]:
+    """The columns of ``traces``, made of an event's id, user and type."""
     test = F.concat(F.lit("pkg.C"), _s(F.col("user_id") % 9), F.lit("::t"), _s(F.col("event_id") % 400))
     exc = (F.when(F.col("event_type") == "error", "java.lang.IllegalStateException")
            .when(F.col("event_type") == "click", "org.evosuite.runtime.mock.java.io.MockIOException")
@@ -55,13 +59,13 @@ def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
            .otherwise("lib.Other"))
     desc = F.when(F.col("event_id") % 4 == 0, F.lit("")).otherwise(
         F.concat(F.lit(": k"), _s(F.col("event_id") % 5)))
-    return e.select(
+    return [
         F.col("event_id").alias("row_idx"),
         F.concat(F.lit("proj"), _s(F.col("user_id") % 10)).alias("project"),
         (F.col("user_id") % 7).alias("bug_num"),
         test.alias("test_name"),
         F.concat(F.lit("--- "), test, F.lit("\n"), exc, desc, F.lit("\n  at x")).alias("trace"),
-    )
+    ]
 
 
 def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,9 +121,10 @@ def failed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Failed tests with trace, focal method, docstring, prefix, generated test and predictions
     (the input of the ranking features): a trigger block and the whole text of one document, the first
     half of its lines as docstring and the others as generated test."""
-    t = traces(spark, sf_dir).withColumnRenamed("row_idx", "_id")
-    d = _with_code(table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
-    j = d.withColumnRenamed("doc_id", "row_idx").join(t, F.col("row_idx") == F.col("_id"))
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    # code and trace are made after the join, which moves a text once and three short columns of an event
+    j = _with_code(d.join(events, F.col("doc_id") == F.col("event_id"))).select("text", "test", "focal_method", *_trace_columns())
     r = F.col("row_idx")
     throws = F.when(r % 3 == 0, " throws IllegalStateException {").otherwise(" {")
     doc = F.when(r % 5 == 0, " Throws CartException if empty").otherwise("")
