@@ -163,6 +163,15 @@ def test_quality_sql_on_odd_rows(odd_docs):
     same(op2_quality.apply_policy(op2_quality.ledger(odd_docs)), run_sql(op2_quality.SQL, documents=odd_docs))
 
 
+def test_quality_stage_follows_the_ledger(plain_docs):
+    """keep_good keeps the documents whose stored bits the policy lets pass, for every policy."""
+    led = op2_quality.ledger(plain_docs)
+    for policy in op2_quality.POLICIES:
+        want = sorted(r.doc_id for r in op2_quality.apply_policy(led, policy).filter("kept").collect())
+        got = op2_quality.keep_good(plain_docs, policy)
+        assert got.columns == plain_docs.columns and sorted(r.doc_id for r in got.collect()) == want
+
+
 def test_quality_policy_and_ablation(odd_docs):
     led = op2_quality.ledger(odd_docs)
     rows = led.collect()
@@ -205,6 +214,15 @@ def test_mixing_sql_on_odd_rows(plain_docs):
     same(op3_mixing.mix(plain_docs), run_sql(op3_mixing.SQL, documents=plain_docs))
 
 
+def test_mixing_cuts_crowded_ranges(spark):
+    """Keys that crowd at one end (texts of symbols), one key many times, and ranges cut down to a row give the same rows as SQL."""
+    texts = ["# $ % & " * 3 if i % 3 else f"word {i} " * (i % 7 + 1) for i in range(300)]
+    docs = spark.createDataFrame([(i if i < 280 else 5, t, None if i % 11 == 0 else "ab"[i % 5 == 0]) for i, t in enumerate(texts)],
+                                 "doc_id long, text string, source string").repartition(4)
+    for split_rows, buckets in ((op3_mixing.SPLIT_ROWS, op3_mixing.BUCKETS), (1, 4), (20, 2), (1, 4096)):
+        same(op3_mixing.mix(docs, split_rows=split_rows, buckets=buckets), run_sql(op3_mixing.SQL, documents=docs))
+
+
 def test_mixing_fills_sources_up(spark):
     df = spark.createDataFrame([(1, "big", "w " * 1000), (2, "a", "w w"), (3, None, "w w w w")], "doc_id long, source string, text string")
     got = {r.source: r.target for r in op3_mixing.mix(df).collect()}

@@ -8,9 +8,10 @@
    exponential key -ln(1 - u) / quality and taken while the running sum of sizes is nearer
    to the rest than the sum before it.
 
-A source may hold any share of the rows: its keys fall into ``BUCKETS`` quantile buckets,
-bucket sums are partial aggregates, and only the one bucket of a source in which the budget
-ends is sorted. u is a hash of seed and id, so reruns and other engines agree.
+A source may hold any share of the rows and its keys may crowd anywhere: the keys are cut into ``BUCKETS``
+ranges, range sums are partial aggregates, and the one range of a source in which the budget ends is cut again
+between its smallest and largest key until it has at most ``SPLIT_ROWS`` rows (or one key only). Only that is
+sorted. u is a hash of seed and id, so reruns and other engines agree.
 
 Defined results: null text has size 0; a null source is a source of its own, last in order;
 repeated rows are drawn as rows of their own, ties of the key ordered by id and size; an
@@ -29,6 +30,8 @@ SOURCE_WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MAX_EPOCHS = 2
 BUCKETS = 4096
+#: Rows of a source that one task sorts at most.
+SPLIT_ROWS = 100_000
 SEED = "mix-1"
 #: Source tables up to this many rows are broadcast (about 100 bytes a row); larger ones are joined by shuffle.
 BROADCAST_ROWS = 20_000
@@ -68,38 +71,66 @@ def source_targets(sizes: DataFrame, weights=SOURCE_WEIGHTS, share=SHARE, max_ep
                     (F.col("target") - (F.col("epochs") * size).cast("double")).alias("rest"))
 
 
+def _range_ends(sums: DataFrame, plan: DataFrame) -> DataFrame:
+    """Per source (``_s``), the first range whose running sum reaches the rest: its smallest and largest key, its
+    rows, the sum before it. ``base`` is what the source takes before all ranges."""
+    running = Window.partitionBy("source").orderBy("bucket")  # at most BUCKETS + 1 rows
+    joined = sums.withColumn("upto", F.sum("in_bucket").over(running)).join(
+        plan.select("_s", "rest", "base"), F.col("source").eqNullSafe(F.col("_s")))
+    first = F.struct("bucket", "lo", "hi", "n", (F.col("base") + F.col("upto") - F.col("in_bucket")).alias("before"))
+    return (joined.filter((F.col("base") + F.col("upto")).cast("double") >= F.col("rest"))
+            .groupBy("_s").agg(F.min_by(first, "bucket").alias("e")).select("_s", "e.lo", "e.hi", "e.n", "e.before"))
+
+
+def _range_sums(rows: DataFrame, bucket: Column) -> DataFrame:
+    return rows.groupBy("source", bucket.cast("int").alias("bucket")).agg(
+        F.sum("size").alias("in_bucket"), F.count(F.lit(1)).alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi"))
+
+
+def _beside(rows: DataFrame, per_source: DataFrame) -> DataFrame:
+    """The rows with the columns of their source's row of ``per_source`` (key ``_s``)."""
+    small = F.broadcast(per_source) if per_source.count() <= BROADCAST_ROWS else per_source
+    return rows.join(small, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+
+
+def end_ranges(rows: DataFrame, sums: DataFrame, plan: DataFrame, split_rows: int = SPLIT_ROWS, buckets: int = BUCKETS) -> DataFrame:
+    """(_s, lo, hi, n, before): the keys of a source among which its rest ends, at most ``split_rows`` rows unless they share a key."""
+    ends = keep_copy(_range_ends(sums, plan.withColumn("base", F.lit(0).cast("long"))))
+    is_wide = (F.col("n") > split_rows) & (F.col("lo") < F.col("hi"))
+    while True:
+        wide = ends.filter(is_wide)
+        if wide.isEmpty():
+            return ends
+        inside = _beside(rows, wide.select("_s", "lo", "hi")).filter(F.col("key").between(F.col("lo"), F.col("hi")))
+        part = F.least(F.floor((F.col("key") - F.col("lo")) / (F.col("hi") - F.col("lo")) * buckets), F.lit(buckets - 1))
+        closer = wide.select(F.col("_s").alias("_w"), F.col("before").alias("base")).join(plan, F.col("_w").eqNullSafe(F.col("_s"))).drop("_w")
+        cut = inside.select("source", "size", "key", part.alias("part"))
+        narrow = _range_ends(_range_sums(cut, F.col("part")), closer)
+        ends = keep_copy(ends.filter(~is_wide).unionByName(narrow))
+
+
 def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
-        weights=SOURCE_WEIGHTS, share=SHARE, max_epochs=MAX_EPOCHS, seed: str = SEED) -> DataFrame:
+        weights=SOURCE_WEIGHTS, share=SHARE, max_epochs=MAX_EPOCHS, seed: str = SEED, split_rows: int = SPLIT_ROWS,
+        buckets: int = BUCKETS) -> DataFrame:
     """doc_id, source, size, source_size, target, taken: one row per input row."""
     text = F.col(text_col)
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
                      F.size(words_of(text)).cast("long").alias("size"), text.alias("text"))
     rows = rows.select("doc_id", "source", "size", (
         -F.log(F.lit(1.0) - uniform(F.col("doc_id"), seed)) / quality(F.col("text"), F.col("size"))).alias("key"))
-    rows = rows.withColumn("bucket", F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * BUCKETS).cast("int"))
     rows = keep_copy(rows)  # without the texts
 
-    sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("in_bucket"))
-    running = Window.partitionBy("source").orderBy("bucket")  # at most BUCKETS + 1 rows
-    sums = keep_copy(sums.withColumn("upto", F.sum("in_bucket").over(running)))
-    sizes = sums.groupBy("source").agg(F.max("upto").alias("source_size"))
-    plan = source_targets(sizes, weights, share, max_epochs)
-    # The bucket in which the rest ends: the first whose running sum reaches it.
-    ends = (sums.join(plan.select(F.col("source").alias("_s"), "rest"), F.col("source").eqNullSafe(F.col("_s")))
-            .filter(F.col("upto").cast("double") >= F.col("rest")).groupBy("source")
-            .agg(F.min_by(F.struct("bucket", (F.col("upto") - F.col("in_bucket")).alias("before")), "bucket").alias("e"))
-            .select(F.col("source").alias("_s"), "e.bucket", "e.before"))
-    plan = plan.join(ends.withColumnRenamed("bucket", "end_bucket"), F.col("source").eqNullSafe(F.col("_s")), "left")
-    plan = keep_copy(plan.drop("_s").withColumnRenamed("source", "_s"))
-    if plan.count() <= BROADCAST_ROWS:
-        plan = F.broadcast(plan)
-    rows = rows.join(plan, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    inside = F.col("bucket") == F.col("end_bucket")
+    sums = keep_copy(_range_sums(rows, F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * buckets)))
+    sizes = sums.groupBy("source").agg(F.sum("in_bucket").alias("source_size"))
+    plan = keep_copy(source_targets(sizes, weights, share, max_epochs).withColumnRenamed("source", "_s"))
+    ends = end_ranges(rows, sums, plan, split_rows, buckets)
+    plan = plan.join(ends.withColumnRenamed("_s", "_e"), F.col("_s").eqNullSafe(F.col("_e")), "left").drop("_e", "n")
+    rows = _beside(rows, keep_copy(plan))
+    inside = F.coalesce(F.col("key").between(F.col("lo"), F.col("hi")), F.lit(False))
     order = Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     ahead = F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0))
     edge = rows.filter(inside).withColumn("once", (2 * ahead + F.col("size")).cast("double") < 2 * F.col("rest"))
-    clear = rows.filter(~inside | F.col("end_bucket").isNull()).withColumn(
-        "once", F.coalesce(F.col("bucket") < F.col("end_bucket"), F.lit(False)))
+    clear = rows.filter(~inside).withColumn("once", F.coalesce(F.col("key") < F.col("lo"), F.lit(False)))
     out = clear.unionByName(edge)
     taken = F.col("size") * (F.col("epochs") + F.col("once").cast("long"))
     return out.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
