@@ -14,6 +14,8 @@ are not read.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -94,14 +96,24 @@ def measurements(text: Column) -> Column:
         count_chars(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ").cast("long").alias("n_capitals"))
 
 
+#: Where each measurement stands in the struct of ``measurements``.
+PATHS = {"n_words": "w.n_words", "n_repeat_words": "w.n_repeat_words", "n_stutter": "w.n_stutter", "n_lines": "l.n_lines",
+         "n_dup_lines": "l.n_dup_lines", "word_chars": "word_chars", "n_symbols": "n_symbols", "n_capitals": "n_capitals"}
+
+
+def fail_bits(struct: str) -> str:
+    """SQL of the failure bits of all rules over a struct column of measurements."""
+    name = re.compile(rf"\b({'|'.join(PATHS)})\b")  # whole names: one may be part of another
+    rules = ((bit(rule), name.sub(lambda m: f"{struct}.{PATHS[m[1]]}", cond)) for rule, cond in RULES.items())
+    return "cast(" + " + ".join(f"case when {cond} then {b} else 0 end" for b, cond in rules) + " as bigint)"
+
+
 def ledger(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, measurements, ``fail_bits`` (bit i: rule i fails)."""
     measured = df.select(F.col(id_col), with_value(F.col(text_col), measurements).alias("_m"))
-    counts = measured.select(
+    return measured.select(
         F.col(id_col), "_m.w.n_words", "_m.word_chars", "_m.n_symbols", "_m.l.n_dup_lines", "_m.w.n_repeat_words",
-        "_m.l.n_lines", "_m.n_capitals", "_m.w.n_stutter")
-    bits = " + ".join(f"case when {cond} then {bit(name)} else 0 end" for name, cond in RULES.items())
-    return counts.withColumn("fail_bits", F.expr(bits).cast("long"))
+        "_m.l.n_lines", "_m.n_capitals", "_m.w.n_stutter", F.expr(fail_bits("_m")).alias("fail_bits"))
 
 
 def apply_policy(led: DataFrame, policy: str = CURRENT) -> DataFrame:
@@ -129,16 +141,10 @@ def ablation(led: DataFrame, policy: str = CURRENT) -> DataFrame:
 def keep_good(df: DataFrame, policy: str = CURRENT, text_col: str = "text") -> DataFrame:
     """The input rows, all columns unchanged, that the policy keeps."""
     mark = "_verdict_mark"
-    m = with_value(F.col(text_col), measurements)
-    failed = " or ".join(f"({RULES[r]})" for r in dict.fromkeys(BASE + POLICIES[policy]))
-    for name, path in {"n_words": "w.n_words", "n_repeat_words": "w.n_repeat_words", "n_stutter": "w.n_stutter",
-                       "n_lines": "l.n_lines", "n_dup_lines": "l.n_dup_lines"}.items():
-        failed = failed.replace(name, f"{mark}.{path}")
-    for name in ("word_chars", "n_symbols", "n_capitals"):
-        failed = failed.replace(name, f"{mark}.{name}")
+    rejected = f"({fail_bits(mark)} & {mask(dict.fromkeys(BASE + POLICIES[policy]))}) <> 0"
     # explode of a 0/1-element array: a filter would be pushed below and compute the struct twice
-    kept = df.withColumn(mark, m).withColumn(mark, F.expr(f"explode(if({failed}, array(), array(true)))"))
-    return kept.drop(mark)
+    kept = df.withColumn(mark, with_value(F.col(text_col), measurements))
+    return kept.withColumn(mark, F.expr(f"explode(if({rejected}, array(), array(true)))")).drop(mark)
 
 
 SQL = rf"""
