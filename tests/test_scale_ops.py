@@ -226,3 +226,86 @@ def test_checks_of_the_write(spark, tmp_path):
         CK.write_checked(df, str(tmp_path / "b"), rows, strict=True)
     assert spark.read.parquet(str(tmp_path / "b")).count() == 2  # there to be looked at
     CK.write_checked(df.filter("k = 1"), str(tmp_path / "c"), rows, strict=True)
+
+
+# ------------------------------------------------------------------ steps of a text run once
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_negative_test_patterns_run_once(spark):
+    """The cut text of a negative test is bound: its pattern stands in the plan to find and to measure it, not once for each use."""
+    from verdict.operators import code_text as CT
+    df = spark.createDataFrame([("@Test void a() { int x = 1; int y = f(2); assertEquals(x, g(y)); }",), ("@Test void b() { s = q; }",), (None,)], "t string")
+    out = df.select(CT.normalize_negative(F.col("t")).alias("n"))
+    assert [r.n for r in out.collect()] == ["@Test void a() { int x = 1; f(2); }", "@Test void b() { q; }", None]
+    assert _plan(out).count("assert[a-zA-z]*") <= 2
+
+
+def test_reasons_are_counted_before_rows_are_doubled(spark, tmp_path):
+    from verdict.plans.registry import QUERIES, load_all
+    load_all()
+    spark.createDataFrame([(i, f"one exception {i}. two {i}.", "s") for i in range(33)], "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = QUERIES["reason_counts"](spark, str(tmp_path))
+    assert _plan(out).count("fail\\(.*\\).*}\\s*catch") == 1
+    rows = {r.reason: r.n for r in out.collect()}
+    inputs = QUERIES["exception_inputs"](spark, str(tmp_path)).collect()
+    assert rows == Counter(r.reason or "kept" for r in inputs) + Counter("missed" for r in inputs if r.missed)
+    assert sum(n for k, n in rows.items() if k != "missed") == 33
+
+
+@pytest.mark.parametrize("text", [None, "", "import a;", " import  a.B ; \r\n import c;\u0085\nx import d;\nimport\nimports \n@RunWith(x)\nimport late;",
+                                  "\t@RunWith\nimport a;", "import a;\n@Run\n  import b; @RunWith\n　@RunWithin"])
+def test_import_lines_in_one_pass(spark, text):
+    from verdict.operators import render as RD
+    want = None
+    if text is not None:
+        want = []
+        for line in text.split("\n"):
+            if line.strip().startswith("@RunWith"):
+                break
+            if line.strip().startswith("import"):
+                want.append(line.strip())
+    out = spark.createDataFrame([(text,)], "t string").select(RD.import_lines("t").alias("i"))
+    assert out.first().i == want
+    assert "lambda" not in _plan(out)
+
+
+def test_import_sets_meet_by_digest(spark):
+    from verdict.operators import render as RD
+    df = spark.createDataFrame([("a", ["x", "y"]), ("a", ["y", "x", "x"]), ("b", ["x"]), ("b", []), ("c", None), (None, ["x"])], "g string, i array<string>")
+    out = RD.import_consistency(df, ["g"], "i")
+    assert {tuple(r) for r in out.collect()} == {("a", 2, True), ("b", 2, False), ("c", 1, False), (None, 1, True)}
+    assert "sha2" in _plan(out)
+
+
+@pytest.mark.parametrize("text", [None, "", "..\n", " Äa b.c_d\n\ne1f . 9", "_a_.", "a.\r\nb \U0001F600 c", ". _ . z"])
+def test_sentence_names_in_two_passes(spark, text):
+    from verdict.sources import views as V
+    parts = re.split(r"[.\n]+", (text or "").lower())
+    want = [n for n in ("_".join(re.findall("[a-z]+", p)) for p in parts) if n]
+    out = spark.createDataFrame([(text,)], "t string").select(V.sentence_names(F.col("t")).alias("n"))
+    assert out.first().n == want
+    assert "lambda" not in _plan(out)
+
+
+def test_a_line_set_splits_its_text_once(spark):
+    df = spark.createDataFrame([("a\nb\n c \n\n d\nc\ne",), ("a\nb\nc",), (None,)], "t string")
+    out = df.select(L.test_line_set("t").alias("s"))
+    assert [r.s for r in out.collect()] == [["c", "d"], [], []]
+    assert _plan(out).count("split(") == 1
+
+
+def test_rows_of_one_row_group_are_spread(spark, tmp_path):
+    """A file of many splits and one row group: only one split has rows."""
+    from verdict.sources.tables import table
+    spark.range(20000).select(F.col("id").alias("doc_id"), F.sha2(F.col("id").cast("string"), 256).alias("text")).coalesce(1).write.option(
+        "parquet.block.size", 1 << 30).parquet(str(tmp_path / "documents.parquet"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 100_000)
+    try:
+        rows = table(spark, str(tmp_path), "documents").groupBy(F.spark_partition_id().alias("p")).count().collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(rows) >= 4 and sum(r["count"] for r in rows) == 20000

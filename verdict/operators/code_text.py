@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import clean_ws, col_, let, py_strip, rfind
+from ..functions.columns import clean_ws, col_, last_of, let, py_strip, rfind
 
 # Patterns of the exception-oracle classifier.
 ASSERT_THROWS_BODY_RE = r"^.*\(\s*\)\s*->\s*(.*)\s*\)"
@@ -40,8 +40,10 @@ def _re_quote(s: str) -> str:
 def balanced_block(test: Column, call: str) -> Column:
     """Text inside the balanced parentheses after the first ``call``; a lambda body
     (after '->') or ``obj::m`` -> ``obj.m()``."""
-    part = _after_first(test, call)
-    chars = F.split(part, "")
+    return let(_after_first(test, call), lambda part: let(F.split(part, ""), lambda chars: let(_block(part, chars), _called)))
+
+
+def _block(part: Column, chars: Column) -> Column:
     init = F.struct(F.lit(0).alias("d"), F.lit(0).alias("i"), F.lit(-1).alias("end"))
 
     def step(s, ch):
@@ -50,9 +52,11 @@ def balanced_block(test: Column, call: str) -> Column:
         return F.struct(F.when(s["end"] < 0, d).otherwise(s["d"]).alias("d"), (s["i"] + 1).alias("i"),
                         F.when(hit, s["i"]).otherwise(s["end"]).alias("end"))
 
-    st = F.aggregate(chars, init, step)
-    end = F.when(st["end"] >= 0, st["end"]).otherwise(F.greatest(F.size(chars) - 1, F.lit(0)))
-    block = F.substring(part, 1, end)
+    return let(F.aggregate(chars, init, step)["end"], lambda end: F.substring(
+        part, F.lit(1), F.when(end >= 0, end).otherwise(F.greatest(F.size(chars) - 1, F.lit(0)))))
+
+
+def _called(block: Column) -> Column:
     lam = F.coalesce(F.get(F.split(block, "->", -1), 1), F.lit(""))
     ref = F.regexp_extract(block, r"(\w+)::(\w+)", 0)
     ref_call = F.concat(F.regexp_extract(block, r"(\w+)::(\w+)", 1), F.lit("."),
@@ -77,22 +81,24 @@ def _kind(t: Column) -> Column:
 
 def remove_assignment_rhs(t: Column) -> Column:
     """Keep only the right side of a trailing assignment statement."""
-    stripped = F.regexp_replace(py_strip(t), r"[;} ]+$", "")
-    start = F.greatest(rfind(stripped, ";"), rfind(stripped, "{"), rfind(stripped, "}"))  # 1-based, 0 = none
-    last = F.substring(t, start + 1, 1 << 30)
-    eq = F.instr(last, "=")
-    return F.when(eq == 0, t).otherwise(F.concat(F.substring(t, 1, start), F.substring(last, eq + 1, 1 << 30)))
+    start = let(F.rtrim(py_strip(t), F.lit(";} ")), lambda s: last_of(s, ";{}"))  # 1-based, 0 = none
+
+    def cut(start: Column, last: Column) -> Column:
+        return let(F.instr(last, "="), lambda eq: F.when(eq == 0, t).otherwise(
+            F.concat(F.substring(t, F.lit(1), start), F.substring(last, eq + 1, F.lit(1 << 30)))))
+
+    return let(start, lambda i: let(F.substring(t, i + 1, F.lit(1 << 30)), lambda last: cut(i, last)))
 
 
 def normalize_negative(t: Column) -> Column:
     """Cut the first assertion statement (from the last ';', '{' or '}' before it), then
-    drop the left side of a trailing assignment."""
-    m_start = F.regexp_instr(t, F.lit(ASSERT_RE))  # 1-based, 0 = no match
-    m_text = F.regexp_extract(t, ASSERT_RE, 0)
-    before = F.substring(t, 1, m_start - 1)
-    start = F.greatest(rfind(before, ";"), rfind(before, "{"), rfind(before, "}"))
-    cut = F.concat(F.substring(t, 1, start), F.substring(t, m_start + F.length(m_text), 1 << 30))
-    return remove_assignment_rhs(F.when(m_start > 0, cut).otherwise(t))
+    drop the left side of a trailing assignment. Each step is bound, so a text is searched once a pattern."""
+    def cut(at: Column) -> Column:  # 1-based, 0 = no match
+        rest = F.substring(t, at + F.length(F.regexp_extract(t, ASSERT_RE, 0)), F.lit(1 << 30))
+        head = let(F.substring(t, F.lit(1), at - 1), lambda before: F.substring(before, F.lit(1), last_of(before, ";{}")))
+        return F.when(at > 0, F.concat(head, rest)).otherwise(t)
+
+    return let(let(F.regexp_instr(t, F.lit(ASSERT_RE)), cut), remove_assignment_rhs)
 
 
 def normalize_exception_test(test: Column | str) -> Column:
@@ -103,14 +109,12 @@ def normalize_exception_test(test: Column | str) -> Column:
 
 def _normalize(t: Column, kind: Column) -> Column:
     # the pattern is tried from the start of the text; without a lambda body it does not match
-    call = _after_first(t, "assertThrows")
-    throws = F.when(call.rlike(ASSERT_THROWS_BODY_RE), F.concat(
-        _before_first(t, "assertThrows"), F.regexp_extract(call, ASSERT_THROWS_BODY_RE, 1), F.lit("; }\n")))
+    throws = let(_after_first(t, "assertThrows"), lambda call: F.when(call.rlike(ASSERT_THROWS_BODY_RE), F.concat(
+        _before_first(t, "assertThrows"), F.regexp_extract(call, ASSERT_THROWS_BODY_RE, 1), F.lit("; }\n"))))
     expected = F.replace(t, F.regexp_extract(t, EXPECTED_RE, 1), F.lit(""))
     that = F.concat(_before_first(t, "assertThatThrownBy"), balanced_block(t, "assertThatThrownBy"), F.lit("; }\n"))
-    m_pos = F.regexp_instr(t, F.lit(FAIL_CATCH_EXTRACT_RE))
-    fail = F.when(m_pos > 0, F.concat(F.substring(t, F.lit(1), m_pos - 1), py_strip(F.regexp_extract(t, FAIL_CATCH_EXTRACT_RE, 1)),
-                                      F.lit(" }\n")))
+    fail = let(F.regexp_instr(t, F.lit(FAIL_CATCH_EXTRACT_RE)), lambda m_pos: F.when(m_pos > 0, F.concat(
+        F.substring(t, F.lit(1), m_pos - 1), py_strip(F.regexp_extract(t, FAIL_CATCH_EXTRACT_RE, 1)), F.lit(" }\n"))))
     is_thrown = F.concat(_before_first(t, "isThrownBy"), balanced_block(t, "isThrownBy"), F.lit("; }\n"))
     return (F.when(kind == "assertThrows", throws).when(kind == "expected", expected)
             .when(kind == "assertThatThrownBy", that).when(kind == "fail_catch", fail)
@@ -127,13 +131,13 @@ def standardize_header(test: Column | str, focal: Column | str) -> Column:
     """'public void test' + focal name (first letter upper) + '() {' + body after the
     first '{'; null when the focal name or the '{' is missing (row dropped)."""
     t = col_(test)
-    head = _before_first(clean_ws(focal), "{")
-    name = F.regexp_extract(head, METHOD_NAME_RE, 1)
-    cap = F.concat(F.upper(F.substring(name, 1, 1)), F.substring(name, 2, 1 << 30))
-    brace = F.instr(t, "{")
-    body = F.substring(t, brace + 1, 1 << 30)
-    ok = (name != "") & (brace > 0)
-    return F.when(ok, F.concat(F.lit("public void test"), cap, F.lit("() {"), body))
+
+    def header(name: Column) -> Column:
+        cap = F.concat(F.upper(F.substring(name, 1, 1)), F.substring(name, 2, 1 << 30))
+        return let(F.instr(t, "{"), lambda brace: F.when((name != "") & (brace > 0), F.concat(
+            F.lit("public void test"), cap, F.lit("() {"), F.substring(t, brace + 1, F.lit(1 << 30)))))
+
+    return let(F.regexp_extract(_before_first(clean_ws(focal), "{"), METHOD_NAME_RE, 1), header)
 
 
 def exception_inputs(df: DataFrame, test: str, focal: str) -> DataFrame:
