@@ -117,9 +117,10 @@ WHERE r IS NOT NULL GROUP BY r""", "code", ctes=_EXC_SQL))
 def reason_counts(spark, sf_dir):
     """Rows kept and dropped per stage and reason; negative tests that speak of an exception."""
     out = CT.exception_inputs(V.code(spark, sf_dir), "test", "focal_method")
-    reasons = F.array_compact(F.array(F.coalesce("reason", F.lit("kept")), F.when(F.col("missed"), F.lit("missed"))))
-    return out.select(F.explode(reasons).alias("reason")).groupBy(
-        F.lit("exception_inputs").alias("stage"), "reason").agg(F.count(F.lit(1)).alias("n"))
+    # counted before a row becomes two: a filter on the exploded rows would run every step again
+    n = out.groupBy(F.coalesce("reason", F.lit("kept")).alias("reason"), "missed").agg(F.count(F.lit(1)).alias("n"))
+    reasons = F.array_compact(F.array(F.struct("reason", "n"), F.when(F.col("missed"), F.struct(F.lit("missed").alias("reason"), "n"))))
+    return n.select(F.inline(reasons)).groupBy(F.lit("exception_inputs").alias("stage"), "reason").agg(F.sum("n").alias("n"))
 
 
 @register("prune_pieces", with_views("""
