@@ -106,9 +106,8 @@ SELECT row_idx, len(imports) AS n_imports, array_to_string(imports, '|') AS impo
                                      "test_files", ctes=_IMPORTS_SQL))
 def import_lines(spark, sf_dir):
     """Import lines of a test file up to the @RunWith line."""
-    f = V.test_files(spark, sf_dir)
-    imp = RD.import_lines("file_text")
-    return f.select("row_idx", F.size(imp).cast("long").alias("n_imports"), F.array_join(imp, "|").alias("imports"))
+    f = V.test_files(spark, sf_dir).select("row_idx", RD.import_lines("file_text").alias("imports"))
+    return f.select("row_idx", F.size("imports").cast("long").alias("n_imports"), F.array_join("imports", "|").alias("imports"))
 
 
 def _harness_sql() -> str:
