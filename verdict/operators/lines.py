@@ -33,9 +33,7 @@ def text_lines(df: DataFrame, id_cols: Sequence[str], text: str, keep_blank: boo
 def test_line_set(text: Column | str) -> Column:
     """Stripped non-blank lines without the first two and the last one, as a set."""
     lines = F.filter(F.transform(F.split(py_strip(text), "\n", -1), lambda x: py_strip(x)), lambda x: x != "")
-    n = F.size(lines)
-    body = F.when(n > 3, F.slice(lines, 3, n - 3)).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(body)
+    return F.array_distinct(let(lines, lambda ls: F.when(F.size(ls) > 3, F.slice(ls, F.lit(3), F.size(ls) - 3)).otherwise(F.array().cast("array<string>"))))
 
 
 def lone_lines(df: DataFrame, group: Sequence[str], id_col: str, text: str, out: str) -> DataFrame:
