@@ -489,6 +489,85 @@ def test_html_large_host_keeps_articles(spark):
     assert got[300].split("\n") == flat(7)
 
 
+def test_html_marked_pages_use_the_hosts_repeats(spark):
+    """Pages that mark an article: it loses whole blocks of what the host repeats outside articles. Passages and copies that
+    articles share, a quoted boilerplate string and an article that a sidebar quotes stay."""
+    flat = lambda seed, n: " ".join(prose(seed, n).split())
+    notice, passage, lead = flat(950, 30), flat(951, 40), flat(952, 30)
+    body = lambda i: [lead if i == 4 else flat(i, 30), passage, flat(i + 200, 25) + (f" {notice} so they say" if i == 5 else "")]
+    page = lambda i, n, parts: "<nav>home</nav><article>" + "".join(f"<p>{x}</p>" for x in parts) + f"</article><aside>{lead}</aside><footer>{n} {notice}</footer>"
+    rows = [(i, f"http://h.org/{i}", page(i, i, [*body(i), *([notice] if i < 3 else [])])) for i in range(8)]
+    rows += [(20 + i, f"http://h.org/copy{i}", page(6, 20 + i, body(6))) for i in range(30)]
+    rows += [(60 + i, f"http://two.org/{i}", page(i, i, [*body(i), notice])) for i in range(2)]
+    got = {r.page_id: r.text.split("\n") for r in op7_html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: body(i) for i in range(8)} | {20 + i: body(6) for i in range(30)} | {60 + i: [*body(i), notice] for i in range(2)}
+
+
+def test_html_notice_in_every_article(spark):
+    """Without a mark of its own, too: nine in ten of the host's articles, ten at least; copies of an article count once,
+    near copies stay whole."""
+    flat = lambda seed, n: " ".join(prose(seed, n).split())
+    notice, passage = flat(950, 30), flat(951, 40)
+    page = lambda i, parts: f"<nav>home {i}</nav><article>" + "".join(f"<p>{x}</p>" for x in parts) + "</article>"
+    body = lambda i: [flat(i, 30), *([passage] if i < 16 else []), flat(i + 200, 35)]
+    rows = [(i, "http://h.org/", page(i, [*body(i), *([notice] if i else [])])) for i in range(20)]
+    rows += [(30 + i, "http://h.org/", page(30 + i, body(0))) for i in range(20)]
+    rows += [(60 + i, "http://nine.org/", page(i, [*body(i), notice])) for i in range(9)]
+    near = lambda i: [flat(500, 60), flat(501, 60) + f" edit {i}", f"{i} more"]
+    rows += [(80 + i, "http://near.org/", page(i, near(i))) for i in range(15)]
+    got = {r.page_id: r.text.split("\n") for r in op7_html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == ({i: body(i) for i in range(20)} | {30 + i: body(0) for i in range(20)} | {60 + i: [*body(i), notice] for i in range(9)}
+                   | {80 + i: near(i) for i in range(15)})
+
+
+def test_html_suffix_array():
+    rnd = random.Random(7)
+    codes = op7_html.np.array([rnd.randrange(1, 4) for _ in range(400)] + [1] * 30)
+    order, rank = op7_html.suffix_array(codes, 20)
+    prefix = [codes[i:i + 20].tolist() for i in range(len(codes))]
+    assert [prefix[i] for i in order] == sorted(prefix)
+    assert all((rank[i] == rank[k]) == (prefix[i] == prefix[k]) for i in range(0, 430, 3) for k in range(430))
+
+
+def _html_repeats(pages, least):
+    """Brute force: {key: pages} of blocks and RUN-token strings of pages (lists of streams)."""
+    held = {}
+    for k, streams in enumerate(pages):
+        for s in streams:
+            words = s.replace("\n", " ").split(" ")
+            for u in [op7_html._hash(t, b"block") for t in s.split("\n") if t] + [
+                    int(op7_html._run_keys(words[i:i + op7_html.RUN])[0]) for i in range(len(words) - op7_html.RUN + 1)]:
+                held.setdefault(u, set()).add(k)
+    return {u: len(k) for u, k in held.items() if len(k) >= least}
+
+
+def test_html_repeated_strings():
+    parts = [" ".join(prose(i, 12).split()) for i in range(6)]
+    rnd = random.Random(3)
+    pages = [["\n".join(rnd.choice(parts) for _ in range(rnd.randrange(0, 7))) for _ in range(rnd.randrange(1, 3))] for _ in range(40)]
+    for least in (1, 3, 20):
+        assert op7_html.repeated_strings(pages, least) | op7_html.repeated_blocks(pages, least) == _html_repeats(pages, least)
+    once = [["x " * 50 + "x"]]
+    assert op7_html.repeated_strings(once, 1) | op7_html.repeated_blocks(once, 1) == _html_repeats(once, 1)
+    assert op7_html.repeated_strings([[""], [""]], 1) == {}
+
+
+@pytest.mark.parametrize("chunk_pages", [3, 2_000])
+def test_html_chunks_of_a_host(spark, monkeypatch, chunk_pages):
+    """The boilerplate of a host is the same in how many chunks ever it is counted."""
+    monkeypatch.setattr(op7_html, "CHUNK_PAGES", chunk_pages)
+    flat = lambda seed, n: " ".join(prose(seed, n).split())
+    rnd = random.Random(11)
+    lines = [(flat(700 + k, 24), share) for k, share in enumerate((0.3, 0.4, 0.45, 0.5, 0.5, 0.55, 0.6, 0.9, 1))] + [("short line", 0.52), ("other line", 0.48)]
+    pages = [[x for x, share in lines if rnd.random() < share] + [flat(i, 25)] for i in range(45)]
+    pages += pages[:5]  # the same pages again
+    rows = [(i, "http://big.org/", "".join(f"<div>{x}</div>" for x in p)) for i, p in enumerate(pages)] + [(None, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    want = set(_html_repeats([["\n".join(p)] for p in pages[:45]], 22.5))
+    found = [(r.host, r.unit) for r in op7_html.boilerplate(df.withColumn("host", op7_html._host(df.url)).fillna("", ["html"])).collect()]
+    assert sorted(found) == sorted(("big.org", u) for u in want) and len(want) > 20
+
+
 def test_html_as_a_plain_parser(spark):
     df = spark.read.parquet(f"{SF}/pages.parquet")
     pages = {r.page_id: r.html for r in df.collect()}
